@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op2_language_id
+from .packing import op10_packing
 from .token_counts import op1_token_counts
+from .token_files import op3_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_language_id": op2_language_id,
+        "op3_token_files": op3_token_files,
+        "op10_packing": op10_packing,
     }
 
 

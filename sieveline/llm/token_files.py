@@ -74,16 +74,19 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
-@F.arrow_udf("long")
-def ids_crc32(ids: pa.Array) -> pa.Array:
+def _crc32(ids: pa.Array) -> pa.Array:
     """CRC-32 of a list of ids as little-endian unsigned 32-bit integers."""
     ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
     return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
 
 
+def ids_crc32():
+    return F.arrow_udf(_crc32, "long")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     at = shared_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), at, public_tokenizers.path("word_bpe_49k.json"))
-    return read_tokens(spark, at).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, at).select("doc_id", "start", "n_tokens", ids_crc32()("ids").alias("ids_crc32"))
