@@ -155,18 +155,22 @@ def item_blocks(benchmark: DataFrame, block_items: int = 500, block_bytes: int =
     return blocks
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
-    """Adds `leaks` to docs: the benchmark items that a text holds in a window of the item's length, LEAK.
+def leak_column(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.8) -> F.Column:
+    """The benchmark items that a text of docs holds in a window of the item's length, LEAK.
 
     Similarity is that of bags of five-word shingles in lower case (an item of fewer words is one shingle). Each block
     of the benchmark is an Arrow function over the same scan: no shuffle, and a worker holds one bounded index per
     block. Null and empty texts hold none; items without id or words are none; an empty benchmark gives empty lists;
-    repeated items are found each once (of windows with the same similarity the first); a column named leaks is replaced.
+    repeated items are found each once, and of windows with the same similarity the first.
     """
     bound_batches(docs.sparkSession)
-    blocks = item_blocks(benchmark)
-    found = [searcher(b, least)(F.col(text)) for b in blocks if b]
-    return docs.withColumn("leaks", F.concat(*found) if found else F.array().cast(LEAK))
+    found = [searcher(b, least)(F.col(text)) for b in item_blocks(benchmark) if b]
+    return F.concat(*found) if found else F.array().cast(LEAK)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
+    """Adds leak_column as `leaks` to docs; a column of that name is replaced."""
+    return docs.withColumn("leaks", leak_column(docs, benchmark, text, least))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

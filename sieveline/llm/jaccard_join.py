@@ -190,5 +190,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = SHINGLE, re
     return found.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is their class's class_id, one each; rows without id all stay."""
+    found = near_duplicates(docs, key=key, text=text, **options)
+    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias(key)).dropDuplicates([key])
+    kept = docs.join(keep, key, "left_semi").dropDuplicates([key])
+    return kept.select(docs.columns).union(docs.where(F.col(key).isNull()))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

@@ -191,5 +191,12 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     return out.withColumn("lang_pred", F.col("_p.lang")).withColumn("score", F.col("_p.score")).drop("_p")
 
 
+def accepted(df: DataFrame, least: float, text: str = "text", lang: str = "lang", key: str = "doc_id") -> F.Column:
+    """A condition on df's rows: the text has a letter and its likeliest language a calibrated score of `least` or more."""
+    bound_batches(df.sparkSession)
+    model = train(df.where(~held_out(key) & F.col(key).isNotNull()), text, lang, key)
+    return predictor(model)(F.col(text))["score"] >= least
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")

@@ -221,7 +221,9 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces each span of df (with `spans`) by its kind in angle brackets; of overlapping spans the first gives the kind."""
+    """Replaces each span in the texts of df by its kind in angle brackets; of overlapping spans the first gives the kind."""
+    bound_batches(df.sparkSession)
+    spans = finder(train(df, text))(F.col(text))
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -236,7 +238,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(text), F.col("spans")))
+    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(text), spans))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_decontamination
+from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
 from .packing import op10_packing
+from .pii import op8_pii
+from .quality import op9_quality_rules
 from .token_counts import op1_token_counts
 from .token_files import op3_token_files
+from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
         "op3_token_files": op3_token_files,
+        "op4_decontamination": op4_decontamination,
+        "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
+        "op8_pii": op8_pii,
+        "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
     }
 
