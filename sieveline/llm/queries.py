@@ -12,6 +12,7 @@ from .language_id import op2_language_id
 from .packing import op10_packing
 from .pii import op8_pii
 from .quality import op9_quality_rules
+from .repeats import op7_repeats
 from .token_counts import op1_token_counts
 from .token_files import op3_token_files
 from .warc import op5_warc
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_repeats": op7_repeats,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
