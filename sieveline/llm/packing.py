@@ -132,35 +132,54 @@ class Packer:
             yield from self.close()
 
 
-def packed(examples: DataFrame, limits: Limits = Limits(), pool: int = 128) -> DataFrame:
+def packed(examples: DataFrame, limits: Limits = Limits(), pool: int = 128, prepare=None) -> DataFrame:
     """Packs rows (doc_id, ids binary, mask binary) into sequences; one row of PIECE per piece.
 
     ids are little-endian unsigned 32-bit integers, mask has a byte per id (1: it bears loss) or is null (all do).
+    prepare, if given, turns other rows of examples into such examples within the same task: it takes the Arrow batches
+    and yields (doc_id, ids, mask).
     Each partition is packed on its own as it streams by, with `pool` examples at hand: no shuffle, nothing but the
     pool and one sequence in memory, and only a partition's last sequence falls short of full. sequence_id starts
     with the partition's number, so a task that runs again after a lost executor gives the same rows. Examples
     without ids have no piece. Repeated rows are packed each; a null doc_id stays null; no rows give no pieces.
     """
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "mask")), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, schema = Packer(limits, pool, TaskContext.get().partitionId() << 33), None
+        packer, rows, size = Packer(limits, pool, TaskContext.get().partitionId() << 33), [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-        rows: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for key, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "mask")), strict=True):
-                if ids:
-                    for row in packer.add(Item(key, ids, None if mask is None else np.frombuffer(mask, np.uint8))):
-                        rows.append(row)
-                        size += len(row[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for key, ids, mask in (prepare or plain)(batches):
+            if ids:
+                for row in packer.add(Item(key, ids, None if mask is None else np.frombuffer(mask, np.uint8))):
+                    rows.append(row)
+                    size += len(row[-1])
+            if size > 4 << 20:
+                yield batch_of(rows)
+                rows, size = [], 0
         rows += packer.finish()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield batch_of(rows)
+
+    return examples.mapInArrow(run, PIECE)
+
+
+def _tokens(path: str, end_id: int | None):
+    """For `packed`: rows (doc_id, text) to examples whose tokens all bear loss."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        from .pieces import PieceEncoder
+
+        pieces = PieceEncoder(path, keep_ids=True)
+        end = b"" if end_id is None else end_id.to_bytes(4, "little")
+        for batch in batches:
+            for key, ids in zip(batch.column("doc_id").to_pylist(), pieces.grouped(batch.column("text").to_pylist()), strict=True):
+                yield key, ids + end, None
 
-    return examples.select("doc_id", "ids", "mask").mapInArrow(run, PIECE)
+    return prepare
 
 
 def token_bytes(path: str, end_id: int | None):
@@ -181,8 +200,8 @@ def token_bytes(path: str, end_id: int | None):
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Packs the texts of df (doc_id, text), each with the end id after it; all tokens bear loss. A null text is empty."""
     bound_batches(df.sparkSession)
-    ids = token_bytes(tokenizer_path, end_id)(F.coalesce(F.col("text"), F.lit("")))
-    return packed(df.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("ids"), F.lit(None).cast("binary").alias("mask")), limits)
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return packed(rows, limits, prepare=_tokens(tokenizer_path, end_id))
 
 
 def pack_conversations(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

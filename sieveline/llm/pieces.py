@@ -2,74 +2,78 @@
 
 A BPE never merges across the cuts of its pre-tokenizer, so a text may be cut wherever that is sure to cut:
 
-- byte-level files: before a single space, and around a single newline, that stands between two characters
-  which aren't white space. Each piece keeps the space before it.
+- byte-level files: before a single space or newline that stands between two characters which aren't white space;
+  the piece after it begins with it.
 - word files: at spaces and newlines, which their pre-tokenizer drops.
+- both: between letters and the punctuation after them, apostrophes aside.
 
-Each distinct piece goes through the tokenizer once per task: a plain word straight to its BPE model, all others
-through the whole tokenizer in batches balanced by bytes. Added special tokens hold no white space, so the library
-still finds them inside a piece.
+Each distinct piece goes through the tokenizer once per task: words straight to its BPE model, all others through the
+whole tokenizer in batches balanced by bytes. Added special tokens hold no white space, so the library still finds them
+inside a piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
-_ODD = re.compile(r"\s(?:\s|$)|^\s|[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces whose normal form and pre-tokens are plain to see: letters, then perhaps one mark.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+#: Pieces whose normal form and pre-tokens are plain to see: letters, then perhaps punctuation.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class PieceEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers, or their number."""
 
-    def __init__(self, path: str, keep_ids: bool, max_pieces: int = 300_000, batch_bytes: int = 1 << 18, longest_kept: int = 256):
+    def __init__(self, path: str, keep_ids: bool, max_pieces: int = 600_000, batch_bytes: int = 1 << 18, longest_kept: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = not _drops_white_space(self.tokenizer)
+        self.spaced = bool(self.tokenizer.encode(" \n ", add_special_tokens=False).ids)
         self.keep_ids, self.max_pieces, self.batch_bytes, self.longest_kept = keep_ids, max_pieces, batch_bytes, longest_kept
-        self.head: dict[str, bytes | int] = {}  # of a piece as it stands
-        self.tail: dict[str, bytes | int] = {}  # of a piece after a space
-        self.model = self.tokenizer.model
-        self.marks = {m: self._word(m, "") for m in ".,"}
+        self.known: dict[str, bytes | int] = {"": b"" if keep_ids else 0}  # by piece, without the space before it
+        self.marks: dict[str, bytes | int] = {"": self.known[""]}
+        self.newline = self._whole("\n") if self.spaced else self.known[""]
 
-    def pieces(self, text: str) -> list[tuple[str | None, list[str]]]:
-        """Runs of (first piece, pieces that follow a space each)."""
-        if not self.spaced:
-            return [(None, text.replace("\n", " ").split(" "))]
-        if _ODD.search(text):
-            first, *rest = _SAFE.split(text)
-            return [(first, rest)]
-        runs = []
-        for k, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if k:
-                runs.append(("\n", []))
-            runs.append((first, rest))
-        return runs
-
-    def _word(self, word: str, lead: str) -> bytes | int:
-        """Of one pre-token, as the byte-level pre-tokenizer writes it."""
-        if not self.spaced:
-            word = word.lower()
-        word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        got = self.model.tokenize(_BYTE_LEVEL[32] + word if lead else word)
-        return _packed([t.id for t in got]) if self.keep_ids else len(got)
+    def _whole(self, text: str) -> bytes | int:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return _packed(ids) if self.keep_ids else len(ids)
 
-    def _learn(self, known: dict, new: list[str], lead: str) -> None:
-        rest = []
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """The first piece of a text and those that follow; a space before each of these isn't written."""
+        if not self.spaced:
+            return "", text.replace("\n", " ").split(" ")
+        found = text.split()
+        gaps = len(found) - 1
+        # Every gap is one space or newline, and none stands at an end.
+        if found and len(text) - sum(map(len, found)) == gaps and text.count(" ") + (lines := text.count("\n")) == gaps:
+            if lines:
+                found = text.replace("\n", " \n").split(" ")
+            return found[0], found[1:]
+        first, *rest = _SAFE.split(text)
+        return first, rest
+
+    def _learn(self, new: set[str]) -> None:
+        known, rest = self.known, []
+        plain, tokenize, space = _PLAIN.fullmatch, self.model_tokenize, _BYTE_LEVEL[32] if self.spaced else ""
         for piece in new:
-            if not _PLAIN.fullmatch(piece):
+            if not (m := plain(piece)):
                 rest.append(piece)
-            elif piece[-1] in ".,":
-                known[piece] = (known.get(piece[:-1]) or self._word(piece[:-1], lead)) + self.marks[piece[-1]]
-            else:
-                known[piece] = self._word(piece, lead)
+                continue
+            line, word, mark = m.groups()
+            if mark not in self.marks:
+                self.marks[mark] = self._whole(mark)
+            got = known.get(word) if not line else None
+            if got is None:
+                # One pre-token, as the byte-level pre-tokenizer writes it.
+                if not self.spaced:
+                    word = word.lower()
+                got = tokenize((space if not line else "") + (word if word.isascii() else "".join(map(_LETTER.__getitem__, word))))
+                got = _packed([t.id for t in got]) if self.keep_ids else len(got)
+            known[piece] = (self.newline + got if line else got) + self.marks[mark]
         rest.sort(key=len)
         at = 0
         while at < len(rest):
@@ -77,34 +81,37 @@ class PieceEncoder:
             while to < len(rest) and (to == at or size + len(rest[to]) < self.batch_bytes):
                 size += len(rest[to]) + 8
                 to += 1
-            for piece, e in zip(rest[at:to], self.tokenizer.encode_batch_fast([lead + p for p in rest[at:to]], add_special_tokens=False), strict=True):
+            texts = [" " + p if self.spaced and p[0] != "\n" else p for p in rest[at:to]]
+            for piece, e in zip(rest[at:to], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 known[piece] = _packed(e.ids) if self.keep_ids else len(e.ids)
             at = to
 
+    @property
+    def model_tokenize(self):
+        return self.tokenizer.model.tokenize
+
     def encode(self, texts: list[str]) -> Iterator[bytes | int]:
         """One result per text, in order. Texts are taken together, so pass about a megabyte at a time."""
-        if len(self.head) + len(self.tail) > self.max_pieces:
-            self.head.clear()
-            self.tail.clear()
-        cut = [self.pieces(t) for t in texts]
-        heads, tails = set(), set()
-        for runs in cut:
-            for first, rest in runs:
-                if first is not None:
-                    heads.add(first)
-                tails.update(rest)
-        self._learn(self.head, [p for p in heads if p not in self.head], "")
-        self._learn(self.tail, [p for p in tails if p not in self.tail], " " if self.spaced else "")
-        head, tail = self.head, self.tail.__getitem__
-        for runs in cut:
-            if self.keep_ids:
-                yield b"".join([b"".join([b"" if first is None else head[first], *map(tail, rest)]) for first, rest in runs])
-            else:
-                yield sum([(0 if first is None else head[first]) + sum(map(tail, rest)) for first, rest in runs])
-        for known, used in ((self.head, heads), (self.tail, tails)):  # very long pieces aren't kept
-            for piece in used:
-                if len(piece) > self.longest_kept:
-                    known.pop(piece, None)
+        if len(self.known) > self.max_pieces:  # short pieces are the common ones
+            self.known = {p: v for p, v in self.known.items() if len(p) <= 6}
+            if len(self.known) > self.max_pieces // 2:
+                self.known = {"": self.marks[""]}
+        cut, new = [], set()
+        for t in texts:
+            first, rest = self.pieces(t)
+            values = list(map(self.known.get, rest))
+            gaps = [k for k, v in enumerate(values) if v is None] if None in values else []
+            new.update([rest[k] for k in gaps])
+            cut.append((first, [rest[k] for k in gaps], gaps, values))
+        self._learn(new)
+        for first, missing, gaps, values in cut:
+            for k, piece in zip(gaps, missing, strict=True):
+                values[k] = self.known[piece]
+            start = self._whole(first) if first else self.marks[""]
+            yield start + b"".join(values) if self.keep_ids else start + sum(values)
+        for piece in new:  # very long pieces aren't kept
+            if len(piece) > self.longest_kept:
+                del self.known[piece]
 
     def grouped(self, texts: list[str | None], group_bytes: int = 1 << 20) -> Iterator[bytes | int]:
         """As encode, with texts grouped by size; null is an empty text."""
@@ -127,11 +134,9 @@ def _byte_level() -> dict[int, str]:
 
 
 _BYTE_LEVEL = _byte_level()
+#: The same for the letters of _PLAIN, as UTF-8.
+_LETTER = {c: "".join(_BYTE_LEVEL.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(0x100))}
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
-
-
-def _drops_white_space(tokenizer) -> bool:
-    return not tokenizer.encode(" \n ", add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
