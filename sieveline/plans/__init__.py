@@ -1,9 +1,17 @@
-"""Named queries over the driver's tables, each with its SQL."""
+"""Named queries over the driver's tables, each with its SQL where there is one."""
+
+from __future__ import annotations
+
+
+def _all() -> dict:
+    from . import corpus
+
+    return dict(corpus.QUERIES)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
