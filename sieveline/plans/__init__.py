@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from . import corpus
+    from . import corpus, messages
 
-    return dict(corpus.QUERIES)
+    return corpus.QUERIES | messages.QUERIES
 
 
 def queries() -> dict:
