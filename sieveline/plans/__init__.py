@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from . import corpus, messages
+    from . import corpus, messages, metrics
 
-    return corpus.QUERIES | messages.QUERIES
+    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES
 
 
 def queries() -> dict:

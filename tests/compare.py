@@ -18,7 +18,7 @@ def duck(sf: str):
 
 def rows(df: pd.DataFrame) -> list:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or pd.isna(x):
             return "null"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
