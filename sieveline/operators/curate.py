@@ -86,7 +86,7 @@ def adaptive_filter(df: DataFrame, order: str, vector: str, label: str, predicte
     blocks = at_start.groupBy(vector, "_block").agg(F.count("*").alias("n"), F.sum("_out").alias("out"))
     ends = at_start.groupBy().agg(F.floor(F.max("_row") / every).alias("full"))
     w = Window.partitionBy(vector).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    grid = blocks.select(vector).distinct().crossJoin(ends).select(vector, F.explode(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full").cast("int") - 1))).cast("long").alias("_block"))
+    grid = blocks.select(vector).distinct().crossJoin(ends).select(vector, F.explode(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full").cast("long") - 1))).alias("_block"))
     so_far = grid.join(blocks, [vector, "_block"], "left").fillna(0, ["n", "out"]).withColumn("n", F.sum("n").over(w)).withColumn("out", F.sum("out").over(w))
     drops = so_far.where((F.col("n") > 0) & (F.col("out") > F.col("n") * rate)).groupBy(vector).agg((F.min("_block") + 1).alias("_from"))
     low = max(least, start - step)

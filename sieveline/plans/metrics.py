@@ -223,3 +223,39 @@ QUERIES = {
     "family_removal": (family_removal, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 12 END AS f FROM events) SELECT count(*) FILTER (f IS NULL OR f % 5 = 0) AS without, count(*) FILTER (f IS NOT NULL AND f % 5 <> 0) AS members, count(DISTINCT f) FILTER (f % 5 <> 0) AS families FROM u"),
     "membership_actions": (membership_actions, "WITH u AS (SELECT DISTINCT user_id, user_id % 7 <> 0 AS has, ['create', 'join', 'leave', 'remove', 'delete', 'regenerate'][user_id % 6 + 1] AS action FROM events) SELECT user_id, action, CASE WHEN action IN ('create', 'join') AND has THEN 'already in a family' WHEN action IN ('remove', 'delete', 'regenerate') AND user_id % 4 <> 0 THEN 'not the admin' WHEN action = 'remove' AND user_id % 8 = 0 THEN 'admin can''t remove self' WHEN action = 'leave' AND user_id % 4 = 0 THEN 'admin can''t leave' ELSE 'ok' END AS reason, CASE WHEN user_id % 4 = 0 THEN 'admin' ELSE 'member' END AS role, user_id % 4 = 0 AS can_invite, user_id % 4 <> 0 AS can_leave FROM u"),
 }
+
+
+def wordpiece_encode(spark, d):
+    """Encodings of order messages with the built-in vocabulary; the id list as text."""
+    from ..functions.wordpiece import encode, fallback_vocabulary
+    from .messages import messages
+
+    e = encode(messages(spark, d).select("o_orderkey", "msg"), "msg", fallback_vocabulary())
+    return e.select("o_orderkey", "token_count", F.concat_ws(",", "input_ids").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+def activity_stream(spark, d):
+    """The streaming fold over the events, run to the end of what there is; equals the batch fold without decay."""
+    from ..streaming.activity import activity_stream as stream
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    name = f"activity_{abs(hash(d))}"
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/event[s].parquet")
+    query = stream(log_of(source)).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def adaptive_filter(spark, d):
+    """Rows kept by language under the adaptive threshold, checked every 100th row."""
+    from ..operators.curate import adaptive_filter as run
+
+    rows = predicted(spark, d).withColumn("said", (F.col("score") > 0.5).cast("int")).withColumn("confidence", F.greatest("score", 1 - F.col("score")))
+    return run(rows, "doc_id", "lang", "label", "said", "confidence", 0.6, every=100).select("doc_id", "kept")
+
+
+QUERIES |= {
+    "wordpiece_encode": (wordpiece_encode, None),
+    "activity_stream": (activity_stream, None),
+    "adaptive_filter": (adaptive_filter, None),
+}
