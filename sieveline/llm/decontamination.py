@@ -146,7 +146,7 @@ def searcher(items: list[tuple[int, str]], least: float):
 def item_blocks(benchmark: DataFrame, block_items: int = 500, block_bytes: int = 4 << 20) -> list[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded number and size, read one after the other."""
     blocks, size = [[]], 0
-    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         if blocks[-1] and (len(blocks[-1]) >= block_items or size + len(r.text) > block_bytes):
             blocks.append([])
             size = 0

@@ -143,7 +143,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in got.lang])
-    x = [(np.asarray(a), tf_idf(np.asarray(c), idf[np.asarray(a)])) for a, c in zip(got["at"], got["n"], strict=True)]
+    x = [(np.asarray(a, np.int64), tf_idf(np.asarray(c, np.int64), idf[np.asarray(a, np.int64)])) for a, c in zip(got["at"], got["n"], strict=True)]
     held = got.k.to_numpy() % 5 == 0
     fit = [i for i in range(len(x)) if not held[i]]
     weights, bias = fit_ftrl([x[i] for i in fit], y[fit], len(languages), 1 << BITS, epochs, alpha, beta, l1, l2)

@@ -83,9 +83,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, n_trees: int = 40
     signs has -1, 0 or 1 by feature. A split on a feature with a sign must put its children's values in that order,
     and their subtrees stay on their side of the middle between them, so the score is monotonic in the feature.
     """
+    if not len(y):
+        return _trees(0.0, [], [], depth)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(cuts, x.T, strict=True)], 1)
-    prior = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(prior / (1 - prior)))
     f, nodes, roots = np.full(len(y), base), [], []
     value = lambda g, h, lo, hi: np.clip(-g / (h + l2), lo, hi)
@@ -123,7 +125,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, n_trees: int = 40
             nodes[k][3] = grow(right, g, h, level + 1, lo_r, hi_r)
         return k
 
-    for _ in range(n_trees if len(y) else 0):
+    for _ in range(n_trees):
         p = 1 / (1 + np.exp(-f))
         roots.append(grow(np.arange(len(y)), p - y, p * (1 - p), 0, -np.inf, np.inf))
         f = _trees(base, roots, nodes, depth).score(x)
