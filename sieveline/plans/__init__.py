@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from . import corpus, messages, metrics
+    from . import corpus, details, messages, metrics
 
-    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES
+    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES | details.QUERIES
 
 
 def queries() -> dict:
