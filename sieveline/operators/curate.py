@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, preview, strip
+from .ordering import numbered
 
 CHANNELS = ("sms", "email", "whatsapp", "app_notification")
 LABELS = ("scam", "safe")
@@ -80,7 +81,7 @@ def adaptive_filter(df: DataFrame, order: str, vector: str, label: str, predicte
     discards by block of `every` rows are counted at that threshold, and a vector's first block end over the rate
     gives the place from which the lower threshold holds.
     """
-    ordered = df.withColumn("_row", F.row_number().over(Window.orderBy(order)))
+    ordered = numbered(df, order, "_row")
     ok = F.col(predicted) == F.col(label)
     at_start = ordered.withColumn("_block", F.floor((F.col("_row") - 1) / every)).withColumn("_out", F.when(ok & (F.col(confidence) >= start), 0).otherwise(1))
     blocks = at_start.groupBy(vector, "_block").agg(F.count("*").alias("n"), F.sum("_out").alias("out"))
@@ -95,12 +96,17 @@ def adaptive_filter(df: DataFrame, order: str, vector: str, label: str, predicte
     return joined.withColumn("kept", ok & (F.col(confidence) >= threshold)).drop("_row", "_block", "_out", "_from")
 
 
-def decontaminate(df: DataFrame, holdout: DataFrame, text: str = "text", mode: str = "exact") -> DataFrame:
-    """Drops rows whose stripped text equals a holdout text, or (mode contains) that contain one; the holdout is small."""
+def decontaminate(df: DataFrame, holdout: DataFrame, text: str = "text", mode: str = "exact", block_bytes: int = 8 << 20) -> DataFrame:
+    """Drops rows whose stripped text equals a holdout text, or (mode contains) that contain one."""
     if mode == "exact":
         return df.join(holdout.select(digest(F.col(text)).alias("_h")).distinct(), digest(df[text]) == F.col("_h"), "left_anti")
     passages = holdout.select(strip(F.col(text)).alias("_p")).where("_p <> ''").distinct()
-    return df.join(F.broadcast(passages), F.col(text).contains(F.col("_p")), "left_anti")
+    size = passages.agg(F.sum(F.octet_length("_p")).alias("n")).first()["n"] or 0
+    blocks = -(-size // block_bytes) or 1
+    for b in range(blocks):  # each block of passages is of bounded size, and meets all rows
+        some = passages.where(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b)
+        df = df.join(F.broadcast(some), F.col(text).contains(F.col("_p")), "left_anti")
+    return df
 
 
 def md5_order(key: Column, seed: int = 42) -> Column:

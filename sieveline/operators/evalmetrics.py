@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -53,10 +55,10 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """auc by the rank statistic. Scores are counted per value first, so the ordered window sees distinct scores only."""
+    """auc by the rank statistic. Scores are counted per value first, then summed in ranges."""
     by = df.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = by.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
+    below = running_total(by, score, F.col("neg"), "below")
+    u = below.withColumn("u", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return u.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evalmetrics
+from ..operators.ordering import numbered, running_total
 from .corpus import LABELLED, _docs, _labelled
 from .metrics import _CELLS, PREDICTED, predicted
 
@@ -44,8 +45,7 @@ def model_consistency(spark, d) -> DataFrame:
 def progress_rates(spark, d) -> DataFrame:
     """Share kept so far, at every 100th labelled row by id."""
     rows = predicted(spark, d).select("doc_id", ((F.col("score") > 0.5).cast("int") == F.col("label")).cast("int").alias("ok"))
-    w = Window.orderBy("doc_id")
-    run = rows.withColumn("r", F.row_number().over(w)).withColumn("kept", F.sum("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = running_total(numbered(rows, "doc_id", "r"), "doc_id", F.col("ok"), "before").withColumn("kept", F.col("before") + F.col("ok"))
     return run.where("r % 100 = 0").select(F.col("r").cast("long").alias("n_rows"), F.round(F.col("kept") / F.col("r"), 6).alias("rate"))
 
 
@@ -53,8 +53,7 @@ def head_fraction(spark, d) -> DataFrame:
     """The first fifth of the labelled rows by id."""
     rows = predicted(spark, d).select("doc_id")
     n = rows.agg(F.floor(F.count("*") / 5).alias("n"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.orderBy("doc_id")))
-    return ranked.crossJoin(F.broadcast(n)).where("r <= n").select("doc_id")
+    return numbered(rows, "doc_id", "r").crossJoin(F.broadcast(n)).where("r <= n").select("doc_id")
 
 
 def intent_lookup(spark, d) -> DataFrame:
@@ -75,9 +74,8 @@ def intent_metrics(spark, d) -> DataFrame:
 
 def positional_join(spark, d) -> DataFrame:
     """Soft label i beside sample i, both numbered by their own order."""
-    number = F.row_number().over(Window.orderBy("doc_id"))
-    samples = predicted(spark, d).select("doc_id", number.alias("i"))
-    soft = spark.read.parquet(f"{d}/orders.parquet").select(F.row_number().over(Window.orderBy("o_orderkey")).alias("i"), (F.col("o_orderkey") % 10 / 10).alias("p"))
+    samples = numbered(predicted(spark, d).select("doc_id"), "doc_id", "i")
+    soft = numbered(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), "o_orderkey", "i").select("i", (F.col("o_orderkey") % 10 / 10).alias("p"))
     return samples.join(soft, "i").select("doc_id", "p")
 
 
