@@ -22,7 +22,7 @@ from .common import bound_batches, documents
 KINDS = ("email", "ip", "card", "phone")
 _DIGIT = re.compile(r"[0-9]")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -62,11 +62,11 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     if "@" in text:
         last = 0
         for m in _HOST.finditer(text):  # as the whole pattern, but linear: what stands before @ is taken from the left
-            local = _LOCAL.search(text[max(last, m.start() - 4096) : m.start()])
-            if local and local.start() == 0 and m.start() - 4096 > last:
-                local = _LOCAL.search(text[last : m.start()])
-            if local:
-                found.append(("email", m.start() - len(local.group()), m.end()))
+            at = m.start()
+            while at > last and text[at - 1] in _LOCAL:
+                at -= 1
+            if at < m.start():
+                found.append(("email", at, m.end()))
                 last = m.end()
     if _DIGIT.search(text):
         found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if _octets(m.group())]
@@ -92,7 +92,10 @@ def more_spans(text: str, base: list[tuple[int, str, int, int]]) -> list[tuple[s
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
         while k < len(base) and base[k][3] <= s:
             k += 1
-        if s >= taken and not any(b[2] < e and s < b[3] for b in base[k:] if b[2] < e):
+        j = k
+        while j < len(base) and base[j][2] < e and base[j][3] <= s:
+            j += 1
+        if s >= taken and not (j < len(base) and base[j][2] < e):
             out.append((kind, s, e))
             taken = e
     return out
