@@ -214,7 +214,7 @@ def augmented(spark: SparkSession, d: str) -> DataFrame:
 _COIN = lambda s: f"(CAST('0x' || md5(CAST(doc_id AS VARCHAR) || '{s}:42')[1:8] AS BIGINT) % 10)"
 _STOPS = "(length(text) - length(replace(text, '.', '')))"
 AUGMENT_SQL = f"""
-SELECT doc_id, 2 + CAST({_COIN('u')} < 5 AS INT) + CAST({_COIN('m')} < 3 AS INT) AS n_variants,
+SELECT doc_id, CAST(2 + CAST({_COIN('u')} < 5 AS INT) + CAST({_COIN('m')} < 3 AS INT) AS BIGINT) AS n_variants,
   {_STOPS} * (2 + CASE WHEN {_COIN('u')} < 5 THEN 1 ELSE 0 END + CASE WHEN {_COIN('m')} < 3 THEN 3 ELSE 0 END) AS n_stops FROM documents"""
 
 
