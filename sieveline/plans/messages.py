@@ -63,7 +63,7 @@ def _matched(text: str, family: str) -> str:
 
 
 FAMILIES = list(scoring.FAMILIES)
-#: Confidences are often exact halves of the sixth place, where engines round to either side.
+#: Scores and confidences are often exact halves of the sixth place, where engines round to either side.
 NUDGE = 1e-9
 _COUNTS = ", ".join(" + ".join(_count("t", r) for r in scoring.FAMILIES[f][1]) + f" AS n_{f}" for f in FAMILIES)
 _HITS = [("homoglyph", scoring.HOMOGLYPH[2], scoring.HOMOGLYPH[1])] + [(f"n_{f} > 0", f"least(0.95::DOUBLE, 0.3::DOUBLE + n_{f} * 0.15::DOUBLE)", scoring.FAMILIES[f][0]) for f in FAMILIES]
@@ -146,12 +146,12 @@ _QUICK = " OR ".join(f"contains(lower(msg), '{p}')" for p in scoring.PHRASES)
 
 def fusion_max(spark: SparkSession, d: str) -> DataFrame:
     s = sides(spark, d).select("o_orderkey", fusion.fuse(F.col("vis"), F.col("vconf"), F.col("txt")).alias("r")).select("o_orderkey", "r.*")
-    return s.select("o_orderkey", F.round("fused_score", 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
+    return s.select("o_orderkey", F.round(F.col("fused_score") + NUDGE, 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
 
 
 def fusion_weighted(spark: SparkSession, d: str) -> DataFrame:
     s = sides(spark, d).select("o_orderkey", fusion.fuse(F.col("vis"), F.col("vconf"), F.col("txt"), "weighted").alias("r")).select("o_orderkey", "r.*")
-    return s.select("o_orderkey", F.round("fused_score", 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
+    return s.select("o_orderkey", F.round(F.col("fused_score") + NUDGE, 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
 
 
 def fusion_quick(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +201,8 @@ QUERIES = {
     "heuristic_score": (heuristic_score, f"WITH {MESSAGES} SELECT o_orderkey, round(heuristic, 6) AS heuristic FROM s"),
     "matched_texts": (matched_texts, f"WITH {MESSAGES} SELECT o_orderkey, {_SAID} AS patterns, round(heuristic, 6) AS heuristic FROM s"),
     "quick_check": (quick_check, f"WITH {MESSAGES} SELECT o_orderkey, {_QUICK} AS obvious, trim(msg) = '' AS blank FROM m"),
-    "fusion_max": (fusion_max, f"WITH {MESSAGES} SELECT o_orderkey, round(score, 6) AS fused_score, score > 0.5 AS is_scam, {_LEVEL('score')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
-    "fusion_weighted": (fusion_weighted, f"WITH {MESSAGES} SELECT o_orderkey, round(weighted, 6) AS fused_score, weighted > 0.5 AS is_scam, {_LEVEL('weighted')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
+    "fusion_max": (fusion_max, f"WITH {MESSAGES} SELECT o_orderkey, round(score + 1e-9::DOUBLE, 6) AS fused_score, score > 0.5 AS is_scam, {_LEVEL('score')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
+    "fusion_weighted": (fusion_weighted, f"WITH {MESSAGES} SELECT o_orderkey, round(weighted + 1e-9::DOUBLE, 6) AS fused_score, weighted > 0.5 AS is_scam, {_LEVEL('weighted')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
     "fusion_quick": (fusion_quick, f"WITH {MESSAGES} SELECT score > 0.5 AS is_scam, count(*) AS n, round(avg(score), 6) AS mean_score FROM fused GROUP BY 1"),
     "risk_levels": (risk_levels, f"WITH {MESSAGES}, l AS (SELECT {_LEVEL('score')} AS risk_level, score > 0.5 AS scam FROM fused) SELECT risk_level, count(*) AS n, CAST(count_if(scam) AS BIGINT) AS n_scam, CASE WHEN risk_level IN ('critical', 'high') THEN 'DANGER' WHEN risk_level = 'medium' THEN 'SUSPICIOUS' ELSE 'SAFE' END AS state FROM l GROUP BY risk_level"),
     "explanations": (explanations, f"WITH {MESSAGES} SELECT o_orderkey, {_EXPLAIN} AS explanation FROM fused"),
