@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = SHINGLE, re
     grouped = components(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     work = units(grouped.join(nodes.select("node", "n"), "node"), shared, block_nodes, block_words)
     wanted = written(work.join(nodes.select("node", "k", "copies"), "node"), "wanted")
-    checked = rows_in.select("k", "text").join(wanted, "k").groupBy("unit").applyInArrow(verifier(least, size), "node binary, other binary, links long")
+    # What is wanted grows with the corpus, so it is never broadcast, however small its files look.
+    checked = rows_in.select("k", "text").join(wanted.hint("merge"), "k").groupBy("unit").applyInArrow(verifier(least, size), "node binary, other binary, links long")
     checked = written(checked, "checked")
 
     linked = components(checked.select(F.col("node").alias("a"), F.col("other").alias("b")))
