@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,35 +159,44 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(out_k, pa.int64()), "places": pa.array(out_places, pa.binary())})
 
 
-def runs(starts: np.ndarray) -> bytes:
-    """Sorted window starts as (first, number) of each run of consecutive ones."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    first = np.concatenate(([0], cut))
-    return np.stack([starts[first], np.diff(np.append(first, len(starts)))], 1).astype(np.uint32).tobytes()
+_KINDS = (("doc", np.int64), ("k", np.int64), ("anchor", np.int32), ("lead", np.uint8), ("size", np.uint8))
+
+
+def _bundle(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
+    """Contexts (doc, k, anchor, lead, data) of one bucket, compressed column by column."""
+    doc, k, anchor, lead, data = zip(*rows, strict=True)
+    columns = [np.array(c, t).tobytes() for c, (_, t) in zip((doc, k, anchor, lead, list(map(len, data))), _KINDS, strict=True)]
+    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(columns) + b"".join(data), 1)
+
+
+def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    n, raw, at, columns = int.from_bytes(blob[:4], "little"), zstandard.decompress(blob[4:]), 0, []
+    for _, t in _KINDS:
+        columns.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return columns, raw[at:]
 
 
 def contexts(buckets: int, lot_bytes: int = 24 << 20):
-    """A mapInArrow function: (doc, k, text, places) to (bucket, doc, k, anchor, first, context).
+    """A mapInArrow function: (doc, k, text, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
 
     Of a lot's equal contexts those of the smallest doc are sent; the others repeat it, which they tell at once: such
-    rows have no context, but runs of window starts.
+    rows have a doc and runs of window starts.
     """
-    names = ["bucket", "doc", "k", "anchor", "first", "data", "is_context"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    names, types = ["bucket", "doc", "k", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-    def lot(found: dict[tuple[bytes, int], list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
-        rows, repeated = [], {}
+    def lot(found: dict[tuple[bytes, int], list[tuple[int, int, int, int]]]) -> pa.RecordBatch:
+        sent, repeated = {}, {}
         for (context, lead), who in found.items():
-            least = min(doc for doc, _, _, _ in who)
+            least = min(who)[0]
             for doc, k, anchor, bucket in who:
                 if doc == least:
-                    rows.append((bucket, doc, k, anchor, anchor - lead, context, True))
+                    sent.setdefault(bucket, []).append((doc, k, anchor, lead, context))
                 else:
-                    repeated.setdefault((doc, k), []).append(np.arange(anchor - lead, anchor - lead + len(context) - WINDOW + 1))
-        for (doc, k), starts in repeated.items():
-            rows.append((k % buckets, doc, k, 0, 0, runs(np.unique(np.concatenate(starts))), False))
-        for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names)
+                    repeated.setdefault((doc, k), []).append((anchor - lead, len(context) - WINDOW + 1))
+        rows = [(bucket, None, None, _bundle(some)) for bucket, some in sent.items()]
+        rows += [(k % buckets, doc, k, np.array(some, np.uint32).tobytes()) for (doc, k), some in repeated.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = {}, 0
@@ -202,62 +212,104 @@ def contexts(buckets: int, lot_bytes: int = 24 << 20):
                     found.setdefault((context, a - s), []).append((doc, k, a, b))
                     size += len(context) + 100
                 if size > lot_bytes:
-                    yield from lot(found)
+                    yield lot(found)
                     found, size = {}, 0
-        yield from lot(found)
+        if found:
+            yield lot(found)
 
     return run
 
 
+def _equal_rows(rows: np.ndarray) -> np.ndarray:
+    """For each row of a byte matrix the number of a row that equals it, the same for all equal rows."""
+    weight = mix(np.arange(rows.shape[1], dtype=np.uint64) + np.uint64(_BASE)) | np.uint64(1)
+    h = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        h += (rows[:, c].astype(np.uint64) + np.uint64(1)) * weight[c]
+    _, first, at = np.unique(mix(h), return_index=True, return_inverse=True)
+    same = first[at]
+    wrong = np.flatnonzero((rows != rows[same]).any(1))  # equal hashes of unequal rows stay on their own
+    same[wrong] = wrong
+    return same
+
+
+def equal_windows(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Column by column from the last, (column, order, starts of groups) of the rows whose WINDOW symbols from there on are equal.
+
+    symbols has a column per row of the matrix, 0 outside a context. order sorts the rows' suffixes, common has the
+    common prefix of each with the one before it, both as of the column to the right; the column's symbols in that
+    order are what a Burrows-Wheeler transform of the collection has there. A stable sort by them is the new order,
+    and the least common prefix between two rows of one symbol, plus 1, their new common prefix.
+    """
+    n = symbols.shape[1]
+    order, common = np.arange(n), np.zeros(n, np.int16)
+    for column in range(len(symbols) - 1, -1, -1):
+        transform = symbols[column][order]
+        move = np.argsort(transform, kind="stable")
+        moved, longer = transform[move], np.zeros(n, np.int16)
+        start = np.concatenate(([0], np.flatnonzero(np.diff(moved)) + 1))
+        for lo, hi in zip(start.tolist(), np.append(start[1:], n).tolist(), strict=True):
+            if hi - lo > 1 and moved[lo]:
+                part = move[lo:hi]
+                longer[lo + 1 : hi] = np.minimum.reduceat(common[: part[-1] + 1], part[:-1] + 1) + 1
+        order, common = order[move], longer
+        if column <= LEAD:
+            yield column, order, np.flatnonzero(common < WINDOW)
+
+
 def repeated_windows(table: pa.Table) -> pa.Table:
     """Of one bucket's contexts: (doc, k, runs) of the windows that a smaller doc has too."""
-    out = {"doc": [], "k": [], "runs": []}
-    told = [not x for x in table.column("is_context").to_pylist()]
-    for doc, k, data, done in zip(*(table.column(c).to_pylist() for c in ("doc", "k", "data")), told, strict=True):
-        if done:
-            for name, value in zip(out, (doc, k, data), strict=True):
-                out[name].append(value)
-    table = table.filter(pa.array([not t for t in told]))
-    n = table.num_rows
-    if n > 1:
-        doc, k, anchor, first = (table.column(c).to_numpy() for c in ("doc", "k", "anchor", "first"))
-        data = table.column("data").to_pylist()
-        symbols = np.zeros((COLUMNS, n), np.uint16)  # 0 outside a context, else the byte plus 1
-        lead = (anchor - first).astype(np.int64)
-        size = np.fromiter(map(len, data), np.int64, n)
-        flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint16) + 1
+    out_doc, out_k, out_runs, columns, flat = [], [], [], [], []
+    for doc, k, data in zip(*(table.column(c).to_pylist() for c in ("doc", "k", "data")), strict=True):
+        if doc is None:
+            own, raw = _unbundled(data)
+            columns.append(own)
+            flat.append(raw)
+        else:
+            out_doc.append(doc)
+            out_k.append(k)
+            out_runs.append(data)
+    if columns:
+        doc, k, anchor, lead, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        anchor, lead, size, n = anchor.astype(np.int64), lead.astype(np.int64), size.astype(np.int64), len(doc)
+        raw = np.frombuffer(b"".join(flat), np.uint8)
         row = np.repeat(np.arange(n), size)
-        symbols[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LEAD - lead, size), row] = flat
-        order, common = np.arange(n), np.zeros(n, np.int64)
-        hit_row, hit_start = [], []
-        for column in range(COLUMNS - 1, -1, -1):
-            last_column = symbols[column][order]
-            move = np.argsort(last_column, kind="stable")
-            moved, longer = last_column[move], np.zeros(n, np.int64)
-            cut = np.flatnonzero(np.diff(moved)) + 1
-            start = np.concatenate(([0], cut))
-            for lo, hi in zip(start.tolist(), np.append(start[1:], n).tolist(), strict=True):
-                if hi - lo > 1 and moved[lo]:
-                    part = move[lo:hi]
-                    longer[lo + 1 : hi] = np.minimum.reduceat(common[: part[-1] + 1], part[:-1] + 1) + 1
-            order, common = order[move], longer
-            if column <= LEAD:
-                group = np.flatnonzero(common < WINDOW)
-                if len(group) < n:
-                    least = np.repeat(np.minimum.reduceat(doc[order], group), np.diff(np.append(group, n)))
-                    hit = order[doc[order] > least]
-                    hit_row.append(hit)
-                    hit_start.append(anchor[hit] + column - LEAD)
-        if hit_row and (rows := np.concatenate(hit_row)).size:
-            starts = np.concatenate(hit_start).astype(np.int64)
-            own = np.lexsort((starts, doc[rows], k[rows]))
-            rows, starts = rows[own], starts[own]
-            cut = np.flatnonzero((np.diff(k[rows]) != 0) | (np.diff(doc[rows]) != 0)) + 1
-            for part in np.split(np.arange(len(rows)), cut):
-                out["doc"].append(int(doc[rows[part[0]]]))
-                out["k"].append(int(k[rows[part[0]]]))
-                out["runs"].append(runs(np.unique(starts[part])))
-    return pa.table({"doc": pa.array(out["doc"], pa.int64()), "k": pa.array(out["k"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
+        column = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LEAD - lead, size)
+        rows = np.zeros((n, COLUMNS + 2), np.uint8)
+        rows[row, column], rows[:, -2], rows[:, -1] = raw, lead, size
+        same = _equal_rows(rows)
+        # Equal contexts are one from here on, the smallest doc's; in the others all windows repeat.
+        first, at = np.unique(same, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, doc)
+        hit = np.flatnonzero(doc > least[at])
+        hit_row, hit_start, hit_n = [hit], [(anchor - lead)[hit]], [(size - WINDOW + 1)[hit]]
+        symbols = np.ascontiguousarray(rows[first, :COLUMNS].T).astype(np.uint16) + 1
+        at_column = np.arange(COLUMNS)[:, None]
+        symbols[(at_column < LEAD - lead[first]) | (at_column >= (LEAD - lead + size)[first])] = 0
+        member = np.argsort(at, kind="stable")
+        member = member[doc[member] == least[at[member]]]  # of each context the rows of its smallest doc
+        member_at = np.searchsorted(at[member], np.arange(len(first) + 1))
+        for c, order, group in equal_windows(symbols):
+            if len(group) < len(order):
+                top = np.repeat(np.minimum.reduceat(least[order], group), np.diff(np.append(group, len(order))))
+                u = order[least[order] > top]
+                n_own = member_at[u + 1] - member_at[u]
+                own = member[np.repeat(member_at[u] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())]
+                hit_row.append(own)
+                hit_start.append(anchor[own] + c - LEAD)
+                hit_n.append(np.ones(len(own), np.int64))
+        rows_hit = np.concatenate(hit_row)
+        if len(rows_hit):
+            runs = np.stack([np.concatenate(hit_start), np.concatenate(hit_n)], 1).astype(np.uint32)
+            own = np.lexsort((k[rows_hit], doc[rows_hit]))
+            rows_hit, runs = rows_hit[own], runs[own]
+            cut = np.flatnonzero((np.diff(k[rows_hit]) != 0) | (np.diff(doc[rows_hit]) != 0)) + 1
+            for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(rows_hit)).tolist(), strict=True):
+                out_doc.append(int(doc[rows_hit[lo]]))
+                out_k.append(int(k[rows_hit[lo]]))
+                out_runs.append(runs[lo:hi].tobytes())
+    return pa.table({"doc": pa.array(out_doc, pa.int64()), "k": pa.array(out_k, pa.int64()), "runs": pa.array(out_runs, pa.binary())})
 
 
 def removal():
@@ -270,9 +322,9 @@ def removal():
             removed = spans = 0
             if some:
                 change = np.zeros(len(data) + 1, np.int32)
-                for first, n in np.concatenate([np.frombuffer(r, np.uint32).reshape(-1, 2) for r in some]).astype(np.int64):
-                    change[first] += 1
-                    change[first + n - 1 + WINDOW] -= 1
+                first, n = np.concatenate([np.frombuffer(r, np.uint32).reshape(-1, 2) for r in some]).astype(np.int64).T
+                np.add.at(change, first, 1)
+                np.add.at(change, first + n - 1 + WINDOW, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -299,7 +351,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col(key), F.xxhash64(whole)).alias("k"), whole.alias("text"))
     size = text_bytes(rows)
-    buckets = n_partitions(spark, size, 24 << 20)
+    buckets = max(64, n_partitions(spark, size, 24 << 20))
     bits = min(64, max(36, size.bit_length() + 12))
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
     blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, hashes binary, owners binary, places binary, keys binary")
@@ -308,7 +360,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = candidates.select(F.sum(F.length("places") / 4).alias("n")).first()["n"] or 0
     lots = n_partitions(spark, int(n), 60_000)
     by_text = candidates.groupBy("k").agg(F.collect_list("places").alias("places"))
-    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots), "bucket int, doc long, k long, anchor int, first int, data binary, is_context boolean")
+    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots), "bucket int, doc long, k long, data binary")
     repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows, "doc long, k long, runs binary"), "repeated")
 
     found = repeated.groupBy("doc", "k").agg(F.collect_list("runs").alias("runs"))
