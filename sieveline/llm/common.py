@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Input of one Arrow batch to a Python worker; long texts must not pile up to 10,000 a batch.
@@ -52,5 +52,18 @@ def n_partitions(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+def smallest_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """(key, by, k): of each class the n rows whose key has the smallest hash, numbered from 1.
+
+    Classes are few (a model has a column for each), and their counts give a bound on the hash under which about 3 n
+    rows of a class lie, so that no more than these are sorted, however large the class is.
+    """
+    n_rows = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    h = F.xxhash64(key)
+    near = rows.select(key, by).join(F.broadcast(n_rows), by).where(F.pmod(h, F.lit(1 << 30)) * F.col("_n") < F.lit(3.0 * n * (1 << 30)))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1 << 30)), h, key))
+    return near.withColumn("k", rank).where(F.col("k") <= n).select(key, by, "k")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

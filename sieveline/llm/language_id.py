@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, smallest_by_hash
 
 #: Buckets that character n-grams are hashed to, and the lengths of the n-grams.
 BITS, GRAMS = 16, (1, 2, 3)
@@ -82,13 +82,14 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return seen, int(counts.n[counts.bucket < 0].sum())
 
 
-def _gram_lists(texts: pa.Array) -> pa.Array:
+def _packed_grams(texts: pa.Array) -> pa.Array:
     rows = [gram_counts(t) for t in texts.to_pylist()]
-    return pa.array([{"at": a.astype(np.int32), "n": n.astype(np.int32)} for a, n in rows], pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
+    return pa.StructArray.from_arrays([pa.array([c.astype("<i4").tobytes() for c in column], pa.binary()) for column in (zip(*rows, strict=True) if rows else ((), ()))], ["at", "n"])
 
 
-def gram_lists():
-    return F.arrow_udf(_gram_lists, "struct<at:array<int>,n:array<int>>")
+def packed_grams():
+    """An Arrow function from texts to struct(at, n): buckets and counts as little-endian 32-bit integers, small to collect."""
+    return F.arrow_udf(_packed_grams, "struct<at:binary,n:binary>")
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, width: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +136,15 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     seen, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + seen)) + 1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    chosen = rows.select("key", "lang").withColumn("k", rank).where(F.col("k") <= per_language)
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).withColumn("g", gram_lists()("text")).select("key", "lang", "k", "g.at", "g.n")
+    chosen = smallest_by_hash(rows, "lang", "key", per_language)
+    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).withColumn("g", packed_grams()("text")).select("key", "lang", "k", "g.at", "g.n")
     got = sample.dropDuplicates(["key", "lang"]).toPandas().sort_values(["lang", "k"])  # at most per_language rows a language
     languages = sorted(set(got.lang))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in got.lang])
-    x = [(np.asarray(a, np.int64), tf_idf(np.asarray(c, np.int64), idf[np.asarray(a, np.int64)])) for a, c in zip(got["at"], got["n"], strict=True)]
+    at = [np.frombuffer(a, "<i4").astype(np.int64) for a in got["at"]]
+    x = [(a, tf_idf(np.frombuffer(c, "<i4"), idf[a])) for a, c in zip(at, got["n"], strict=True)]
     held = got.k.to_numpy() % 5 == 0
     fit = [i for i in range(len(x)) if not held[i]]
     weights, bias = fit_ftrl([x[i] for i in fit], y[fit], len(languages), 1 << BITS, epochs, alpha, beta, l1, l2)

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, smallest_by_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "bar_share", "distinct_share", "words_per_line")
@@ -167,8 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Rows without label, key or text don't train; of repeated labels of a key the smallest holds.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y")).where(F.col(key).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(key), key))
-    chosen = known.withColumn("k", rank).where(F.col("k") <= per_class).select(F.col(key).alias("key"), "y")
+    chosen = smallest_by_hash(known.select(F.col(key).alias("key"), "y"), "y", "key", per_class).select("key", "y")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(chosen), "key").select("key", "y", statistics_of("text").alias("s")).select("key", "y", "s.features")
     got = rows.toPandas().drop_duplicates("key").sort_values("key")  # at most 2 * per_class rows, save repeats of a key
