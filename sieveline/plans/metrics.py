@@ -125,7 +125,7 @@ def latency_percentiles(spark, d):
 
 def rank_candidates(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
-    c = p.groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_size") / 50, 2).alias("f1"), F.min("p_size").alias("size"), F.round(F.percentile("p_retailprice", 0.5), 4).alias("p50"), (F.count("*") % 5 != 0).alias("passed"))
+    c = p.groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_size") / 50 + 1e-9, 2).alias("f1"), F.min("p_size").alias("size"), F.round(F.percentile("p_retailprice", 0.5), 4).alias("p50"), (F.count("*") % 5 != 0).alias("passed"))
     r = evalmetrics.rank_candidates(c)
     return r.select("name", "f1", "size", "p50", "rank", "reason")
 
@@ -214,7 +214,7 @@ QUERIES = {
     "class_weights": (class_weights, f"WITH {PREDICTED} SELECT label, round((SELECT count(*) FROM p) / (2 * count(*)), 6) AS weight FROM p GROUP BY label"),
     "running_loss": (running_loss, "WITH b AS (SELECT l_orderkey % 97 AS epoch, l_orderkey AS batch, avg(l_discount) AS loss FROM lineitem WHERE l_orderkey % 97 < 3 GROUP BY ALL), r AS (SELECT epoch, batch, avg(loss) OVER (PARTITION BY epoch ORDER BY batch ROWS UNBOUNDED PRECEDING) AS running FROM b) SELECT epoch, batch, round(running, 6) AS running FROM r WHERE batch % 5 = 0"),
     "latency_percentiles": (latency_percentiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1"),
-    "rank_candidates": (rank_candidates, "WITH c AS (SELECT p_brand AS name, round(avg(p_size) / 50, 2) AS f1, min(p_size) AS size, round(quantile_cont(p_retailprice, 0.5), 4) AS p50, count(*) % 5 <> 0 AS passed FROM part GROUP BY 1) SELECT name, f1, size, p50, CAST(row_number() OVER (ORDER BY f1 DESC, size, p50, name) AS INT) AS rank, NULL::VARCHAR AS reason FROM c WHERE passed UNION ALL SELECT name, f1, size, p50, NULL, 'validation failed' FROM c WHERE NOT passed"),
+    "rank_candidates": (rank_candidates, "WITH c AS (SELECT p_brand AS name, round(avg(p_size) / 50 + 1e-9::DOUBLE, 2) AS f1, min(p_size) AS size, round(quantile_cont(p_retailprice, 0.5), 4) AS p50, count(*) % 5 <> 0 AS passed FROM part GROUP BY 1) SELECT name, f1, size, p50, CAST(row_number() OVER (ORDER BY f1 DESC, size, p50, name) AS INT) AS rank, NULL::VARCHAR AS reason FROM c WHERE passed UNION ALL SELECT name, f1, size, p50, NULL, 'validation failed' FROM c WHERE NOT passed"),
     "activity_counters": (activity_counters, f"WITH {LOG} SELECT user_id, CAST(count_if(kind IN ('scam', 'safe')) AS BIGINT) AS total_scans, CAST(count_if(kind = 'scam') AS BIGINT) AS scams, CAST(count_if(kind = 'report') AS BIGINT) AS reports, CAST(count_if(kind = 'open') AS BIGINT) AS opens, strftime(max(CASE WHEN kind <> 'report' THEN ts END), '%Y-%m-%d %H:%M:%S') AS last_active, CAST(least(100, 5 * count_if(kind = 'scam')) AS BIGINT) AS risk_no_decay FROM e GROUP BY user_id"),
     "active_days": (active_days, f"WITH {LOG}, l AS (SELECT user_id, kind, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e WHERE kind <> 'report') SELECT user_id, CAST(1 + count_if(kind = 'open' AND before IS NOT NULL AND before <> day) AS BIGINT) AS active_days FROM l GROUP BY user_id"),
     "activity_fold_decay": (activity_fold_decay, FOLD_SQL),
