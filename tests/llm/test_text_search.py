@@ -142,6 +142,15 @@ def test_components(spark):
     assert got == {x: find(x) for x in top}
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1500))
+    random.Random(5).shuffle(ids)  # a smallest label passes such a chain hop by hop, in hundreds of rounds
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == dict.fromkeys(range(1500), 0)
+    assert components(edges.limit(0)).count() == 0
+
+
 def removed(rows):
     """n_bytes, n_removed, n_spans and the kept bytes' digest, window by window; a null doc_id is the largest."""
     first, big = {}, 2**63 - 1
