@@ -1,6 +1,6 @@
 """Operator 4: benchmark passages in documents.
 
-Item-sized windows of a document get SimHash fingerprints; a multi-index over blocks of the fingerprint's bits finds
+Item-sized windows of a document, or the whole of one shorter than the item, get SimHash fingerprints; a multi-index over blocks of the fingerprint's bits finds
 every benchmark item within the Hamming radius; the weighted similarity of their word shingles decides.
 """
 
@@ -107,12 +107,15 @@ class Index:
             for p, a in zip(hit.tolist(), at[hit].tolist(), strict=True):
                 while a < len(self.shingle) and self.shingle[a] == h[p]:
                     item = self.items[self.owner[a]]
+                    # A shorter text is one window as a whole, if it has enough shingles to reach the similarity.
                     if item.size == size and len(w) >= item.n_words:
                         starts.setdefault(item.n_words, set()).update(range(max(0, p - item.n_words + size), min(p, len(w) - item.n_words) + 1))
+                    elif item.size == size and len(h) >= least * len(item.shingles):
+                        starts.setdefault(item.n_words, set()).add(0)
                     a += 1
             for n_words, some in starts.items():
                 s = np.array(sorted(some))
-                m = n_words - size + 1  # shingles in a window
+                m = min(n_words, len(w)) - size + 1  # shingles in a window
                 for run in np.split(s, np.flatnonzero(np.diff(s) > m) + 1):
                     for at in range(0, len(run), 4096):
                         part = run[at : at + 4096]
@@ -123,7 +126,7 @@ class Index:
                             got = weighted_similarity(self.items[k].shingles, h[first : first + m])
                             if got >= least and (got, -first) > (lambda b: (b[0], -b[1]))(best.get(k, (0.0, 0))):
                                 best[k] = (got, first)
-        return sorted((self.items[k].item_id, first, self.items[k].n_words, got) for k, (got, first) in best.items())
+        return sorted((self.items[k].item_id, first, min(self.items[k].n_words, len(w)), got) for k, (got, first) in best.items())
 
 
 LEAK = "array<struct<item_id:long,first_word:int,n_words:int,similarity:double>>"
@@ -156,7 +159,7 @@ def item_blocks(benchmark: DataFrame, block_items: int = 500, block_bytes: int =
 
 
 def leak_column(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.8) -> F.Column:
-    """The benchmark items that a text of docs holds in a window of the item's length, LEAK.
+    """The benchmark items that a text of docs holds in a window of the item's length, or as a whole if shorter, LEAK.
 
     Similarity is that of bags of five-word shingles in lower case (an item of fewer words is one shingle). Each block
     of the benchmark is an Arrow function over the same scan: no shuffle, and a worker holds one bounded index per

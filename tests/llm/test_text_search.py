@@ -41,6 +41,25 @@ def test_search_equals_all_windows(spark):
     assert found >= 0.99 * wanted and wanted > 100
 
 
+def test_search_finds_items_cut_short(spark):
+    rng, v = vocabulary(6)
+    found = wanted = 0
+    for _ in range(200):
+        item = [rng.choice(v) for _ in range(rng.choice([8, 12, 20, 40, 100]))]
+        cut = rng.randint(1, max(1, len(item) // 6))
+        w = item[:-cut] if rng.random() < 0.5 else item[cut:]
+        got = decontamination.Index([(1, " ".join(item))]).search(" ".join(w), 0.8)
+        whole = decontamination.weighted_similarity(shingle_hashes(item), shingle_hashes(w))
+        wanted += whole >= 0.8
+        found += got == [(1, 0, len(w), pytest.approx(whole))]
+        assert not got or whole >= 0.8
+    assert found >= 0.99 * wanted and wanted > 100
+    item = " ".join(rng.choice(v) for _ in range(100))
+    docs = spark.createDataFrame([(1, item.rsplit(" ", 5)[0]), (2, item.rsplit(" ", 60)[0])], "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [len(r.leaks) for r in got] == [1, 0]
+
+
 def test_index_guarantees_the_radius():
     rng = np.random.default_rng(2)
     index = decontamination.Index([(k, " ".join(f"w{k}_{j}" for j in range(20))) for k in range(50)])
