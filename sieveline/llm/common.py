@@ -19,12 +19,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; set here only where the cluster names none."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a new one only on a single machine where none is named."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -42,6 +44,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, to size partitions by."""
     return df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

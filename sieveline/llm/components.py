@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         return written(rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
 
     left, rounds = between(edges, "a", "b"), []
-    while not rounds or not left.isEmpty():
+    while not left.isEmpty():
         k = len(rounds)
 
         def order(node: str, k: int = k) -> Column:
@@ -34,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(written(first.select("node", F.least(order("node"), "m")["id"].alias("root")), "merged"))
         near = written(left.join(rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("c")), "a").select("c", "b"), "near")
         left = between(near.join(rounds[-1].select(F.col("node").alias("b"), F.col("root").alias("d")), "b"), "c", "d")
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # Backwards, so that each round's rows are joined once: a node that was not merged further is its own root.
     labels = rounds.pop()
     while rounds:

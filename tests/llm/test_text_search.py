@@ -128,6 +128,7 @@ def test_join_equals_all_pairs(spark):
     kept = jaccard_join.keep_one(df).collect()
     want = {c for i, c, _ in classes(rows) if i != "None"}
     assert sorted(str(r.doc_id) for r in kept if r.doc_id is not None) == sorted(want) and sum(r.doc_id is None for r in kept) == 2
+    assert kept[0].asDict().keys() == set(df.columns)
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0 and jaccard_join.keep_one(df.limit(0)).count() == 0
 
 
@@ -137,6 +138,57 @@ def test_join_query(spark):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == classes(rows)
 
 
+def test_texts_that_share_an_id_keep_their_own_class(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a, 0), (5, a, 0), (5, b, 0), (5, b, 0), (7, b, 1), (1, "", 0), (1, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    assert sorted(map(tuple, jaccard_join.keep_one(df).collect()), key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
+
+
+def near_copies(n, seed=8, changes=(1, 3), length=300):
+    """n different texts, each with a few words changed of the same one."""
+    rng, v = vocabulary(seed)
+    base, out = [rng.choice(v) for _ in range(length)], set()
+    while len(out) < n:
+        w = list(base)
+        for _ in range(rng.randint(*changes)):
+            w[rng.randrange(len(w))] = f"{rng.choice(v)}{len(out)}"
+        out.add(" ".join(w))
+    return sorted(out)
+
+
+def test_tables_follow_the_size_of_a_group(spark, monkeypatch):
+    counts = {}
+
+    def count(df, what):
+        out = written(df, what)
+        counts[what] = counts.get(what, 0) + out.count()
+        return out
+
+    written, size = jaccard_join.written, {}
+    monkeypatch.setattr(jaccard_join, "written", count)
+    for n in (500, 1000, 2000):
+        counts.clear()
+        rows = list(enumerate(near_copies(n)))
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == n and len({r.class_id for r in got}) < n / 100
+        size[n] = dict(counts)
+    for what in size[500]:
+        assert size[2000][what] <= max(4.6 * size[500][what], 2000), (what, [size[n][what] for n in size])
+
+
+def test_unlinked_texts_of_one_band_are_compared_in_blocks(spark):
+    # Similarity of about 0.7: many share bands, few are linked, so that blocks decide.
+    rows = list(enumerate(near_copies(150, 9, (1, 3), 50)))
+    want = classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 5):
+        got = jaccard_join.near_duplicates(df, block_nodes=block).collect()
+        assert [(i, c) for i, c, _ in sorted((str(r.doc_id), str(r.class_id), 0) for r in got)] == [(i, c) for i, c, _ in want]
+        links, all_links = sum(r.n_links for r in got), sum(n for _, _, n in want)
+        assert 0.99 * all_links <= links <= all_links
+
+
 def test_bands():
     bands, rows = jaccard_join.plan_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 128
