@@ -11,7 +11,8 @@ A window of WINDOW bytes repeats if the same bytes start in a document with a sm
 3. Removal. Each document takes out the bytes that its repeated windows cover.
 
 Documents of one task that share an anchor or a whole context settle that among themselves, so a passage that a third of
-all documents hold is sent on once a task.
+all documents hold is sent on once a task. The contexts of an anchor that very many texts have are dealt as single
+windows, by their own hash. What a bucket finds goes out in a packed row for each range of documents.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .shingles import mix
 WINDOW, K = 50, 24
 LEAD = WINDOW - K  # the furthest that a window starts before its anchor
 COLUMNS = LEAD + WINDOW
+#: An anchor is frequent from so many places on, if they are a millionth of all bytes too: then at most so many anchors are.
+FREQUENT, MOST_FREQUENT = 20_000, 1_000_000
 _SLICE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -75,11 +79,48 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_rows(keys: list[np.ndarray], values: list[np.ndarray], ranges: int) -> tuple[list[int], list[bytes]]:
+    """Rows of 64-bit keys and 32-bit values as one packed row for each range that the last key falls in."""
+    part = keys[-1] % ranges
+    order = np.lexsort((*values[::-1], *keys, part))
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part)) + 1
+    out = []
+    for own in np.split(order, cut) if len(order) else []:
+        columns = [_packed(np.diff(k[own], prepend=0)) for k in keys] + [_packed(np.diff(v[own].astype(np.uint32), prepend=np.uint32(0))) for v in values]
+        out.append(len(own).to_bytes(4, "little") + zstandard.compress(b"".join(columns), 1))
+    return part[np.append(0, cut)].tolist() if len(order) else [], out
+
+
+def unpack_rows(data: bytes, keys: int, values: int) -> list[np.ndarray]:
+    n, raw, at, out = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:]), 0, []
+    for kind in [np.int64] * keys + [np.uint32] * values:
+        size = n * np.dtype(kind).itemsize
+        out.append(np.cumsum(_unpacked(raw[at : at + size], kind), dtype=kind))
+        at += size
+    return out
+
+
+def merger(keys: int, values: int, names: list[str]):
+    """An applyInArrow function over the packed rows of a range: a row for each key, with its values as bytes."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = [np.concatenate(c) for c in zip(*(unpack_rows(d, keys, values) for d in table.column("data").to_pylist()), strict=True)]
+        order = np.lexsort(got[:keys])
+        key, value = [c[order] for c in got[:keys]], np.stack([c[order] for c in got[keys:]], 1)
+        first = np.flatnonzero(np.concatenate(([True], np.any([np.diff(c) != 0 for c in key], 0))))
+        last = np.append(first[1:], len(order))
+        own = [value[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return pa.table([*(pa.array(c[first], pa.int64()) for c in key), pa.array(own, pa.binary())], names)
+
+    return merge
+
+
 def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
     """A mapInArrow function: (k, text) to blobs (bucket, hashes, owners, places, keys).
 
     Anchors that two texts of the same lot share are candidates already: their places go out under their own key (no
-    hashes), and one of them, without owner, goes to the bucket so that others learn of it.
+    hashes), and one of them, without owner, goes to the bucket so that others learn of it; its place is their number.
     """
     names = ["bucket", "hashes", "owners", "places", "keys"]
     types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -103,6 +144,8 @@ def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
         first = np.zeros(len(v), bool)
         first[start] = True
         sent = np.flatnonzero(~shared | first)
+        number = np.diff(np.append(start, len(v))).astype(np.uint32)[run]
+        place = np.where(shared, number, place)
         bucket = (v[sent] % np.uint64(buckets)).astype(np.int64)
         for part in np.split(sent, np.flatnonzero(np.diff(bucket)) + 1):
             own, at = np.unique(owner[part], return_inverse=True)
@@ -129,34 +172,48 @@ def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
     return run
 
 
-def shared_anchors(table: pa.Table) -> pa.Table:
-    """Of one bucket's blobs: (k, places) of the anchors that other texts have too."""
-    out_k, out_places = [], []
-    hashes, keys, places = [], [], []
-    for h, owners, place, key in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "places", "keys")), strict=True):
-        key = np.frombuffer(key, np.int64)
-        if h is None:
-            out_k.append(int(key[0]))
-            out_places.append(_unpacked(place, np.uint32).tobytes())
-            continue
-        owner = _unpacked(owners, np.uint32)
-        hashes.append(np.cumsum(_unpacked(h, np.uint64), dtype=np.uint64))
-        places.append(_unpacked(place, np.uint32))
-        known = owner == 0xFFFFFFFF
-        keys.append((np.append(key, 0)[np.where(known, len(key), owner)], known))
-    if hashes:
-        h, place = np.concatenate(hashes), np.concatenate(places)
-        key, known = np.concatenate([k for k, _ in keys]), np.concatenate([n for _, n in keys])
-        order = np.argsort(h, kind="stable")
-        h, place, key, known = h[order], place[order], key[order], known[order]
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        hit = np.logical_or.reduceat(known, start) | (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start))
-        kept = np.flatnonzero(np.repeat(hit, np.diff(np.append(start, len(h)))) & ~known)
-        kept = kept[np.argsort(key[kept], kind="stable")]
-        for part in np.split(kept, np.flatnonzero(np.diff(key[kept])) + 1) if len(kept) else []:
-            out_k.append(int(key[part[0]]))
-            out_places.append(place[part].tobytes())
-    return pa.table({"k": pa.array(out_k, pa.int64()), "places": pa.array(out_places, pa.binary())})
+def shared_anchors(buckets: int, ranges: int):
+    """An applyInArrow function over a bucket's blobs: packed (k, place) of the anchors that other texts have too, by range of k.
+
+    Under range -1, packed (anchor, number of places) of those that are at FREQUENT places or more.
+    """
+
+    def find(table: pa.Table) -> pa.Table:
+        out_k, out_place, often = [], [], ([], [])
+        hashes, keys, places = [], [], []
+        for h, owners, place, key in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "places", "keys")), strict=True):
+            key = np.frombuffer(key, np.int64)
+            place = _unpacked(place, np.uint32)
+            if h is None:
+                out_k.append(np.full(len(place), key[0]))
+                out_place.append(place)
+                continue
+            owner = _unpacked(owners, np.uint32)
+            hashes.append(np.cumsum(_unpacked(h, np.uint64), dtype=np.uint64))
+            places.append(place)
+            known = owner == 0xFFFFFFFF
+            keys.append((np.append(key, 0)[np.where(known, len(key), owner)], known))
+        if hashes:
+            h, place = np.concatenate(hashes), np.concatenate(places)
+            key, known = np.concatenate([k for k, _ in keys]), np.concatenate([n for _, n in keys])
+            order = np.argsort(h, kind="stable")
+            h, place, key, known = h[order], place[order], key[order], known[order]
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            hit = np.logical_or.reduceat(known, start) | (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start))
+            kept = np.repeat(hit, np.diff(np.append(start, len(h)))) & ~known
+            out_k.append(key[kept])
+            out_place.append(place[kept])
+            number = np.add.reduceat(np.where(known, place, 1).astype(np.int64), start)
+            many = np.flatnonzero(number >= FREQUENT)
+            own = np.uint64(table.column("bucket")[0].as_py())
+            often = (h[start[many]] * np.uint64(buckets) + own).view(np.int64), number[many].clip(max=2**32 - 1)
+        found, data = pack_rows([np.concatenate(out_k)], [np.concatenate(out_place)], ranges) if out_k else ([], [])
+        if len(often[0]):
+            data += pack_rows([often[0]], [often[1]], 1)[1]
+            found = [*found, -1]
+        return pa.table({"range": pa.array(found, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return find
 
 
 _KINDS = (("doc", np.int64), ("k", np.int64), ("anchor", np.int32), ("lead", np.uint8), ("size", np.uint8))
@@ -177,19 +234,21 @@ def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     return columns, raw[at:]
 
 
-def contexts(buckets: int, lot_bytes: int = 24 << 20):
+def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24 << 20):
     """A mapInArrow function: (doc, k, text, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
 
+    Contexts of frequent anchors (of `bits` bits) are cut into their windows, which are dealt by their own hash.
+
     Of a lot's equal contexts those of the smallest doc are sent; the others repeat it, which they tell at once: such
     rows have a doc and runs of window starts.
     """
     names, types = ["bucket", "doc", "k", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-    def lot(found: dict[tuple[bytes, int], list[tuple[int, int, int, int]]]) -> pa.RecordBatch:
+    def lot(found: dict[tuple[bytes, int], set[tuple[int, int, int, int]]]) -> pa.RecordBatch:
         sent, repeated = {}, {}
         for (context, lead), who in found.items():
             least = min(who)[0]
-            for doc, k, anchor, bucket in who:
+            for doc, k, anchor, bucket in sorted(who):
                 if doc == least:
                     sent.setdefault(bucket, []).append((doc, k, anchor, lead, context))
                 else:
@@ -204,13 +263,14 @@ def contexts(buckets: int, lot_bytes: int = 24 << 20):
             for doc, k, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "text", "places")), strict=True):
                 data = text.encode()
                 place, h, first, last = anchors(data)
-                wanted = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places]))
-                own = np.flatnonzero(np.isin(place, wanted))
+                own = np.flatnonzero(np.isin(place, np.frombuffer(places, np.uint32)))
                 bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
-                for a, b, s, e in zip(place[own].tolist(), bucket.tolist(), first[own].tolist(), last[own].tolist(), strict=True):
-                    context = data[s : e + WINDOW]
-                    found.setdefault((context, a - s), []).append((doc, k, a, b))
-                    size += len(context) + 100
+                hot = np.isin(h[own] >> np.uint64(64 - bits), frequent)
+                for a, b, s, e, cut in zip(place[own].tolist(), bucket.tolist(), first[own].tolist(), last[own].tolist(), hot.tolist(), strict=True):
+                    for at, end in ((x, x + WINDOW) for x in range(s, e + 1)) if cut else ((s, e + WINDOW),):
+                        context = data[at:end]
+                        found.setdefault((context, a - at), set()).add((doc, k, a, xxhash.xxh3_64_intdigest(context) % buckets if cut else b))
+                        size += len(context) + 100
                 if size > lot_bytes:
                     yield lot(found)
                     found, size = {}, 0
@@ -257,59 +317,58 @@ def equal_windows(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.nda
             yield column, order, np.flatnonzero(common < WINDOW)
 
 
-def repeated_windows(table: pa.Table) -> pa.Table:
-    """Of one bucket's contexts: (doc, k, runs) of the windows that a smaller doc has too."""
-    out_doc, out_k, out_runs, columns, flat = [], [], [], [], []
-    for doc, k, data in zip(*(table.column(c).to_pylist() for c in ("doc", "k", "data")), strict=True):
-        if doc is None:
-            own, raw = _unbundled(data)
-            columns.append(own)
-            flat.append(raw)
-        else:
-            out_doc.append(doc)
-            out_k.append(k)
-            out_runs.append(data)
-    if columns:
-        doc, k, anchor, lead, size = (np.concatenate(c) for c in zip(*columns, strict=True))
-        anchor, lead, size, n = anchor.astype(np.int64), lead.astype(np.int64), size.astype(np.int64), len(doc)
-        raw = np.frombuffer(b"".join(flat), np.uint8)
-        row = np.repeat(np.arange(n), size)
-        column = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LEAD - lead, size)
-        rows = np.zeros((n, COLUMNS + 2), np.uint8)
-        rows[row, column], rows[:, -2], rows[:, -1] = raw, lead, size
-        same = _equal_rows(rows)
-        # Equal contexts are one from here on, the smallest doc's; in the others all windows repeat.
-        first, at = np.unique(same, return_inverse=True)
-        least = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, doc)
-        hit = np.flatnonzero(doc > least[at])
-        hit_row, hit_start, hit_n = [hit], [(anchor - lead)[hit]], [(size - WINDOW + 1)[hit]]
-        symbols = np.ascontiguousarray(rows[first, :COLUMNS].T).astype(np.uint16) + 1
-        at_column = np.arange(COLUMNS)[:, None]
-        symbols[(at_column < LEAD - lead[first]) | (at_column >= (LEAD - lead + size)[first])] = 0
-        member = np.argsort(at, kind="stable")
-        member = member[doc[member] == least[at[member]]]  # of each context the rows of its smallest doc
-        member_at = np.searchsorted(at[member], np.arange(len(first) + 1))
-        for c, order, group in equal_windows(symbols):
-            if len(group) < len(order):
-                top = np.repeat(np.minimum.reduceat(least[order], group), np.diff(np.append(group, len(order))))
-                u = order[least[order] > top]
-                n_own = member_at[u + 1] - member_at[u]
-                own = member[np.repeat(member_at[u] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())]
-                hit_row.append(own)
-                hit_start.append(anchor[own] + c - LEAD)
-                hit_n.append(np.ones(len(own), np.int64))
-        rows_hit = np.concatenate(hit_row)
-        if len(rows_hit):
-            runs = np.stack([np.concatenate(hit_start), np.concatenate(hit_n)], 1).astype(np.uint32)
-            own = np.lexsort((k[rows_hit], doc[rows_hit]))
-            rows_hit, runs = rows_hit[own], runs[own]
-            cut = np.flatnonzero((np.diff(k[rows_hit]) != 0) | (np.diff(doc[rows_hit]) != 0)) + 1
-            for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(rows_hit)).tolist(), strict=True):
-                out_doc.append(int(doc[rows_hit[lo]]))
-                out_k.append(int(k[rows_hit[lo]]))
-                out_runs.append(runs[lo:hi].tobytes())
-    return pa.table({"doc": pa.array(out_doc, pa.int64()), "k": pa.array(out_k, pa.int64()), "runs": pa.array(out_runs, pa.binary())})
+def repeated_windows(ranges: int):
+    """An applyInArrow function over a bucket's contexts: packed (doc, k, start, n) of the windows that a smaller doc has too, by range of k."""
+
+    def find(table: pa.Table) -> pa.Table:
+        hits, columns, flat = [], [], []  # hits: doc, k, first window, windows
+        for doc, k, data in zip(*(table.column(c).to_pylist() for c in ("doc", "k", "data")), strict=True):
+            if doc is None:
+                own, raw = _unbundled(data)
+                columns.append(own)
+                flat.append(raw)
+            else:
+                start, n = np.frombuffer(data, np.uint32).reshape(-1, 2).T
+                hits.append((np.full(len(n), doc), np.full(len(n), k), start, n))
+        if columns:
+            hits += _equal_contexts([np.concatenate(c) for c in zip(*columns, strict=True)], b"".join(flat))
+        doc, k, start, n = (np.concatenate(c) for c in zip(*hits, strict=True)) if hits else [np.empty(0, np.int64)] * 4
+        found, data = pack_rows([doc, k], [start, n], ranges)
+        return pa.table({"range": pa.array(found, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return find
+
+
+def _equal_contexts(columns: list[np.ndarray], raw: bytes) -> list[tuple[np.ndarray, ...]]:
+    """Of contexts (doc, k, anchor, lead, size) and their bytes: (doc, k, first window, windows) that a smaller doc has too."""
+    doc, k, anchor, lead, size = columns
+    anchor, lead, size, n = anchor.astype(np.int64), lead.astype(np.int64), size.astype(np.int64), len(doc)
+    raw = np.frombuffer(raw, np.uint8)
+    row = np.repeat(np.arange(n), size)
+    column = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(LEAD - lead, size)
+    rows = np.zeros((n, COLUMNS + 2), np.uint8)
+    rows[row, column], rows[:, -2], rows[:, -1] = raw, lead, size
+    same = _equal_rows(rows)
+    # Equal contexts are one from here on, the smallest doc's; in the others all windows repeat.
+    first, at = np.unique(same, return_inverse=True)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, doc)
+    hit = np.flatnonzero(doc > least[at])
+    hits = [(doc[hit], k[hit], (anchor - lead)[hit], (size - WINDOW + 1)[hit])]
+    symbols = np.ascontiguousarray(rows[first, :COLUMNS].T).astype(np.uint16) + 1
+    at_column = np.arange(COLUMNS)[:, None]
+    symbols[(at_column < LEAD - lead[first]) | (at_column >= (LEAD - lead + size)[first])] = 0
+    member = np.argsort(at, kind="stable")
+    member = member[doc[member] == least[at[member]]]  # of each context the rows of its smallest doc
+    member_at = np.searchsorted(at[member], np.arange(len(first) + 1))
+    for c, order, group in equal_windows(symbols):
+        if len(group) < len(order):
+            top = np.repeat(np.minimum.reduceat(least[order], group), np.diff(np.append(group, len(order))))
+            u = order[least[order] > top]
+            n_own = member_at[u + 1] - member_at[u]
+            own = member[np.repeat(member_at[u] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())]
+            hits.append((doc[own], k[own], anchor[own] + c - LEAD, np.ones(len(own), np.int64)))
+    return hits
 
 
 def removal():
@@ -322,7 +381,7 @@ def removal():
             removed = spans = 0
             if some:
                 change = np.zeros(len(data) + 1, np.int32)
-                first, n = np.concatenate([np.frombuffer(r, np.uint32).reshape(-1, 2) for r in some]).astype(np.int64).T
+                first, n = np.frombuffer(some, np.uint32).reshape(-1, 2).astype(np.int64).T
                 np.add.at(change, first, 1)
                 np.add.at(change, first + n - 1 + WINDOW, -1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -339,6 +398,25 @@ def removal():
     return F.arrow_udf(remove, "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
 
 
+def packed_length(column: str) -> F.Column:
+    """How many rows a packed row holds."""
+    return F.conv(F.hex(F.reverse(F.substring(column, 1, 4))), 16, 10).cast("long")
+
+
+def most_frequent(candidates: DataFrame, size: int) -> np.ndarray:
+    """The anchors at FREQUENT places or more, and at a millionth of all bytes or more: so at most MOST_FREQUENT."""
+    least = max(FREQUENT, size / MOST_FREQUENT)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                anchor, n = unpack_rows(data, 1, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[n >= least], pa.int64())], ["anchor"])
+
+    found = candidates.where("range = -1").select("data").mapInArrow(pick, "anchor long").collect()
+    return np.array([r.anchor for r in found], np.int64).view(np.uint64)
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs.
 
@@ -351,19 +429,20 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col(key), F.xxhash64(whole)).alias("k"), whole.alias("text"))
     size = text_bytes(rows)
-    buckets = max(64, n_partitions(spark, size, 24 << 20))
+    buckets = ranges = max(64, n_partitions(spark, size, 24 << 20))
     bits = min(64, max(36, size.bit_length() + 12))
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
     blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, hashes binary, owners binary, places binary, keys binary")
-    candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors, "k long, places binary"), "candidates")
+    candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, data binary"), "candidates")
+    frequent = most_frequent(candidates, size)
 
-    n = candidates.select(F.sum(F.length("places") / 4).alias("n")).first()["n"] or 0
+    n = candidates.where("range >= 0").select(F.sum(packed_length("data")).alias("n")).first()["n"] or 0
     lots = n_partitions(spark, int(n), 60_000)
-    by_text = candidates.groupBy("k").agg(F.collect_list("places").alias("places"))
-    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots), "bucket int, doc long, k long, data binary")
-    repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows, "doc long, k long, runs binary"), "repeated")
+    by_text = candidates.where("range >= 0").groupBy("range").applyInArrow(merger(1, 1, ["k", "places"]), "k long, places binary")
+    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
+    repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows(ranges), "range int, data binary"), "repeated")
 
-    found = repeated.groupBy("doc", "k").agg(F.collect_list("runs").alias("runs"))
+    found = repeated.groupBy("range").applyInArrow(merger(2, 2, ["doc", "k", "runs"]), "doc long, k long, runs binary")
     out = rows.join(found, ["doc", "k"], "left").select("doc_id", removal()("text", "runs").alias("r"))
     return out.select("doc_id", "r.*")
 

@@ -252,6 +252,34 @@ def test_repeats_equal_all_windows(spark):
     assert repeats.without_repeats(df.limit(0)).count() == 0
 
 
+def test_contexts_of_a_frequent_anchor_are_dealt_by_window(spark, monkeypatch):
+    # One passage in nearly all texts, each time between other words, and some of these surroundings repeated.
+    rng, v = vocabulary(7)
+    passage = "the same licence line stands in all of these"
+    around = [f"{rng.choice(v)}{k} {passage} {rng.choice(v)}{k % 9} and so on to the end" for k in range(120)]
+    rows = [(k, f"{rng.choice(v)}{k // 2} " + around[k % 100] + f" {k}") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed(rows)
+    from pyspark.sql import functions as F
+
+    seen, real = [], repeats.contexts
+    monkeypatch.setattr(repeats, "contexts", lambda lots, frequent, bits: seen.append(len(frequent)) or real(lots, frequent, bits))
+    for least in (20, 20_000):
+        monkeypatch.setattr(repeats, "FREQUENT", least)
+        got = repeats.without_repeats(df).withColumn("s", F.sha2("kept", 256)).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.s) for r in got) == want
+    assert seen[0] > 0 == seen[1]
+
+
+def test_packed_rows():
+    rng = np.random.default_rng(3)
+    doc, k, a, b = (rng.integers(-(2**62), 2**62, 500), rng.integers(-(2**62), 2**62, 500), rng.integers(0, 2**32, 500), rng.integers(0, 50, 500))
+    at, data = repeats.pack_rows([doc, k], [a, b], 7)
+    got = [tuple(x) for d in data for x in zip(*(c.tolist() for c in repeats.unpack_rows(d, 2, 2)), strict=True)]
+    assert sorted(got) == sorted(zip(doc.tolist(), k.tolist(), a.tolist(), b.tolist())) and sorted(at) == list(range(7))
+    assert repeats.pack_rows([doc[:0], k[:0]], [a[:0], b[:0]], 7) == ([], [])
+
+
 def test_anchors_of_long_texts_are_whole():
     rng, v = vocabulary(6)
     data = " ".join(rng.choice(v) for _ in range(3000)).encode()
