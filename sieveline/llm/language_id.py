@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, smallest_by_hash
+from .common import bound_batches, documents, fresh, smallest_by_hash
 
 #: Buckets that character n-grams are hashed to, and the lengths of the n-grams.
 BITS, GRAMS = 16, (1, 2, 3)
@@ -82,14 +83,23 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return seen, int(counts.n[counts.bucket < 0].sum())
 
 
+def snippet(text: str) -> str:
+    """One, two, four or eight words in a row, where a hash of the text says."""
+    found = text.split()
+    h = xxhash.xxh3_64_intdigest(text)
+    n = 1 << (h % 4)
+    at = (h >> 2) % max(1, len(found) - n + 1)
+    return " ".join(found[at : at + n])
+
+
 def _packed_grams(texts: pa.Array) -> pa.Array:
-    rows = [gram_counts(t) for t in texts.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([c.astype("<i4").tobytes() for c in column], pa.binary()) for column in (zip(*rows, strict=True) if rows else ((), ()))], ["at", "n"])
+    rows = [(*gram_counts(t), *gram_counts(snippet(t))) for t in texts.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([c.astype("<i4").tobytes() for c in column], pa.binary()) for column in (zip(*rows, strict=True) if rows else ((),) * 4)], ["at", "n", "at_snippet", "n_snippet"])
 
 
 def packed_grams():
-    """An Arrow function from texts to struct(at, n): buckets and counts as little-endian 32-bit integers, small to collect."""
-    return F.arrow_udf(_packed_grams, "struct<at:binary,n:binary>")
+    """An Arrow function from texts to buckets and counts, as little-endian 32-bit integers, of each and of a snippet of it; small to collect."""
+    return F.arrow_udf(_packed_grams, "struct<at:binary,n:binary,at_snippet:binary,n_snippet:binary>")
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, width: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,36 +130,54 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss, on a log-spaced grid from 0.05 to 20."""
-    if not len(y):
+    """The temperature with the least log loss, on a log-spaced grid from 0.002 to 50.
+
+    Targets are smoothed by Platt's rule, (n + 1) / (n + 2) for n rows, so that rows that are all right don't ask for
+    certainty.
+    """
+    n, k = logits.shape
+    if not n or k < 2:
         return 1.0
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
-    return float(min(np.geomspace(0.05, 20, 121), key=loss))
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), y] = (n + 1) / (n + 2)
+
+    def loss(t: float) -> float:
+        z = logits / t
+        z = z - z.max(1, keepdims=True)
+        return float((target * (np.log(np.exp(z).sum(1, keepdims=True)) - z)).sum(1).mean())
+
+    return float(min(np.geomspace(0.002, 50, 201), key=loss))
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1200, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.005) -> Model:
     """Learns from the rows of df with a language and a text.
 
     Document frequencies count all rows. Weights and temperature are fitted on a bounded sample: of each language the
-    `per_language` rows whose key has the smallest hash, of which every fifth goes to the temperature.
+    `per_language` rows whose key has the smallest hash, of which every fifth goes to the temperature: the whole text
+    and a snippet of a few words, as whole texts alone may all be told apart. Of rows that share key and language one is
+    taken; ties of hashes go by key.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     seen, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + seen)) + 1
     chosen = smallest_by_hash(rows, "lang", "key", per_language)
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).withColumn("g", packed_grams()("text")).select("key", "lang", "k", "g.at", "g.n")
+    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).withColumn("g", packed_grams()("text")).select("key", "lang", "k", "g.*")
     got = sample.dropDuplicates(["key", "lang"]).toPandas().sort_values(["lang", "k"])  # at most per_language rows a language
     languages = sorted(set(got.lang))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in got.lang])
-    at = [np.frombuffer(a, "<i4").astype(np.int64) for a in got["at"]]
-    x = [(a, tf_idf(np.frombuffer(c, "<i4"), idf[a])) for a, c in zip(at, got["n"], strict=True)]
+
+    def vectors(at: str, n: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        pairs = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(c, "<i4")) for a, c in zip(got[at], got[n], strict=True)]
+        return [(a, tf_idf(c, idf[a])) for a, c in pairs]
+
+    x, short = vectors("at", "n"), vectors("at_snippet", "n_snippet")
     held = got.k.to_numpy() % 5 == 0
     fit = [i for i in range(len(x)) if not held[i]]
     weights, bias = fit_ftrl([x[i] for i in fit], y[fit], len(languages), 1 << BITS, epochs, alpha, beta, l1, l2)
-    logits = np.array([v @ weights[a] + bias for (a, v), h in zip(x, held, strict=True) if h]).reshape(-1, len(languages))
-    return Model(languages, idf, weights, bias, fit_temperature(logits, y[held]))
+    logits = [v @ weights[a] + bias for some in (x, short) for (a, v), h in zip(some, held, strict=True) if h]
+    return Model(languages, idf, weights, bias, fit_temperature(np.array(logits, float).reshape(-1, len(languages)), np.tile(y[held], 2)))
 
 
 def predictor(model: Model):
@@ -184,12 +212,14 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     """Adds held_out, lang_pred and score to df, having learned from its rows that aren't held out.
 
     Rows without key don't train. Repeated rows are predicted each; an empty table gives no rows; columns of these
-    three names that df has already are replaced. Prediction reads the text alone.
+    three names that df has already are replaced, others stay. Prediction reads the text alone, and a very long one
+    whole, in slices; of languages with the same probability the first by name is taken.
     """
     bound_batches(df.sparkSession)
     model = train(df.where(~held_out(key) & F.col(key).isNotNull()), text, lang, key)
-    out = df.withColumn("held_out", held_out(key)).withColumn("_p", predictor(model)(F.col(text)))
-    return out.withColumn("lang_pred", F.col("_p.lang")).withColumn("score", F.col("_p.score")).drop("_p")
+    p = fresh(df, "p")
+    out = df.withColumn(p, predictor(model)(F.col(text))).withColumn("held_out", held_out(key))
+    return out.withColumn("lang_pred", F.col(p)["lang"]).withColumn("score", F.col(p)["score"]).drop(p)
 
 
 def accepted(df: DataFrame, least: float, text: str = "text", lang: str = "lang", key: str = "doc_id") -> F.Column:
