@@ -18,13 +18,20 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence: tokens, segments (pieces) and tokens that bear loss."""
+    """Of one sequence: tokens, segments (pieces) and tokens that bear loss.
+
+    By default only tokens bind: plain documents bear loss everywhere, and short ones may share a sequence as they come.
+    """
 
     tokens: int = 2048
-    segments: int = 32
+    segments: int = 2048
     loss: int = 2048
 
 
+#: For instruction data: a sequence also ends with its 32nd segment, or when half of it bears loss.
+INSTRUCTIONS = Limits(segments=32, loss=1024)
+
+
 @dataclass
 class Item:
     """What is left of an example: ids from `start`, and for each id whether it bears loss (None: all do)."""
@@ -141,7 +148,9 @@ def packed(examples: DataFrame, limits: Limits = Limits(), pool: int = 128, prep
     Each partition is packed on its own as it streams by, with `pool` examples at hand: no shuffle, nothing but the
     pool and one sequence in memory, and only a partition's last sequence falls short of full. sequence_id starts
     with the partition's number, so a task that runs again after a lost executor gives the same rows. Examples
-    without ids have no piece. Repeated rows are packed each; a null doc_id stays null; no rows give no pieces.
+    without ids have no piece. Repeated rows are packed each; a null doc_id stays null; no rows give no pieces; other
+    columns, whatever their names, are not read. A very long example is held whole and fills sequences one after the
+    other. Of examples with the same dot product the first in the pool is taken.
     """
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -204,10 +213,12 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits:
     return packed(rows, limits, prepare=_tokens(tokenizer_path, end_id))
 
 
-def pack_conversations(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def pack_conversations(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = INSTRUCTIONS, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Packs instruction data: turns (conv_id, turn, role, text), where only turns of `roles` bear loss.
 
-    A conversation's turns are joined in order of turn (ties: role, text), each with the end id after it.
+    A conversation's turns are joined in order of turn (ties: role, ids), each with the end id after it. All of a
+    conversation's turns are one example, so rows without conv_id are one too, with a null doc_id; a null text is empty,
+    a null role bears no loss; no rows give no pieces.
     """
     bound_batches(df.sparkSession)
     turn = df.select("conv_id", "turn", "role", token_bytes(tokenizer_path, end_id)(F.coalesce(F.col("text"), F.lit(""))).alias("ids"))
