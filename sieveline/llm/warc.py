@@ -36,17 +36,16 @@ def originals(pages: DataFrame, least_bytes: int) -> DataFrame:
     return written(many.select("digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url")), "originals")
 
 
-def deduplicated(pages: DataFrame, least_bytes: int = 0, most_broadcast: int = 100_000) -> DataFrame:
+def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Rows (page_id, url, html, payload_bytes, digest, revisit, original, original_url, n).
 
     Of the rows with equal payloads of at least `least_bytes` bytes, those with the largest page_id are originals and the
-    others revisits of them. Few payloads occur twice, so the originals are broadcast if they are at most
-    `most_broadcast`; beyond that both sides are dealt by digest. n tells apart rows that share a page_id.
+    others revisits of them. Both sides are dealt by digest, at every size; AQE splits a payload that very many rows
+    have. n tells apart rows that share a page_id.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html")))
-    found = originals(pages, least_bytes)
-    found = F.broadcast(found) if found.count() <= most_broadcast else found.hint("merge")
+    found = originals(pages, least_bytes).hint("merge")
     out = rows.join(found.withColumn("shared", F.lit(True)), "digest", "left").withColumn("n", F.monotonically_increasing_id())
     other = F.col("shared").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
     return out.withColumn("revisit", other).drop("shared")
@@ -59,7 +58,8 @@ def write_warc(pages: DataFrame, at: str, least_bytes: int = 0, date: str = "202
     and date, as the profile has it, and by page in X-Refers-To-Page; it has no payload, and its HTTP headers keep the
     length. Line breaks in a url are taken out. A null html is an empty payload; repeated rows are captures each, and
     rows that share the largest page_id of a payload are all originals; a null page_id is smaller than all others.
-    Payloads go from the scan to the files, which hold about `file_bytes` bytes, since each is read back whole.
+    Payloads are dealt once, by digest. Files hold about `file_bytes` bytes, since each is read back whole, and one with
+    a very long payload holds that; an empty table gives no files; other columns, whatever their names, are not read.
     """
     rows = deduplicated(pages, least_bytes)
     name = lambda p, n, kind: F.concat(F.lit("<urn:page:"), F.coalesce(p.cast("string"), F.lit("")), F.lit(":"), n.cast("string"), F.lit(f":{kind}>"))
