@@ -68,9 +68,10 @@ def smallest_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     Classes are few (a model has a column for each), and their counts give a bound on the hash under which about 3 n
     rows of a class lie, so that no more than these are sorted, however large the class is.
     """
-    n_rows = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    in_class = fresh(rows, "in_class")
+    n_rows = rows.groupBy(by).agg(F.count("*").alias(in_class))
     h = F.xxhash64(key)
-    near = rows.select(key, by).join(F.broadcast(n_rows), by).where(F.pmod(h, F.lit(1 << 30)) * F.col("_n") < F.lit(3.0 * n * (1 << 30)))
+    near = rows.select(key, by).join(F.broadcast(n_rows), by).where(F.pmod(h, F.lit(1 << 30)) * F.col(in_class) < F.lit(3.0 * n * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1 << 30)), h, key))
     return near.withColumn("k", rank).where(F.col("k") <= n).select(key, by, "k")
 

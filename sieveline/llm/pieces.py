@@ -9,11 +9,13 @@ A BPE never merges across the cuts of its pre-tokenizer, so a text may be cut wh
 
 Each distinct piece goes through the tokenizer once per task: words straight to its BPE model, all others through the
 whole tokenizer in batches balanced by bytes. Added special tokens hold no white space, so the library still finds them
-inside a piece.
+inside a piece. Files whose normaliser, pre-tokenizer or added tokens differ from these two kinds go through the library
+alone, whole texts in batches balanced by bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -24,6 +26,24 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def known_kind(path: str) -> bool:
+    """Whether the cuts hold for a tokenizer file: by its settings, not by its name."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    model, normal, split = settings["model"], settings["normalizer"], settings["pre_tokenizer"] or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback")):
+        return False
+    if settings.get("truncation") or settings.get("padding") or any(re.search(r"\s", t["content"]) or _PLAIN.fullmatch(t["content"]) or t["normalized"] for t in settings["added_tokens"]):
+        return False
+    if normal is None:
+        return split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("end_of_word_suffix")
+    steps, cuts = normal.get("normalizers", []), split.get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return False
+    pattern = cuts[0]["pattern"].get("Regex", "")
+    return steps[1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and r"[\p{L}]+" in pattern and r"[^\s\p{L}\p{N}]+" in pattern and not cuts[1].get("use_regex", True)
+
+
 class PieceEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers, or their number."""
 
@@ -31,7 +51,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cut = Tokenizer.from_file(path), known_kind(path)
         self.spaced = bool(self.tokenizer.encode(" \n ", add_special_tokens=False).ids)
         self.keep_ids, self.max_pieces, self.batch_bytes, self.longest_kept = keep_ids, max_pieces, batch_bytes, longest_kept
         self.known: dict[str, bytes | int] = {"": b"" if keep_ids else 0}  # by piece, without the space before it
@@ -92,6 +112,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes | int]:
         """One result per text, in order. Texts are taken together, so pass about a megabyte at a time."""
+        if not self.cut:
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield _packed(e.ids) if self.keep_ids else len(e.ids)
+            return
         if len(self.known) > self.max_pieces:  # short pieces are the common ones
             self.known = {p: v for p, v in self.known.items() if len(p) <= 6}
             if len(self.known) > self.max_pieces // 2:

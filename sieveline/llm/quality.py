@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, smallest_by_hash
+from .common import bound_batches, documents, fresh, smallest_by_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "bar_share", "distinct_share", "words_per_line")
@@ -181,15 +181,16 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: base passed and the
     trees' probability of good quality is at least `least`. A null text counts as empty and fails. Repeated rows are
     assessed each; without labels the probability is 0.5; an empty table gives no rows; columns of these names that
-    docs has already are replaced.
+    docs has already are replaced, others stay. A very long text is counted whole, within one task.
     """
     bound_batches(docs.sparkSession)
     trees = train(docs, labels, key, text)
-    out = docs.withColumn("_s", statistics_of(text))
+    s = fresh(docs, "s")
+    out = docs.withColumn(s, statistics_of(text))
     for c in COUNTS:
-        out = out.withColumn(c, F.col(f"_s.{c}"))
+        out = out.withColumn(c, F.col(s)[c])
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("quality_score", scorer(trees)(F.col("_s.features"))).drop("_s")
+    out = out.withColumn("quality_score", scorer(trees)(F.col(s)["features"])).drop(s)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= least))
 
 

@@ -29,7 +29,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", over: i
     """Adds n_bytes (UTF-8), n_tokens and over_limit (n_tokens > over) to the rows of df.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives no rows;
-    columns of these three names that df has already are replaced. The plan has no shuffle: a scan and one Arrow step.
+    columns of these three names that df has already are replaced, others stay. A very long text is counted whole,
+    within one task, piece by piece. The plan has no shuffle: a scan and one Arrow step.
     """
     bound_batches(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -41,14 +41,16 @@ def write_tokens(df: DataFrame, at: str, tokenizer_path: str, end_id: int | None
 
     Token ids are a list column with a dictionary (a vocabulary's ids fit one), metadata are delta-encoded; row groups
     and pages are bounded in bytes, and page indexes let a reader skip to the ids it wants. Texts are dealt by range
-    of id once, before they are encoded. A null text is empty (its list holds the end id alone); null ids sort first;
-    rows that share an id stand in order of their text; an empty table gives an empty folder that reads back as no rows.
+    of id (and of the start of the text, so that rows without id are dealt as well) once, before they are encoded. A
+    null text is empty (its list holds the end id alone); null ids sort first; rows that share an id stand in order of
+    their text; a very long text is one list; other columns, whatever their names, are not read; an empty table gives an
+    empty folder that reads back as no rows.
     """
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = n_partitions(spark, text_bytes(docs), part_bytes)
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encoder(tokenizer_path, end_id, "doc_id"), SCHEMA)
         .write.option("parquet.block.size", group_bytes)
@@ -65,13 +67,16 @@ def write_tokens(df: DataFrame, at: str, tokenizer_path: str, end_id: int | None
 def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) of files by write_tokens; start is the number of ids before the document.
 
-    Only what is selected is read: metadata without ids, or the ids of some documents by a filter on doc_id.
+    Only what is selected is read: metadata without ids, or the ids of some documents by a filter on doc_id. Files are
+    added up in groups of 1,024, so one window has a row per file of a group, the other a row per group.
     """
     rows = spark.read.schema(SCHEMA).parquet(at)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
-    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.shiftright("part", 10))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = files.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_base"))
+    files = files.withColumn("own_base", before(Window.partitionBy("group").orderBy("part"))).join(groups, "group")
+    bases = files.select("part", (F.col("group_base") + F.col("own_base")).alias("base"))
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc32(ids: pa.Array) -> pa.Array:

@@ -35,6 +35,21 @@ def test_pieces_equal_the_library(path, keep):
     assert ([np.frombuffer(g, "<u4").tolist() for g in got] == want) if keep else (got == [len(w) for w in want])
 
 
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+
+    texts = ["hello world  foo", " a b", "", None, "x\ny"]
+    for name, change in (("prefix", lambda j: j["pre_tokenizer"].update(add_prefix_space=True)), ("added", lambda j: j["added_tokens"].append(dict(j["added_tokens"][0], id=50257, content="hello")))):
+        with open(BYTE, encoding="utf-8") as f:
+            settings = json.load(f)
+        change(settings)
+        at = tmp_path / f"{name}.json"
+        at.write_text(json.dumps(settings))
+        encoder = PieceEncoder(str(at), True)
+        assert not encoder.cut and PieceEncoder(BYTE, True).cut
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.grouped(texts)] == [library(str(at), t) for t in texts]
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(*r, 7, 8) for r in ROWS], "doc_id long, text string, n_tokens int, extra int")
     got = token_counts.count_tokens(df, BYTE).collect()
@@ -61,6 +76,28 @@ def test_files(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_files_are_encoded_for_selective_reads(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    token_files.write_tokens(docs, str(tmp_path / "a"), WORD, part_bytes=64 << 10)
+    for at in (files := glob.glob(str(tmp_path / "a" / "*.parquet"))):
+        for g in range(pq.ParquetFile(at).metadata.num_row_groups):
+            own = {(c := pq.ParquetFile(at).metadata.row_group(g).column(k)).path_in_schema: c for k in range(5)}
+            ids = own["ids.list.element"]
+            assert "RLE_DICTIONARY" in ids.encodings and ids.has_offset_index and ids.has_column_index
+            assert "DELTA_BINARY_PACKED" in own["doc_id"].encodings and own["doc_id"].has_column_index
+    assert len(files) > 3
+    some = token_files.read_tokens(spark, str(tmp_path / "a")).where("doc_id = 7").select("doc_id", "ids")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(doc_id,7)" in plan
+    assert some.first()["ids"] == library(WORD, docs.where("doc_id = 7").first()["text"], (1,))
+    narrow = token_files.read_tokens(spark, str(tmp_path / "a")).select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in "".join(x for x in narrow.split("\n") if "ReadSchema" in x)
+
+
 def test_file_query(spark):
     got, at = sorted(token_files.op3_token_files(spark, SF).collect(), key=lambda r: r.doc_id), 0
     for r, d in zip(got, spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect(), strict=True):
@@ -98,6 +135,16 @@ def test_pack_query(spark):
     assert check_packing(packing.op10_packing(spark, SF).collect(), ids_of, packing.Limits()) == 0
 
 
+def test_short_texts_leave_little_padding(spark):
+    df = spark.createDataFrame([(k, f"a b c {k}") for k in range(5000)], "doc_id long, text string").repartition(2)
+    pieces = packing.pack_documents(df, BYTE).collect()
+    tokens, size = sum(p.length for p in pieces), {}
+    for p in pieces:
+        size[p.sequence_id] = size.get(p.sequence_id, 0) + p.length
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in size.values())
+    assert padded < 0.05 * tokens
+
+
 def test_pack_edges(spark):
     from pyspark.sql import functions as F
 
@@ -125,5 +172,18 @@ def test_pack_limits():
 
 
 def test_pack_conversations(spark):
-    got = packing.pack_conversations(spark.read.parquet(f"{SF}/conversations.parquet"), BYTE, limits=packing.Limits(512, 8, 256)).collect()
-    assert got and max(r.length for r in got) <= 512
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    roles = {(r.conv_id, r.turn): r.role for r in turns.collect()}
+    limits = packing.Limits(512, 8, 200)
+    got = packing.pack_conversations(turns, BYTE, limits=limits).collect()
+    bears = {}
+    for conv in {c for c, _ in roles}:
+        own = turns.where(turns.conv_id == conv).orderBy("turn", "role").collect()
+        bears[conv] = np.concatenate([np.full(len(library(BYTE, r.text, (1,))), r.role == "assistant") for r in own])
+    loss, tokens, segments = {}, {}, {}
+    for p in got:
+        s = p.sequence_id
+        loss[s] = loss.get(s, 0) + int(bears[p.doc_id][p.start : p.start + p.length].sum())
+        tokens[s], segments[s] = tokens.get(s, 0) + p.length, segments.get(s, 0) + 1
+    assert max(loss.values()) == 200 and max(tokens.values()) <= 512 and max(segments.values()) <= 8
+    assert sum(tokens.values()) == sum(map(len, bears.values()))
