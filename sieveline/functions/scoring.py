@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BOUNDARY, has_homoglyphs, normalized
+from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, has_homoglyphs, normalized
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,18 @@ class Rule:
 
     @property
     def java(self) -> str:
-        return self.regex.replace(r"\b", BOUNDARY).replace(r"[^\s]", r"[^\t-\r\x20\xa0\ufeff]")
+        """For normalised text, which is in lower case. Where all alternatives start (end) with a letter or digit, a boundary there asks one side alone."""
+        out = self.regex
+        if out.startswith(r"\b(") and not re.search(r"[(|]\\\$", out):
+            out = BEFORE_WORD + out[2:]
+        if out.endswith(r")\b") and not re.search(r"%[|)]", out):
+            out = out[:-2] + AFTER_WORD
+        return out.replace(r"\b", BOUNDARY).replace(r"[^\s]", r"[^\t-\r\x20\xa0\ufeff]")
+
+    @property
+    def one_group(self) -> bool:
+        """Whether the only group is the whole expression between its boundaries."""
+        return self.groups == 1 and self.regex.startswith(r"\b(") and self.regex.endswith(r")\b")
 
 
 # Families in order, their expressions (as JavaScript has them, case-insensitive) and weights.
@@ -84,6 +96,7 @@ FAMILIES: dict[str, tuple[float, tuple[Rule, ...]]] = {
 }
 HOMOGLYPH = ("homoglyph_attack", 0.5, 0.9, "Suspicious Unicode characters detected")
 WEIGHTS = {k: w for k, (w, _) in FAMILIES.items()} | {HOMOGLYPH[0]: HOMOGLYPH[1]}
+# Phrases that settle a message at once.
 PHRASES = (
     "send money immediately",
     "wire transfer now",
@@ -98,28 +111,40 @@ PHRASES = (
 )
 
 
-def rule_count(text: Column, rule: Rule) -> Column:
-    """What one rule adds to its family's count on a normalised text."""
+def rule_match(text: Column, rule: Rule) -> Column:
+    """What one rule finds in a normalised text, in one pass: all matches of a global rule, else the first or an empty string (no rule matches that)."""
     if rule.every:
-        return F.regexp_count(text, F.lit("(?i)" + rule.java))
-    return F.when(text.rlike("(?i)" + rule.java), 1 + rule.groups).otherwise(0)
+        return F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+    return F.regexp_extract(text, rule.java, 0)
+
+
+def rule_matches(text: Column) -> dict[str, Column]:
+    """rule_match of all rules, by names of their own: select them, so that counts and texts come from one pass."""
+    return {f"hit_{family}_{k}": rule_match(text, rule) for family, (_, rules) in FAMILIES.items() for k, rule in enumerate(rules)}
 
 
-def family_count(text: Column, family: str) -> Column:
-    first, *rest = (rule_count(text, r) for r in FAMILIES[family][1])
+def _found(family: str, text: Column | None, hits: dict[str, Column] | None) -> list[tuple[Rule, Column]]:
+    return [(rule, rule_match(text, rule) if hits is None else hits[f"hit_{family}_{k}"]) for k, rule in enumerate(FAMILIES[family][1])]
+
+
+def family_count(text: Column | None, family: str, hits: dict[str, Column] | None = None) -> Column:
+    """The family's count on a normalised text, or on what its rules found."""
+    first, *rest = (F.size(hit) if rule.every else F.when(hit != "", 1 + rule.groups).otherwise(0) for rule, hit in _found(family, text, hits))
     return sum(rest, first)
 
 
-def matched_text(text: Column, family: str) -> Column:
-    """The first three entries of each rule's match (whole, then groups; an unmatched group is empty), comma-joined."""
+def matched_text(text: Column | None, family: str, hits: dict[str, Column] | None = None) -> Column:
+    """The first three entries of each rule's match (whole, then groups; an unmatched group is empty), comma-joined.
+
+    Groups are taken from the match alone, which the rule matches in the same way: it ends at a boundary on both sides.
+    """
     parts = []
-    for r in FAMILIES[family][1]:
-        java = "(?i)" + r.java
-        if r.every:
-            entries = F.slice(F.regexp_extract_all(text, F.lit(java), F.lit(0)), 1, 3)
-        else:
-            entries = F.when(text.rlike(java), F.array(*(F.regexp_extract(text, java, g) for g in range(min(3, 1 + r.groups))))).otherwise(F.array().cast("array<string>"))
-        parts.append(entries)
+    for rule, hit in _found(family, text, hits):
+        if rule.every:
+            parts.append(F.slice(hit, 1, 3))
+            continue
+        groups = [hit] if rule.one_group else [F.regexp_extract(hit, rule.java, g) for g in range(1, min(3, 1 + rule.groups))]
+        parts.append(F.when(hit != "", F.array(hit, *groups)).otherwise(F.array().cast("array<string>")))
     return F.array_join(F.concat(*parts), ", ")
 
 
@@ -127,18 +152,18 @@ def confidence(count: Column) -> Column:
     return F.least(F.lit(0.95), F.lit(0.3) + count * F.lit(0.15))
 
 
-def detect_patterns(raw: Column, text: Column | None = None) -> Column:
+def detect_patterns(raw: Column, text: Column | None = None, hits: dict[str, Column] | None = None) -> Column:
     """array<struct<type, confidence, matchedText>>: homoglyphs first, then the families that match, in order.
 
-    text is the normalised text; pass it as a column of its own, so that it is worked out once.
+    text is the normalised text, hits what rule_matches gave for it; pass columns, so that they are worked out once.
     """
     text = normalized(raw) if text is None else text
     kind = "struct<type:string,confidence:double,matchedText:string>"
     name, _, sure, said = HOMOGLYPH
     found = [F.when(has_homoglyphs(raw), F.struct(F.lit(name).alias("type"), F.lit(sure).alias("confidence"), F.lit(said).alias("matchedText")).cast(kind))]
     for family in FAMILIES:
-        n = family_count(text, family)
-        found.append(F.when(n > 0, F.struct(F.lit(family).alias("type"), confidence(n).alias("confidence"), matched_text(text, family).alias("matchedText")).cast(kind)))
+        n = family_count(text, family, hits)
+        found.append(F.when(n > 0, F.struct(F.lit(family).alias("type"), confidence(n).alias("confidence"), matched_text(text, family, hits).alias("matchedText")).cast(kind)))
     return F.array_compact(F.array(*found))
 
 

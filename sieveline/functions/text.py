@@ -16,6 +16,8 @@ LATIN = "aeopcyxsijdhwyaoptv"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: A word boundary between ASCII word characters, as JavaScript has it; Java's \b knows all letters.
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same before and after a match that starts and ends with a word character.
+BEFORE_WORD, AFTER_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def strip(c: Column) -> Column:
@@ -41,8 +43,8 @@ def nfc():
     return F.arrow_udf(_compose, "string")
 
 
-def normalized(c: Column, compose: bool = False) -> Column:
-    """For scoring: lower case, NFC if asked for, look-alike letters as Latin, no zero-width characters, single spaces."""
+def normalized(c: Column, compose: bool = True) -> Column:
+    """For scoring: lower case, NFC (unless the text is known to be composed), look-alike letters as Latin, no zero-width characters, single spaces."""
     low = F.lower(c)
     if compose:
         low = nfc()(low)

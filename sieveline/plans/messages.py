@@ -22,6 +22,7 @@ TEMPLATES = (
     "free  bitcoin  {n}\trisk-free!!! guaranteed!!",
     "Your password and pin {n} expire today unless you hurry",
     "Send your cvv, credit card and date of birth to bank of {n}; failure to reply means court",
+    "Caf\u00e9 or cafe\u0301 {n}: pay\u0301 the fund\u0301 by noon",  # composed, these are other words
     "",
 )
 
@@ -63,15 +64,13 @@ def _matched(text: str, family: str) -> str:
 
 
 FAMILIES = list(scoring.FAMILIES)
-#: Scores and confidences are often exact halves of the sixth place, where engines round to either side.
-NUDGE = 1e-9
 _COUNTS = ", ".join(" + ".join(_count("t", r) for r in scoring.FAMILIES[f][1]) + f" AS n_{f}" for f in FAMILIES)
 _HITS = [("homoglyph", scoring.HOMOGLYPH[2], scoring.HOMOGLYPH[1])] + [(f"n_{f} > 0", f"least(0.95::DOUBLE, 0.3::DOUBLE + n_{f} * 0.15::DOUBLE)", scoring.FAMILIES[f][0]) for f in FAMILIES]
 _TOP = " + ".join(f"CASE WHEN {h} THEN {c}::DOUBLE * {w}::DOUBLE ELSE 0 END" for h, c, w in _HITS)
 _UNDER = " + ".join(f"CASE WHEN {h} THEN {w}::DOUBLE ELSE 0 END" for h, _, w in _HITS)
 _N = " + ".join(f"CAST({h} AS INT)" for h, _, _ in _HITS)
 MESSAGES = f"""m AS (SELECT o_orderkey, {_sql_message()} AS msg FROM orders),
-t AS (SELECT o_orderkey, msg, trim(regexp_replace(translate(lower(msg), 'аеорсухѕіјԁһԝʏαορτν', 'aeopcyxsijdhwyaoptv'), '\\s+', ' ', 'g')) AS t,
+t AS (SELECT o_orderkey, msg, trim(regexp_replace(translate(nfc_normalize(lower(msg)), 'аеорсухѕіјԁһԝʏαορτν', 'aeopcyxsijdhwyaoptv'), '\\s+', ' ', 'g')) AS t,
   regexp_matches(msg, '[\\x{{400}}-\\x{{4ff}}\\x{{370}}-\\x{{3ff}}]') AND regexp_matches(msg, '[a-zA-Z]') AS homoglyph FROM m),
 c AS (SELECT o_orderkey, msg, t, homoglyph, {_COUNTS} FROM t),
 s AS (SELECT *, {_N} AS n_patterns, CASE WHEN {_N} = 0 THEN 0 ELSE least(1.0::DOUBLE, ({_TOP}) / ({_UNDER}) + least(0.3::DOUBLE, ({_N}) * 0.05::DOUBLE)) END AS heuristic FROM c),
@@ -88,11 +87,23 @@ fused AS (SELECT *, greatest(coalesce(vis, 0), coalesce(txt, 0)) AS score,
 _LEVEL = lambda c: f"CASE WHEN {c} < 0.3 THEN 'low' WHEN {c} < 0.5 THEN 'medium' WHEN {c} < 0.7 THEN 'high' ELSE 'critical' END"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """(o_orderkey, msg, t, homoglyph, n_<family> ...): counts are worked out once, in a projection of their own."""
-    m = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
+    """(o_orderkey, msg, t, homoglyph, hit_... by rule, n_<family> ...): each rule runs once, in a projection of its own."""
+    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
     t = m.withColumn("t", normalized(F.col("msg"))).withColumn("homoglyph", has_homoglyphs(F.col("msg")))
-    return t.select("*", *(scoring.family_count(F.col("t"), f).alias(f"n_{f}") for f in FAMILIES))
+    t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
+    return t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+
+
+def hits() -> dict:
+    """The columns of messages that hold what the rules found."""
+    return {f"hit_{f}_{k}": F.col(f"hit_{f}_{k}") for f, (_, rules) in scoring.FAMILIES.items() for k in range(len(rules))}
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -125,13 +136,13 @@ def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("o_orderkey", F.round("heuristic", 6).alias("heuristic"))
+    return scored(spark, d).select("o_orderkey", "heuristic")
 
 
 def matched_texts(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d).withColumn("patterns", scoring.detect_patterns(F.col("msg"), F.col("t")))
+    m = messages(spark, d).withColumn("patterns", scoring.detect_patterns(F.col("msg"), F.col("t"), hits()))
     said = F.array_join(F.transform("patterns", lambda p: F.concat(p["type"], F.lit("="), p["matchedText"])), "; ")
-    return m.select("o_orderkey", said.alias("patterns"), F.round(scoring.heuristic_score(F.col("patterns")), 6).alias("heuristic"))
+    return m.select("o_orderkey", said.alias("patterns"), scoring.heuristic_score(F.col("patterns")).alias("heuristic"))
 
 
 _SAID = "array_to_string(list_filter([" + ", ".join(["CASE WHEN homoglyph THEN 'homoglyph_attack=Suspicious Unicode characters detected' END", *(f"CASE WHEN n_{f} > 0 THEN '{f}=' || {_matched('t', f)} END" for f in FAMILIES)]) + "], lambda x: x IS NOT NULL), '; ')"
@@ -146,12 +157,12 @@ _QUICK = " OR ".join(f"contains(lower(msg), '{p}')" for p in scoring.PHRASES)
 
 def fusion_max(spark: SparkSession, d: str) -> DataFrame:
     s = sides(spark, d).select("o_orderkey", fusion.fuse(F.col("vis"), F.col("vconf"), F.col("txt")).alias("r")).select("o_orderkey", "r.*")
-    return s.select("o_orderkey", F.round(F.col("fused_score") + NUDGE, 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
+    return s.select("o_orderkey", "fused_score", "is_scam", "risk_level", "confidence")
 
 
 def fusion_weighted(spark: SparkSession, d: str) -> DataFrame:
     s = sides(spark, d).select("o_orderkey", fusion.fuse(F.col("vis"), F.col("vconf"), F.col("txt"), "weighted").alias("r")).select("o_orderkey", "r.*")
-    return s.select("o_orderkey", F.round(F.col("fused_score") + NUDGE, 6).alias("fused_score"), "is_scam", "risk_level", F.round(F.col("confidence") + NUDGE, 6).alias("confidence"))
+    return s.select("o_orderkey", "fused_score", "is_scam", "risk_level", "confidence")
 
 
 def fusion_quick(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +177,7 @@ def risk_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
-    s = sides(spark, d).withColumn("patterns", F.when(F.col("txt").isNotNull(), scoring.detect_patterns(F.col("msg"), F.col("t"))))
+    s = sides(spark, d).withColumn("patterns", F.when(F.col("txt").isNotNull(), scoring.detect_patterns(F.col("msg"), F.col("t"), hits())))
     return s.withColumn("types", F.transform("patterns", lambda p: p["type"])).withColumn("score", fusion.fused_score(F.col("vis"), F.col("txt")))
 
 
@@ -198,11 +209,11 @@ _first5 = lambda xs: "array_to_string(list_slice(list_filter([" + ", ".join(xs)
 
 QUERIES = {
     "pattern_hits": (pattern_hits, f"WITH {MESSAGES} " + " UNION ALL ".join([f"SELECT '{f}' AS family, CAST(count_if({'homoglyph' if f == 'homoglyph_attack' else f'n_{f} > 0'}) AS BIGINT) AS n_messages FROM c" for f in _ORDER])),
-    "heuristic_score": (heuristic_score, f"WITH {MESSAGES} SELECT o_orderkey, round(heuristic, 6) AS heuristic FROM s"),
-    "matched_texts": (matched_texts, f"WITH {MESSAGES} SELECT o_orderkey, {_SAID} AS patterns, round(heuristic, 6) AS heuristic FROM s"),
+    "heuristic_score": (heuristic_score, f"WITH {MESSAGES} SELECT o_orderkey, heuristic FROM s"),
+    "matched_texts": (matched_texts, f"WITH {MESSAGES} SELECT o_orderkey, {_SAID} AS patterns, heuristic FROM s"),
     "quick_check": (quick_check, f"WITH {MESSAGES} SELECT o_orderkey, {_QUICK} AS obvious, trim(msg) = '' AS blank FROM m"),
-    "fusion_max": (fusion_max, f"WITH {MESSAGES} SELECT o_orderkey, round(score + 1e-9::DOUBLE, 6) AS fused_score, score > 0.5 AS is_scam, {_LEVEL('score')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
-    "fusion_weighted": (fusion_weighted, f"WITH {MESSAGES} SELECT o_orderkey, round(weighted + 1e-9::DOUBLE, 6) AS fused_score, weighted > 0.5 AS is_scam, {_LEVEL('weighted')} AS risk_level, round(confidence + 1e-9::DOUBLE, 6) AS confidence FROM fused"),
+    "fusion_max": (fusion_max, f"WITH {MESSAGES} SELECT o_orderkey, score AS fused_score, score > 0.5 AS is_scam, {_LEVEL('score')} AS risk_level, confidence FROM fused"),
+    "fusion_weighted": (fusion_weighted, f"WITH {MESSAGES} SELECT o_orderkey, weighted AS fused_score, weighted > 0.5 AS is_scam, {_LEVEL('weighted')} AS risk_level, confidence FROM fused"),
     "fusion_quick": (fusion_quick, f"WITH {MESSAGES} SELECT score > 0.5 AS is_scam, count(*) AS n, round(avg(score), 6) AS mean_score FROM fused GROUP BY 1"),
     "risk_levels": (risk_levels, f"WITH {MESSAGES}, l AS (SELECT {_LEVEL('score')} AS risk_level, score > 0.5 AS scam FROM fused) SELECT risk_level, count(*) AS n, CAST(count_if(scam) AS BIGINT) AS n_scam, CASE WHEN risk_level IN ('critical', 'high') THEN 'DANGER' WHEN risk_level = 'medium' THEN 'SUSPICIOUS' ELSE 'SAFE' END AS state FROM l GROUP BY risk_level"),
     "explanations": (explanations, f"WITH {MESSAGES} SELECT o_orderkey, {_EXPLAIN} AS explanation FROM fused"),
