@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space by code point, for engines whose \s is ASCII.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same, character by character.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 # Letters that look Latin, and the letters they stand for.
 LOOKALIKES = "аеорсухѕіјԁһԝʏαορτν"
 LATIN = "aeopcyxsijdhwyaoptv"
@@ -22,12 +24,12 @@ BEFORE_WORD, AFTER_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def tokens(c: Column) -> Column:
     """The words between white space."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
+    return F.array_remove(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), "")
 
 
 def n_tokens(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import fresh
+
 #: What an event of the log is: a scan that found a scam, a safe scan, a report, an app opening, or a daily decay.
 KINDS = ("scam", "safe", "report", "open", "decay")
 
@@ -49,9 +51,9 @@ def fold(log: DataFrame) -> DataFrame:
     element per event.
     """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    marked = log.where(F.col("kind").isin("scam", "decay")).withColumn("_new", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1))
-    runs = marked.withColumn("_run", F.sum("_new").over(w)).groupBy("user_id", "_run").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
-    ordered = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("_run", "kind", "n"))).alias("e"))
+    marked = log.where(F.col("kind").isin("scam", "decay")).select("user_id", "ts", "event_id", "kind", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1).alias("new"))
+    runs = marked.withColumn("run", F.sum("new").over(w)).groupBy("user_id", "run").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
+    ordered = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("run", "kind", "n"))).alias("e"))
     start = F.struct(F.lit(0).cast("long").alias("recent"), F.lit(0).cast("long").alias("risk"))
 
     def step(s: Column, e: Column) -> Column:
@@ -67,25 +69,26 @@ def fold(log: DataFrame) -> DataFrame:
 def recent_window(log: DataFrame, days: int = 30) -> DataFrame:
     """(user_id, event_id, scams_in_window): scams in the days up to each scan, by a range frame."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    w = Window.partitionBy("user_id").orderBy("_s").rangeBetween(-days * 86_400, 0)
-    scans = log.where(F.col("kind").isin("scam", "safe")).withColumn("_s", F.floor(seconds))
+    w = Window.partitionBy("user_id").orderBy("second").rangeBetween(-days * 86_400, 0)
+    scans = log.where(F.col("kind").isin("scam", "safe")).select("user_id", "event_id", "kind", F.floor(seconds).alias("second"))
     return scans.select("user_id", "event_id", F.sum(F.when(F.col("kind") == "scam", 1).otherwise(0)).over(w).alias("scams_in_window"))
 
 
 def visible(analytics: DataFrame, users: DataFrame, reader: str = "reader", target: str = "user_id") -> DataFrame:
     """(reader, user_id) that may be read: one's own row, and rows of users in the same family (no family is no family)."""
-    member = users.where("family_id is not null").select(F.col("user_id").alias("_u"), "family_id")
-    readers = member.select(F.col("_u").alias(reader), "family_id")
-    rows = analytics.select(target).distinct()
-    same = rows.join(member, F.col(target) == F.col("_u")).join(readers, "family_id").select(reader, target)
-    return same.union(rows.select(F.col(target).alias(reader), target)).distinct()
+    member = users.where("family_id is not null").select(F.col("user_id").alias("member"), "family_id")
+    readers = member.select(F.col("member").alias("reading"), "family_id")
+    rows = analytics.select(F.col(target).alias("own")).distinct()
+    same = rows.join(member, F.col("own") == F.col("member")).join(readers, "family_id").select(F.col("reading").alias(reader), F.col("own").alias(target))
+    return same.union(rows.select(F.col("own").alias(reader), F.col("own").alias(target))).distinct()
 
 
 def remove_families(users: DataFrame, members: DataFrame, families: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, members, families) without the families of `gone`: their users have no family then."""
     g = gone.select("family_id").distinct()
-    marked = users.join(g.withColumn("_g", F.lit(True)), "family_id", "left")
-    kept = marked.withColumn("family_id", F.when(F.col("_g").isNull(), F.col("family_id"))).drop("_g").select(users.columns)
+    removed = fresh(users, "removed")
+    marked = users.join(g.withColumn(removed, F.lit(True)), "family_id", "left")
+    kept = marked.withColumn("family_id", F.when(F.col(removed).isNull(), F.col("family_id"))).select(users.columns)
     return kept, members.join(g, "family_id", "left_anti"), families.join(g, "family_id", "left_anti")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import n_tokens, preview, strip
-from .ordering import numbered
+from ..functions.text import n_tokens, preview, strip, tokens
+from .ordering import fresh, numbered
 
 CHANNELS = ("sms", "email", "whatsapp", "app_notification")
 LABELS = ("scam", "safe")
@@ -37,13 +37,12 @@ def dedup_keep_first(df: DataFrame, text: str, order: str, keep: list[str] | Non
     """Of rows with the same stripped text the one with the smallest `order`; partial minima are taken before the shuffle."""
     keep = keep or df.columns
     first = F.min_by(F.struct(*keep), order).alias("r")
-    return df.groupBy(digest(F.col(text)).alias("_d")).agg(first).select("r.*")
+    return df.groupBy(digest(F.col(text)).alias(fresh(df, "digest"))).agg(first).select("r.*")
 
 
-def duplicate_ordinals(df: DataFrame, text: str, order: str) -> DataFrame:
-    """(order, ordinal) of the second and later occurrences of a text."""
-    w = Window.partitionBy("_d").orderBy(order)
-    return df.select(order, digest(F.col(text)).alias("_d")).withColumn("ordinal", F.row_number().over(w)).where("ordinal > 1").select(order, "ordinal")
+def duplicate_ordinals(df: DataFrame, text: str, order: str, rows: int = 250_000) -> DataFrame:
+    """(order, ordinal) of the second and later occurrences of a text; a text that very many rows have is numbered in ranges of `order`."""
+    return numbered(df.select(order, digest(F.col(text)).alias("digest")), order, "ordinal", ("digest",), rows).where("ordinal > 1").select(order, "ordinal")
 
 
 def count_hits(text: Column, keywords: list[str]) -> Column:
@@ -81,45 +80,77 @@ def adaptive_filter(df: DataFrame, order: str, vector: str, label: str, predicte
     discards by block of `every` rows are counted at that threshold, and a vector's first block end over the rate
     gives the place from which the lower threshold holds.
     """
-    ordered = numbered(df, order, "_row")
+    row, block, out, since = (fresh(df, n) for n in ("row", "block", "out", "since"))
+    ordered = numbered(df, order, row)
     ok = F.col(predicted) == F.col(label)
-    at_start = ordered.withColumn("_block", F.floor((F.col("_row") - 1) / every)).withColumn("_out", F.when(ok & (F.col(confidence) >= start), 0).otherwise(1))
-    blocks = at_start.groupBy(vector, "_block").agg(F.count("*").alias("n"), F.sum("_out").alias("out"))
-    ends = at_start.groupBy().agg(F.floor(F.max("_row") / every).alias("full"))
-    w = Window.partitionBy(vector).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    grid = blocks.select(vector).distinct().crossJoin(ends).select(vector, F.explode(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full").cast("long") - 1))).alias("_block"))
-    so_far = grid.join(blocks, [vector, "_block"], "left").fillna(0, ["n", "out"]).withColumn("n", F.sum("n").over(w)).withColumn("out", F.sum("out").over(w))
-    drops = so_far.where((F.col("n") > 0) & (F.col("out") > F.col("n") * rate)).groupBy(vector).agg((F.min("_block") + 1).alias("_from"))
+    at_start = ordered.withColumn(block, F.floor((F.col(row) - 1) / every)).withColumn(out, F.when(ok & (F.col(confidence) >= start), 0).otherwise(1))
+    blocks = at_start.groupBy(vector, block).agg(F.count("*").alias("n"), F.sum(out).alias("discarded"))
+    ends = at_start.groupBy().agg(F.floor(F.max(row) / every).alias("full"))
+    w = Window.partitionBy(vector).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
+    grid = blocks.select(vector).distinct().crossJoin(ends).select(vector, F.explode(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full").cast("long") - 1))).alias(block))
+    so_far = grid.join(blocks, [vector, block], "left").fillna(0, ["n", "discarded"]).withColumn("n", F.sum("n").over(w)).withColumn("discarded", F.sum("discarded").over(w))
+    drops = so_far.where((F.col("n") > 0) & (F.col("discarded") > F.col("n") * rate)).groupBy(vector).agg((F.min(block) + 1).alias(since))
     low = max(least, start - step)
-    joined = at_start.join(F.broadcast(drops), vector, "left")
-    threshold = F.when(F.col("_block") >= F.col("_from"), low).otherwise(start)
-    return joined.withColumn("kept", ok & (F.col(confidence) >= threshold)).drop("_row", "_block", "_out", "_from")
+    joined = at_start.join(F.broadcast(drops), vector, "left")  # a row a vector
+    threshold = F.when(F.col(block) >= F.col(since), low).otherwise(start)
+    return joined.withColumn("kept", ok & (F.col(confidence) >= threshold)).drop(row, block, out, since)
 
 
-def decontaminate(df: DataFrame, holdout: DataFrame, text: str = "text", mode: str = "exact", block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(df: DataFrame, holdout: DataFrame, text: str = "text", mode: str = "exact") -> DataFrame:
     """Drops rows whose stripped text equals a holdout text, or (mode contains) that contain one."""
+    d = fresh(df, "digest")
     if mode == "exact":
-        return df.join(holdout.select(digest(F.col(text)).alias("_h")).distinct(), digest(df[text]) == F.col("_h"), "left_anti")
-    passages = holdout.select(strip(F.col(text)).alias("_p")).where("_p <> ''").distinct()
-    size = passages.agg(F.sum(F.octet_length("_p")).alias("n")).first()["n"] or 0
-    blocks = -(-size // block_bytes) or 1
-    for b in range(blocks):  # each block of passages is of bounded size, and meets all rows
-        some = passages.where(F.pmod(F.xxhash64("_p"), F.lit(blocks)) == b)
-        df = df.join(F.broadcast(some), F.col(text).contains(F.col("_p")), "left_anti")
-    return df
+        return df.join(holdout.select(digest(F.col(text)).alias(d)).distinct(), digest(df[text]) == F.col(d), "left_anti")
+    found = containing(df.select(F.col(text).alias("text")), holdout.select(F.col(text).alias("text")))
+    return df.withColumn(d, F.sha2(F.col(text), 256)).join(found.withColumnRenamed("digest", d), d, "left_anti").select(df.columns)
+
+
+def containing(df: DataFrame, holdout: DataFrame) -> DataFrame:
+    """(digest) of the texts of df (text) that contain a stripped holdout text (text), as SHA-256.
+
+    Inner words of a passage are whole words of any text that contains it. So texts and passages meet on a passage's
+    first three inner words, and what meets is tested. Passages of fewer than five words have no such key: each block of
+    them, of bounded size, is tested on all texts.
+    """
+    passages = holdout.select(strip(F.col("text")).alias("passage")).where("passage <> ''").distinct()
+    three = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda k: F.xxhash64(F.slice(w, k, F.lit(3))))
+    words = passages.withColumn("w", tokens(F.col("passage")))
+    keyed = words.where(F.size("w") >= 5).select("passage", F.xxhash64(F.slice("w", 2, 3)).alias("key"))
+    texts = df.select("text", tokens(F.col("text")).alias("w"))
+    keys = texts.where(F.size("w") >= 3).select(F.sha2("text", 256).alias("digest"), F.explode(F.array_distinct(three(F.col("w")))).alias("key"))
+    met = keys.join(keyed, "key").select("digest", "passage").distinct()
+    found = df.withColumn("digest", F.sha2("text", 256)).join(met, "digest").where(F.col("text").contains(F.col("passage"))).select("digest")
+    short = words.where(F.size("w") < 5).select("passage")
+    size = short.agg(F.sum(F.octet_length("passage")).alias("n")).first()["n"] or 0
+    blocks = -(-size // (1 << 20))
+    for b in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
+        found = found.union(df.join(F.broadcast(some), F.col("text").contains(F.col("passage")), "left_semi").select(F.sha2("text", 256)))
+    return found.distinct()
 
 
 def md5_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
-def stratified_split(df: DataFrame, strata: str, key: str, test: float = 0.10, val: float = 0.1111, seed: int = 42) -> DataFrame:
-    """Adds split: of each stratum, in order of a seeded hash, the first round(n * test) rows are test, of the rest round(rest * val) val."""
+def stratified_split(df: DataFrame, strata: str, key: str, test: float = 0.10, val: float = 0.1111, seed: int = 42, rows: int = 250_000) -> DataFrame:
+    """Adds split: of each stratum, in order of a seeded hash, the first round(n * test) rows are test, of the rest round(rest * val) val.
+
+    A stratum is ranked in ranges of the hash, which is spread evenly, of about `rows` rows of the whole table.
+    """
+    h, part, rank, n, start = (fresh(df, c) for c in ("h", "part", "rank", "n", "start"))
+    parts = max(1, -(-df.count() // rows))
+    hashed = df.withColumn(h, md5_order(F.col(key), seed))
+    hashed = hashed.withColumn(part, F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)))
+    counts = hashed.groupBy(strata, part).agg(F.count("*").alias(n))
     w = Window.partitionBy(strata)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(md5_order(F.col(key), seed), key))).withColumn("_n", F.count("*").over(w))
-    n_test = F.floor(F.col("_n") * test + 0.5)
-    n_val = F.floor((F.col("_n") - n_test) * val + 0.5)
-    return ranked.withColumn("split", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")).drop("_r", "_n")
+    before = F.coalesce(F.sum(n).over(w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(strata).alias(f"{strata}_"), F.col(part).alias(f"{part}_"), before.alias(start), F.sum(n).over(w).alias(n))
+    ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(strata, part).orderBy(h, key)))
+    ranked = ranked.join(starts, F.col(strata).eqNullSafe(F.col(f"{strata}_")) & (F.col(part) == F.col(f"{part}_")))
+    at, n_test = F.col(start) + F.col(rank), F.floor(F.col(n) * test + 0.5)
+    n_val = F.floor((F.col(n) - n_test) * val + 0.5)
+    return ranked.select(*(df[c] for c in df.columns if c != "split"), F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train").alias("split"))
 
 
 def capped_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -147,8 +178,6 @@ def js_matrix(df: DataFrame, group: str, text: str) -> DataFrame:
     Only terms shift between groups: per pair the distance needs sums over terms that both hold; the rest of each side
     has mass 1 minus what is shared, and contributes that mass times ln 2. Pairs meet on terms after counting.
     """
-    from ..functions.text import tokens
-
     words = df.select(group, F.explode(tokens(F.lower(text))).alias("term"))
     counts = words.groupBy(group, "term").agg(F.count("*").alias("n"))
     total = counts.groupBy(group).agg(F.sum("n").alias("t"))
@@ -163,27 +192,59 @@ def js_matrix(df: DataFrame, group: str, text: str) -> DataFrame:
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(jsd).alias("jsd"))
 
 
-def tfidf(docs: DataFrame, key: str, text: str, top: int = 10_000) -> DataFrame:
-    """(key, term, w): L2-normalised TF-IDF of word 1- and 2-grams, the `top` terms by corpus frequency (ties by term)."""
-    words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("t"))
-    two = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = words.select(key, F.explode(F.concat("t", two)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(top).select("term", "df")
-    n = docs.select(F.count("*").alias("n"))
-    w = tf.join(F.broadcast(kept), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+def terms(text: Column) -> Column:
+    """The word 1- and 2-grams of a text, words of two letters, digits or underscores at least."""
+    t = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    two = lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(t) > 1, F.concat(t, two(t))).otherwise(t)
+
+
+def _frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf). Texts are dealt by key before they are split, so what is counted per key needs no shuffle after."""
+    return docs.select(key, text).repartition(key).select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def idf(*sides: tuple[DataFrame, str, str], top: int = 10_000) -> DataFrame:
+    """(term, idf, df) of the `top` terms by frequency (ties by term) in the texts of all sides (rows, key, text) together."""
+    counted = [_frequencies(*s).select("term", "tf") for s in sides]
+    n = [s[0].select(F.count("*").alias("n")) for s in sides]
+    for k in range(1, len(sides)):
+        counted[0], n[0] = counted[0].union(counted[k]), n[0].union(n[k])
+    kept = counted[0].groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(top)
+    total = n[0].agg(F.sum("n").alias("n"))
+    return kept.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
+
+
+def tfidf(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
+    """(key, term, w, df): L2-normalised TF-IDF by the terms of `weights`, which idf bounds in number."""
+    w = _frequencies(docs, key, text).join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("w"))
+    return w.select(key, "term", (F.col("w") / norm).alias("w"), "df")
+
+
+def _prefix(w: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, term): a text's rarest terms, until those left over can't reach the threshold on their own."""
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing))
+    return w.withColumn("rest", rest).where(F.sqrt("rest") >= threshold - 1e-6).select(key, "term")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float) -> DataFrame:
-    """(left_key, right_key, similarity) at or over the threshold: cosine of TF-IDF fitted on both sides together.
+    """(left_key, right_key, similarity) at or over the threshold: cosine of TF-IDF fitted on both sides together. Keys are unique.
 
-    A join on terms; terms that only one side holds count for norms and never meet.
+    Two texts that are so similar share a term among the rarest of each, so only those that do meet; their terms are
+    then joined whole.
     """
-    side = lambda df, key, s: df.select(F.concat(F.lit(s), F.col(key).cast("string")).alias("_k"), F.col(key).alias("_id"), F.col(text))
-    both = side(left, left_key, "l").unionByName(side(right, right_key, "r"))
-    w = tfidf(both.withColumn("_k", F.concat_ws(":", "_k")), "_k", text)
-    one, two = w.where(F.col("_k").startswith("l")), w.where(F.col("_k").startswith("r"))
-    pairs = one.select(F.col("_k").alias("i"), "term", F.col("w").alias("wi")).join(two.select(F.col("_k").alias("j"), "term", F.col("w").alias("wj")), "term")
+    sides = [(df.select(F.col(k).alias(name), F.col(text).alias("text")), name, "text") for df, k, name in ((left, left_key, "i"), (right, right_key, "j"))]
+    weights = idf(*sides)
+    one, two = (tfidf(*s, weights) for s in sides)
+    met = _prefix(one, "i", threshold).join(_prefix(two, "j", threshold), "term").select("i", "j").distinct()
+    pairs = met.join(two.select("j", "term", F.col("w").alias("wj")), "j").join(one.select("i", "term", F.col("w").alias("wi")), ["i", "term"])
     scored = pairs.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return scored.select(F.substring("i", 2, 30).cast("long").alias(left_key), F.substring("j", 2, 30).cast("long").alias(right_key), "similarity")
+    return scored.select(F.col("i").alias(left_key), F.col("j").alias(right_key), "similarity")
+
+
+def similarity_counts(pairs: DataFrame, *levels: float) -> DataFrame:
+    """(level, n_pairs): how many pairs are over each level."""
+    counts = pairs.agg(*(F.count_if(F.col("similarity") > x).alias(str(k)) for k, x in enumerate(levels)))
+    rows = F.array(*(F.struct(F.lit(x).alias("level"), F.col(str(k)).alias("n_pairs")) for k, x in enumerate(levels)))
+    return counts.select(F.inline(rows))

@@ -139,7 +139,26 @@ def running_means(df: DataFrame, epoch: str, batch: str, value: str, every: int
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:
     """p50, p95 (exact, interpolated) and mean by group."""
-    return df.groupBy(by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.avg(value).alias("mean"))
+    mean = df.groupBy(by).agg(F.avg(value).alias("mean"))
+    return percentiles(df, by, value, {"p50": 0.5, "p95": 0.95}).join(mean, by)
+
+
+def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, name ...): exact percentiles, interpolated between neighbours; nulls are left out.
+
+    Equal values are counted first; running totals then tell at which ranks each value stands, so no group's values are
+    held together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    total = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    ranked = running_total(counts, "v", F.col("c"), "before", ("g",)).join(total, "g")
+    out = []
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * F.lit(share)
+        holds = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("c")), F.col("v")))
+        part = F.max(at - F.floor(at))
+        out.append((holds(F.floor(at)) * (1 - part) + holds(F.ceil(at)) * part).alias(name))
+    return ranked.groupBy(F.col("g").alias(by)).agg(*out)
 
 
 def rank_candidates(df: DataFrame, name: str = "name") -> DataFrame:

@@ -2,27 +2,79 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, order: str, value: Column, name: str, buckets: int = 256) -> DataFrame:
-    """Adds the sum of `value` over the rows before each row, in order of a numeric column without nulls or repeats.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
-    The column is cut into ranges at approximate quantiles; windows run within ranges, and each range's start is the
-    total of those before it: at most `buckets` rows, which is what is broadcast and what the one global window sees.
+def _above(cuts: list, c: Column) -> Column:
+    """How many of the sorted cuts are smaller than c, by halving."""
+    if not cuts:
+        return F.lit(0)
+    k = len(cuts) // 2
+    right = F.lit(len(cuts)) if k + 1 == len(cuts) else _above(cuts[k + 1 :], c) + F.lit(k + 1)
+    return F.when(c > F.lit(cuts[k]), right).otherwise(_above(cuts[:k], c))
+
+
+def range_of(df: DataFrame, order: str, rows: int = 250_000, most: int = 1 << 16) -> Column:
+    """The number of a row's range of a numeric column: ranges of about `rows` rows, at approximate quantiles.
+
+    Many ranges are found in two steps, so that an expression has about two times the root of their number.
     """
-    cuts = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)]).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("_b", bucket).withColumn("_v", value)
-    totals = rows.groupBy("_b").agg(F.sum("_v").alias("_t"))
-    start = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_b", start.alias("_s"))
-    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_own", own).join(F.broadcast(starts), "_b").withColumn(name, F.col("_s") + F.col("_own")).drop("_b", "_v", "_own", "_s")
-
-
-def numbered(df: DataFrame, order: str, name: str = "row") -> DataFrame:
-    """Adds 1, 2, ... in order of a unique numeric column."""
-    return running_total(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
+    n = min(most, max(1, math.ceil(df.count() / rows)))
+    if n == 1:
+        return F.lit(0)
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] or []))
+    step = max(1, math.isqrt(len(cuts)))
+    coarse = _above(cuts[step - 1 :: step], F.col(order))
+    if len(cuts) <= 256:
+        return _above(cuts, F.col(order))
+    fine = F.element_at(F.array(*(F.array(*map(F.lit, cuts[k : k + step])) for k in range(0, len(cuts) + step, step))), (coarse + 1).cast("int"))
+    return coarse * step + F.size(F.filter(fine, lambda x: x < F.col(order)))
+
+
+def running_totals(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), rows: int = 250_000) -> DataFrame:
+    """Adds, by name, the sum of each value over the rows before each row, in order of a numeric column without nulls; within `by` it has no repeats.
+
+    The column is cut into ranges; windows run within the ranges, and each range's start is the total of those before
+    it. Without `by` that is a row for each range, which one small window sees; with it, a row for each group and range,
+    joined like any other table.
+    """
+    part, own = fresh(df, "part"), {name: fresh(df, f"own_{name}") for name in values}
+    cut = df.withColumn(part, range_of(df, order, rows))
+    for name, value in values.items():
+        cut = cut.withColumn(own[name], value)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*by, part]
+    totals = cut.groupBy(*keys).agg(*(F.sum(o).alias(o) for o in own.values()))
+    over = (Window.partitionBy(*by) if by else Window).orderBy(part)
+    starts = totals.select(*keys, *(earlier(o, over).alias(f"{o}_start") for o in own.values()))
+    within = Window.partitionBy(*keys).orderBy(order)
+    out = cut.select("*", *(earlier(o, within).alias(f"{o}_before") for o in own.values()))
+    out = out.join(starts if by else F.broadcast(starts), keys)
+    return out.select(*df.columns, *((F.col(f"{o}_start") + F.col(f"{o}_before")).alias(name) for name, o in own.items()))
+
+
+def running_total(df: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = (), rows: int = 250_000) -> DataFrame:
+    """running_totals of one value."""
+    return running_totals(df, order, {name: value}, by, rows)
+
+
+def numbered(df: DataFrame, order: str, name: str = "row", by: tuple[str, ...] = (), rows: int = 250_000) -> DataFrame:
+    """Adds 1, 2, ... in order of a numeric column that is unique within `by`."""
+    return running_total(df, order, F.lit(1).cast("long"), name, by, rows).withColumn(name, F.col(name) + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, tokens
 from ..operators import curate
+from ..operators.ordering import spread
 
 #: Keywords that the driver's prose holds, by vector; fixed for both engines.
 LEXICON = {"en": ["thnt", "ingth", "ererre"], "fr": ["eaupa", "tionre", "ouche"], "de": ["schen", "ungbe", "keitü"], "es": ["ciónos", "mente", "quede"]}
@@ -18,16 +19,21 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents where their texts are read."""
+    return spread(_docs(spark, d))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    return _docs(spark, d).join(labels, "doc_id").withColumn("label", F.when(F.col("toxic") == 1, "scam").otherwise("safe"))
+    return _texts(spark, d).join(labels, "doc_id").withColumn("label", F.when(F.col("toxic") == 1, "scam").otherwise("safe"))
 
 
 LABELLED = "labelled AS (SELECT d.*, l.quality, l.toxic, CASE WHEN l.toxic = 1 THEN 'scam' ELSE 'safe' END AS label FROM documents d JOIN labels l USING (doc_id))"
 
 
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", "lang", "text", n_tokens(F.col("text")).alias("n_tokens"))
+    rows = _texts(spark, d).select("doc_id", "lang", "text", n_tokens(F.col("text")).alias("n_tokens"))
     return curate.dedup_keep_first(rows, "text", "doc_id", ["doc_id", "lang", "n_tokens"]).where("n_tokens >= 15")
 
 
@@ -38,7 +44,7 @@ SELECT doc_id, lang, n_tokens FROM (
 
 
 def dedup_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", "lang", "text", n_tokens(F.col("text")).alias("n_tokens"))
+    rows = _texts(spark, d).select("doc_id", "lang", "text", n_tokens(F.col("text")).alias("n_tokens"))
     first = curate.dedup_keep_first(rows, "text", "doc_id", ["doc_id", "lang", "n_tokens"])
     after = first.groupBy("lang").agg(F.count("*").alias("distinct_rows"), F.count_if(F.col("n_tokens") >= 15).alias("kept"))
     before = rows.groupBy("lang").agg(F.count("*").alias("n_rows"))
@@ -52,7 +58,7 @@ SELECT lang, n_rows, n_rows - u AS removed, CAST(kept AS BIGINT) AS kept FROM b
 
 
 def duplicate_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    return curate.duplicate_ordinals(_docs(spark, d), "text", "doc_id").select("doc_id", F.col("ordinal").cast("long"))
+    return curate.duplicate_ordinals(_texts(spark, d), "text", "doc_id").select("doc_id", F.col("ordinal").cast("long"))
 
 
 ORDINALS_SQL = f"SELECT doc_id, r AS ordinal FROM (SELECT doc_id, row_number() OVER (PARTITION BY {STRIP} ORDER BY doc_id) AS r FROM documents) WHERE r > 1"
@@ -101,13 +107,13 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def split_integrity_gate(spark: SparkSession, d: str) -> DataFrame:
     """Stripped texts that both train and test hold."""
-    s = split_of(_docs(spark, d)).select("split", curate.digest(F.col("text")).alias("t")).where("split <> 'val'")
+    s = split_of(_texts(spark, d)).select("split", curate.digest(F.col("text")).alias("t")).where("split <> 'val'")
     both = s.groupBy("t").agg(F.countDistinct("split").alias("n")).where("n = 2")
     return both.agg(F.count("*").alias("v")).select(*gate("overlap", F.col("v"), 0.0, 0.0))
 
 
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select(curate.digest(F.col("text")).alias("t"), n_tokens(F.col("text")).alias("n"))
+    rows = _texts(spark, d).select(curate.digest(F.col("text")).alias("t"), n_tokens(F.col("text")).alias("n"))
     per = rows.groupBy("t").agg(F.count("*").alias("c"), F.count_if(F.col("n") < 15).alias("short"))
     return per.agg((F.sum("c") - F.count("*")).alias("duplicates"), F.sum("short").alias("short"))
 
@@ -126,7 +132,7 @@ HITS = "CASE " + " ".join(f"WHEN lang = '{k}' THEN {_hits(w)}" for k, w in LEXIC
 
 
 def vector_argmax(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", curate.infer_vector(F.col("text"), LEXICON).alias("vector"))
+    return _texts(spark, d).select("doc_id", curate.infer_vector(F.col("text"), LEXICON).alias("vector"))
 
 
 _ARR = "[" + ", ".join(_hits(w) for w in LEXICON.values()) + "]"
@@ -140,22 +146,22 @@ def review_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Unigram counts and shares by language, of terms that occur five times or more there."""
-    words = _docs(spark, d).select("lang", F.explode(tokens(F.lower("text"))).alias("term"))
+    """Unigram counts and shares by language."""
+    words = _texts(spark, d).select("lang", F.explode(tokens(F.lower("text"))).alias("term"))
     counts = words.groupBy("lang", "term").agg(F.count("*").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("t"))
-    return counts.join(F.broadcast(total), "lang").where("n >= 5").select("lang", "term", "n", F.round(F.col("n") / F.col("t"), 9).alias("share"))
+    return counts.join(F.broadcast(total), "lang").select("lang", "term", "n", F.round(F.col("n") / F.col("t"), 9).alias("share"))
 
 
 TERMS = f"terms AS (SELECT lang, unnest({WORDS.replace('(text', '(lower(text)')}) AS term FROM documents), counts AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL), totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS t FROM counts GROUP BY lang)"
 
 
 def vocabulary_size(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(tokens(F.lower("text"))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
+    return _texts(spark, d).select(F.explode(tokens(F.lower("text"))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
 
 
 def js_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return curate.js_matrix(_docs(spark, d), "lang", "text").select("a", "b", F.round("jsd", 6).alias("jsd"))
+    return curate.js_matrix(_texts(spark, d), "lang", "text").select("a", "b", F.round("jsd", 6).alias("jsd"))
 
 
 JS = f"""{TERMS}, p AS (SELECT lang, term, n / t AS p FROM counts JOIN totals USING (lang)),
@@ -166,16 +172,16 @@ js AS (SELECT a, b, sqrt(greatest(0, sum(CASE WHEN coalesce(x.p, 0) > 0 THEN x.p
 
 
 def js_min_pair(spark: SparkSession, d: str) -> DataFrame:
-    m = curate.js_matrix(_docs(spark, d), "lang", "text").where("a < b").withColumn("jsd", F.round("jsd", 6))
+    m = curate.js_matrix(_texts(spark, d), "lang", "text").where("a < b").withColumn("jsd", F.round("jsd", 6))
     return m.agg(F.min_by(F.struct("a", "b", "jsd"), F.struct("jsd", "a", "b")).alias("r")).select("r.*")
 
 
 def exact_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    return curate.decontaminate(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"), mode="exact").select("doc_id")
+    return curate.decontaminate(_texts(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"), mode="exact").select("doc_id")
 
 
 def contains_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    return curate.decontaminate(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"), mode="contains").select("doc_id")
+    return curate.decontaminate(_texts(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"), mode="contains").select("doc_id")
 
 
 def tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +214,7 @@ def sample_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def augmented(spark: SparkSession, d: str) -> DataFrame:
-    return curate.augment(_docs(spark, d).select("doc_id", "text"), "text", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_variants"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).alias("n_stops"))
+    return curate.augment(_texts(spark, d).select("doc_id", "text"), "text", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_variants"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).alias("n_stops"))
 
 
 _COIN = lambda s: f"(CAST('0x' || md5(CAST(doc_id AS VARCHAR) || '{s}:42')[1:8] AS BIGINT) % 10)"
@@ -233,11 +239,11 @@ def quota_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def holdout_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Languages by whether validation has rows of them that training lacks (set difference both ways)."""
-    s = split_of(_docs(spark, d).select("doc_id", "lang", "source"))
-    key = F.concat_ws("/", "lang", "source")
-    a, b = s.where("split = 'val'").select(key.alias("k")).distinct(), s.where("split = 'test'").select(key.alias("k")).distinct()
-    return a.exceptAll(b).withColumn("only", F.lit("val")).union(b.exceptAll(a).withColumn("only", F.lit("test")))
+    """Kinds of documents (language, source, length) that test has and training lacks, and the other way round."""
+    s = split_of(_docs(spark, d).select("doc_id", "lang", "source", "n_chars"))
+    key = F.concat_ws("/", "lang", "source", F.floor(F.col("n_chars") / 500).cast("string"))
+    a, b = (s.where(F.col("split") == x).select(key.alias("k")).distinct() for x in ("train", "test"))
+    return a.exceptAll(b).withColumn("only", F.lit("train")).union(b.exceptAll(a).withColumn("only", F.lit("test")))
 
 
 QUERIES = {
@@ -254,7 +260,7 @@ QUERIES = {
     "keyword_consistency": (keyword_consistency, f"WITH {LABELLED}, k AS (SELECT lang, label, label = 'safe' OR {HITS} >= 2 AS k FROM labelled) SELECT lang, label, CAST(count_if(k) AS BIGINT) AS kept, CAST(count_if(NOT k) AS BIGINT) AS discarded FROM k GROUP BY ALL"),
     "vector_argmax": (vector_argmax, ARGMAX_SQL),
     "review_sample": (review_sample, f"WITH {LABELLED}, k AS (SELECT lang, doc_id, replace(text[1:80], chr(10), ' ') AS preview, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS rank FROM labelled WHERE NOT (label = 'safe' OR {HITS} >= 2)) SELECT lang, rank, doc_id, preview FROM k WHERE rank <= 20"),
-    "token_counts": (token_counts, f"WITH {TERMS} SELECT lang, term, n, round(n / t, 9) AS share FROM counts JOIN totals USING (lang) WHERE n >= 5"),
+    "token_counts": (token_counts, f"WITH {TERMS} SELECT lang, term, n, round(n / t, 9) AS share FROM counts JOIN totals USING (lang)"),
     "vocabulary_size": (vocabulary_size, f"WITH {TERMS} SELECT count(DISTINCT term) AS n_terms FROM terms"),
     "js_matrix": (js_matrix, f"WITH {JS} SELECT a, b, CASE WHEN a = b THEN 0 ELSE round(jsd, 6) END AS jsd FROM js"),
     "js_min_pair": (js_min_pair, f"WITH {JS} SELECT a, b, round(jsd, 6) AS jsd FROM js WHERE a < b ORDER BY 3, 1, 2 LIMIT 1"),
@@ -266,5 +272,5 @@ QUERIES = {
     "augmented": (augmented, AUGMENT_SQL),
     "target_attainment": (target_attainment, "SELECT lang, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / target, 6) AS pct, CASE WHEN coalesce(n, 0) * 100 / target >= 80 THEN 'OK' ELSE 'LOW' END AS status FROM (VALUES ('en', 500), ('fr', 200), ('de', 100), ('it', 50)) t(lang, target) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)"),
     "quota_plan": (quota_plan, "WITH h AS (SELECT CASE WHEN lang = 'fr' THEN 'romance_grooming' ELSE lang END AS vector, greatest(20000 - count(*), 0) AS remaining FROM documents GROUP BY ALL), l AS (SELECT vector, remaining, CAST(floor(remaining * CASE WHEN vector = 'romance_grooming' THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END) AS BIGINT) AS local FROM h), f AS (SELECT *, CAST(floor((remaining - local) * 0.4::DOUBLE) AS BIGINT) AS flash FROM l) SELECT *, remaining - local - flash AS lite FROM f"),
-    "holdout_overlap": (holdout_overlap, f"WITH {SPLIT}, k AS (SELECT DISTINCT split, s.lang || '/' || source AS k FROM splits s JOIN documents USING (doc_id)) SELECT k, 'val' AS only FROM k WHERE split = 'val' AND k NOT IN (SELECT k FROM k WHERE split = 'test') UNION ALL SELECT k, 'test' FROM k WHERE split = 'test' AND k NOT IN (SELECT k FROM k WHERE split = 'val')"),
+    "holdout_overlap": (holdout_overlap, f"WITH {SPLIT}, k AS (SELECT DISTINCT split, s.lang || '/' || source || '/' || n_chars // 500 AS k FROM splits s JOIN documents USING (doc_id)) SELECT k, 'train' AS only FROM k WHERE split = 'train' AND k NOT IN (SELECT k FROM k WHERE split = 'test') UNION ALL SELECT k, 'test' FROM k WHERE split = 'test' AND k NOT IN (SELECT k FROM k WHERE split = 'train')"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evalmetrics
-from ..operators.ordering import numbered, running_total
+from ..operators.ordering import numbered, running_totals
 from .corpus import LABELLED, _docs, _labelled
 from .metrics import _CELLS, PREDICTED, predicted
 
@@ -45,8 +45,9 @@ def model_consistency(spark, d) -> DataFrame:
 def progress_rates(spark, d) -> DataFrame:
     """Share kept so far, at every 100th labelled row by id."""
     rows = predicted(spark, d).select("doc_id", ((F.col("score") > 0.5).cast("int") == F.col("label")).cast("int").alias("ok"))
-    run = running_total(numbered(rows, "doc_id", "r"), "doc_id", F.col("ok"), "before").withColumn("kept", F.col("before") + F.col("ok"))
-    return run.where("r % 100 = 0").select(F.col("r").cast("long").alias("n_rows"), F.round(F.col("kept") / F.col("r"), 6).alias("rate"))
+    run = running_totals(rows, "doc_id", {"r": F.lit(1).cast("long"), "kept": F.col("ok")})
+    run = run.select((F.col("r") + 1).alias("n_rows"), (F.col("kept") + F.col("ok")).alias("kept")).where("n_rows % 100 = 0")
+    return run.select("n_rows", F.round(F.col("kept") / F.col("n_rows"), 6).alias("rate"))
 
 
 def head_fraction(spark, d) -> DataFrame:

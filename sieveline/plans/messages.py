@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fusion, scoring
 from ..functions.text import has_homoglyphs, normalized
+from ..operators.ordering import spread
 
 #: Message templates by key; {n} is the order's key.
 TEMPLATES = (
@@ -87,12 +88,6 @@ fused AS (SELECT *, greatest(coalesce(vis, 0), coalesce(txt, 0)) AS score,
 _LEVEL = lambda c: f"CASE WHEN {c} < 0.3 THEN 'low' WHEN {c} < 0.5 THEN 'medium' WHEN {c} < 0.7 THEN 'high' ELSE 'critical' END"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, msg, t, homoglyph, hit_... by rule, n_<family> ...): each rule runs once, in a projection of its own."""
     m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))

@@ -114,8 +114,8 @@ def class_weights(spark, d):
 
 
 def running_loss(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 97 < 3").groupBy((F.col("l_orderkey") % 97).alias("epoch"), "l_orderkey").agg(F.avg("l_discount").alias("loss"))
-    return _r(evalmetrics.running_means(rows.withColumnRenamed("l_orderkey", "batch"), "epoch", "batch", "loss", 5), "running")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 97).alias("epoch"), "l_orderkey").agg(F.avg("l_discount").alias("loss"))
+    return _r(evalmetrics.running_means(rows.withColumnRenamed("l_orderkey", "batch"), "epoch", "batch", "loss"), "running")
 
 
 def latency_percentiles(spark, d):
@@ -173,9 +173,9 @@ def recent_30d_window(spark, d):
 
 
 def _families(spark, d) -> DataFrame:
-    """Users with a family by key; every seventh has none."""
+    """Users with a family of up to six by key; every seventh has none."""
     u = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
-    return u.withColumn("family_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 12))
+    return u.withColumn("family_id", F.when(F.col("user_id") % 7 != 0, F.floor(F.col("user_id") / 7)))
 
 
 def family_visibility(spark, d):
@@ -212,15 +212,15 @@ QUERIES = {
     "distillation_loss": (distillation_loss, DISTILL_SQL),
     "dual_head_loss": (dual_head_loss, DUAL_SQL),
     "class_weights": (class_weights, f"WITH {PREDICTED} SELECT label, round((SELECT count(*) FROM p) / (2 * count(*)), 6) AS weight FROM p GROUP BY label"),
-    "running_loss": (running_loss, "WITH b AS (SELECT l_orderkey % 97 AS epoch, l_orderkey AS batch, avg(l_discount) AS loss FROM lineitem WHERE l_orderkey % 97 < 3 GROUP BY ALL), r AS (SELECT epoch, batch, avg(loss) OVER (PARTITION BY epoch ORDER BY batch ROWS UNBOUNDED PRECEDING) AS running FROM b) SELECT epoch, batch, round(running, 6) AS running FROM r WHERE batch % 5 = 0"),
+    "running_loss": (running_loss, "WITH b AS (SELECT l_orderkey % 97 AS epoch, l_orderkey AS batch, avg(l_discount) AS loss FROM lineitem GROUP BY ALL), r AS (SELECT epoch, batch, avg(loss) OVER (PARTITION BY epoch ORDER BY batch ROWS UNBOUNDED PRECEDING) AS running FROM b) SELECT epoch, batch, round(running, 6) AS running FROM r WHERE batch % 50 = 0"),
     "latency_percentiles": (latency_percentiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1"),
     "rank_candidates": (rank_candidates, "WITH c AS (SELECT p_brand AS name, round(avg(p_size) / 50 + 1e-9::DOUBLE, 2) AS f1, min(p_size) AS size, round(quantile_cont(p_retailprice, 0.5), 4) AS p50, count(*) % 5 <> 0 AS passed FROM part GROUP BY 1) SELECT name, f1, size, p50, CAST(row_number() OVER (ORDER BY f1 DESC, size, p50, name) AS INT) AS rank, NULL::VARCHAR AS reason FROM c WHERE passed UNION ALL SELECT name, f1, size, p50, NULL, 'validation failed' FROM c WHERE NOT passed"),
     "activity_counters": (activity_counters, f"WITH {LOG} SELECT user_id, CAST(count_if(kind IN ('scam', 'safe')) AS BIGINT) AS total_scans, CAST(count_if(kind = 'scam') AS BIGINT) AS scams, CAST(count_if(kind = 'report') AS BIGINT) AS reports, CAST(count_if(kind = 'open') AS BIGINT) AS opens, strftime(max(CASE WHEN kind <> 'report' THEN ts END), '%Y-%m-%d %H:%M:%S') AS last_active, CAST(least(100, 5 * count_if(kind = 'scam')) AS BIGINT) AS risk_no_decay FROM e GROUP BY user_id"),
     "active_days": (active_days, f"WITH {LOG}, l AS (SELECT user_id, kind, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e WHERE kind <> 'report') SELECT user_id, CAST(1 + count_if(kind = 'open' AND before IS NOT NULL AND before <> day) AS BIGINT) AS active_days FROM l GROUP BY user_id"),
     "activity_fold_decay": (activity_fold_decay, FOLD_SQL),
     "recent_window": (recent_30d_window, f"WITH {LOG}, s AS (SELECT user_id, event_id, kind, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM e WHERE kind IN ('scam', 'safe')) SELECT user_id, event_id, CAST(count_if(kind = 'scam') OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS BIGINT) AS scams_in_window FROM s"),
-    "family_visibility": (family_visibility, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 12 END AS f FROM events) SELECT a.user_id AS reader, b.user_id FROM u a JOIN u b ON a.user_id = b.user_id OR a.f = b.f"),
-    "family_removal": (family_removal, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id % 12 END AS f FROM events) SELECT count(*) FILTER (f IS NULL OR f % 5 = 0) AS without, count(*) FILTER (f IS NOT NULL AND f % 5 <> 0) AS members, count(DISTINCT f) FILTER (f % 5 <> 0) AS families FROM u"),
+    "family_visibility": (family_visibility, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id // 7 END AS f FROM events) SELECT a.user_id AS reader, b.user_id FROM u a JOIN u b ON a.user_id = b.user_id OR a.f = b.f"),
+    "family_removal": (family_removal, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id // 7 END AS f FROM events) SELECT count(*) FILTER (f IS NULL OR f % 5 = 0) AS without, count(*) FILTER (f IS NOT NULL AND f % 5 <> 0) AS members, count(DISTINCT f) FILTER (f % 5 <> 0) AS families FROM u"),
     "membership_actions": (membership_actions, "WITH u AS (SELECT DISTINCT user_id, user_id % 7 <> 0 AS has, ['create', 'join', 'leave', 'remove', 'delete', 'regenerate'][user_id % 6 + 1] AS action FROM events) SELECT user_id, action, CASE WHEN action IN ('create', 'join') AND has THEN 'already in a family' WHEN action IN ('remove', 'delete', 'regenerate') AND user_id % 4 <> 0 THEN 'not the admin' WHEN action = 'remove' AND user_id % 8 = 0 THEN 'admin can''t remove self' WHEN action = 'leave' AND user_id % 4 = 0 THEN 'admin can''t leave' ELSE 'ok' END AS reason, CASE WHEN user_id % 4 = 0 THEN 'admin' ELSE 'member' END AS role, user_id % 4 = 0 AS can_invite, user_id % 4 <> 0 AS can_leave FROM u"),
 }
 
