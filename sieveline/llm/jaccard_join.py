@@ -106,27 +106,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.arrow_udf(run, "double")(a, b)
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 11) -> np.ndarray:
     """How many shingles each set of a shares with each set of b, by products of 0/1 matrices of bounded width."""
     out = np.zeros((len(a), len(b)), np.float32)
-    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(flat_a, flat_b)
-    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-
-    def placed(flat: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(common):
-            return flat[:0].astype(np.int64), row[:0]
-        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-        own = common[at] == flat
-        return at[own], row[own]
-
-    (at_a, row_a), (at_b, row_b) = placed(flat_a, row_a), placed(flat_b, row_b)
+    flat = [np.concatenate(s) for s in (a, b)]
+    common = np.intersect1d(*flat)
+    if not len(common):
+        return out
+    sides = []
+    for s, f in zip((a, b), flat, strict=True):
+        row = np.repeat(np.arange(len(s), dtype=np.int32), [len(x) for x in s])
+        at = np.minimum(np.searchsorted(common, f), len(common) - 1)
+        own = common[at] == f
+        at, row = at[own], row[own]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], len(s)))
     for lo in range(0, len(common), columns):
-        wide = min(columns, len(common) - lo)
-        m = [np.zeros((n, wide), np.float32) for n in (len(a), len(b))]
-        for x, at, row in ((m[0], at_a, row_a), (m[1], at_b, row_b)):
-            own = (at >= lo) & (at < lo + wide)
-            x[row[own], at[own] - lo] = 1
+        wide, m = min(columns, len(common) - lo), []
+        for at, row, n in sides:
+            own = slice(*np.searchsorted(at, (lo, lo + wide)))
+            m.append(np.zeros((n, wide), np.float32))
+            m[-1][row[own], at[own] - lo] = 1
         out += m[0] @ m[1].T
     return out
 

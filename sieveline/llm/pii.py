@@ -272,16 +272,19 @@ def train(df: DataFrame, text: str = "text", least: float = 0.5, per_pattern: in
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
+def spans_of(model: Model, text: str | None) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, base) of a text, by start, then by kind as in KINDS; offsets are code points."""
+    text = text or ""
+    kept = [(k, s, e, b) for k, s, e, b, v in candidates(text) if b or model.probability(text, k, s, e, v) >= model.least]
+    return sorted(kept, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
 def finder(model: Model):
-    """An Arrow function from texts to their spans, by start, then by kind as in KINDS; offsets are code points."""
+    """An Arrow function from texts to their spans, SPAN."""
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def find(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts.to_pylist():
-            kept = [{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b, v in candidates(t or "") if b or model.probability(t, k, s, e, v) >= model.least]
-            rows.append(sorted(kept, key=lambda x: (x["start"], KINDS.index(x["kind"]))))
-        return pa.array(rows, kind_of)
+        return pa.array([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in spans_of(model, t)] for t in texts.to_pylist()], kind_of)
 
     return F.arrow_udf(find, SPAN)
 
@@ -303,22 +306,22 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null; an empty table gives no rows; other columns stay as they are.
     """
     bound_batches(df.sparkSession)
-    spans = finder(train(df, text))(F.col(text))
+    model = train(df, text)
 
-    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> pa.Array:
         out = []
-        for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if found:
+        for t in texts.to_pylist():
+            if found := spans_of(model, t):
                 parts, at = [], 0
-                for x in found:
-                    if x["start"] >= at:
-                        parts += [t[at : x["start"]], f"<{x['kind'].upper()}>"]
-                    at = max(at, x["end"])
+                for kind, start, end, _ in found:
+                    if start >= at:
+                        parts += [t[at:start], f"<{kind.upper()}>"]
+                    at = max(at, end)
                 t = "".join([*parts, t[at:]])
             out.append(t)
         return pa.array(out, pa.string())
 
-    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(text), spans))
+    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(text)))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
