@@ -92,8 +92,13 @@ def pack_rows(keys: list[np.ndarray], values: list[np.ndarray], ranges: int) ->
     return part[np.append(0, cut)].tolist() if len(order) else [], out
 
 
+def rows_in(data: bytes) -> int:
+    """How many rows a packed row holds."""
+    return int.from_bytes(data[:4], "little")
+
+
 def unpack_rows(data: bytes, keys: int, values: int) -> list[np.ndarray]:
-    n, raw, at, out = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:]), 0, []
+    n, raw, at, out = rows_in(data), zstandard.decompress(data[4:]), 0, []
     for kind in [np.int64] * keys + [np.uint32] * values:
         size = n * np.dtype(kind).itemsize
         out.append(np.cumsum(_unpacked(raw[at : at + size], kind), dtype=kind))
@@ -173,7 +178,7 @@ def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
 
 
 def shared_anchors(buckets: int, ranges: int):
-    """An applyInArrow function over a bucket's blobs: packed (k, place) of the anchors that other texts have too, by range of k.
+    """An applyInArrow function over a bucket's blobs: packed (k, place), n in a row, of the anchors that other texts have too, by range of k.
 
     Under range -1, packed (anchor, number of places) of those that are at FREQUENT places or more.
     """
@@ -211,7 +216,7 @@ def shared_anchors(buckets: int, ranges: int):
         if len(often[0]):
             data += pack_rows([often[0]], [often[1]], 1)[1]
             found = [*found, -1]
-        return pa.table({"range": pa.array(found, pa.int32()), "data": pa.array(data, pa.binary())})
+        return pa.table({"range": pa.array(found, pa.int32()), "n": pa.array([rows_in(d) for d in data], pa.int64()), "data": pa.array(data, pa.binary())})
 
     return find
 
@@ -398,11 +403,6 @@ def removal():
     return F.arrow_udf(remove, "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
 
 
-def packed_length(column: str) -> F.Column:
-    """How many rows a packed row holds."""
-    return F.conv(F.hex(F.reverse(F.substring(column, 1, 4))), 16, 10).cast("long")
-
-
 def most_frequent(candidates: DataFrame, size: int) -> np.ndarray:
     """The anchors at FREQUENT places or more, and at a millionth of all bytes or more: so at most MOST_FREQUENT."""
     least = max(FREQUENT, size / MOST_FREQUENT)
@@ -433,10 +433,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bits = min(64, max(36, size.bit_length() + 12))
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
     blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, hashes binary, owners binary, places binary, keys binary")
-    candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, data binary"), "candidates")
+    candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, n long, data binary"), "candidates")
     frequent = most_frequent(candidates, size)
 
-    n = candidates.where("range >= 0").select(F.sum(packed_length("data")).alias("n")).first()["n"] or 0
+    n = candidates.where("range >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     lots = n_partitions(spark, int(n), 60_000)
     by_text = candidates.where("range >= 0").groupBy("range").applyInArrow(merger(1, 1, ["k", "places"]), "k long, places binary")
     aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
