@@ -97,11 +97,14 @@ def _has(types: Column, kind: str) -> Column:
     return F.coalesce(F.array_contains(types, kind), F.lit(False))
 
 
+def band_text(score: Column) -> Column:
+    return F.when(score < LOW, BANDS[0]).when(score < MEDIUM, BANDS[1]).when(score < HIGH, BANDS[2]).when(score < CRITICAL, BANDS[3]).otherwise(BANDS[4])
+
+
 def explanation(score: Column, category: Column, visual_confidence: Column, types: Column) -> Column:
     """A sentence for the band, one for what is seen, one for each family found, joined by spaces."""
-    band = F.when(score < LOW, BANDS[0]).when(score < MEDIUM, BANDS[1]).when(score < HIGH, BANDS[2]).when(score < CRITICAL, BANDS[3]).otherwise(BANDS[4])
     seen = [F.when((category == k) & (visual_confidence > 0.3), said) for k, said in VISUAL_SAYS.items()]
-    return F.concat_ws(" ", band, *seen, *(F.when(_has(types, k), said) for k, said in PATTERN_SAYS.items()))
+    return F.concat_ws(" ", band_text(score), *seen, *(F.when(_has(types, k), said) for k, said in PATTERN_SAYS.items()))
 
 
 def red_flags(category: Column, visual_confidence: Column, patterns: Column, most: int = 5) -> Column:

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, has_homoglyphs, normalized
+from .fusion import band_text, risk_level
+from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, has_homoglyphs, normalized, strip
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,7 @@ FAMILIES: dict[str, tuple[float, tuple[Rule, ...]]] = {
 }
 HOMOGLYPH = ("homoglyph_attack", 0.5, 0.9, "Suspicious Unicode characters detected")
 WEIGHTS = {k: w for k, (w, _) in FAMILIES.items()} | {HOMOGLYPH[0]: HOMOGLYPH[1]}
+NO_TEXT = "No text provided for analysis."
 # Phrases that settle a message at once.
 PHRASES = (
     "send money immediately",
@@ -202,5 +204,19 @@ def text_score(model: Column, heuristic: Column) -> Column:
     return F.when(model != -1, F.lit(0.6) * model + F.lit(0.4) * heuristic)
 
 
+def text_analysis(raw: Column, score: Column) -> Column:
+    """struct<is_scam, confidence, risk_level, text_score, fused_score, explanation>: a blank text has a fixed result, whatever its score."""
+    blank = is_blank(raw)
+    pick = lambda fixed, other, name: F.when(blank, fixed).otherwise(other).alias(name)
+    return F.struct(
+        pick(F.lit(False), score > 0.5, "is_scam"),
+        pick(F.lit(0.0), F.when(score > 0.5, 0.75).otherwise(0.5), "confidence"),
+        pick(F.lit("low"), risk_level(score), "risk_level"),
+        pick(F.lit(0.0), score, "text_score"),
+        pick(F.lit(0.0), score, "fused_score"),
+        pick(F.lit(NO_TEXT), band_text(score), "explanation"),
+    )
+
+
 def is_blank(raw: Column) -> Column:
-    return F.coalesce(F.trim(raw), F.lit("")) == ""
+    return F.coalesce(strip(raw), F.lit("")) == ""

@@ -73,6 +73,11 @@ def fence_stripped(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"```(?:json)?", ""))
 
 
+def fenced_json(c: Column, schema: str) -> Column:
+    """The value of JSON text, with a code fence around it or not; null where it can't be read."""
+    return F.from_json(fence_stripped(c), schema)
+
+
 def word_split(c: Column) -> Column:
     """Words between white space, with each ASCII punctuation mark a token of its own."""
     mark = r"[.,!?;:'\"()\[\]{}<>@#$%^&*+=\-_/\\|`~]"

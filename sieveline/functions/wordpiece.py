@@ -82,13 +82,16 @@ def encode(df: DataFrame, text: str, vocabulary: dict[str, int], length: int = M
 
     CLS, pieces, SEP; of more than `length` the first length - 1 and SEP; zeros pad. The count is taken after the cut.
     """
+    own = "ids"
+    while own in df.columns:
+        own += "_"
     ids = piece_ids(vocabulary)(word_split(normalized(F.col(text))))
-    whole = df.withColumn("_ids", F.concat(F.array(F.lit(CLS[1])), ids, F.array(F.lit(SEP[1]))))
-    cut = whole.withColumn("_ids", F.when(F.size("_ids") > length, F.concat(F.slice("_ids", 1, length - 1), F.array(F.lit(SEP[1])))).otherwise(F.col("_ids")))
-    out = cut.withColumn("token_count", F.size("_ids"))
+    whole = df.withColumn(own, F.concat(F.array(F.lit(CLS[1])), ids, F.array(F.lit(SEP[1]))))
+    cut = whole.withColumn(own, F.when(F.size(own) > length, F.concat(F.slice(own, 1, length - 1), F.array(F.lit(SEP[1])))).otherwise(F.col(own)))
+    out = cut.withColumn("token_count", F.size(own))
     pad = F.array_repeat(F.lit(0), F.lit(length) - F.col("token_count"))
-    out = out.withColumn("input_ids", F.concat("_ids", pad)).withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("token_count")), pad))
-    return out.drop("_ids")
+    out = out.withColumn("input_ids", F.concat(own, pad)).withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.col("token_count")), pad))
+    return out.drop(own)
 
 
 def decode(ids: Column, vocabulary: dict[str, int]) -> Column:

@@ -116,10 +116,14 @@ def invite_code(key: Column, attempt: int = 0) -> Column:
     return F.concat(*(F.substring(alphabet, b + 1, F.lit(1)) for b in bits))
 
 
-def quota_plan(targets: DataFrame, sensitive: tuple[str, ...] = ("romance_grooming", "government_impersonation"), local: float = 0.10, flash: float = 0.40) -> DataFrame:
-    """(vector, remaining, local, flash, lite) of rows (vector, target, existing): floor shares of what is missing."""
+def quota_plan(targets: DataFrame, sensitive: tuple[str, ...] = ("romance_grooming", "government_impersonation"), local: float = 0.10, flash: float = 0.40, hard: float = 0.25) -> DataFrame:
+    """(vector, remaining, local, flash, lite, hard) of rows (vector, target, existing): floor shares of what is missing.
+
+    hard: of what is missing of `safe`, that share is hard negatives; null for other vectors.
+    """
     share = F.when(F.col("vector").isin(*sensitive), F.least(F.lit(local * 2.5), F.lit(0.25))).otherwise(F.lit(local))
     r = targets.withColumn("remaining", F.greatest(F.col("target") - F.col("existing"), F.lit(0)))
     r = r.withColumn("local", F.floor(F.col("remaining") * share))
     r = r.withColumn("flash", F.floor((F.col("remaining") - F.col("local")) * flash))
-    return r.select("vector", "remaining", "local", "flash", (F.col("remaining") - F.col("local") - F.col("flash")).alias("lite"))
+    lite = F.col("remaining") - F.col("local") - F.col("flash")
+    return r.select("vector", "remaining", "local", "flash", lite.alias("lite"), F.when(F.col("vector") == "safe", F.floor(F.col("remaining") * hard)).alias("hard"))

@@ -100,6 +100,24 @@ def best_temperature(df: DataFrame, label: str, z: str) -> DataFrame:
     return temperature_sweep(df, label, z).agg(F.min_by("t", F.struct(F.round("ece", 9), "t")).alias("t"))
 
 
+def intent_soft_labels(df: DataFrame, key: str, logits: str, temperatures: tuple[float, ...] = (2.0, 3.0, 4.0, 5.0)) -> DataFrame:
+    """(key, t, intents): the sigmoid of each of an array of logits at each temperature."""
+    t = df.select(key, logits, F.explode(F.array(*map(F.lit, temperatures))).alias("t"))
+    return t.select(key, "t", F.transform(logits, lambda z: 1 / (1 + F.exp(-z / F.col("t")))).alias("intents"))
+
+
+def best_of_sweep(df: DataFrame, score: str, at: str) -> DataFrame:
+    """The row of the sweep with the highest score; of equal ones the first by `at`."""
+    return df.agg(F.min_by(F.struct(*df.columns), F.struct(-F.col(score), F.col(at))).alias("r")).select("r.*")
+
+
+def phase_b_loss(df: DataFrame, teacher: tuple[str, str], student: tuple[str, str], label: str, hidden: str, attention: str, t: float = 3.0, alpha: float = 0.7, beta: float = 100.0, gamma: float = 1.0) -> DataFrame:
+    """loss: the distillation loss and the means of the hidden-state and attention losses, weighted by beta and gamma."""
+    soft = distillation_loss(df, teacher, student, label, t, alpha)
+    more = df.agg(F.avg(hidden).alias("h"), F.avg(attention).alias("a"))
+    return soft.crossJoin(more).select((F.col("loss") + beta * F.col("h") + gamma * F.col("a")).alias("loss"))
+
+
 def distillation_loss(df: DataFrame, teacher: tuple[str, str], student: tuple[str, str], label: str, t: float = 3.0, alpha: float = 0.7) -> DataFrame:
     """Mean of alpha * t^2 * KL(teacher || student) at temperature t and (1 - alpha) * cross-entropy."""
 
@@ -161,9 +179,26 @@ def percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) ->
     return ranked.groupBy(F.col("g").alias(by)).agg(*out)
 
 
+def latest_checkpoint(names: DataFrame, state: DataFrame, by: str) -> DataFrame:
+    """(by, latest) of rows (by, name): epoch_<n> of the epoch that state (by, epoch) names, if it is there, else the last as text orders names: epoch_9 comes after epoch_10."""
+    named = names.join(state.select(by, F.concat(F.lit("epoch_"), F.col("epoch").cast("string")).alias("wanted")), by, "left")
+    return named.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("name") == F.col("wanted"), F.col("name"))), F.max("name")).alias("latest"))
+
+
+def candidates(training: DataFrame, info: DataFrame, conversion: DataFrame, name: str = "name") -> DataFrame:
+    """Candidates that all three tables know, by name."""
+    return training.join(info, name).join(conversion, name)
+
+
 def rank_candidates(df: DataFrame, name: str = "name") -> DataFrame:
-    """Adds rank to candidates that passed validation: f1 descending, size, p50; ties by name. Others have a reason."""
-    w = Window.orderBy(F.desc("f1"), "size", "p50", name)
+    """Adds rank to candidates that passed validation: f1 descending, size, p50; ties by name. Others have a reason.
+
+    Where df has flex_ops, an array of names, a candidate that failed with some of them is told so.
+    """
+    w = Window.orderBy(F.desc("f1"), "size", "p50", name)  # candidates are a handful of models
+    reason = F.lit("validation failed")
+    if "flex_ops" in df.columns:
+        reason = F.when(F.size("flex_ops") > 0, F.concat(F.lit("flex ops: "), F.array_join("flex_ops", ", "))).otherwise(reason)
     passed = df.where("passed").withColumn("rank", F.row_number().over(w)).withColumn("reason", F.lit(None).cast("string"))
-    failed = df.where("not passed").withColumn("rank", F.lit(None).cast("int")).withColumn("reason", F.lit("validation failed"))
+    failed = df.where("not passed").withColumn("rank", F.lit(None).cast("int")).withColumn("reason", reason)
     return passed.unionByName(failed)

@@ -78,3 +78,11 @@ def running_total(df: DataFrame, order: str, value: Column, name: str, by: tuple
 def numbered(df: DataFrame, order: str, name: str = "row", by: tuple[str, ...] = (), rows: int = 250_000) -> DataFrame:
     """Adds 1, 2, ... in order of a numeric column that is unique within `by`."""
     return running_total(df, order, F.lit(1).cast("long"), name, by, rows).withColumn(name, F.col(name) + 1)
+
+
+def beside(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Row i of left beside row i of right, each in its own order; fails where right has fewer rows."""
+    i = fresh(left.join(right.limit(0), F.lit(True)), "i")
+    joined = numbered(left, left_order, i).join(numbered(right, right_order, i).withColumn(f"{i}_there", F.lit(True)), i, "left")
+    there = F.when(F.col(f"{i}_there").isNull(), F.raise_error(F.lit("fewer rows on the right than on the left"))).otherwise(F.lit(True))
+    return joined.where(there).drop(i, f"{i}_there")

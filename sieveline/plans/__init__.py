@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from . import corpus, details, messages, metrics
+    from . import corpus, details, members, messages, metrics
 
-    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES | details.QUERIES
+    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES | details.QUERIES | members.QUERIES
 
 
 def queries() -> dict:

@@ -234,7 +234,7 @@ def target_attainment(spark: SparkSession, d: str) -> DataFrame:
 def quota_plan(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.activity import quota_plan as plan
 
-    have = _docs(spark, d).groupBy(F.when(F.col("lang") == "fr", "romance_grooming").otherwise(F.col("lang")).alias("vector")).agg(F.count("*").alias("existing"))
+    have = _docs(spark, d).groupBy(F.when(F.col("lang") == "fr", "romance_grooming").when(F.col("lang") == "de", "safe").otherwise(F.col("lang")).alias("vector")).agg(F.count("*").alias("existing"))
     return plan(have.withColumn("target", F.lit(20_000)))
 
 
@@ -271,6 +271,6 @@ QUERIES = {
     "sample_validity": (sample_validity, f"WITH {LABELLED} SELECT CASE WHEN len({WORDS}) < 4 THEN 'too short' WHEN doc_id % 5 = 4 THEN 'channel' ELSE 'ok' END AS reason, count(*) AS n FROM labelled GROUP BY ALL"),
     "augmented": (augmented, AUGMENT_SQL),
     "target_attainment": (target_attainment, "SELECT lang, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / target, 6) AS pct, CASE WHEN coalesce(n, 0) * 100 / target >= 80 THEN 'OK' ELSE 'LOW' END AS status FROM (VALUES ('en', 500), ('fr', 200), ('de', 100), ('it', 50)) t(lang, target) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)"),
-    "quota_plan": (quota_plan, "WITH h AS (SELECT CASE WHEN lang = 'fr' THEN 'romance_grooming' ELSE lang END AS vector, greatest(20000 - count(*), 0) AS remaining FROM documents GROUP BY ALL), l AS (SELECT vector, remaining, CAST(floor(remaining * CASE WHEN vector = 'romance_grooming' THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END) AS BIGINT) AS local FROM h), f AS (SELECT *, CAST(floor((remaining - local) * 0.4::DOUBLE) AS BIGINT) AS flash FROM l) SELECT *, remaining - local - flash AS lite FROM f"),
+    "quota_plan": (quota_plan, "WITH h AS (SELECT CASE WHEN lang = 'fr' THEN 'romance_grooming' WHEN lang = 'de' THEN 'safe' ELSE lang END AS vector, greatest(20000 - count(*), 0) AS remaining FROM documents GROUP BY ALL), l AS (SELECT vector, remaining, CAST(floor(remaining * CASE WHEN vector = 'romance_grooming' THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END) AS BIGINT) AS local FROM h), f AS (SELECT *, CAST(floor((remaining - local) * 0.4::DOUBLE) AS BIGINT) AS flash FROM l) SELECT *, remaining - local - flash AS lite, CASE WHEN vector = 'safe' THEN CAST(floor(remaining * 0.25::DOUBLE) AS BIGINT) END AS hard FROM f"),
     "holdout_overlap": (holdout_overlap, f"WITH {SPLIT}, k AS (SELECT DISTINCT split, s.lang || '/' || source || '/' || n_chars // 500 AS k FROM splits s JOIN documents USING (doc_id)) SELECT k, 'train' AS only FROM k WHERE split = 'train' AND k NOT IN (SELECT k FROM k WHERE split = 'test') UNION ALL SELECT k, 'test' FROM k WHERE split = 'test' AND k NOT IN (SELECT k FROM k WHERE split = 'train')"),
 }

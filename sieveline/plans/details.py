@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evalmetrics
-from ..operators.ordering import numbered, running_totals
+from ..operators.ordering import beside, numbered, running_totals
 from .corpus import LABELLED, _docs, _labelled
 from .metrics import _CELLS, PREDICTED, predicted
 
@@ -75,15 +75,16 @@ def intent_metrics(spark, d) -> DataFrame:
 
 def positional_join(spark, d) -> DataFrame:
     """Soft label i beside sample i, both numbered by their own order."""
-    samples = numbered(predicted(spark, d).select("doc_id"), "doc_id", "i")
-    soft = numbered(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), "o_orderkey", "i").select("i", (F.col("o_orderkey") % 10 / 10).alias("p"))
-    return samples.join(soft, "i").select("doc_id", "p")
+    samples = predicted(spark, d).select("doc_id")
+    soft = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 10 / 10).alias("p"))
+    return beside(samples, "doc_id", soft, "o_orderkey").select("doc_id", "p")
 
 
 def latest_checkpoint(spark, d) -> DataFrame:
-    """The last checkpoint by name, as text orders it: epoch_9 comes after epoch_10."""
+    """Each region's checkpoint: of the epoch that its state names, if there is one; else the last."""
     names = spark.read.parquet(f"{d}/nation.parquet").select("n_regionkey", F.concat(F.lit("epoch_"), F.col("n_nationkey").cast("string")).alias("name"))
-    return names.groupBy("n_regionkey").agg(F.max("name").alias("latest"))
+    state = spark.read.parquet(f"{d}/region.parquet").where("r_regionkey <> 1").select(F.col("r_regionkey").alias("n_regionkey"), (F.col("r_regionkey") * 5).alias("epoch"))
+    return evalmetrics.latest_checkpoint(names, state, "n_regionkey")
 
 
 def best_epoch(spark, d) -> DataFrame:
@@ -136,7 +137,7 @@ QUERIES = {
     "intent_lookup": (intent_lookup, "SELECT doc_id, CASE lang WHEN 'en' THEN '1,0,0' WHEN 'fr' THEN '0,1,1' ELSE '0,0,0' END AS intents FROM documents"),
     "intent_metrics": (intent_metrics, f"WITH {PREDICTED}, x AS (SELECT i AS intent, CAST(doc_id % i = 1 AS INT) AS label, 1 / (1 + exp(-(score - 0.4::DOUBLE) * i / 2)) AS score FROM p, (VALUES (2), (3), (5), (10000019)) v(i)), c AS (SELECT intent, {_CELLS} FROM x GROUP BY intent), m AS (SELECT intent, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS pr, tp / (tp + fn) AS re FROM c WHERE tp + fn > 0) SELECT intent, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1 FROM m"),
     "positional_join": (positional_join, f"WITH {PREDICTED}, a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM p), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey % 10 / 10 AS p FROM orders) SELECT doc_id, b.p FROM a JOIN b USING (i)"),
-    "latest_checkpoint": (latest_checkpoint, "SELECT n_regionkey, max('epoch_' || n_nationkey) AS latest FROM nation GROUP BY 1"),
+    "latest_checkpoint": (latest_checkpoint, "SELECT n_regionkey, coalesce(max('epoch_' || n_nationkey) FILTER (n_regionkey <> 1 AND n_nationkey = n_regionkey * 5), max('epoch_' || n_nationkey)) AS latest FROM nation GROUP BY 1"),
     "best_epoch": (best_epoch, "WITH e AS (SELECT l_returnflag, l_linenumber AS epoch, round(avg(l_quantity), 6) AS f1 FROM lineitem GROUP BY ALL) SELECT l_returnflag, epoch FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY f1 DESC, epoch) AS r FROM e) WHERE r = 1"),
     "loss_balance": (loss_balance, "WITH r AS (SELECT p_partkey, p_size * 0.3::DOUBLE / (0.7::DOUBLE * (p_retailprice / 500)) AS r FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)) SELECT p_partkey, round(r, 6) AS ratio, r < 0.1 OR r > 10 AS warn FROM r"),
     "grouped_mean": (grouped_mean, "SELECT p_partkey, array_to_string(list_transform(range(0, 4), lambda g: CAST(list_sum(list_transform(range(0, 4), lambda k: (p_partkey * 31 + (g * 4 + k) * 17) % 100)) * 25 AS BIGINT)), ',') AS means FROM part"),

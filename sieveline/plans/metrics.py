@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, evalmetrics
+from ..sources.shared import shared_path
 
 # Predictions are functions of the key: a score, and logits z0 and z1.
 _SCORE = "((doc_id * 7919) % 1000) / 1000.0"
@@ -239,11 +240,49 @@ def activity_stream(spark, d):
     from ..streaming.activity import activity_stream as stream
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    name = f"activity_{abs(hash(d))}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/event[s].parquet")
-    query = stream(log_of(source)).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    return finished(stream(log_of(source)), "user_id", shared_path(spark, "activity"))
+
+
+def finished(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Runs a stream of updates to the end of its source; its rows go into a table, a folder a batch, and each key's last one is what holds.
+
+    A batch that runs again writes its own folder anew.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    table = rows.sparkSession.read.schema(f"{rows.schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, batch long").parquet(f"{at}/rows")
+    return table.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*")
+
+
+STREAM_SQL = f"""WITH {LOG}, f AS (SELECT user_id, count_if(kind IN ('scam', 'safe')) AS total_scans, count_if(kind = 'scam') AS scams, count_if(kind = 'report') AS reports FROM e GROUP BY 1),
+l AS (SELECT user_id, kind, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e WHERE kind <> 'report'),
+a AS (SELECT user_id, count_if(kind = 'open' AND before IS NOT NULL AND before <> day) AS n FROM l GROUP BY 1)
+SELECT user_id, CAST(total_scans AS BIGINT) AS total_scans, CAST(scams AS BIGINT) AS scams, CAST(reports AS BIGINT) AS reports, CAST(scams AS BIGINT) AS recent, CAST(least(100, 5 * scams) AS BIGINT) AS risk, CAST(1 + coalesce(n, 0) AS BIGINT) AS active_days FROM f LEFT JOIN a USING (user_id)"""
+ADAPTIVE_SQL = f"""WITH {PREDICTED}, x AS (SELECT doc_id, lang, CAST(score > 0.5 AS INT) = label AS ok, greatest(score, 1 - score) AS c, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS block FROM p),
+o AS (SELECT *, CASE WHEN ok AND c >= 0.6::DOUBLE THEN 0 ELSE 1 END AS out FROM x), full_blocks AS (SELECT count(*) // 100 AS n FROM x),
+grid AS (SELECT lang, block FROM (SELECT DISTINCT lang FROM x), (SELECT unnest(range((SELECT n FROM full_blocks))) AS block)),
+cum AS (SELECT g.lang, g.block, (SELECT count(*) FROM o WHERE o.lang = g.lang AND o.block <= g.block) AS n, (SELECT sum(out) FROM o WHERE o.lang = g.lang AND o.block <= g.block) AS out FROM grid g),
+drops AS (SELECT lang, min(block) + 1 AS since FROM cum WHERE n > 0 AND out > n * 0.4::DOUBLE GROUP BY lang)
+SELECT doc_id, ok AND c >= CASE WHEN since IS NOT NULL AND block >= since THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS kept FROM o LEFT JOIN drops USING (lang)"""
+
+
+def _wordpiece_sql() -> str:
+    """The built-in vocabulary has single characters alone: a word is its first character and one unknown for the rest."""
+    from ..functions.wordpiece import fallback_vocabulary
+    from .messages import MESSAGES
+
+    plain = "".join(c for c in fallback_vocabulary() if len(c) == 1)
+    literal = plain.replace("'", "''")
+    mark = r"[.,!?;:''\"()\[\]{}<>@#$%^&*+=\-_/\\|`~]"
+    word = f"{mark}|[^{mark[1:-1]}\\s]+"
+    first = f"strpos('{literal}', w[1]) "
+    return f"""WITH {MESSAGES}, w AS (SELECT o_orderkey, list_transform(regexp_extract_all(t, '{word}'), lambda w: CASE WHEN {first} = 0 THEN [100] WHEN length(w) = 1 THEN [103 + {first}] ELSE [103 + {first}, 100] END) AS p FROM t),
+i AS (SELECT o_orderkey, list_concat([101], flatten(p), [102]) AS i FROM w), k AS (SELECT o_orderkey, CASE WHEN len(i) > 128 THEN list_concat(i[1:127], [102]) ELSE i END AS i FROM i)
+SELECT o_orderkey, CAST(len(i) AS INT) AS token_count, array_to_string(list_concat(i, list_transform(range(128 - len(i)), lambda x: 0)), ',') AS ids, CAST(len(i) AS INT) AS mask_sum FROM k"""
 
 
 def adaptive_filter(spark, d):
@@ -255,7 +294,7 @@ def adaptive_filter(spark, d):
 
 
 QUERIES |= {
-    "wordpiece_encode": (wordpiece_encode, None),
-    "activity_stream": (activity_stream, None),
-    "adaptive_filter": (adaptive_filter, None),
+    "wordpiece_encode": (wordpiece_encode, _wordpiece_sql()),
+    "activity_stream": (activity_stream, STREAM_SQL),
+    "adaptive_filter": (adaptive_filter, ADAPTIVE_SQL),
 }

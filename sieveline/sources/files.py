@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +16,10 @@ VECTORS = ("crypto_investment", "government_impersonation", "lottery_reward", "p
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) -> DataFrame:
-    """JSON Lines; blank lines are passed over and a bad line fails the job."""
+    """JSON Lines; blank lines are passed over, and the first bad line fails, with its file and number."""
+    if not _lines(spark, path, schema).where("bad is not null").isEmpty():
+        first = bad_lines(spark, path, schema).orderBy("file", "number").first()
+        raise ValueError(f"{first.file}, line {first.number}: not a JSON object: {first.line[:200]}")
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
@@ -30,13 +31,22 @@ def read_lenient(spark: SparkSession, path: str, schema: T.StructType = SAMPLE)
 def _lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Fields of each line that isn't blank, and its file and text; `bad` holds a line that isn't JSON."""
     with_bad = T.StructType([*schema.fields, T.StructField("bad", T.StringType())])
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(strip(F.col("value")) != "")
-    return lines.withColumn("r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})).select("file", "r.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    read = lines.where(strip(F.col("value")) != "").withColumn("r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
+    return read.select("file", "block", "id", "r.*")
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) -> DataFrame:
-    """(file, line) of lines that aren't JSON objects, to say what failed."""
-    return _lines(spark, path, schema).where("bad is not null").select("file", F.col("bad").alias("line"))
+    """(file, number, line) of lines that aren't JSON objects, numbered from 1 in their file, blank lines included.
+
+    A split's lines have rising ids, so a line's number is its place in its split and the lines of the splits before.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    bad = _lines(spark, path, schema).where("bad is not null").join(splits, ["file", "block"])
+    return bad.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), F.col("bad").alias("line"))
 
 
 def read_validated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +97,8 @@ def write_locked(df: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A small report as one JSON document."""
-    text = json.dumps([r.asDict(recursive=True) for r in report.limit(10_000).collect()], default=str)
-    report.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """All rows of a report as one JSON document, a list. As one document is, it is put together by one task."""
+    report.agg(F.to_json(F.collect_list(F.struct(*report.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_soft_labels(df: DataFrame, path: str) -> None:
@@ -110,6 +119,15 @@ def document_or_default(keys: DataFrame, documents: DataFrame, key: str, default
     return joined.select(key, *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()))
 
 
+def nested_blocks(blocks: str) -> Column:
+    """Recognised blocks with their lines and elements; missing lists are empty, a missing frame is zeros."""
+    none = F.struct(*(F.lit(0).alias(n) for n in ("left", "top", "width", "height")))
+    frame = lambda f: F.when(f.isNull(), none).otherwise(F.struct(*(f[n].alias(n) for n in ("left", "top", "width", "height"))))
+    elements = lambda e: F.coalesce(F.transform(e, lambda x: F.struct(x["text"].alias("text"))), F.array().cast("array<struct<text:string>>"))
+    lines = lambda b: F.coalesce(F.transform(b, lambda x: F.struct(x["text"].alias("text"), elements(x["elements"]).alias("elements"))), F.array().cast("array<struct<text:string,elements:array<struct<text:string>>>>"))
+    return F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), frame(b["frame"]).alias("frame"), lines(b["lines"]).alias("lines")))
+
+
 def text_regions(blocks: str) -> list:
     """Columns (text, x, y, width, height) of an array of recognised blocks, by inline."""
     return [F.inline(F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), *(F.coalesce(b["frame"][k], F.lit(0)).alias(n) for k, n in (("left", "x"), ("top", "y"), ("width", "width"), ("height", "height"))))))]
