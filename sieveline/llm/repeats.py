@@ -71,7 +71,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _packed(x: np.ndarray) -> bytes:
     """Bytes of the same weight together, so that zeros compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -121,14 +121,30 @@ def merger(keys: int, values: int, names: list[str]):
     return merge
 
 
+def _blob(hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, keys: np.ndarray) -> bytes:
+    """Anchors of one bucket, compressed: rising hashes, owners as numbers in keys, places."""
+    columns = [_packed(np.diff(hashes, prepend=np.uint64(0))), _packed(owners), _packed(places), keys.tobytes()]
+    return zstandard.compress(np.array([len(hashes), len(places)], np.uint32).tobytes() + b"".join(columns), 1)
+
+
+def _unblobbed(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n_hashes, n = (int(x) for x in np.frombuffer(raw[:8], np.uint32))
+    at, out = 8, []
+    for kind, many in ((np.uint64, n_hashes), (np.uint32, n_hashes), (np.uint32, n)):
+        size = many * np.dtype(kind).itemsize
+        out.append(_unpacked(raw[at : at + size], kind))
+        at += size
+    return np.cumsum(out[0], dtype=np.uint64), out[1], out[2], np.frombuffer(raw[at:], np.int64)
+
+
 def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
-    """A mapInArrow function: (k, text) to blobs (bucket, hashes, owners, places, keys).
+    """A mapInArrow function: (k, text) to (bucket, blob).
 
     Anchors that two texts of the same lot share are candidates already: their places go out under their own key (no
     hashes), and one of them, without owner, goes to the bucket so that others learn of it; its place is their number.
     """
-    names = ["bucket", "hashes", "owners", "places", "keys"]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names, types, none = ["bucket", "blob"], [pa.int32(), pa.binary()], np.empty(0, np.uint32)
 
     def lot(keys: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key = np.array(keys, np.int64)
@@ -145,7 +161,7 @@ def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
         known = known[np.argsort(owner[known], kind="stable")]
         for part in np.split(known, np.flatnonzero(np.diff(owner[known])) + 1) if len(known) else []:
             k = int(key[owner[part[0]]])
-            rows.append((k % buckets, None, None, _packed(place[part]), key[owner[part[:1]]].tobytes()))
+            rows.append((k % buckets, _blob(none.astype(np.uint64), none, place[part], key[owner[part[:1]]])))
         first = np.zeros(len(v), bool)
         first[start] = True
         sent = np.flatnonzero(~shared | first)
@@ -155,8 +171,7 @@ def anchor_blobs(buckets: int, bits: int, most: int = 1 << 20):
         for part in np.split(sent, np.flatnonzero(np.diff(bucket)) + 1):
             own, at = np.unique(owner[part], return_inverse=True)
             at = np.where(shared[part], np.uint32(0xFFFFFFFF), at.astype(np.uint32))
-            q = v[part] // np.uint64(buckets)
-            rows.append((int(v[part[0]] % np.uint64(buckets)), _packed(np.diff(q, prepend=np.uint64(0))), _packed(at), _packed(place[part]), key[own].tobytes()))
+            rows.append((int(v[part[0]] % np.uint64(buckets)), _blob(v[part] // np.uint64(buckets), at, place[part], key[own])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,15 +201,12 @@ def shared_anchors(buckets: int, ranges: int):
     def find(table: pa.Table) -> pa.Table:
         out_k, out_place, often = [], [], ([], [])
         hashes, keys, places = [], [], []
-        for h, owners, place, key in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "places", "keys")), strict=True):
-            key = np.frombuffer(key, np.int64)
-            place = _unpacked(place, np.uint32)
-            if h is None:
+        for h, owner, place, key in map(_unblobbed, table.column("blob").to_pylist()):
+            if not len(h):
                 out_k.append(np.full(len(place), key[0]))
                 out_place.append(place)
                 continue
-            owner = _unpacked(owners, np.uint32)
-            hashes.append(np.cumsum(_unpacked(h, np.uint64), dtype=np.uint64))
+            hashes.append(h)
             places.append(place)
             known = owner == 0xFFFFFFFF
             keys.append((np.append(key, 0)[np.where(known, len(key), owner)], known))
@@ -228,7 +240,7 @@ def _bundle(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
     """Contexts (doc, k, anchor, lead, data) of one bucket, compressed column by column."""
     doc, k, anchor, lead, data = zip(*rows, strict=True)
     columns = [np.array(c, t).tobytes() for c, (_, t) in zip((doc, k, anchor, lead, list(map(len, data))), _KINDS, strict=True)]
-    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(columns) + b"".join(data), 1)
+    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(columns) + b"".join(data), 3)
 
 
 def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -240,7 +252,7 @@ def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24 << 20):
-    """A mapInArrow function: (doc, k, text, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
+    """A mapInArrow function: (doc, k, z, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
 
     Contexts of frequent anchors (of `bits` bits) are cut into their windows, which are dealt by their own hash.
 
@@ -258,15 +270,16 @@ def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24
                     sent.setdefault(bucket, []).append((doc, k, anchor, lead, context))
                 else:
                     repeated.setdefault((doc, k), []).append((anchor - lead, len(context) - WINDOW + 1))
-        rows = [(bucket, None, None, _bundle(some)) for bucket, some in sent.items()]
+        # What starts alike at the anchor stands together, which compresses better.
+        rows = [(bucket, None, None, _bundle(sorted(some, key=lambda x: x[4][x[3] :]))) for bucket, some in sent.items()]
         rows += [(k % buckets, doc, k, np.array(some, np.uint32).tobytes()) for (doc, k), some in repeated.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = {}, 0
         for batch in batches:
-            for doc, k, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "text", "places")), strict=True):
-                data = text.encode()
+            for doc, k, z, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "z", "places")), strict=True):
+                data = zstandard.decompress(z)
                 place, h, first, last = anchors(data)
                 own = np.flatnonzero(np.isin(place, np.frombuffer(places, np.uint32)))
                 bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
@@ -376,13 +389,22 @@ def _equal_contexts(columns: list[np.ndarray], raw: bytes) -> list[tuple[np.ndar
     return hits
 
 
+def squeezed():
+    """An Arrow function from texts to their compressed bytes: texts are dealt twice, and take most of the disk."""
+
+    def squeeze(texts: pa.Array) -> pa.Array:
+        return pa.array([zstandard.compress(t.encode(), 1) for t in texts.to_pylist()], pa.binary())
+
+    return F.arrow_udf(squeeze, "binary")
+
+
 def removal():
-    """An Arrow function from (text, its runs) to (n_bytes, n_removed, n_spans, kept: the bytes left)."""
+    """An Arrow function from (compressed text, its runs) to (n_bytes, n_removed, n_spans, kept: the bytes left)."""
 
     def remove(texts: pa.Array, found: pa.Array) -> pa.Array:
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, some in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            data = text.encode()
+        for z, some in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            data = zstandard.decompress(z)
             removed = spans = 0
             if some:
                 change = np.zeros(len(data) + 1, np.int32)
@@ -422,7 +444,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     kept is what is left of the text's UTF-8 bytes when those are removed that a window of WINDOW bytes covers which
     also starts in a row with a smaller doc_id. A null text is empty; a null doc_id counts as larger than all others;
-    rows that share a doc_id don't remove from each other; an empty table gives no rows.
+    rows that share a doc_id don't remove from each other; an empty table gives no rows; other columns, whatever their
+    names, are not read. A very long text is anchored in slices and held whole, like any other, where bytes are removed.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -432,18 +455,18 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = ranges = max(64, n_partitions(spark, size, 24 << 20))
     bits = min(64, max(36, size.bit_length() + 12))
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
-    blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, hashes binary, owners binary, places binary, keys binary")
+    blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, blob binary")
     candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, n long, data binary"), "candidates")
     frequent = most_frequent(candidates, size)
 
     n = candidates.where("range >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     lots = n_partitions(spark, int(n), 60_000)
     by_text = candidates.where("range >= 0").groupBy("range").applyInArrow(merger(1, 1, ["k", "places"]), "k long, places binary")
-    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
+    aligned = long_enough.select("doc", "k", squeezed()("text").alias("z")).join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
     repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows(ranges), "range int, data binary"), "repeated")
 
     found = repeated.groupBy("range").applyInArrow(merger(2, 2, ["doc", "k", "runs"]), "doc long, k long, runs binary")
-    out = rows.join(found, ["doc", "k"], "left").select("doc_id", removal()("text", "runs").alias("r"))
+    out = rows.select("doc_id", "doc", "k", squeezed()("text").alias("z")).join(found, ["doc", "k"], "left").select("doc_id", removal()("z", "runs").alias("r"))
     return out.select("doc_id", "r.*")
 
 
