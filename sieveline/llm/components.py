@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = ends.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
         rounds.append(written(first.select("node", F.least(order("node"), "m")["id"].alias("root")), "merged"))
-        near = written(left.join(rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("c")), "a").select("c", "b"), "near")
+        near = left.join(rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("c")), "a").select("c", "b")
         left = between(near.join(rounds[-1].select(F.col("node").alias("b"), F.col("root").alias("d")), "b"), "c", "d")
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -40,5 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
     labels = rounds.pop()
     while rounds:
         labels = written(rounds.pop().join(labels.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-    least = written(labels.groupBy("root").agg(F.min("node").alias("top")), "least")
+    least = labels.groupBy("root").agg(F.min("node").alias("top"))
     return written(labels.join(least, "root").select("node", F.col("top").alias("root")), "labels")

@@ -218,9 +218,9 @@ def class_labels(nodes: DataFrame, rows_in: DataFrame, least: float, size: int,
     """
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    shared = written(banded.join(written(hubs, "hubs"), "band"), "shared")
+    shared = written(banded.join(hubs, "band"), "shared")
     # What is wanted grows with the corpus, so it is never broadcast, however small its files look.
-    wanted = written(nodes.select("node", "k").join(shared.select("node").distinct(), "node"), "wanted")
+    wanted = nodes.select("node", "k").join(shared.select("node").distinct(), "node")
     sets = rows_in.select("k", "text").join(wanted.hint("merge"), "k").select("node", "text").mapInArrow(set_maker(size), "node binary, set binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
@@ -228,7 +228,7 @@ def class_labels(nodes: DataFrame, rows_in: DataFrame, least: float, size: int,
     stars = shared.groupBy("node").agg(F.min(F.struct(F.col("hub").alias("rep"), "c")).alias("s")).where("node != s.rep").select("node", "s.*")
     stars = written(verified(stars, sets, least).select("node", F.col("rep").alias("root")), "stars")
     top = stars.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    early = written(stars.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "early")
+    early = stars.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     rooted = shared.select("node", "band").join(early, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     heads = written(several_roots(rooted), "heads")
@@ -238,9 +238,9 @@ def class_labels(nodes: DataFrame, rows_in: DataFrame, least: float, size: int,
 
     # A band's representative has met all others; the rest meets in blocks.
     joined = rooted.join(heads.select("band", "rep"), "band").where("node != rep").select("node", "band")
-    joined = joined.join(labels, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
-    joined = written(joined.join(nodes.select("node", "n"), "node"), "joined")
-    rest = written(joined.join(several_roots(joined).select("band"), "band"), "rest")
+    joined = written(joined.join(labels, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root")), "joined")
+    rest = joined.join(several_roots(joined).select("band"), "band").join(nodes.select("node", "n"), "node")
+    rest = written(rest.select("node", "band", "root", "n"), "rest")
     work = unsettled_units(rest, block_nodes, block_words)
     late = written(work.join(sets, "node").groupBy("unit").applyInArrow(forest(least), "a binary, b binary"), "late")
     return relabelled(labels, components(late)), sets
