@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Asks for the disk of shuffles that finished steps no longer need.
+
+    Spark removes their files when the driver's JVM has collected what stood for them, which on a quiet driver can be
+    long after the next step has filled the disk. Only a classic session has a JVM to ask.
+    """
+    gc.collect()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, to size partitions by."""
     return df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

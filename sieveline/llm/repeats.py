@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, n_partitions, text_bytes, written
+from .common import bound_batches, documents, free_shuffles, n_partitions, text_bytes, written
 from .shingles import mix
 
 WINDOW, K = 50, 24
@@ -240,7 +240,7 @@ def _bundle(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
     """Contexts (doc, k, anchor, lead, data) of one bucket, compressed column by column."""
     doc, k, anchor, lead, data = zip(*rows, strict=True)
     columns = [np.array(c, t).tobytes() for c, (_, t) in zip((doc, k, anchor, lead, list(map(len, data))), _KINDS, strict=True)]
-    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(columns) + b"".join(data), 3)
+    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(columns) + b"".join(data), 1)
 
 
 def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -252,7 +252,7 @@ def _unbundled(blob: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24 << 20):
-    """A mapInArrow function: (doc, k, z, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
+    """A mapInArrow function: (doc, k, text, places) to (bucket, doc, k, data), the contexts of each bucket in a bundle.
 
     Contexts of frequent anchors (of `bits` bits) are cut into their windows, which are dealt by their own hash.
 
@@ -261,34 +261,44 @@ def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24
     """
     names, types = ["bucket", "doc", "k", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-    def lot(found: dict[tuple[bytes, int], set[tuple[int, int, int, int]]]) -> pa.RecordBatch:
+    def lot(found: dict[tuple[bytes, int], list[tuple[int, int, int, int]]]) -> pa.RecordBatch:
         sent, repeated = {}, {}
         for (context, lead), who in found.items():
-            least = min(who)[0]
-            for doc, k, anchor, bucket in sorted(who):
+            if len(who) > 1:
+                who = sorted(set(who))  # rows that are the same in all have the same contexts
+            least = who[0][0]
+            for doc, k, anchor, bucket in who:
                 if doc == least:
                     sent.setdefault(bucket, []).append((doc, k, anchor, lead, context))
                 else:
                     repeated.setdefault((doc, k), []).append((anchor - lead, len(context) - WINDOW + 1))
-        # What starts alike at the anchor stands together, which compresses better.
-        rows = [(bucket, None, None, _bundle(sorted(some, key=lambda x: x[4][x[3] :]))) for bucket, some in sent.items()]
+        rows = [(bucket, None, None, _bundle(some)) for bucket, some in sent.items()]
         rows += [(k % buckets, doc, k, np.array(some, np.uint32).tobytes()) for (doc, k), some in repeated.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = {}, 0
         for batch in batches:
-            for doc, k, z, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "z", "places")), strict=True):
-                data = zstandard.decompress(z)
+            for doc, k, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "text", "places")), strict=True):
+                data = text.encode()
                 place, h, first, last = anchors(data)
                 own = np.flatnonzero(np.isin(place, np.frombuffer(places, np.uint32)))
                 bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
                 hot = np.isin(h[own] >> np.uint64(64 - bits), frequent)
-                for a, b, s, e, cut in zip(place[own].tolist(), bucket.tolist(), first[own].tolist(), last[own].tolist(), hot.tolist(), strict=True):
-                    for at, end in ((x, x + WINDOW) for x in range(s, e + 1)) if cut else ((s, e + WINDOW),):
-                        context = data[at:end]
-                        found.setdefault((context, a - at), set()).add((doc, k, a, xxhash.xxh3_64_intdigest(context) % buckets if cut else b))
-                        size += len(context) + 100
+                parts = list(zip(place[own].tolist(), bucket.tolist(), first[own].tolist(), (last[own] + WINDOW).tolist(), strict=True))
+                if hot.any():
+                    windows = [(a, None, x, x + WINDOW) for (a, _, s, e), cut in zip(parts, hot.tolist(), strict=True) if cut for x in range(s, e - WINDOW + 1)]
+                    parts = [p for p, cut in zip(parts, hot.tolist(), strict=True) if not cut] + windows
+                for a, b, s, e in parts:
+                    context = data[s:e]
+                    key = context, a - s
+                    who = doc, k, a, xxhash.xxh3_64_intdigest(context) % buckets if b is None else b
+                    if (got := found.get(key)) is None:
+                        found[key] = [who]
+                        size += e - s + 100
+                    else:
+                        got.append(who)
+                        size += 100
                 if size > lot_bytes:
                     yield lot(found)
                     found, size = {}, 0
@@ -389,22 +399,13 @@ def _equal_contexts(columns: list[np.ndarray], raw: bytes) -> list[tuple[np.ndar
     return hits
 
 
-def squeezed():
-    """An Arrow function from texts to their compressed bytes: texts are dealt twice, and take most of the disk."""
-
-    def squeeze(texts: pa.Array) -> pa.Array:
-        return pa.array([zstandard.compress(t.encode(), 1) for t in texts.to_pylist()], pa.binary())
-
-    return F.arrow_udf(squeeze, "binary")
-
-
 def removal():
-    """An Arrow function from (compressed text, its runs) to (n_bytes, n_removed, n_spans, kept: the bytes left)."""
+    """An Arrow function from (text, its runs) to (n_bytes, n_removed, n_spans, kept: the bytes left)."""
 
     def remove(texts: pa.Array, found: pa.Array) -> pa.Array:
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for z, some in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            data = zstandard.decompress(z)
+        for text, some in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            data = text.encode()
             removed = spans = 0
             if some:
                 change = np.zeros(len(data) + 1, np.int32)
@@ -449,6 +450,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    free_shuffles(spark)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col(key), F.xxhash64(whole)).alias("k"), whole.alias("text"))
     size = text_bytes(rows)
@@ -457,19 +459,36 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
     blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, blob binary")
     candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, n long, data binary"), "candidates")
+    free_shuffles(spark)
     frequent = most_frequent(candidates, size)
 
     n = candidates.where("range >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     lots = n_partitions(spark, int(n), 60_000)
     by_text = candidates.where("range >= 0").groupBy("range").applyInArrow(merger(1, 1, ["k", "places"]), "k long, places binary")
-    aligned = long_enough.select("doc", "k", squeezed()("text").alias("z")).join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
+    aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
     repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows(ranges), "range int, data binary"), "repeated")
+    free_shuffles(spark)
 
     found = repeated.groupBy("range").applyInArrow(merger(2, 2, ["doc", "k", "runs"]), "doc long, k long, runs binary")
-    out = rows.select("doc_id", "doc", "k", squeezed()("text").alias("z")).join(found, ["doc", "k"], "left").select("doc_id", removal()("z", "runs").alias("r"))
+    out = rows.join(found, ["doc", "k"], "left").select("doc_id", removal()("text", "runs").alias("r"))
     return out.select("doc_id", "r.*")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB's SQL, window by window: some seconds for a megabyte of text.
+SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(x[2 * i + 1 : 2 * i + 100]) AS g FROM d, unnest(range(greatest(n - 49, 0))) u(i)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+r AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE doc_id > first),
+s AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 50 AS new FROM r),
+g AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || x[2 * last + 1 :], x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)"""
