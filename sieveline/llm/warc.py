@@ -184,3 +184,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.kind").alias("record_type"),
         F.nullif(F.col("response.refers_to_page"), F.lit("")).cast("long").alias("refers_to"),
     )
+
+
+#: The same rows in DuckDB's SQL, straight from the pages.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages), o AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS first, sha1(b) AS h FROM p)
+SELECT page_id, octet_length(encode(b)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[10 * (i // 8) + 1 : 10 * (i // 8) + 10])::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM o"""

@@ -28,6 +28,34 @@ def test_query(spark):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), digest(b), "response" if own else "revisit", None if own else best[b])
 
 
+def test_queries_equal_sql(spark):
+    from compare import duck, rows
+    from sieveline.llm import queries
+
+    for name, sql in queries.oracle_sql().items():
+        assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(duck(SF).sql(sql).df()), name
+
+
+def test_whole_run(spark, monkeypatch):
+    """run() against the stages one by one, each on a table of what its predecessor kept."""
+    found = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "start", "length", "sequence_id", "offset", "ids_crc32", "doc_tokens"} <= set(found.columns)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    pieces = found.collect()
+    total = {}
+    for p in pieces:
+        assert p.doc_tokens == want[p.doc_id]
+        total[p.doc_id] = total.get(p.doc_id, 0) + p.length
+    assert total == want and len({(p.sequence_id, p.offset) for p in pieces}) == len(pieces)
+
+
 def test_edges(spark, tmp_path):
     rows = [(1, "u", "x\r\n\r\nWARC/1.1\r\n"), (2, "u", None), (3, "u", "x\r\n\r\nWARC/1.1\r\n"), (4, "u", ""), (4, "u", ""), (None, "a\r\nb", "é"), (None, None, "é"), (7, "u", "q" * 100_000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")
