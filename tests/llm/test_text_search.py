@@ -20,21 +20,23 @@ def vocabulary(seed):
 def test_search_equals_all_windows(spark):
     rng, v = vocabulary(1)
     items = [(k, " ".join(rng.choice(v) for _ in range(n))) for k, n in enumerate([14, 20, 20, 35, 60, 7, 3, 1])]
-    index = decontamination.Index(items)
-    found = wanted = 0
-    for _ in range(300):
-        k, item = rng.choice(items)
-        w = item.split()
+    docs = []
+    for i in range(300):
+        w = rng.choice(items)[1].split()
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(len(w))] = "zz"
-        text = " ".join(rng.choice(v) for _ in range(rng.randint(0, 50))) + " " + " ".join(w) + " " + " ".join(rng.choice(v) for _ in range(rng.randint(0, 50)))
-        got, d = {x[0]: x[3] for x in index.search(text, 0.8)}, words(text)
+        docs.append((i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 50))) + " " + " ".join(w) + " " + " ".join(rng.choice(v) for _ in range(rng.randint(0, 50)))))
+    rows = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = wanted = 0
+    for r in rows:
+        got, d = {x.item_id: x.similarity for x in r.leaks}, words(r.text)
         for j, other in items:
             o = words(other)
             size = min(5, len(o))
             ho, hd = shingle_hashes(o, size), shingle_hashes(d, size)
             m = len(o) - size + 1
-            best = max((decontamination.weighted_similarity(ho, hd[s : s + m]) for s in range(len(d) - len(o) + 1)), default=0)
+            whole = [decontamination.weighted_similarity(ho, hd)] if size <= len(d) < len(o) else []
+            best = max([decontamination.weighted_similarity(ho, hd[s : s + m]) for s in range(len(d) - len(o) + 1)] + whole, default=0)
             wanted += best >= 0.8
             found += j in got and got[j] == pytest.approx(best)
             assert j not in got or best >= 0.8
@@ -43,31 +45,51 @@ def test_search_equals_all_windows(spark):
 
 def test_search_finds_items_cut_short(spark):
     rng, v = vocabulary(6)
-    found = wanted = 0
-    for _ in range(200):
-        item = [rng.choice(v) for _ in range(rng.choice([8, 12, 20, 40, 100]))]
+    items, docs, want = [], [], {}
+    for k in range(200):
+        item = [f"{rng.choice(v)}{k}" for _ in range(rng.choice([8, 12, 20, 40, 100]))]
         cut = rng.randint(1, max(1, len(item) // 6))
         w = item[:-cut] if rng.random() < 0.5 else item[cut:]
-        got = decontamination.Index([(1, " ".join(item))]).search(" ".join(w), 0.8)
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(w)))
         whole = decontamination.weighted_similarity(shingle_hashes(item), shingle_hashes(w))
-        wanted += whole >= 0.8
-        found += got == [(1, 0, len(w), pytest.approx(whole))]
-        assert not got or whole >= 0.8
-    assert found >= 0.99 * wanted and wanted > 100
+        if whole >= 0.8:
+            want[k] = [(k, 0, len(w), pytest.approx(whole))]
+    got = {r.doc_id: [tuple(x) for x in r.leaks] for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum(got[k] == x for k, x in want.items()) >= 0.99 * len(want) and len(want) > 100
+    assert all(not x for k, x in got.items() if k not in want)
     item = " ".join(rng.choice(v) for _ in range(100))
     docs = spark.createDataFrame([(1, item.rsplit(" ", 5)[0]), (2, item.rsplit(" ", 60)[0])], "doc_id long, text string")
-    got = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    got = decontamination.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("doc_id").collect()
     assert [len(r.leaks) for r in got] == [1, 0]
 
 
+def test_repeated_phrases_weigh_as_in_the_similarity(spark):
+    """Where what differs is how often one phrase repeats, fingerprints of plain sums would be far apart."""
+    rng, v = vocabulary(12)
+    plain, phrase = [rng.choice(v) for _ in range(90)], [rng.choice(v) for _ in range(1)]
+    item, doc = plain + phrase * 14, plain + phrase * 4
+    want = decontamination.weighted_similarity(shingle_hashes(item), shingle_hashes(doc))
+    rows = decontamination.leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert want >= 0.8 and [tuple(x) for x in rows.first()["leaks"]] == [(7, 0, len(doc), pytest.approx(want))]
+    h = np.array([5, 7, 5, 9, 7, 5, 1, 2, 3, 4], np.uint64)
+    for m in (1, 3, 6, 10):
+        starts = np.arange(len(h) - m + 1)
+        plainly = [decontamination.fingerprints(decontamination.signs(decontamination.occurrences(h[s : s + m])).sum(0, keepdims=True))[0] for s in starts]
+        assert (decontamination.window_prints(h, starts, m) == plainly).all()
+
+
 def test_index_guarantees_the_radius():
     rng = np.random.default_rng(2)
-    index = decontamination.Index([(k, " ".join(f"w{k}_{j}" for j in range(20))) for k in range(50)])
     for k in range(50):
-        flips = rng.choice(128, decontamination.RADIUS, replace=False)
-        bits = np.unpackbits(index.prints[k : k + 1].view(np.uint8))
-        bits[flips] ^= 1
-        assert (0, k) in index.within(20, np.packbits(bits).view(np.uint16)[None, :])
+        h = shingle_hashes([f"w{k}_{j}" for j in range(20)])
+        own = decontamination.fingerprints(decontamination.signs(h).sum(0, keepdims=True))
+        index = set(decontamination.block_keys(20, own, decontamination.NEAR)[0].tolist())
+        bits = np.unpackbits(own.view(np.uint8))
+        bits[rng.choice(128, decontamination.RADIUS, replace=False)] ^= 1
+        other = np.packbits(bits).view(np.uint16)[None, :]
+        assert index & set(decontamination.block_keys(20, other)[0].tolist())
+        assert not index & set(decontamination.block_keys(21, other)[0].tolist())
 
 
 def test_leaks(spark):
@@ -76,15 +98,27 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(1, "x y " + item.upper() + " z", 0), (1, item, 0), (2, None, 0), (3, "", 0), (None, item, 0), (4, "clean " * 5000, 0)], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(7, item), (7, item), (8, None), (None, item), (9, "")], "item_id long, text string")
     got = decontamination.leaks(docs, bench).collect()
-    assert [[x.item_id for x in r.leaks] for r in got] == [[7], [7], [], [], [7], []]
+    assert sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in got) == [("1", [7]), ("1", [7]), ("2", []), ("3", []), ("4", []), ("None", [7])]
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [2, 3, 4]
+    assert decontamination.clean(docs, bench.limit(0)).columns == docs.columns and decontamination.clean(docs, bench.limit(0)).count() == 6
     assert all(not r.leaks for r in decontamination.leaks(docs, bench.limit(0)).collect()) and decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
 def test_leak_query(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    got = {(r.doc_id, r.item_id) for r in decontamination.op4_decontamination(spark, SF).collect()}
-    assert {(d.doc_id, b.item_id) for d in docs for b in bench if f" {' '.join(words(b.text))} " in f" {' '.join(words(d.text))} "} <= got
+    """Every window of every text against every item: what is found is similar, and what is similar is found."""
+    bench = [(b.item_id, shingle_hashes(words(b.text)), len(words(b.text))) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.op4_decontamination(spark, SF).collect()}
+    want = {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        h = shingle_hashes(words(d.text))
+        for item, own, n in bench:
+            m = min(n - 4, len(h))
+            hit = np.concatenate(([0], np.cumsum(np.isin(h, own))))
+            starts = np.flatnonzero(hit[m:] - hit[:-m] >= 0.8 * m) if m > 0 else []  # of less than that a window can't be similar
+            best = max((decontamination.weighted_similarity(own, h[s : s + m]) for s in starts), default=0)
+            if best >= 0.8:
+                want[d.doc_id, item] = best
+    assert want and got == pytest.approx(want)
 
 
 def classes(rows, least=0.8):
