@@ -21,29 +21,47 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the language model rejects. Extra columns that share its names stay as they were."""
+    """Drops what the language model rejects: null, empty and blank texts, those without a letter, those of an unsure language.
+
+    A very long text is read whole; equal rows fare alike; no rows give none; other columns, whatever their names, stay.
+    """
     return docs.where(language_id.accepted(docs, MIN_LANGUAGE_SCORE))
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class; rows without words or without doc_id are no duplicates, save that rows sharing a doc_id are one."""
+    """Keeps one row of each class: that with the smallest doc_id, of several texts under it the one with the smallest digest.
+
+    Rows without words or without doc_id all stay, save that rows with a doc_id that are equal in every column are one.
+    A very long text is one set of shingles; no rows give none; other columns, whatever their names, stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts with benchmark passages."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(F.size(decontamination.leak_column(docs, benchmark)) == 0)
+    """Drops texts with benchmark passages.
+
+    Null and empty texts hold none; a very long text is searched whole; equal rows fare alike; no rows give none, and an
+    empty benchmark drops none; other columns, whatever their names, stay.
+    """
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in texts."""
+    """Replaces personal data in texts by its kind, and sets n_chars, if there is one, to the new length.
+
+    A null text stays null, with a null n_chars; a very long text is searched whole; equal rows fare alike; no rows give
+    none; other columns, whatever their names, stay.
+    """
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences, of 2,048 tokens at most: one row per piece.
+
+    A null text is empty, and its piece is the end id; a very long text fills several sequences; equal rows are packed
+    each; no rows give no pieces; other columns are not read.
+    """
     import public_tokenizers
 
     pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
