@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import fresh
+from ..sources.shared import shared_path
+
 #: Input of one Arrow batch to a Python worker; long texts must not pile up to 10,000 a batch.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -19,25 +19,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a new one only on a single machine where none is named."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="sieveline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of df as a table in the shared folder: cuts lineage and outlives lost executors."""
     at = shared_path(df.sparkSession, what)
@@ -45,19 +26,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name like `name` that df doesn't have, in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Asks for the disk of shuffles that finished steps no longer need.
 
     Spark removes their files when the driver's JVM has collected what stood for them, which on a quiet driver can be
-    long after the next step has filled the disk. Only a classic session has a JVM to ask.
+    long after the next step has filled the disk. What the last job used stays until another has run, so call this after
+    a small one. Only a classic session has a JVM to ask.
     """
     gc.collect()
     if (jvm := getattr(spark, "_jvm", None)) is not None:

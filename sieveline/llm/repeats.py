@@ -284,9 +284,8 @@ def contexts(buckets: int, frequent: np.ndarray, bits: int, lot_bytes: int = 24
                 place, h, first, last = anchors(data)
                 own = np.flatnonzero(np.isin(place, np.frombuffer(places, np.uint32)))
                 bucket = (h[own] % np.uint64(buckets)).astype(np.int64)
-                hot = np.isin(h[own] >> np.uint64(64 - bits), frequent)
                 parts = list(zip(place[own].tolist(), bucket.tolist(), first[own].tolist(), (last[own] + WINDOW).tolist(), strict=True))
-                if hot.any():
+                if len(frequent) and (hot := np.isin(h[own] >> np.uint64(64 - bits), frequent)).any():
                     windows = [(a, None, x, x + WINDOW) for (a, _, s, e), cut in zip(parts, hot.tolist(), strict=True) if cut for x in range(s, e - WINDOW + 1)]
                     parts = [p for p, cut in zip(parts, hot.tolist(), strict=True) if not cut] + windows
                 for a, b, s, e in parts:
@@ -450,23 +449,24 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    free_shuffles(spark)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col(key), F.xxhash64(whole)).alias("k"), whole.alias("text"))
     size = text_bytes(rows)
+    free_shuffles(spark)
     buckets = ranges = max(64, n_partitions(spark, size, 24 << 20))
     bits = min(64, max(36, size.bit_length() + 12))
     long_enough = rows.where(F.octet_length("text") >= WINDOW)
     blobs = long_enough.select("k", "text").mapInArrow(anchor_blobs(buckets, bits), "bucket int, blob binary")
     candidates = written(blobs.groupBy("bucket").applyInArrow(shared_anchors(buckets, ranges), "range int, n long, data binary"), "candidates")
-    free_shuffles(spark)
     frequent = most_frequent(candidates, size)
 
     n = candidates.where("range >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    free_shuffles(spark)
     lots = n_partitions(spark, int(n), 60_000)
     by_text = candidates.where("range >= 0").groupBy("range").applyInArrow(merger(1, 1, ["k", "places"]), "k long, places binary")
     aligned = long_enough.select("doc", "k", "text").join(by_text, "k").mapInArrow(contexts(lots, frequent, bits), "bucket int, doc long, k long, data binary")
     repeated = written(aligned.groupBy("bucket").applyInArrow(repeated_windows(ranges), "range int, data binary"), "repeated")
+    repeated.isEmpty()
     free_shuffles(spark)
 
     found = repeated.groupBy("range").applyInArrow(merger(2, 2, ["doc", "k", "runs"]), "doc long, k long, runs binary")
