@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, preview, strip, tokens
-from .ordering import fresh, numbered
+from .ordering import fresh, numbered, spread
 
 CHANNELS = ("sms", "email", "whatsapp", "app_notification")
 LABELS = ("scam", "safe")
@@ -192,21 +195,26 @@ def js_matrix(df: DataFrame, group: str, text: str) -> DataFrame:
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(jsd).alias("jsd"))
 
 
-def terms(text: Column) -> Column:
-    """The word 1- and 2-grams of a text, words of two letters, digits or underscores at least."""
-    t = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    two = lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(t) > 1, F.concat(t, two(t))).otherwise(t)
+def _term_counts(words: pa.Array) -> pa.Array:
+    """Of lists of words: their distinct 1- and 2-grams, with how often each occurs."""
+    terms, n, ends = [], [], [0]
+    for t in words.to_pylist():
+        for c in (Counter(t or ()), Counter(map(" ".join, zip(t or (), (t or ())[1:])))):
+            terms += c.keys()
+            n += c.values()
+        ends.append(len(terms))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int32())], ["term", "tf"]))
 
 
-def _frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf). Texts are dealt by key before they are split, so what is counted per key needs no shuffle after."""
-    return docs.select(key, text).repartition(key).select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of word 1- and 2-grams, words of two letters, digits or underscores at least: a text's row is counted where it stands."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return docs.select(key, F.arrow_udf(_term_counts, "array<struct<term:string,tf:int>>")(words).alias("c")).select(key, F.inline("c"))
 
 
 def idf(*sides: tuple[DataFrame, str, str], top: int = 10_000) -> DataFrame:
     """(term, idf, df) of the `top` terms by frequency (ties by term) in the texts of all sides (rows, key, text) together."""
-    counted = [_frequencies(*s).select("term", "tf") for s in sides]
+    counted = [term_counts(*s).select("term", "tf") for s in sides]
     n = [s[0].select(F.count("*").alias("n")) for s in sides]
     for k in range(1, len(sides)):
         counted[0], n[0] = counted[0].union(counted[k]), n[0].union(n[k])
@@ -216,31 +224,23 @@ def idf(*sides: tuple[DataFrame, str, str], top: int = 10_000) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
-    """(key, term, w, df): L2-normalised TF-IDF by the terms of `weights`, which idf bounds in number."""
-    w = _frequencies(docs, key, text).join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("w"), "df")
-
-
-def _prefix(w: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, term): a text's rarest terms, until those left over can't reach the threshold on their own."""
-    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing))
-    return w.withColumn("rest", rest).where(F.sqrt("rest") >= threshold - 1e-6).select(key, "term")
+    """(key, term, w): L2-normalised TF-IDF by the terms of `weights`, which idf bounds in number; one shuffle, by key."""
+    w = term_counts(docs, key, text).join(F.broadcast(weights), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    each = w.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return each.select(key, "norm", F.inline("v")).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float) -> DataFrame:
     """(left_key, right_key, similarity) at or over the threshold: cosine of TF-IDF fitted on both sides together. Keys are unique.
 
-    Two texts that are so similar share a term among the rarest of each, so only those that do meet; their terms are
-    then joined whole.
+    Each side's vectors are made by one shuffle, then a join on terms adds up products; partial sums are taken before
+    they are dealt by pair. A side that is small enough is broadcast by AQE.
     """
-    sides = [(df.select(F.col(k).alias(name), F.col(text).alias("text")), name, "text") for df, k, name in ((left, left_key, "i"), (right, right_key, "j"))]
+    sides = [(spread(df.select(F.col(k).alias(name), F.col(text).alias("text"))), name, "text") for df, k, name in ((left, left_key, "i"), (right, right_key, "j"))]
     weights = idf(*sides)
-    one, two = (tfidf(*s, weights) for s in sides)
-    met = _prefix(one, "i", threshold).join(_prefix(two, "j", threshold), "term").select("i", "j").distinct()
-    pairs = met.join(two.select("j", "term", F.col("w").alias("wj")), "j").join(one.select("i", "term", F.col("w").alias("wi")), ["i", "term"])
-    scored = pairs.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return scored.select(F.col("i").alias(left_key), F.col("j").alias(right_key), "similarity")
+    a, b = (tfidf(*s, weights).withColumnRenamed("w", f"w{s[1]}") for s in sides)
+    scored = a.join(b, "term").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold).select(F.col("i").alias(left_key), F.col("j").alias(right_key), "similarity")
 
 
 def similarity_counts(pairs: DataFrame, *levels: float) -> DataFrame:
