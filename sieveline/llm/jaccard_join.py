@@ -218,7 +218,8 @@ def class_labels(nodes: DataFrame, rows_in: DataFrame, least: float, size: int,
     """
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    shared = written(banded.join(hubs, "band"), "shared")
+    # Of two tables, Spark can split the rows of a band that very many nodes have.
+    shared = written(banded.join(written(hubs, "hubs").hint("merge"), "band"), "shared")
     # What is wanted grows with the corpus, so it is never broadcast, however small its files look.
     wanted = nodes.select("node", "k").join(shared.select("node").distinct(), "node")
     sets = rows_in.select("k", "text").join(wanted.hint("merge"), "k").select("node", "text").mapInArrow(set_maker(size), "node binary, set binary")
