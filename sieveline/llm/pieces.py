@@ -20,14 +20,16 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces whose normal form and pre-tokens are plain to see: letters, then perhaps punctuation.
 _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+@lru_cache
 def known_kind(path: str) -> bool:
-    """Whether the cuts hold for a tokenizer file: by its settings, not by its name."""
+    """Whether the cuts hold for a tokenizer file: by its settings, not by its name; read once a worker."""
     with open(path, encoding="utf-8") as f:
         settings = json.load(f)
     model, normal, split = settings["model"], settings["normalizer"], settings["pre_tokenizer"] or {}
