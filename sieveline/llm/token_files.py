@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, documents, n_partitions, shared_path, text_bytes
 
+#: Files grow beyond part_bytes rather than be more than these: so a row for each is small enough to broadcast, whatever the input.
+MOST_FILES = 1 << 20
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
@@ -49,7 +51,7 @@ def write_tokens(df: DataFrame, at: str, tokenizer_path: str, end_id: int | None
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = n_partitions(spark, text_bytes(docs), part_bytes)
+    n = min(MOST_FILES, n_partitions(spark, text_bytes(docs), part_bytes))
     ordered = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encoder(tokenizer_path, end_id, "doc_id"), SCHEMA)
@@ -68,7 +70,8 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) of files by write_tokens; start is the number of ids before the document.
 
     Only what is selected is read: metadata without ids, or the ids of some documents by a filter on doc_id. Files are
-    added up in groups of 1,024, so one window has a row per file of a group, the other a row per group.
+    added up in groups of 1,024, so one window has a row per file of a group, the other a row per group; what is
+    broadcast is a row of 16 bytes for each of at most MOST_FILES files, so that ids are never dealt.
     """
     rows = spark.read.schema(SCHEMA).parquet(at)
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.shiftright("part", 10))
@@ -76,7 +79,7 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     groups = files.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_base"))
     files = files.withColumn("own_base", before(Window.partitionBy("group").orderBy("part"))).join(groups, "group")
     bases = files.select("part", (F.col("group_base") + F.col("own_base")).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc32(ids: pa.Array) -> pa.Array:
