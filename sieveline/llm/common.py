@@ -11,7 +11,7 @@ from ..operators.ordering import fresh
 from ..sources.shared import shared_path
 
 #: Input of one Arrow batch to a Python worker; long texts must not pile up to 10,000 a batch.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ _WIDTH = BITS // BLOCKS
 NEAR = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(_WIDTH), k)], np.uint64)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 #: Bits that tell which shingles some item has.
-SEEN = 1 << 25
+SEEN = 1 << 22
 _RUN = 4096
 
 
