@@ -11,11 +11,17 @@ from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
 from .packing import op10_packing
 from .pii import op8_pii
+from .prefix_trie import SQL as SQL_13
+from .prefix_trie import op13_prefix_trie
 from .quality import op9_quality_rules
 from .repeats import SQL as SQL_7
 from .repeats import op7_repeats
 from .token_counts import op1_token_counts
 from .token_files import op3_token_files
+from .top_k import SQL as SQL_12
+from .top_k import op12_top_k
+from .vector_codes import SQL as SQL_11
+from .vector_codes import op11_vector_codes
 from .warc import SQL as SQL_5
 from .warc import op5_warc
 
@@ -32,9 +38,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_top_k": op12_top_k,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Models, tokenizers and MinHash can't be put in SQL; tests hold those queries against plain versions."""
-    return {"op5_warc": SQL_5, "op7_repeats": SQL_7}
+    return {"op5_warc": SQL_5, "op7_repeats": SQL_7, "op11_vector_codes": SQL_11, "op12_top_k": SQL_12, "op13_prefix_trie": SQL_13}
