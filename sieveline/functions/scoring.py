@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import Patterns
 from .fusion import band_text, risk_level
-from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, has_homoglyphs, normalized, strip
+from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, SCRIPT_SPACES, has_homoglyphs, normalized, strip
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,7 @@ FAMILIES: dict[str, tuple[float, tuple[Rule, ...]]] = {
         ),
     ),
 }
+# What a homoglyph counts and says, and what is said of a blank text.
 HOMOGLYPH = ("homoglyph_attack", 0.5, 0.9, "Suspicious Unicode characters detected")
 WEIGHTS = {k: w for k, (w, _) in FAMILIES.items()} | {HOMOGLYPH[0]: HOMOGLYPH[1]}
 NO_TEXT = "No text provided for analysis."
@@ -191,12 +193,8 @@ def heuristic_from_counts(counts: dict[str, Column], homoglyph: Column | None =
 
 
 def quick_check(raw: Column) -> Column:
-    """Whether any of PHRASES is in the lower-case text."""
-    low = F.lower(raw)
-    first, *rest = (low.contains(p) for p in PHRASES)
-    for r in rest:
-        first = first | r
-    return first
+    """Whether any of PHRASES is in the lower-case text, which is read once, up to the first."""
+    return Patterns(PHRASES).any(F.lower(raw))
 
 
 def text_score(model: Column, heuristic: Column) -> Column:
@@ -219,4 +217,4 @@ def text_analysis(raw: Column, score: Column) -> Column:
 
 
 def is_blank(raw: Column) -> Column:
-    return F.coalesce(strip(raw), F.lit("")) == ""
+    return F.coalesce(strip(raw, SCRIPT_SPACES), F.lit("")) == ""

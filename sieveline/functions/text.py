@@ -8,10 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space by code point, for engines whose \s is ASCII.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-#: The same, character by character.
-SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+_BOTH = [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: White space as Python strips and splits by: curation, deduplication, files. With the separators U+001C to U+001F and U+0085.
+PYTHON_SPACES = "".join(map(chr, sorted([*_BOTH, *range(0x1C, 0x20), 0x85])))
+#: White space as JavaScript has it: messages that are scored, recognised text, word pieces. With the byte-order mark.
+SCRIPT_SPACES = "".join(map(chr, [*_BOTH, 0xFEFF]))
+#: The same as a class for regular expressions, whose own \s is ASCII.
+SCRIPT_SPACE = r"[\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # Letters that look Latin, and the letters they stand for.
 LOOKALIKES = "аеорсухѕіјԁһԝʏαορτν"
 LATIN = "aeopcyxsijdhwyaoptv"
@@ -22,14 +25,14 @@ BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9
 BEFORE_WORD, AFTER_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column, spaces: str = PYTHON_SPACES) -> Column:
     """Without white space at either end."""
-    return F.btrim(c, F.lit(SPACES))
+    return F.btrim(c, F.lit(spaces))
 
 
-def tokens(c: Column) -> Column:
+def tokens(c: Column, spaces: str = PYTHON_SPACES) -> Column:
     """The words between white space."""
-    return F.array_remove(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(F.translate(c, spaces, " " * len(spaces)), " "), "")
 
 
 def n_tokens(c: Column) -> Column:
@@ -50,7 +53,7 @@ def normalized(c: Column, compose: bool = True) -> Column:
     low = F.lower(c)
     if compose:
         low = nfc()(low)
-    return strip(F.regexp_replace(F.translate(low, LOOKALIKES + ZERO_WIDTH, LATIN), f"{SPACE}+", " "))
+    return strip(F.regexp_replace(F.translate(low, LOOKALIKES + ZERO_WIDTH, LATIN), f"{SCRIPT_SPACE}+", " "), SCRIPT_SPACES)
 
 
 def has_homoglyphs(c: Column) -> Column:
@@ -61,7 +64,7 @@ def has_homoglyphs(c: Column) -> Column:
 
 def ocr_normalized(c: Column) -> Column:
     """For recognised text: single spaces, no NUL, en and em dashes as hyphens, trimmed."""
-    return strip(F.regexp_replace(F.translate(F.regexp_replace(c, f"{SPACE}+", " "), "–—\0", "--"), "\0", ""))
+    return strip(F.regexp_replace(F.translate(F.regexp_replace(c, f"{SCRIPT_SPACE}+", " "), "–—\0", "--"), "\0", ""), SCRIPT_SPACES)
 
 
 def preview(c: Column, n: int = 80) -> Column:
@@ -81,4 +84,4 @@ def fenced_json(c: Column, schema: str) -> Column:
 def word_split(c: Column) -> Column:
     """Words between white space, with each ASCII punctuation mark a token of its own."""
     mark = r"[.,!?;:'\"()\[\]{}<>@#$%^&*+=\-_/\\|`~]"
-    return F.regexp_extract_all(c, F.lit(f"({mark}|(?:(?!{mark})(?!{SPACE}).)+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(f"({mark}|(?:(?!{mark})(?!{SCRIPT_SPACE}).)+)"), F.lit(1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import normalized, word_split
+from .text import SCRIPT_SPACES, normalized, word_split
 
 # Fixed values of the vocabulary format.
 PAD, UNK, CLS, SEP, MASK = ("[PAD]", 0), ("[UNK]", 100), ("[CLS]", 101), ("[SEP]", 102), ("[MASK]", 103)
@@ -23,56 +23,101 @@ def fallback_vocabulary() -> dict[str, int]:
     return dict((PAD, UNK, CLS, SEP, MASK)) | {c: 104 + k for k, c in enumerate(plain)}
 
 
+#: Bytes of a vocabulary's file, and tokens of its table: what a worker holds as a trie.
+MOST_BYTES, MOST_TOKENS = 32 << 20, 1 << 20
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     """token to line number (from 0) of a one-file vocabulary; blank lines take a number and no token.
 
-    A vocabulary is small and its order matters, so it is read as one text.
+    A vocabulary is small and its order matters, so it is read as one text, after its size has been checked.
     """
+    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
+    if size > MOST_BYTES:
+        raise ValueError(f"a vocabulary of {size} bytes; {MOST_BYTES} at most")
     lines = spark.read.text(path, wholetext=True).first()["value"].split("\n")
-    return {token: k for k, line in enumerate(lines) if (token := line.strip())}
+    return {token: k for k, line in enumerate(lines) if (token := line.strip(SCRIPT_SPACES))}
+
+
+def vocabulary_of(rows: DataFrame, token: str = "token") -> dict[str, int]:
+    """The special tokens, then the distinct tokens of a table, by code points, from id 104 on; its size is checked before it is read."""
+    distinct = rows.select(F.col(token).alias("t")).where("t is not null and t <> ''").distinct()
+    if (n := distinct.count()) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary of {n} tokens; {MOST_TOKENS} at most")
+    special = dict((PAD, UNK, CLS, SEP, MASK))
+    return special | {t: 104 + k for k, t in enumerate(sorted({r.t for r in distinct.collect()} - special.keys()))}
+
+
+class Trie:
+    """The pieces of a vocabulary by character. What continues a word stands below the node of `##`, which a match at the start of a word links to."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+        self.below: list[dict[str, int]] = [{}]
+        self.ids = [-1]
+        for token, k in vocabulary.items():
+            self.ids[self._node(token)] = k
+        self.after = self._node("##")
+
+    def _node(self, token: str) -> int:
+        at = 0
+        for c in token:
+            if c not in self.below[at]:
+                self.below[at][c] = len(self.below)
+                self.below.append({})
+                self.ids.append(-1)
+            at = self.below[at][c]
+        return at
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of a word: the longest piece each time, found in one walk down the trie.
+
+        Where nothing fits, one [UNK] stands for the failures in a row and one character is passed over. (The original
+        passes over half a character outside the basic plane, which makes no difference: the other half fails as well.)
+        """
+        if word in self.vocabulary:
+            return [self.vocabulary[word]]
+        out: list[int] = []
+        at, below, ids, unknown = 0, self.below, self.ids, self.vocabulary.get(UNK[0], UNK[1])
+        while at < len(word):
+            node, found, end = self.after if at else 0, -1, at
+            for k in range(at, len(word)):
+                node = below[node].get(word[k], -1)
+                if node < 0:
+                    break
+                if ids[node] >= 0:
+                    found, end = ids[node], k + 1
+            if found < 0:
+                if not out or out[-1] != unknown:
+                    out.append(unknown)
+                end = at + 1
+            else:
+                out.append(found)
+            at = end
+        return out
 
 
-def pieces(word: str, vocabulary: dict[str, int]) -> list[str]:
-    """Longest prefixes first, `##` before what continues a word.
+def piece_ids(vocabulary: dict[str, int]):
+    """An Arrow function from arrays of words to arrays of ids; a worker builds the trie once and keeps the words it has seen.
 
-    Where nothing fits, one [UNK] stands for the failures in a row and one UTF-16 unit is passed over.
+    Spark broadcasts the function with its vocabulary, which is bounded, once it is over a megabyte.
     """
-    if word in vocabulary:
-        return [word]
-    units = word.encode("utf-16-le", "surrogatepass")
-    n, at, out = len(units) // 2, 0, []
-    part = lambda a, b: units[2 * a : 2 * b].decode("utf-16-le", "surrogatepass")
-    while at < n:
-        for to in range(n, at, -1):
-            piece = ("##" if at else "") + part(at, to)
-            if piece in vocabulary:
-                out.append(piece)
-                at = to
-                break
-        else:
-            if not out or out[-1] != UNK[0]:
-                out.append(UNK[0])
-            at += 1
-    return out
-
-
-def piece_ids(vocabulary: dict[str, int]):
-    """An Arrow function from arrays of words to arrays of ids; each worker keeps the words it has seen."""
-    seen: dict[str, list[int]] = {}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie, seen = Trie(vocabulary), {}
         for words in batches:
-            rows = []
-            for row in words.to_pylist():
-                ids: list[int] = []
-                for w in row or []:
-                    if w not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen[w] = [vocabulary.get(p, UNK[1]) for p in pieces(w, vocabulary)]
-                    ids += seen[w]
-                rows.append(ids)
-            yield pa.array(rows, pa.list_(pa.int32()))
+            flat = words.flatten().to_pylist()
+            for w in set(flat) - seen.keys():
+                if len(seen) > 200_000:
+                    seen = {}
+                seen[w] = trie.encode(w)
+            ids, ends, at = [], [0], 0
+            for n in words.value_lengths().fill_null(0).to_pylist():
+                for w in flat[at : at + n]:
+                    ids += seen[w] if w in seen else trie.encode(w)
+                ends.append(len(ids))
+                at += n
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
     return F.arrow_udf(run, "array<int>")
 

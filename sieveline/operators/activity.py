@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import fresh
+from ..sources.shared import written
+from .ordering import fresh, running_totals
 
 #: What an event of the log is: a scan that found a scam, a safe scan, a report, an app opening, or a daily decay.
 KINDS = ("scam", "safe", "report", "open", "decay")
@@ -26,44 +27,76 @@ def counters(log: DataFrame) -> DataFrame:
 def active_days(log: DataFrame) -> DataFrame:
     """(user_id, active_days): 1, and 1 more for each opening on another day than the event before it.
 
-    A scan moves the last-active day as well, so a scan after midnight takes the next opening's day. Windows are by
-    user, over days and kinds alone.
+    A scan moves the last-active day as well, so a scan after midnight takes the next opening's day. So a day counts if
+    its first scan or opening is an opening, save a user's first: partial minima by user and day tell, and no task sees
+    all events of a user.
     """
-    rows = log.where(F.col("kind").isin("scam", "safe", "open")).select("user_id", "ts", "event_id", "kind", F.to_date("ts").alias("day"))
-    before = F.lag("day").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    new = (F.col("kind") == "open") & before.isNotNull() & (before != F.col("day"))
-    return rows.withColumn("new", new).groupBy("user_id").agg((1 + F.count_if("new")).alias("active_days"))
+    rows = log.where(F.col("kind").isin("scam", "safe", "open")).select("user_id", F.to_date("ts").alias("day"), "kind", F.struct("ts", "event_id").alias("at"))
+    days = rows.groupBy("user_id", "day").agg((F.min_by("kind", "at") == "open").alias("opened"))
+    first = F.when(F.min_by("opened", "day"), 1).otherwise(0)
+    return days.groupBy("user_id").agg((1 + F.count_if("opened") - first).alias("active_days"))
 
 
-def with_decay(log: DataFrame) -> DataFrame:
-    """The log with a decay event at the end of each day from a user's first day to the last but one."""
-    span = log.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).where("a < b")
+def with_decay(log: DataFrame, through: Column | None = None) -> DataFrame:
+    """The log with a decay event at the end of each day from a user's first day to the last but one, or to the day before `through` if that is later."""
+    last = F.max(F.to_date("ts"))
+    span = log.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("a"), (last if through is None else F.greatest(last, through)).alias("b")).where("a < b")
     days = span.select("user_id", F.explode(F.sequence("a", F.date_sub("b", 1))).alias("day"))
     decay = days.select("user_id", (F.date_add("day", 1).cast("timestamp_ntz") - F.expr("interval 1 microsecond")).alias("ts"), F.lit(2**62).cast("long").alias("event_id"), F.lit("decay").alias("kind"))
     return log.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "kind").unionByName(decay)
 
 
-def fold(log: DataFrame) -> DataFrame:
+def compose(first: Column, then: Column) -> Column:
+    """One after the other of two maps x -> min(hi, max(lo, x + a)), as struct<a, lo, hi>: such a map again, so long histories can be folded in parts."""
+    cut = lambda x: F.least(then["hi"], F.greatest(then["lo"], x + then["a"]))
+    return F.struct((first["a"] + then["a"]).alias("a"), cut(first["lo"]).alias("lo"), cut(first["hi"]).alias("hi"))
+
+
+#: Bounds of a map that cuts nothing on that side; far enough from a long's own to be added to.
+FAR = 1 << 60
+#: Decays of a user that are folded in one row.
+DECAYS_A_ROW = 1024
+
+
+def _risk(scams: Column, decays: Column) -> Column:
+    """What `decays` decays and then `scams` scams do to the risk."""
+    long = lambda x: F.lit(x).cast("long")
+    down = F.struct((-decays).alias("a"), long(0).alias("lo"), long(FAR).alias("hi"))
+    up = F.struct((5 * scams).alias("a"), long(-FAR).alias("lo"), long(100).alias("hi"))
+    return compose(F.when(decays > 0, down).otherwise(F.struct(long(0).alias("a"), long(-FAR).alias("lo"), long(FAR).alias("hi"))), F.when(scams > 0, up).otherwise(F.struct(long(0).alias("a"), long(-FAR).alias("lo"), long(FAR).alias("hi"))))
+
+
+def fold(log: DataFrame, rows: int = 250_000, decays_a_row: int = DECAYS_A_ROW) -> DataFrame:
     """(user_id, recent, risk): events in order; a scam adds 1 and 5 (100 at most), a decay takes a tenth (floor) and 1 (0 at least).
 
-    The clamped sum isn't associative, so a user's events are folded in order. Between two scans or decays nothing
-    else matters, and equal neighbours are counted first: what is collected is one (kind, length) per run, not one
-    element per event.
+    Between two decays only the number of scams matters, so events are counted by how many decays of their user come
+    before them, in ranges of time where a user has very many. Stretches of a bounded number of decays are folded each in a
+    row of its own: the risk as a map that composes with the next one, so that stretches need no order until they meet;
+    the recent scams, whose floors don't compose, stretch after stretch, in as many rounds as the longest history has
+    stretches (one, for three years of daily decays).
     """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    marked = log.where(F.col("kind").isin("scam", "decay")).select("user_id", "ts", "event_id", "kind", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1).alias("new"))
-    runs = marked.withColumn("run", F.sum("new").over(w)).groupBy("user_id", "run").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
-    ordered = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("run", "kind", "n"))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("recent"), F.lit(0).cast("long").alias("risk"))
-
-    def step(s: Column, e: Column) -> Column:
-        scam = F.struct((s["recent"] + e["n"]).alias("recent"), F.least(F.lit(100).cast("long"), s["risk"] + 5 * e["n"]).alias("risk"))
-        decayed = F.aggregate(F.sequence(F.lit(1).cast("long"), e["n"]), s["recent"], lambda r, _: F.floor(r * 9 / 10))
-        return F.when(e["kind"] == "scam", scam).otherwise(F.struct(decayed.alias("recent"), F.greatest(F.lit(0).cast("long"), s["risk"] - e["n"]).alias("risk")))
-
-    folded = ordered.select("user_id", F.aggregate("e", start, step).alias("s")).select("user_id", "s.recent", "s.risk")
     zero = F.lit(0).cast("long")
-    return log.select("user_id").distinct().join(folded, "user_id", "left").select("user_id", F.coalesce("recent", zero).alias("recent"), F.coalesce("risk", zero).alias("risk"))
+    own = log.where(F.col("kind").isin("scam", "decay")).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "kind")
+    is_decay = F.when(F.col("kind") == "decay", 1).otherwise(0).cast("long")
+    after = running_totals(own, "us", {"before": is_decay}, ("user_id",), rows, ("event_id",)).withColumn("epoch", F.col("before") + is_decay)
+    counts = after.groupBy("user_id", "epoch").agg(F.count_if(F.col("kind") == "scam").alias("n"))
+    stretch = F.floor(F.col("epoch") / decays_a_row)
+    parts = counts.groupBy("user_id", stretch.alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("epoch", "n"))).alias("e"))
+    nothing = F.struct(zero.alias("a"), F.lit(-FAR).cast("long").alias("lo"), F.lit(FAR).cast("long").alias("hi"))
+    # An epoch without an event of its own kind has a decay at its start all the same: every epoch from 1 on is there.
+    step = lambda m, e: compose(m, _risk(e["n"], F.when(e["epoch"] > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    parts = written(parts.withColumn("risk", F.aggregate("e", nothing, step)), "stretches")
+    risk = parts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "risk"))).alias("m"))
+    total = F.aggregate("m", nothing, lambda m, x: compose(m, x["risk"]))
+    risk = risk.select("user_id", F.least(total["hi"], F.greatest(total["lo"], total["a"])).alias("risk"))
+    last = parts.agg(F.max("stretch").alias("k")).first()["k"]
+    recent = log.select("user_id").distinct().withColumn("recent", zero)
+    for k in range((last if last is not None else -1) + 1):
+        here = parts.where(F.col("stretch") == k).select("user_id", "e")
+        one = lambda r, e: F.floor(F.when(e["epoch"] > 0, r * 9).otherwise(r * 10) / 10) + e["n"]
+        recent = recent.join(here, "user_id", "left").select("user_id", F.coalesce(F.aggregate("e", F.col("recent"), one), F.col("recent")).alias("recent"))
+        recent = recent if last == 0 else written(recent, "recent")
+    return recent.join(risk, "user_id", "left").select("user_id", "recent", F.coalesce("risk", zero).alias("risk"))
 
 
 def recent_window(log: DataFrame, days: int = 30) -> DataFrame:

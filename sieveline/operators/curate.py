@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.automaton import MOST_BYTES, Lexicon, Patterns
 from ..functions.text import n_tokens, preview, strip, tokens
-from .ordering import fresh, numbered, spread
+from ..sources.shared import written
+from .ordering import fresh, numbered
 
 CHANNELS = ("sms", "email", "whatsapp", "app_notification")
 LABELS = ("scam", "safe")
@@ -48,26 +47,24 @@ def duplicate_ordinals(df: DataFrame, text: str, order: str, rows: int = 250_000
     return numbered(df.select(order, digest(F.col(text)).alias("digest")), order, "ordinal", ("digest",), rows).where("ordinal > 1").select(order, "ordinal")
 
 
-def count_hits(text: Column, keywords: list[str]) -> Column:
-    """How many of the keywords are in the lower-case text."""
-    low = F.lower(text)
-    first, *rest = (F.when(low.contains(k), 1).otherwise(0) for k in keywords)
-    return sum(rest, first)
+def keyword_consistent(label: Column, vector: Column, text: Column, lexicon: Lexicon | dict[str, list[str]], least: int = 2) -> Column:
+    """Safe rows pass; others need `least` of their vector's keywords, and an unknown vector has none. A text is read once for all keywords."""
+    known = lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon)
+    return F.coalesce(label == "safe", F.lit(False)) | (known.hits_of(known.hits(text), vector) >= least)
 
 
-def keyword_consistent(label: Column, vector: Column, text: Column, lexicon: dict[str, list[str]], least: int = 2) -> Column:
-    """Safe rows pass; others need `least` of their vector's keywords, and an unknown vector has none."""
-    hits = F.lit(0)
-    for name, words in lexicon.items():
-        hits = F.when(vector == name, count_hits(text, words)).otherwise(hits)
-    return F.coalesce(label == "safe", F.lit(False)) | (hits >= least)
+def infer_vector(text: Column, lexicon: Lexicon | dict[str, list[str]], default: str = DEFAULT_VECTOR) -> Column:
+    """The vector with most keywords in the text; of equals the first; the default without any. A text is read once for all keywords."""
+    known = lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon)
+    hits = known.hits(text)
+    most = F.coalesce(F.array_max(hits), F.lit(0))
+    return F.when(most == 0, default).otherwise(F.element_at(known.names(), F.array_position(hits, most).cast("int")))
 
 
-def infer_vector(text: Column, lexicon: dict[str, list[str]], default: str = DEFAULT_VECTOR) -> Column:
-    """The vector with most keywords in the text; of equals the first; the default without any."""
-    hits = F.array(*(count_hits(text, w) for w in lexicon.values()))
-    names = F.array(*map(F.lit, lexicon))
-    return F.when(F.array_max(hits) == 0, default).otherwise(F.element_at(names, F.array_position(hits, F.array_max(hits)).cast("int")))
+def consistency_mode(accuracy: Column) -> Column:
+    """struct<mode, threshold> of the consistency stage by the baseline model's accuracy, as consistency_threshold has it."""
+    row = lambda a: F.struct(F.lit(a[0]).alias("mode"), F.lit(a[1]).cast("double").alias("threshold"))
+    return F.when(accuracy < 0.70, row(consistency_threshold(0.0))).when(accuracy < 0.85, row(consistency_threshold(0.7))).otherwise(row(consistency_threshold(1.0)))
 
 
 def consistency_threshold(accuracy: float) -> tuple[str, float | None]:
@@ -108,27 +105,36 @@ def decontaminate(df: DataFrame, holdout: DataFrame, text: str = "text", mode: s
     return df.withColumn(d, F.sha2(F.col(text), 256)).join(found.withColumnRenamed("digest", d), d, "left_anti").select(df.columns)
 
 
-def containing(df: DataFrame, holdout: DataFrame) -> DataFrame:
+#: UTF-8 bytes of short passages that are searched together, in one pass over the texts.
+BLOCK_BYTES = 1 << 20
+
+
+def containing(df: DataFrame, holdout: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(digest) of the texts of df (text) that contain a stripped holdout text (text), as SHA-256.
 
-    Inner words of a passage are whole words of any text that contains it. So texts and passages meet on a passage's
-    first three inner words, and what meets is tested. Passages of fewer than five words have no such key: each block of
-    them, of bounded size, is tested on all texts.
+    Inner words of a passage are whole words of any text that contains it, so a passage of five words or more meets texts
+    on three of its inner words in a row: those that the fewest texts hold, by count; a passage of which some three are
+    in no text is in none. What meets is tested. Shorter passages have no such key: automata search for all of them,
+    block by block of bounded size, where the texts stand. Null texts contain nothing, and are no passages.
     """
     passages = holdout.select(strip(F.col("text")).alias("passage")).where("passage <> ''").distinct()
     three = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda k: F.xxhash64(F.slice(w, k, F.lit(3))))
-    words = passages.withColumn("w", tokens(F.col("passage")))
-    keyed = words.where(F.size("w") >= 5).select("passage", F.xxhash64(F.slice("w", 2, 3)).alias("key"))
-    texts = df.select("text", tokens(F.col("text")).alias("w"))
-    keys = texts.where(F.size("w") >= 3).select(F.sha2("text", 256).alias("digest"), F.explode(F.array_distinct(three(F.col("w")))).alias("key"))
-    met = keys.join(keyed, "key").select("digest", "passage").distinct()
+    words = written(passages.withColumn("w", tokens(F.col("passage"))), "passages")
+    inner = words.where(F.size("w") >= 5).withColumn("w", F.slice("w", 2, F.size("w") - 2))
+    keys = inner.select("passage", F.explode(F.array_distinct(three(F.col("w")))).alias("key"))
+    texts = df.select("text", tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    held = texts.select(F.sha2("text", 256).alias("digest"), F.explode(F.array_distinct(three(F.col("w")))).alias("key"))
+    held = written(held.join(keys.select("key").distinct(), "key", "left_semi").distinct(), "passage-keys")
+    rare = keys.join(held.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r"))
+    met = held.join(rare.where("r.n > 0").select("passage", F.col("r.key").alias("key")), "key").select("digest", "passage").distinct()
     found = df.withColumn("digest", F.sha2("text", 256)).join(met, "digest").where(F.col("text").contains(F.col("passage"))).select("digest")
     short = words.where(F.size("w") < 5).select("passage")
     size = short.agg(F.sum(F.octet_length("passage")).alias("n")).first()["n"] or 0
-    blocks = -(-size // (1 << 20))
+    blocks = -(-size // min(block_bytes, MOST_BYTES // 2))
     for b in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b)
-        found = found.union(df.join(F.broadcast(some), F.col("text").contains(F.col("passage")), "left_semi").select(F.sha2("text", 256)))
+        some = [r.passage for r in short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == b).collect()]  # one block
+        hit = df.where(Patterns(some).any(F.col("text"))).select(F.sha2("text", 256).alias("digest"))
+        found = found.union(hit if blocks == 1 else written(hit, "short-passages"))
     return found.distinct()
 
 
@@ -193,58 +199,3 @@ def js_matrix(df: DataFrame, group: str, text: str) -> DataFrame:
     jsd = F.sqrt(F.greatest(F.lit(0.0), (F.coalesce("s", F.lit(0.0)) + rest * F.log(F.lit(2.0))) / 2))
     joined = names.join(both, (F.least("a", "b") == F.col("g")) & (F.greatest("a", "b") == F.col("h")), "left")
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(jsd).alias("jsd"))
-
-
-def _term_counts(words: pa.Array) -> pa.Array:
-    """Of lists of words: their distinct 1- and 2-grams, with how often each occurs."""
-    terms, n, ends = [], [], [0]
-    for t in words.to_pylist():
-        for c in (Counter(t or ()), Counter(map(" ".join, zip(t or (), (t or ())[1:])))):
-            terms += c.keys()
-            n += c.values()
-        ends.append(len(terms))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int32())], ["term", "tf"]))
-
-
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of word 1- and 2-grams, words of two letters, digits or underscores at least: a text's row is counted where it stands."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return docs.select(key, F.arrow_udf(_term_counts, "array<struct<term:string,tf:int>>")(words).alias("c")).select(key, F.inline("c"))
-
-
-def idf(*sides: tuple[DataFrame, str, str], top: int = 10_000) -> DataFrame:
-    """(term, idf, df) of the `top` terms by frequency (ties by term) in the texts of all sides (rows, key, text) together."""
-    counted = [term_counts(*s).select("term", "tf") for s in sides]
-    n = [s[0].select(F.count("*").alias("n")) for s in sides]
-    for k in range(1, len(sides)):
-        counted[0], n[0] = counted[0].union(counted[k]), n[0].union(n[k])
-    kept = counted[0].groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(top)
-    total = n[0].agg(F.sum("n").alias("n"))
-    return kept.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
-
-
-def tfidf(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
-    """(key, term, w): L2-normalised TF-IDF by the terms of `weights`, which idf bounds in number; one shuffle, by key."""
-    w = term_counts(docs, key, text).join(F.broadcast(weights), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    each = w.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return each.select(key, "norm", F.inline("v")).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float) -> DataFrame:
-    """(left_key, right_key, similarity) at or over the threshold: cosine of TF-IDF fitted on both sides together. Keys are unique.
-
-    Each side's vectors are made by one shuffle, then a join on terms adds up products; partial sums are taken before
-    they are dealt by pair. A side that is small enough is broadcast by AQE.
-    """
-    sides = [(spread(df.select(F.col(k).alias(name), F.col(text).alias("text"))), name, "text") for df, k, name in ((left, left_key, "i"), (right, right_key, "j"))]
-    weights = idf(*sides)
-    a, b = (tfidf(*s, weights).withColumnRenamed("w", f"w{s[1]}") for s in sides)
-    scored = a.join(b, "term").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).select(F.col("i").alias(left_key), F.col("j").alias(right_key), "similarity")
-
-
-def similarity_counts(pairs: DataFrame, *levels: float) -> DataFrame:
-    """(level, n_pairs): how many pairs are over each level."""
-    counts = pairs.agg(*(F.count_if(F.col("similarity") > x).alias(str(k)) for k, x in enumerate(levels)))
-    rows = F.array(*(F.struct(F.lit(x).alias("level"), F.col(str(k)).alias("n_pairs")) for k, x in enumerate(levels)))
-    return counts.select(F.inline(rows))

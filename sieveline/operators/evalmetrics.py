@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_total
+from .ordering import running_total, running_totals
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -72,8 +72,13 @@ def ece(df: DataFrame, label: str, score: str, bins: int = 15) -> DataFrame:
 
 
 def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_score, positive_rate) over bins [lo, hi): a score of 1 is in none; empty bins are left out."""
-    b = df.where((F.col(score) >= 0) & (F.col(score) < 1)).withColumn("bin", F.floor(F.col(score) * bins).cast("int"))
+    """(bin, n, mean_score, positive_rate) over bins [lo, hi): a score of 1 is in none; empty bins are left out.
+
+    Edges are k * (1 / bins), as equal steps of doubles are, and scores are compared with them: 0.3 stands under the
+    fourth of ten, which is a little more.
+    """
+    edges = F.array(*(F.lit(k * (1.0 / bins)) for k in range(bins)))
+    b = df.where((F.col(score) >= 0) & (F.col(score) < 1)).withColumn("bin", (F.size(F.filter(edges, lambda e: e <= F.col(score))) - 1).cast("int"))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(label).alias("positive_rate"))
 
 
@@ -149,10 +154,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, (F.sum("n").over(Window.partitionBy()) / (2 * F.col("n"))).alias("weight"))
 
 
-def running_means(df: DataFrame, epoch: str, batch: str, value: str, every: int = 50) -> DataFrame:
-    """(epoch, batch, running): cumulative mean by epoch, at each `every`-th batch."""
-    w = Window.partitionBy(epoch).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.avg(value).over(w)).where(F.col(batch) % every == 0).select(epoch, batch, "running")
+def running_means(df: DataFrame, epoch: str, order: str, values: tuple[str, ...], every: int = 50, rows: int = 250_000) -> DataFrame:
+    """(epoch, kind, batch, values ...): means of an epoch's batches so far, at every `every`-th batch (kind log), and of all of them (kind epoch).
+
+    batch is a batch's ordinal in its epoch, from 1, by `order`, which is numeric and unique within an epoch; for an
+    epoch's mean it is the number of its batches. An epoch of very many batches is added up in ranges.
+    """
+    so_far = running_totals(df, order, {"_n": F.lit(1).cast("long")} | {f"_{v}": F.col(v) for v in values}, (epoch,), rows)
+    batch = F.col("_n") + 1
+    logged = so_far.where(batch % every == 0).select(epoch, F.lit("log").alias("kind"), batch.alias("batch"), *(((F.col(f"_{v}") + F.col(v)) / batch).alias(v) for v in values))
+    whole = df.groupBy(epoch).agg(F.count("*").alias("batch"), *(F.avg(v).alias(v) for v in values))
+    return logged.unionByName(whole.select(epoch, F.lit("epoch").alias("kind"), "batch", *values))
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:

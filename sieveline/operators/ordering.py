@@ -48,8 +48,8 @@ def range_of(df: DataFrame, order: str, rows: int = 250_000, most: int = 1 << 16
     return coarse * step + F.size(F.filter(fine, lambda x: x < F.col(order)))
 
 
-def running_totals(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), rows: int = 250_000) -> DataFrame:
-    """Adds, by name, the sum of each value over the rows before each row, in order of a numeric column without nulls; within `by` it has no repeats.
+def running_totals(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), rows: int = 250_000, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, by name, the sum of each value over the rows before each row, in order of a numeric column without nulls and, where it has repeats within `by`, of the columns `then`.
 
     The column is cut into ranges; windows run within the ranges, and each range's start is the total of those before
     it. Without `by` that is a row for each range, which one small window sees; with it, a row for each group and range,
@@ -64,7 +64,7 @@ def running_totals(df: DataFrame, order: str, values: dict[str, Column], by: tup
     totals = cut.groupBy(*keys).agg(*(F.sum(o).alias(o) for o in own.values()))
     over = (Window.partitionBy(*by) if by else Window).orderBy(part)
     starts = totals.select(*keys, *(earlier(o, over).alias(f"{o}_start") for o in own.values()))
-    within = Window.partitionBy(*keys).orderBy(order)
+    within = Window.partitionBy(*keys).orderBy(order, *then)
     out = cut.select("*", *(earlier(o, within).alias(f"{o}_before") for o in own.values()))
     out = out.join(starts if by else F.broadcast(starts), keys)
     return out.select(*df.columns, *((F.col(f"{o}_start") + F.col(f"{o}_before")).alias(name) for name, o in own.items()))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    from . import corpus, details, members, messages, metrics
+    from . import corpus, details, members, messages, metrics, stored
 
-    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES | details.QUERIES | members.QUERIES
+    return corpus.QUERIES | messages.QUERIES | metrics.QUERIES | details.QUERIES | members.QUERIES | stored.QUERIES
 
 
 def queries() -> dict:

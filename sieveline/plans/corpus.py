@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, tokens
-from ..operators import curate
+from ..functions.automaton import Lexicon
+from ..operators import curate, similar
 from ..operators.ordering import spread
 
 #: Keywords that the driver's prose holds, by vector; fixed for both engines.
@@ -186,7 +187,7 @@ def contains_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
     docs, items = _docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
-    return curate.similar_pairs(docs, items, "doc_id", "item_id", "text", 0.4).select("doc_id", "item_id", F.round("similarity", 5).alias("similarity"))
+    return similar.similar_pairs(docs, items, "doc_id", "item_id", "text", 0.4).select("doc_id", "item_id", F.round("similarity", 5).alias("similarity"))
 
 
 TFIDF_SQL = r"""
@@ -214,14 +215,13 @@ def sample_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def augmented(spark: SparkSession, d: str) -> DataFrame:
-    return curate.augment(_texts(spark, d).select("doc_id", "text"), "text", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_variants"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).alias("n_stops"))
+    """The variants of each document, by the digest of their texts."""
+    return curate.augment(_texts(spark, d).select("doc_id", "text"), "text", "doc_id").select("doc_id", F.md5("text").alias("variant"))
 
 
 _COIN = lambda s: f"(CAST('0x' || md5(CAST(doc_id AS VARCHAR) || '{s}:42')[1:8] AS BIGINT) % 10)"
-_STOPS = "(length(text) - length(replace(text, '.', '')))"
 AUGMENT_SQL = f"""
-SELECT doc_id, CAST(2 + CAST({_COIN('u')} < 5 AS INT) + CAST({_COIN('m')} < 3 AS INT) AS BIGINT) AS n_variants,
-  {_STOPS} * (2 + CASE WHEN {_COIN('u')} < 5 THEN 1 ELSE 0 END + CASE WHEN {_COIN('m')} < 3 THEN 3 ELSE 0 END) AS n_stops FROM documents"""
+SELECT doc_id, md5(unnest(list_filter([text, lower(text), CASE WHEN {_COIN('u')} < 5 THEN replace(upper(text), 'ß', 'SS') END, CASE WHEN {_COIN('m')} < 3 THEN replace(replace(text, '!', '!!'), '.', '...') END], lambda x: x IS NOT NULL))) AS variant FROM documents"""
 
 
 def target_attainment(spark: SparkSession, d: str) -> DataFrame:

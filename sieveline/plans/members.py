@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.scorer import batch_scorer, clamp, percent, table_scorer
-from ..operators import curate, evalmetrics, holdout, membership
+from ..operators import curate, evalmetrics, holdout, membership, similar
 from ..sources.files import SOURCES, nested_blocks
 from .corpus import LABELLED, SPLIT, TFIDF_SQL, _docs, _labelled, split_of
 from .messages import MESSAGES, messages
@@ -55,7 +55,7 @@ SELECT name, params, CASE WHEN params % 4 <> 0 THEN CAST(row_number() OVER (PART
 def similarity_counts(spark, d) -> DataFrame:
     """How many pairs of a document and a holdout item are over each level of similarity."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
-    return curate.similarity_counts(curate.similar_pairs(_docs(spark, d), items, "doc_id", "item_id", "text", 0.45), 0.55, 0.85, 0.95)
+    return similar.similarity_counts(similar.similar_pairs(_docs(spark, d), items, "doc_id", "item_id", "text", 0.45), 0.55, 0.85, 0.95)
 
 
 def family_members(spark, d) -> DataFrame:

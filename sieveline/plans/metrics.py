@@ -115,8 +115,10 @@ def class_weights(spark, d):
 
 
 def running_loss(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 97).alias("epoch"), "l_orderkey").agg(F.avg("l_discount").alias("loss"))
-    return _r(evalmetrics.running_means(rows.withColumnRenamed("l_orderkey", "batch"), "epoch", "batch", "loss"), "running")
+    """Each order is a batch of one of 97 epochs, with a soft, a hard and a total loss."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 97).alias("epoch"), "l_orderkey").agg(F.avg("l_discount").alias("soft"), F.avg("l_tax").alias("hard"))
+    rows = rows.withColumn("total", F.lit(0.7) * F.col("soft") + F.lit(0.3) * F.col("hard"))
+    return _r(evalmetrics.running_means(rows, "epoch", "l_orderkey", ("total", "soft", "hard")), "total", "soft", "hard", places=9)
 
 
 def latency_percentiles(spark, d):
@@ -170,7 +172,7 @@ SELECT user_id, CAST(coalesce(recent, 0) AS BIGINT) AS recent, CAST(coalesce(ris
 
 
 def recent_30d_window(spark, d):
-    return activity.recent_window(_log(spark, d), 7).select("user_id", "event_id", F.col("scams_in_window").cast("long"))
+    return activity.recent_window(_log(spark, d)).select("user_id", "event_id", F.col("scams_in_window").cast("long"))
 
 
 def _families(spark, d) -> DataFrame:
@@ -206,20 +208,20 @@ QUERIES = {
     "classification_report": (classification_report, REPORT_SQL),
     "roc_auc": (roc_auc, f"WITH {PREDICTED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM p) SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM r"),
     "ece": (ece, f"WITH {PREDICTED}, x AS ({_ece_sql('score')} FROM p), g AS (SELECT greatest(ceil(c * 15) - 1, 0) AS b, count(*) AS n, avg(r) AS acc, avg(c) AS conf FROM x GROUP BY 1) SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM g"),
-    "reliability": (reliability, f"WITH {PREDICTED} SELECT CAST(floor(score * 10) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM p WHERE score >= 0 AND score < 1 GROUP BY 1"),
+    "reliability": (reliability, f"WITH {PREDICTED} SELECT CAST(len(list_filter(range(10), lambda k: k * 0.1::DOUBLE <= score)) - 1 AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM p WHERE score >= 0 AND score < 1 GROUP BY 1"),
     "soft_labels": (soft_labels, f"WITH {PREDICTED} SELECT doc_id, t, round(exp(z0 / t) / (exp(z0 / t) + exp(z1 / t)), 6) AS p_safe, round(exp(z1 / t) / (exp(z0 / t) + exp(z1 / t)), 6) AS p_scam FROM p, (VALUES (2.0::DOUBLE), (3.0::DOUBLE), (4.0::DOUBLE), (5.0::DOUBLE)) v(t)"),
     "temperature_sweep": (temperature_sweep, f"WITH {SWEEP} SELECT t, round(ece, 6) AS ece FROM e"),
     "best_temperature": (best_temperature, f"WITH {SWEEP} SELECT t FROM e ORDER BY round(ece, 9), t LIMIT 1"),
     "distillation_loss": (distillation_loss, DISTILL_SQL),
     "dual_head_loss": (dual_head_loss, DUAL_SQL),
     "class_weights": (class_weights, f"WITH {PREDICTED} SELECT label, round((SELECT count(*) FROM p) / (2 * count(*)), 6) AS weight FROM p GROUP BY label"),
-    "running_loss": (running_loss, "WITH b AS (SELECT l_orderkey % 97 AS epoch, l_orderkey AS batch, avg(l_discount) AS loss FROM lineitem GROUP BY ALL), r AS (SELECT epoch, batch, avg(loss) OVER (PARTITION BY epoch ORDER BY batch ROWS UNBOUNDED PRECEDING) AS running FROM b) SELECT epoch, batch, round(running, 6) AS running FROM r WHERE batch % 50 = 0"),
+    "running_loss": (running_loss, "WITH b AS (SELECT l_orderkey % 97 AS epoch, l_orderkey, avg(l_discount) AS soft, avg(l_tax) AS hard FROM lineitem GROUP BY ALL), t AS (SELECT *, 0.7::DOUBLE * soft + 0.3::DOUBLE * hard AS total, row_number() OVER (PARTITION BY epoch ORDER BY l_orderkey) AS batch FROM b), r AS (SELECT epoch, batch, avg(total) OVER w AS total, avg(soft) OVER w AS soft, avg(hard) OVER w AS hard FROM t WINDOW w AS (PARTITION BY epoch ORDER BY batch ROWS UNBOUNDED PRECEDING)) SELECT epoch, 'log' AS kind, batch, round(total, 9) AS total, round(soft, 9) AS soft, round(hard, 9) AS hard FROM r WHERE batch % 50 = 0 UNION ALL SELECT epoch, 'epoch', count(*), round(avg(total), 9), round(avg(soft), 9), round(avg(hard), 9) FROM t GROUP BY epoch"),
     "latency_percentiles": (latency_percentiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1"),
     "rank_candidates": (rank_candidates, "WITH c AS (SELECT p_brand AS name, round(avg(p_size) / 50 + 1e-9::DOUBLE, 2) AS f1, min(p_size) AS size, round(quantile_cont(p_retailprice, 0.5), 4) AS p50, count(*) % 5 <> 0 AS passed FROM part GROUP BY 1) SELECT name, f1, size, p50, CAST(row_number() OVER (ORDER BY f1 DESC, size, p50, name) AS INT) AS rank, NULL::VARCHAR AS reason FROM c WHERE passed UNION ALL SELECT name, f1, size, p50, NULL, 'validation failed' FROM c WHERE NOT passed"),
     "activity_counters": (activity_counters, f"WITH {LOG} SELECT user_id, CAST(count_if(kind IN ('scam', 'safe')) AS BIGINT) AS total_scans, CAST(count_if(kind = 'scam') AS BIGINT) AS scams, CAST(count_if(kind = 'report') AS BIGINT) AS reports, CAST(count_if(kind = 'open') AS BIGINT) AS opens, strftime(max(CASE WHEN kind <> 'report' THEN ts END), '%Y-%m-%d %H:%M:%S') AS last_active, CAST(least(100, 5 * count_if(kind = 'scam')) AS BIGINT) AS risk_no_decay FROM e GROUP BY user_id"),
     "active_days": (active_days, f"WITH {LOG}, l AS (SELECT user_id, kind, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e WHERE kind <> 'report') SELECT user_id, CAST(1 + count_if(kind = 'open' AND before IS NOT NULL AND before <> day) AS BIGINT) AS active_days FROM l GROUP BY user_id"),
     "activity_fold_decay": (activity_fold_decay, FOLD_SQL),
-    "recent_window": (recent_30d_window, f"WITH {LOG}, s AS (SELECT user_id, event_id, kind, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM e WHERE kind IN ('scam', 'safe')) SELECT user_id, event_id, CAST(count_if(kind = 'scam') OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS BIGINT) AS scams_in_window FROM s"),
+    "recent_window": (recent_30d_window, f"WITH {LOG}, s AS (SELECT user_id, event_id, kind, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM e WHERE kind IN ('scam', 'safe')) SELECT user_id, event_id, CAST(count_if(kind = 'scam') OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS BIGINT) AS scams_in_window FROM s"),
     "family_visibility": (family_visibility, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id // 7 END AS f FROM events) SELECT a.user_id AS reader, b.user_id FROM u a JOIN u b ON a.user_id = b.user_id OR a.f = b.f"),
     "family_removal": (family_removal, "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 <> 0 THEN user_id // 7 END AS f FROM events) SELECT count(*) FILTER (f IS NULL OR f % 5 = 0) AS without, count(*) FILTER (f IS NOT NULL AND f % 5 <> 0) AS members, count(DISTINCT f) FILTER (f % 5 <> 0) AS families FROM u"),
     "membership_actions": (membership_actions, "WITH u AS (SELECT DISTINCT user_id, user_id % 7 <> 0 AS has, ['create', 'join', 'leave', 'remove', 'delete', 'regenerate'][user_id % 6 + 1] AS action FROM events) SELECT user_id, action, CASE WHEN action IN ('create', 'join') AND has THEN 'already in a family' WHEN action IN ('remove', 'delete', 'regenerate') AND user_id % 4 <> 0 THEN 'not the admin' WHEN action = 'remove' AND user_id % 8 = 0 THEN 'admin can''t remove self' WHEN action = 'leave' AND user_id % 4 = 0 THEN 'admin can''t leave' ELSE 'ok' END AS reason, CASE WHEN user_id % 4 = 0 THEN 'admin' ELSE 'member' END AS role, user_id % 4 = 0 AS can_invite, user_id % 4 <> 0 AS can_leave FROM u"),
@@ -244,6 +246,33 @@ def activity_stream(spark, d):
     return finished(stream(log_of(source)), "user_id", shared_path(spark, "activity"))
 
 
+def decaying_stream(spark, d):
+    """The stream with daily decay over the events, which come in three parts of time, each a run from where the last one stopped."""
+    from ..streaming.decay import decaying_activity, use_timers
+
+    use_timers(spark)
+    log, at = _log(spark, d), shared_path(spark, "decay")
+    cuts = log.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.percentile_approx("us", [0.35, 0.7], 10_000).alias("q")).first()["q"] or [0, 0]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = None
+    for part in (us <= cuts[0], (us > cuts[0]) & (us <= cuts[1]), us > cuts[1]):
+        log.where(part).write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(log.schema).parquet(f"{at}/in")
+        rows = finished(decaying_activity(source), "user_id", at)
+    return rows.drop("late")
+
+
+DECAYING_SQL = f"""WITH {LOG}, edge AS (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) AS w FROM e),
+span AS (SELECT user_id, min(CAST(ts AS DATE)) AS a, greatest(max(CAST(ts AS DATE)), any_value(w)) AS b FROM e, edge GROUP BY user_id),
+dec AS (SELECT user_id, CAST(x AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS ts, 4611686018427387904 AS event_id, 'decay' AS kind FROM (SELECT user_id, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS x FROM span WHERE a < b)),
+a AS (SELECT user_id, list(CASE WHEN kind = 'scam' THEN -1::BIGINT ELSE -2::BIGINT END ORDER BY ts, event_id) AS k FROM (SELECT * FROM e UNION ALL SELECT * FROM dec) WHERE kind IN ('scam', 'decay') GROUP BY user_id),
+g AS (SELECT user_id, list_reduce(list_prepend(0::BIGINT, k), lambda s, x: CASE WHEN x = -1 THEN s + 1 ELSE s * 9 // 10 END) AS recent, list_reduce(list_prepend(0::BIGINT, k), lambda s, x: CASE WHEN x = -1 THEN least(100, s + 5) ELSE greatest(0, s - 1) END) AS risk FROM a),
+l AS (SELECT user_id, kind, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e WHERE kind <> 'report'),
+o AS (SELECT user_id, count_if(kind = 'open' AND before IS NOT NULL AND before <> day) AS n FROM l GROUP BY 1),
+f AS (SELECT user_id, count_if(kind IN ('scam', 'safe')) AS total_scans, count_if(kind = 'scam') AS scams, count_if(kind = 'report') AS reports FROM e GROUP BY 1)
+SELECT user_id, CAST(total_scans AS BIGINT) AS total_scans, CAST(scams AS BIGINT) AS scams, CAST(reports AS BIGINT) AS reports, CAST(coalesce(recent, 0) AS BIGINT) AS recent, CAST(coalesce(risk, 0) AS BIGINT) AS risk, CAST(1 + coalesce(n, 0) AS BIGINT) AS active_days FROM f LEFT JOIN g USING (user_id) LEFT JOIN o USING (user_id)"""
+
+
 def finished(rows: DataFrame, key: str, at: str) -> DataFrame:
     """Runs a stream of updates to the end of its source; its rows go into a table, a folder a batch, and each key's last one is what holds.
 
@@ -285,6 +314,54 @@ i AS (SELECT o_orderkey, list_concat([101], flatten(p), [102]) AS i FROM w), k A
 SELECT o_orderkey, CAST(len(i) AS INT) AS token_count, array_to_string(list_concat(i, list_transform(range(128 - len(i)), lambda x: 0)), ',') AS ids, CAST(len(i) AS INT) AS mask_sum FROM k"""
 
 
+def _words(spark, d) -> DataFrame:
+    """(doc_id, words) of whole documents, as they are encoded."""
+    from ..functions.text import normalized, word_split
+    from ..operators.ordering import spread
+
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", "text", word_split(normalized(F.col("text"))).alias("words"))
+
+
+def piece_table(words: DataFrame) -> DataFrame:
+    """(token) of a vocabulary by rule: first three characters of words, the threes that follow and single characters, of those that five words or more have."""
+    w = words.select(F.explode("words").alias("w")).distinct()
+    threes = F.transform(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 3)), lambda k: F.concat(F.when(k > 0, "##").otherwise(""), F.substring(F.col("w"), (3 * k + 1).cast("int"), F.lit(3))))
+    ones = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.concat(F.when(k > 1, "##").otherwise(""), F.substring(F.col("w"), k, F.lit(1))))
+    pieces = w.select(F.explode(F.array_distinct(F.concat(threes, ones))).alias("token"))
+    return pieces.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5").select("token")
+
+
+def wordpiece_documents(spark, d):
+    """Encodings of whole documents with some thousand pieces of a table; most words are of several pieces, rare ones hold unknowns."""
+    from ..functions.wordpiece import encode, vocabulary_of
+
+    words = _words(spark, d)
+    e = encode(words.select("doc_id", "text"), "text", vocabulary_of(piece_table(words)))
+    return e.select("doc_id", "token_count", F.concat_ws(",", "input_ids").alias("ids"), F.size(F.filter("input_ids", lambda k: k == 100)).alias("n_unknown"))
+
+
+def _wordpiece_documents_sql() -> str:
+    """All matches of pieces at all places of words, of which the longest are followed from the start of each word."""
+    mark = r"[.,!?;:''\"()\[\]{}<>@#$%^&*+=\-_/\\|`~]"
+    word = f"{mark}|[^{mark[1:-1]}\\s]+"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(lower(text)), 'аеорсухѕіјԁһԝʏαορτν', 'aeopcyxsijdhwyaoptv'), '\\s+', ' ', 'g')) AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM t),
+u AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS w FROM w),
+pieces AS (SELECT w, unnest(list_distinct(list_concat(list_transform(range((length(w) - 1) // 3 + 1), lambda k: CASE WHEN k > 0 THEN '##' ELSE '' END || substr(w, 3 * k + 1, 3)), list_transform(range(length(w)), lambda k: CASE WHEN k > 0 THEN '##' ELSE '' END || substr(w, k + 1, 1))))) AS token FROM u),
+vocab AS MATERIALIZED (SELECT token, 103 + row_number() OVER (ORDER BY token) AS id FROM (SELECT token FROM pieces GROUP BY token HAVING count(*) >= 5)),
+places AS (SELECT w, unnest(range(length(w))) AS p FROM u),
+slices AS (SELECT w, p, unnest(range(1, least(3, length(w) - p) + 1)) AS n FROM places),
+best AS MATERIALIZED (SELECT w, p, max(n) AS n, arg_max(id, n) AS id FROM slices JOIN vocab ON token = CASE WHEN p > 0 THEN '##' ELSE '' END || substr(w, p + 1, n) GROUP BY w, p),
+walk AS (SELECT w, CAST(0 AS BIGINT) AS p, []::BIGINT[] AS ids FROM u
+  UNION ALL SELECT s.w, s.p + coalesce(b.n, 1), CASE WHEN b.id IS NOT NULL THEN list_append(s.ids, b.id) WHEN len(s.ids) > 0 AND s.ids[-1] = 100 THEN s.ids ELSE list_append(s.ids, 100) END FROM walk s LEFT JOIN best b ON b.w = s.w AND b.p = s.p WHERE s.p < length(s.w)),
+done AS MATERIALIZED (SELECT w, ids FROM walk WHERE p = length(w)),
+flat AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w),
+i AS (SELECT w.doc_id, list_concat([101], coalesce(f.i, []), [102]) AS i FROM w LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY k)) AS i FROM flat JOIN done USING (w) GROUP BY doc_id) f USING (doc_id)),
+c AS (SELECT doc_id, CASE WHEN len(i) > 128 THEN list_concat(i[1:127], [102]) ELSE i END AS i FROM i)
+SELECT doc_id, CAST(len(i) AS INT) AS token_count, array_to_string(list_concat(i, list_transform(range(128 - len(i)), lambda x: 0)), ',') AS ids, CAST(len(list_filter(i, lambda x: x = 100)) AS INT) AS n_unknown FROM c"""
+
+
 def adaptive_filter(spark, d):
     """Rows kept by language under the adaptive threshold, checked every 100th row."""
     from ..operators.curate import adaptive_filter as run
@@ -295,6 +372,8 @@ def adaptive_filter(spark, d):
 
 QUERIES |= {
     "wordpiece_encode": (wordpiece_encode, _wordpiece_sql()),
+    "wordpiece_documents": (wordpiece_documents, _wordpiece_documents_sql()),
     "activity_stream": (activity_stream, STREAM_SQL),
+    "decaying_stream": (decaying_stream, DECAYING_SQL),
     "adaptive_filter": (adaptive_filter, ADAPTIVE_SQL),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .shared import written
 
 SAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "label", "vector", "channel", "source", "split")])
 HOLDOUT = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "label", "vector", "source")])
@@ -15,12 +16,21 @@ SOURCES = ("ftc", "reddit_rscams", "phishtank", "huggingface_phishing", "hugging
 VECTORS = ("crypto_investment", "government_impersonation", "lottery_reward", "phishing", "remote_access", "romance_grooming", "tech_support", "urgency_payment", "safe")
 
 
+def schema_of(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) -> DataFrame:
-    """JSON Lines; blank lines are passed over, and the first bad line fails, with its file and number."""
-    if not _lines(spark, path, schema).where("bad is not null").isEmpty():
+    """JSON Lines; blank lines are passed over, and the first bad line fails, with its file and number.
+
+    Lines are read and parsed once, into a table, from which rows come and bad lines show; only where there are bad ones
+    are lines counted, to say which.
+    """
+    rows = written(_lines(spark, path, schema), "lines")
+    if not rows.where("bad is not null").isEmpty():
         first = bad_lines(spark, path, schema).orderBy("file", "number").first()
         raise ValueError(f"{first.file}, line {first.number}: not a JSON object: {first.line[:200]}")
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    return rows.select(*schema.names)
 
 
 def read_lenient(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) -> DataFrame:
@@ -51,7 +61,7 @@ def bad_lines(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) ->
 
 def read_validated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) holdout rows; a rejected row has its reason."""
-    rows = _lines(spark, path, HOLDOUT)
+    rows = written(_lines(spark, path, HOLDOUT), "lines")  # both outputs come from one read
     missing = F.col("text").isNull() | F.col("label").isNull() | F.col("vector").isNull() | F.col("source").isNull()
     reason = (
         F.when(F.col("bad").isNotNull(), "invalid JSON")
@@ -96,9 +106,11 @@ def write_locked(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """All rows of a report as one JSON document, a list. As one document is, it is put together by one task."""
-    report.agg(F.to_json(F.collect_list(F.struct(*report.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_report(report: DataFrame, path: str, summary: dict[str, Column] | None = None) -> None:
+    """A report as JSON Lines in `rows`, which as many tasks write as it has, and one line of aggregates over them in `summary`."""
+    report.write.mode("overwrite").json(f"{path}/rows")
+    totals = summary or {"n_rows": F.count("*")}
+    report.agg(*(c.alias(name) for name, c in totals.items())).write.mode("overwrite").json(f"{path}/summary")
 
 
 def write_soft_labels(df: DataFrame, path: str) -> None:

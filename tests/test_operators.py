@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from sieveline.functions import fusion, scoring, text, wordpiece
-from sieveline.operators import activity, curate, evalmetrics
+from sieveline.operators import activity, curate, evalmetrics, similar
 from sieveline.plans import metrics
 from sieveline.sources import files
 from sieveline.streaming import activity as stream
@@ -40,6 +40,19 @@ def test_ascii_word_boundary(spark):
     assert one(spark, "éirs", lambda c: scoring.family_count(c, "impersonation")) == 2
 
 
+@pytest.mark.parametrize("space, python, script", [*((chr(c), True, False) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85)), ("\ufeff", False, True), (" ", True, True), ("\u3000", True, True), ("\u200b", False, False)])
+def test_white_space_of_two_languages(spark, space, python, script):
+    assert one(spark, f"{space}a", text.strip) == f"{space}a".strip() and (f"{space}a".strip() == "a") is python
+    assert one(spark, f"a{space}b", text.tokens) == f"a{space}b".split()
+    assert one(spark, f"{space}a", lambda c: text.strip(c, text.SCRIPT_SPACES)) == ("a" if script else f"{space}a")
+    split = ["a", "b"] if script else [f"a{space}b"]
+    assert one(spark, f"a{space}b", text.word_split) == split
+    if space not in text.ZERO_WIDTH:
+        assert one(spark, f"a{space}{space}b", text.normalized) == ("a b" if script else f"a{space}{space}b")
+    first = spark.createDataFrame([(1, "a"), (2, f"{space}a")], "i long, t string")
+    assert curate.dedup_keep_first(first, "t", "i").count() == (1 if python else 2)
+
+
 def test_nfc_and_space(spark):
     assert one(spark, " É ​A ", lambda c: text.normalized(c, compose=True)) == "é a"
     assert one(spark, "  a  b ", text.n_tokens) == 2
@@ -57,10 +70,10 @@ def test_fusion(spark):
 
 
 def test_wordpiece(spark):
-    v = {"un": 1, "##do": 2}
-    assert wordpiece.pieces("undo", v) == ["un", "##do"]
-    assert wordpiece.pieces("unx", v) == ["un", "[UNK]"]
-    assert wordpiece.pieces("xxun", v) == ["[UNK]"]
+    v = {"un": 1, "##do": 2, "[UNK]": 9, "undone": 4, "##d": 5, "##on": 6}
+    encode = wordpiece.Trie(v).encode
+    assert encode("undo") == [1, 2] and encode("unx") == [1, 9] and encode("xxun") == [9] and encode("undone") == [4]
+    assert encode("undon") == [1, 2, 9] and encode("undxon") == [1, 5, 9, 6] and encode("un😀do") == [1, 9, 2] and encode("") == []
     df = spark.createDataFrame([("a " * 128,), ("a",), ("",)], "t string")
     got = wordpiece.encode(df, "t", wordpiece.fallback_vocabulary()).collect()
     assert [r.token_count for r in got] == [128, 3, 2] and got[0].input_ids[-1] == 102 and sum(got[1].attention_mask) == 3
@@ -77,7 +90,7 @@ def test_js_distance(spark):
 
 def test_tfidf_cosine(spark):
     a, b = spark.createDataFrame([(1, "aa bb")], "i long, text string"), spark.createDataFrame([(2, "aa cc")], "j long, text string")
-    assert curate.similar_pairs(a, b, "i", "j", "text", 0.0).first()["similarity"] == pytest.approx(0.201993092)
+    assert similar.similar_pairs(a, b, "i", "j", "text", 0.0).first()["similarity"] == pytest.approx(0.201993092)
 
 
 def test_dedup_and_keywords(spark):
