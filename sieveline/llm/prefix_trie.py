@@ -144,7 +144,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     Equal conversations are one sequence with a weight. All sequences start in one class. A round takes the next turn,
     splits each class by it, and writes a row for each class that comes out; a class of one sequence is retired, and so
     is a sequence that has ended. Retired sequences give the nodes of their tails, a chain without branches, from their
-    own turns. Then the rounds' nodes are folded from the deepest to the root. So there are as many rounds as the longest
+    own turns. Then what classes and tails add is folded back along their paths to the root. So there are as many rounds as the longest
     beginning that two different sequences share, each over the sequences that still share theirs: partial counts are
     taken before each shuffle, and joins read tables on both sides, so that Spark can split the rows of a hot class.
 
@@ -170,73 +170,64 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     rows = kept.groupBy(F.col("conv_id").alias("rep"), "w", "n", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "k1", "k2", "bytes"))).alias("t"))
     at = written(rows.withColumn("block", F.col("block").cast("int")), "turn-blocks")
 
-    zero = F.lit(0).cast("long")
-    ended, retired, levels = [], [], []
-    active = reps.withColumn("class", F.lit(top["rep"])).select("class", "rep", "w", "n")
-    depth = 0
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ended, classes = [], []
+    path = F.array(F.lit(top["rep"]))  # of a sequence: the smallest member of each node from the root to its class
+    active, depth = reps.withColumn("path", path).select("path", "rep", "w", "n"), 0
     while True:
+        ends_here, active = active.where(F.col("n") == depth), active.where(F.col("n") > depth)
+        ended.append(ends_here.select("rep", F.element_at("path", -1).alias("conv_id"), F.lit(depth).cast("long").alias("depth")))
         if depth % TURNS_A_ROW == 0:
-            ends_here = active.where(F.col("n") == depth)
-            held = active.where(F.col("n") > depth).select("class", "rep").join(at.where(F.col("block") == depth // TURNS_A_ROW), "rep")
-            active = written(held.select("class", "rep", "w", "n", "t"), "active")
-        else:
-            ends_here = active.where(F.col("n") == depth)
-            active = active.where(F.col("n") > depth)
-        ended.append(ends_here.select("rep", F.col("class").alias("conv_id"), F.lit(depth).cast("long").alias("depth")))
+            active = written(active.select("path", "rep", "w", "n").join(at.where(F.col("block") == depth // TURNS_A_ROW).select("rep", "t"), "rep"), "active")
         turn = F.col("t")[depth % TURNS_A_ROW]
-        split = active.withColumn("k1", turn["k1"]).withColumn("k2", turn["k2"])
-        children = split.groupBy("class", "k1", "k2").agg(F.min("rep").alias("conv_id"), F.sum("w").alias("w"), F.count("*").alias("n_seq"), F.min(turn["bytes"]).alias("bytes"))
-        children = written(children, "classes")
+        split = active.withColumn("class", F.element_at("path", -1)).withColumn("k1", turn["k1"]).withColumn("k2", turn["k2"])
+        measures = [F.min("rep").alias("conv_id"), F.sum("w").alias("w"), F.count("*").alias("n_seq"), F.min(turn["bytes"]).alias("bytes"), F.min("n").alias("n"), F.first("path").alias("path")]
+        children = written(split.groupBy("class", "k1", "k2").agg(*measures), "classes")
         depth += 1
-        retired.append(children.where("n_seq = 1").select(F.col("conv_id").alias("rep"), F.lit(depth).cast("long").alias("from"), F.col("class").alias("parent")))
+        classes.append(children.drop("k1", "k2").withColumn("depth", F.lit(depth).cast("long")))
         alive = children.where("n_seq > 1")
-        levels.append(alive.select("conv_id", F.lit(depth).cast("long").alias("depth"), F.col("class").alias("parent"), "w", "bytes"))
         if alive.isEmpty():
             break
         nexts = alive.select("class", "k1", "k2", F.col("conv_id").alias("next"))
-        active = written(split.join(nexts, ["class", "k1", "k2"]).select(F.col("next").alias("class"), "rep", "w", "n", "t"), "active")
+        active = written(split.join(nexts, ["class", "k1", "k2"]).select(F.concat("path", F.array("next")).alias("path"), "rep", "w", "n", "t"), "active")
 
     union = lambda frames: frames[0] if len(frames) == 1 else union([*(a.unionByName(b) for a, b in zip(frames[::2], frames[1::2], strict=False)), *(frames[-1:] if len(frames) % 2 else [])])
+    all_classes = union(classes)
     # Tails: each turn from the one that made the class single, with what the turns from it on would save.
-    single = written(union(retired), "retired")
-    own_turns = at.join(single, "rep").where((F.col("block") + 1) * TURNS_A_ROW >= F.col("from"))
+    single = written(all_classes.where("n_seq = 1").select(F.col("conv_id").alias("rep"), F.col("depth").alias("from"), F.col("class").alias("parent"), "path"), "retired")
+    own_turns = at.join(single.drop("path"), "rep").where((F.col("block") + 1) * TURNS_A_ROW >= F.col("from"))
     sized = own_turns.withColumn("t", F.filter("t", lambda x: x["pos"] >= F.col("from"))).withColumn("size", F.aggregate("t", zero, lambda s, x: s + x["bytes"]))
-    sized = written(sized.select("rep", "w", "n", "from", "parent", "block", "t", "size"), "tails")
-    total = sized.groupBy("rep").agg(F.sum("size").alias("total"))
-    before = running_totals(sized.where("w > 1"), "block", {"earlier": F.col("size")}, by=("rep",)).join(total, "rep")
-    spread = sized.where("w = 1").withColumn("earlier", zero).withColumn("total", zero).unionByName(before)
+    heavy = written(sized.where("w > 1").select("rep", "w", "n", "from", "parent", "block", "t", "size"), "tails")
+    total = heavy.groupBy("rep").agg(F.sum("size").alias("total"))
+    before = running_totals(heavy, "block", {"earlier": F.col("size")}, by=("rep",)).join(total, "rep")
+    spread = sized.where("w = 1").withColumn("earlier", zero).withColumn("total", zero).select(before.columns).unionByName(before)
     rest = lambda x: F.col("total") - F.col("earlier") - F.aggregate(F.filter("t", lambda y: y["pos"] < x["pos"]), zero, lambda s, y: s + y["bytes"])
     saved = lambda x: F.when(F.col("w") == 1, zero).otherwise((F.col("w") - 1) * rest(x))
     tails = spread.select("rep", "w", "n", "from", "parent", F.inline(F.transform("t", lambda x: F.struct(x["pos"].alias("depth"), saved(x).alias("saved_tokens")))))
-    is_end, one = F.col("depth") == F.col("n"), F.lit(1).cast("long")
+    is_end = F.col("depth") == F.col("n")
     tails = tails.select(
         F.col("rep").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("from"), F.col("parent")).otherwise(F.col("rep")).alias("parent_conv_id"), F.col("w").alias("n_convs"),
-        F.when(is_end, zero).otherwise(one).alias("n_children"), one.alias("n_leaves"), "saved_tokens", F.when(is_end, F.col("rep")).alias("ends"),
+        F.when(is_end, zero).otherwise(one).alias("n_children"), one.alias("n_leaves"), "saved_tokens", F.when(is_end, F.col("rep")).alias("ends"), (F.col("depth") == F.col("from")).alias("is_top"),
     )
     tails = written(tails, "tail-nodes")
 
-    # Fold back: a class gets what its children have, single ones as tails begin and others as they were folded.
-    begun = tails.join(single.select(F.col("rep").alias("conv_id"), F.col("from").alias("depth")), ["conv_id", "depth"])
-    begun = written(begun.select("depth", "parent_conv_id", "n_leaves", "saved_tokens"), "tail-tops")
-    root = spark.range(1).select(F.lit(top["rep"]).alias("conv_id"), zero.alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(top["w"]).cast("long").alias("w"), zero.alias("bytes"))
-    folded: list[DataFrame] = []
-    below = None
-    for d, nodes in reversed([*enumerate([root, *levels])]):
-        kids = begun.where(F.col("depth") == d + 1).select("parent_conv_id", "n_leaves", "saved_tokens")
-        if below is not None:
-            kids = kids.unionByName(below.select("parent_conv_id", "n_leaves", "saved_tokens"))
-        sums = kids.groupBy(F.col("parent_conv_id").alias("conv_id")).agg(F.count("*").alias("kids"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-        out = nodes.join(sums, "conv_id", "left")
-        below = written(
-            out.select(
-                "conv_id", "depth", F.col("parent").alias("parent_conv_id"), F.col("w").alias("n_convs"), F.coalesce("kids", zero).alias("n_children"), F.coalesce("leaves", one).alias("n_leaves"),
-                (F.coalesce("saved", zero) + (F.col("w") - 1) * F.col("bytes")).alias("saved_tokens"),
-            ),
-            "folded",
-        )
-        folded.append(below)
-    at_node = union(ended).select("conv_id", "depth", F.col("rep").alias("ends"))
-    nodes = union(folded).join(at_node, ["conv_id", "depth"], "left").unionByName(tails)
+    # Fold back: what a class adds goes to each node on its path, and so does what a tail adds from where it begins. A
+    # path is no longer than the turns of each sequence on it, so these rows are no more than all turns.
+    node = lambda depth, conv_id, parent, w, kids, leaves, add: F.struct(*(x.alias(n) for x, n in ((depth, "depth"), (conv_id, "conv_id"), (parent, "parent"), (w, "w"), (kids, "kids"), (leaves, "leaves"), (add, "saved"))))
+    nothing = F.lit(None).cast("long")
+    along = lambda leaves, add: F.transform("path", lambda c, k: node(k.cast("long"), c, nothing, nothing, zero, leaves, add))
+    kid = node(F.col("depth") - 1, F.col("class"), nothing, nothing, one, zero, zero)
+    own_cost = (F.col("w") - 1) * F.col("bytes")
+    inner = node(F.col("depth"), F.col("conv_id"), F.col("class"), F.col("w"), zero, zero, own_cost)
+    is_class = F.col("n_seq") > 1
+    adds = all_classes.select(F.inline(F.when(is_class, F.concat(F.array(kid, inner), along(zero, own_cost))).otherwise(F.array(kid))))
+    begun = tails.where("is_top").select(F.col("conv_id").alias("rep"), "saved_tokens").join(single.select("rep", "path"), "rep")
+    adds = adds.unionByName(begun.select(F.inline(along(one, F.col("saved_tokens")))))
+    root = spark.range(1).select(F.inline(F.array(node(zero, F.lit(top["rep"]), nothing, F.lit(top["w"]).cast("long"), zero, zero, zero))))
+    sums = adds.unionByName(root).groupBy("depth", "conv_id").agg(F.max("parent").alias("parent_conv_id"), F.max("w").alias("n_convs"), F.sum("kids").alias("n_children"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
+    folded = sums.withColumn("n_leaves", F.when(F.col("n_children") == 0, one).otherwise(F.col("n_leaves")))
+    nodes = folded.join(union(ended).select("conv_id", "depth", F.col("rep").alias("ends")), ["conv_id", "depth"], "left")
+    nodes = written(nodes.unionByName(tails.drop("is_top")), "nodes")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     named = nodes.join(digests.withColumnRenamed("rep", "ends"), "ends").unionByName(nodes.where("ends is null").withColumn("ends_sha256", none))
     return named.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
