@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import fresh
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 
+__all__ = ["bound_batches", "documents", "free_shuffles", "fresh", "n_partitions", "shared_path", "smallest_by_hash", "text_bytes", "tidy", "written"]
+
+#: Values of a column that is taken as a class: a model has a column for each, and sampling a rank within each.
+MOST_CLASSES = 1000
 #: Input of one Arrow batch to a Python worker; long texts must not pile up to 10,000 a batch.
 ARROW_BATCH_BYTES = 2 << 20
 
@@ -19,11 +27,25 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts lineage and outlives lost executors."""
-    at = shared_path(df.sparkSession, what)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, after which the worker gives back the memory that it freed.
+
+    A worker stays for the tasks after this one, and for a minute without any; several stages' workers would each keep
+    what their largest task took.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -49,15 +71,19 @@ def n_partitions(spark: SparkSession, size: int, each: int) -> int:
 
 
 def smallest_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    """(key, by, k): of each class the n rows whose key has the smallest hash, numbered from 1.
+    """(key, by, k): of each class the n rows whose key has the smallest hash, numbered from 1; keys are distinct within a class.
 
-    Classes are few (a model has a column for each), and their counts give a bound on the hash under which about 3 n
-    rows of a class lie, so that no more than these are sorted, however large the class is.
+    Classes are few, which is checked, and their counts give a bound on the hash under which about 3 n rows of a class
+    lie, so that no more than these are sorted, however large the class is.
     """
-    in_class = fresh(rows, "in_class")
-    n_rows = rows.groupBy(by).agg(F.count("*").alias(in_class))
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{by} has more than {MOST_CLASSES} values, so it is no class")
+    if not counts:
+        return rows.select(key, by, F.lit(0).alias("k"))
+    in_class = F.create_map(*(F.lit(x) for r in counts for x in (r[by], r["n"])))
     h = F.xxhash64(key)
-    near = rows.select(key, by).join(F.broadcast(n_rows), by).where(F.pmod(h, F.lit(1 << 30)) * F.col(in_class) < F.lit(3.0 * n * (1 << 30)))
+    near = rows.select(key, by).where(F.pmod(h, F.lit(1 << 30)) * in_class[F.col(by)] < F.lit(3.0 * n * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(h, F.lit(1 << 30)), h, key))
     return near.withColumn("k", rank).where(F.col("k") <= n).select(key, by, "k")
 

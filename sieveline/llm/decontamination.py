@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh, written
+from .common import bound_batches, documents, fresh, tidy, written
 from .shingles import SHINGLE, mix, shingle_hashes, words
 
 BITS, BLOCKS, RADIUS = 128, 8, 31
@@ -218,7 +218,7 @@ def leak_table(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
     lengths = sorted((r.n_words, r.size) for r in items.select("n_words", "size").distinct().collect())
     t0, t1 = digest(text)
     rows = docs.where(F.col(text).isNotNull()).select(t0.alias("t0"), t1.alias("t1"), F.col(text).alias("text"))
-    runs = rows.mapInArrow(windows(lengths, seen_shingles(items), least), RUNS)
+    runs = rows.mapInArrow(tidy(windows(lengths, seen_shingles(items), least)), RUNS)
     runs = written(runs.withColumn("run", F.xxhash64("t0", "t1", "n_words", "first")), "runs").dropDuplicates(["t0", "t1", "n_words", "first"])
     index = items.select("item", F.explode("keys").alias("key"))
     met = runs.select("run", "n_words", "prints").mapInArrow(probes, "run long, window int, key long").join(index, "key")

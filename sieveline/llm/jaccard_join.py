@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh, written
+from .common import bound_batches, documents, fresh, tidy, written
 from .components import components
 from .shingles import SHINGLE, mix, shingle_hashes, words
 
@@ -78,7 +78,7 @@ def signer(bands: int, rows: int, size: int):
             own = [batch.column(c) for c in ("doc_id", "k", "row")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(ns, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "k", "row", "node", "n", "bands"])
 
-    return sign
+    return tidy(sign)
 
 
 def set_maker(size: int):
@@ -89,7 +89,7 @@ def set_maker(size: int):
             found = [(n, h) for n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "text")), strict=True) if node_of(h := shingle_set(t, size)) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([h.tobytes() for _, h in found], pa.binary())], ["node", "set"])
 
-    return make
+    return tidy(make)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -312,9 +312,9 @@ def count_links(labels: DataFrame, nodes: DataFrame, sets: DataFrame, least: flo
 def _signed(docs: DataFrame, least: float, size: int, recall: float, key: str, text: str, row: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((k, text), (doc_id, k, row, node, n, bands) by row, (node, rep, k, copies, n, bands) by distinct set)."""
     bound_batches(docs.sparkSession)
-    # k finds a text again: its doc_id, or a hash where that is null.
+    # k finds a text again, by its doc_id and what it says, so that rows that share an id aren't all met for each other's sake.
     own = F.col(key).cast("long")
-    rows_in = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(text)).alias("k"), row.alias("row"), F.col(text).alias("text"))
+    rows_in = docs.select(own.alias("doc_id"), F.xxhash64(own, text).alias("k"), row.alias("row"), F.col(text).alias("text"))
     signed = written(rows_in.mapInArrow(signer(*plan_bands(least, recall), size), "doc_id long, k long, row long, node binary, n int, bands array<long>"), "signed")
     first = [F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")]
     return rows_in, signed, written(signed.where("node is not null").groupBy("node").agg(*first), "nodes")

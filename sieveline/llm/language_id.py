@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh, smallest_by_hash
+from .common import bound_batches, documents, fresh, smallest_by_hash, tidy
 
 #: Buckets that character n-grams are hashed to, and the lengths of the n-grams.
 BITS, GRAMS = 16, (1, 2, 3)
@@ -76,7 +76,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *seen[at].tolist()], pa.int64())], ["bucket", "n"])
 
-    counts = df.select(text).mapInArrow(partial, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = df.select(text).mapInArrow(tidy(partial), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(1 << BITS, np.int64)
     real = counts[counts.bucket >= 0]
     seen[real.bucket.to_numpy(np.int64)] = real.n.to_numpy(np.int64)
@@ -155,14 +155,17 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     Document frequencies count all rows. Weights and temperature are fitted on a bounded sample: of each language the
     `per_language` rows whose key has the smallest hash, of which every fifth goes to the temperature: the whole text
     and a snippet of a few words, as whole texts alone may all be told apart. Of rows that share key and language one is
-    taken; ties of hashes go by key.
+    taken, that whose text has the smallest hash; ties of hashes go by key.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     seen, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + seen)) + 1
-    chosen = smallest_by_hash(rows, "lang", "key", per_language)
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).withColumn("g", packed_grams()("text")).select("key", "lang", "k", "g.*")
-    got = sample.dropDuplicates(["key", "lang"]).toPandas().sort_values(["lang", "k"])  # at most per_language rows a language
+    digest = F.xxhash64("text")
+    distinct = rows.groupBy("key", "lang").agg(F.min(digest).alias("digest"))
+    chosen = smallest_by_hash(distinct, "lang", "key", per_language).join(distinct, ["key", "lang"])
+    # At most per_language rows a language and MOST_CLASSES languages; repeats go before their n-grams are counted.
+    sample = rows.withColumn("digest", digest).join(F.broadcast(chosen), ["key", "lang", "digest"]).dropDuplicates(["key", "lang"])
+    got = sample.withColumn("g", packed_grams()("text")).select("key", "lang", "k", "g.*").toPandas().sort_values(["lang", "k"])
     languages = sorted(set(got.lang))
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
@@ -187,7 +190,11 @@ def predictor(model: Model):
     """
 
     @F.arrow_udf("struct<lang:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
+    @tidy
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(predicted, batches)
+
+    def predicted(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
         for t in texts.to_pylist():
             if not has_letter(t) or not model.languages:

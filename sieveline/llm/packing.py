@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, tidy
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -173,7 +173,7 @@ def packed(examples: DataFrame, limits: Limits = Limits(), pool: int = 128, prep
         if rows:
             yield batch_of(rows)
 
-    return examples.mapInArrow(run, PIECE)
+    return examples.mapInArrow(tidy(run), PIECE)
 
 
 def _tokens(path: str, end_id: int | None):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, written
+from .common import bound_batches, documents, tidy, written
 
 #: The base rules' kinds, and one that only the method finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -308,7 +308,11 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     bound_batches(df.sparkSession)
     model = train(df, text)
 
-    def run(texts: pa.Array) -> pa.Array:
+    @tidy
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(redacted, batches)
+
+    def redacted(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             if found := spans_of(model, t):

@@ -164,13 +164,14 @@ def scorer(trees: Trees):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2500) -> Trees:
     """Fits trees on a bounded sample: of each class the `per_class` labelled rows whose key has the smallest hash.
 
-    Rows without label, key or text don't train; of repeated labels of a key the smallest holds.
+    Rows without label, key or text don't train; of repeated labels of a key the smallest holds, of repeated texts of a
+    key that with the smallest hash.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y")).where(F.col(key).isNotNull())
     chosen = smallest_by_hash(known.select(F.col(key).alias("key"), "y"), "y", "key", per_class).select("key", "y")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "key").select("key", "y", statistics_of("text").alias("s")).select("key", "y", "s.features")
-    got = rows.toPandas().drop_duplicates("key").sort_values("key")  # at most 2 * per_class rows, save repeats of a key
+    rows = rows.join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.select("key", "y", statistics_of("text").alias("s")).select("key", "y", "s.features").toPandas().sort_values("key")  # at most 2 * per_class rows
     x = np.array(got.features.tolist(), float).reshape(-1, len(FEATURES))
     return fit_trees(x, got.y.to_numpy(float), np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 

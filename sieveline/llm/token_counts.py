@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents
+from .common import bound_batches, documents, tidy
 
 
 def token_counter(path: str):
     """An Arrow function from a text column to the number of its tokens; only lengths leave the worker."""
 
     @F.arrow_udf("long")
+    @tidy
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from .pieces import PieceEncoder
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, n_partitions, shared_path, text_bytes
+from .common import bound_batches, documents, n_partitions, shared_path, text_bytes, tidy
 
 #: Files grow beyond part_bytes rather than be more than these: so a row for each is small enough to broadcast, whatever the input.
 MOST_FILES = 1 << 20
@@ -35,7 +35,7 @@ def encoder(path: str, end_id: int | None, id_column: str):
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(n), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
             before += int(offsets[-1])
 
-    return encode
+    return tidy(encode)
 
 
 def write_tokens(df: DataFrame, at: str, tokenizer_path: str, end_id: int | None = 1, id_column: str = "doc_id", text: str = "text", part_bytes: int = 32 << 20, group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:

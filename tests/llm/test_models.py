@@ -222,3 +222,46 @@ def test_quality_edges(spark):
     assert all(r.s == 7 for r in got)
     assert len(got) == 4 and sum(r.kept for r in got) <= 1 and all(r.base_failed for r in got if r.doc_id)
     assert quality.assess(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_many_rows_of_one_id_train_as_one(spark):
+    """Five thousand rows share an id: one of them trains, whichever tasks see them, and none multiplies."""
+    rng = np.random.default_rng(1)
+    words = {"en": ["the", "cat", "of", "with"], "de": ["der", "und", "mit", "zu"]}
+    rows = [(k, " ".join(rng.choice(words[y], 5)), y) for k in range(200) for y in [("en", "de")[k % 2]]] + [(7, f"der hund {k % 50}", "de") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.train(df.repartition(n), per_language=60) for n in (1, 7)]
+    assert (models[0].weights == models[1].weights).all() and models[0].temperature == models[1].temperature
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    trees = [quality.train(df.repartition(n), labels) for n in (1, 7)]
+    assert all((getattr(trees[0], f) == getattr(trees[1], f)).all() for f in ("feature", "threshold", "value"))
+
+
+def test_ftrl_equals_a_plain_version():
+    """Coordinate by coordinate, one example after the other."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(60)]
+    y = rng.integers(0, 3, 60)
+    alpha, beta, l1, l2 = 0.7, 1.1, 0.02, 0.01
+    got, bias = language_id.fit_ftrl(rows, y, 3, 12, 2, alpha, beta, l1, l2)
+    z, n = [[0.0] * 3 for _ in range(13)], [[0.0] * 3 for _ in range(13)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return ((l1 if z[i][c] > 0 else -l1) - z[i][c]) / ((beta + n[i][c] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for e in order.permutation(60):
+            x = {**dict(zip(rows[e][0].tolist(), rows[e][1].tolist(), strict=True)), 12: 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in range(3)}
+            score = np.array([sum(v * w[i, c] for i, v in x.items()) for c in range(3)])
+            p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+            for i, v in x.items():
+                for c in range(3):
+                    g = v * (p[c] - (y[e] == c))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / alpha * w[i, c]
+                    n[i][c] += g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(13)])
+    assert np.allclose(got, want[:12], atol=1e-6) and np.allclose(bias, want[12], atol=1e-6)
