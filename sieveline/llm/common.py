@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import fresh
 from ..sources.shared import shared_path, written
 
-__all__ = ["bound_batches", "documents", "free_shuffles", "fresh", "n_partitions", "shared_path", "smallest_by_hash", "text_bytes", "tidy", "written"]
+__all__ = ["bound_batches", "documents", "free_shuffles", "fresh", "frugal", "n_partitions", "shared_path", "smallest_by_hash", "text_bytes", "tidy", "tidy_group", "written"]
 
 #: Values of a column that is taken as a class: a model has a column for each, and sampling a rank within each.
 MOST_CLASSES = 1000
@@ -27,6 +27,24 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+@functools.lru_cache
+def frugal() -> None:
+    """From now on this worker gives large blocks back to the system as soon as they are free: numpy's, by glibc's thresholds, and Arrow's."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Returns what this worker has freed and still holds."""
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run over a task's batches, after which the worker gives back the memory that it freed.
 
@@ -36,14 +54,25 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        frugal()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of a group's rows."""
+
+    @functools.wraps(run)
+    def tidied(table: pa.Table) -> pa.Table:
+        frugal()
+        out = run(table)
+        if table.nbytes > ARROW_BATCH_BYTES:
+            give_back()
+        return out
 
     return tidied
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, fresh, tidy, written
+from .common import bound_batches, documents, fresh, frugal, tidy, tidy_group, written
 from .components import components
 from .shingles import SHINGLE, mix, shingle_hashes, words
 
@@ -96,6 +96,7 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two columns of shingle sets as bytes."""
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        frugal()
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -160,6 +161,7 @@ def forest(least: float):
     The nodes of a band on side 0 are compared with each other and with those on side 1.
     """
 
+    @tidy_group
     def run(table: pa.Table) -> pa.Table:
         got = table.select(["band", "side", "root", "node"]).to_pandas()
         got["set"] = _sets(table.column("set"))
@@ -268,6 +270,7 @@ def block_counter(least: float):
     A unit has blocks a and b of a class, or whole small classes; (root, own, links), links a number for each node.
     """
 
+    @tidy_group
     def run(table: pa.Table) -> pa.Table:
         out = []
         got = table.select(["root", "own", "copies"]).to_pandas()
