@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .activity import invite_code
 from .ordering import fresh
 
@@ -55,6 +56,7 @@ def with_unique_codes(families: DataFrame, key: str, taken: DataFrame, code=invi
         tried = left.withColumn("invite_code", code(F.col(key), attempt))
         first = F.row_number().over(Window.partitionBy("invite_code").orderBy(key)) == 1
         fresh_codes = tried.withColumn("is_first", first).join(taken.select("invite_code").distinct().withColumn("is_taken", F.lit(True)), "invite_code", "left")
+        fresh_codes = written(fresh_codes, "codes")  # a round starts from the table of the one before it
         own = fresh_codes.where(F.col("is_first") & F.col("is_taken").isNull()).select(*families.columns, "invite_code")
         done = own if done is None else done.unionByName(own)
         left = fresh_codes.where(~F.col("is_first") | F.col("is_taken").isNotNull()).select(families.columns)
@@ -73,8 +75,11 @@ def merged(documents: DataFrame, updates: DataFrame, key: str, order: str, sets:
     """
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"set_{c}") for c in sets]
     summed = [F.sum(c).alias(f"add_{c}") for c in adds]
-    lists = [F.array_distinct(F.flatten(F.collect_list(f"{kind}_{c}"))).alias(f"{kind}_{c}") for kind, names in (("union", union), ("remove", remove)) for c in names]
-    one = updates.groupBy(key).agg(*last, *summed, *lists)
+    one = updates.groupBy(key).agg(*last, *summed, F.lit(True).alias("any_update"))
+    for kind, names in (("union", union), ("remove", remove)):
+        for c in names:  # elements are told apart before they meet, so a document gets each once, however many updates hold it
+            elements = updates.select(key, F.explode(f"{kind}_{c}").alias("x")).distinct()
+            one = one.join(elements.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias(f"{kind}_{c}")), key, "left")
     both = documents.join(one, key, "full" if upsert else "left")
     out = []
     for c in documents.columns:

@@ -221,7 +221,7 @@ def augmented(spark: SparkSession, d: str) -> DataFrame:
 
 _COIN = lambda s: f"(CAST('0x' || md5(CAST(doc_id AS VARCHAR) || '{s}:42')[1:8] AS BIGINT) % 10)"
 AUGMENT_SQL = f"""
-SELECT doc_id, md5(unnest(list_filter([text, lower(text), CASE WHEN {_COIN('u')} < 5 THEN replace(upper(text), 'ß', 'SS') END, CASE WHEN {_COIN('m')} < 3 THEN replace(replace(text, '!', '!!'), '.', '...') END], lambda x: x IS NOT NULL))) AS variant FROM documents"""
+SELECT doc_id, md5(unnest(list_filter([text, lower(text), CASE WHEN {_COIN('u')} < 5 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') END, CASE WHEN {_COIN('m')} < 3 THEN replace(replace(text, '!', '!!'), '.', '...') END], lambda x: x IS NOT NULL))) AS variant FROM documents"""
 
 
 def target_attainment(spark: SparkSession, d: str) -> DataFrame:

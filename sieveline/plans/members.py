@@ -114,7 +114,7 @@ INVITE_CODES_SQL = "SELECT c_custkey, array_to_string(list_transform(range(8), l
 
 def merged_documents(spark, d) -> DataFrame:
     """Customers' documents after events as updates: last action, added value, tags gained by views and lost by errors; unknown users get a document."""
-    docs = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("last"), F.lit(5).cast("long").alias("n"), F.array(F.lit("view"), F.lit("vip")).alias("tags"))
+    docs = spark.read.parquet(f"{d}/customer.parquet").select((2 * F.col("c_custkey")).alias("user_id"), F.lit("none").alias("last"), F.lit(5).cast("long").alias("n"), F.array(F.lit("view"), F.lit("vip")).alias("tags"))
     kind = F.col("event_type")
     updates = spark.read.parquet(f"{d}/events.parquet").select(
         "user_id", "event_id", F.when(kind != "view", kind).alias("last"), F.lit(1).cast("long").alias("n"),
@@ -125,7 +125,7 @@ def merged_documents(spark, d) -> DataFrame:
 
 
 MERGED_SQL = """WITH u AS (SELECT user_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS last, count(*) AS n, bool_or(event_type = 'click') AS click, bool_or(event_type = 'error') AS error FROM events GROUP BY 1),
-d AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0)
+d AS (SELECT 2 * c_custkey AS user_id FROM customer)
 SELECT coalesce(d.user_id, u.user_id) AS user_id, coalesce(u.last, CASE WHEN d.user_id IS NOT NULL THEN 'none' END) AS last, CASE WHEN d.user_id IS NOT NULL THEN 5 ELSE 0 END + coalesce(n, 0) AS n,
   array_to_string(list_filter([CASE WHEN d.user_id IS NOT NULL THEN 'view' END, CASE WHEN d.user_id IS NOT NULL AND NOT coalesce(error, false) THEN 'vip' END, CASE WHEN click THEN 'click' END, CASE WHEN d.user_id IS NULL AND click AND NOT error THEN 'vip' END], lambda x: x IS NOT NULL), ',') AS tags
 FROM d FULL JOIN u ON d.user_id = u.user_id"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fusion, scoring
+from ..functions import fusion, lexicons, scoring
+from ..functions.automaton import Lexicon
 from ..functions.text import has_homoglyphs, normalized
+from ..operators import curate
 from ..operators.ordering import spread
 
 #: Message templates by key; {n} is the order's key.
@@ -202,7 +204,44 @@ _FLAGS += [f"CASE WHEN {_on(k)} THEN " + (f"'{fusion.PATTERN_FLAGS[k][0]}: \"' |
 _TIPS = [f"CASE WHEN score > 0.5 THEN {_q(t)} END" for t in fusion.GENERAL_TIPS] + [f"CASE WHEN {_on(k)} THEN {_q(t)} END" for k, ts in fusion.PATTERN_TIPS.items() for t in ts] + [f"CASE WHEN score > 0.7 THEN {_q(t)} END" for t in fusion.LAST_TIPS]
 _first5 = lambda xs: "array_to_string(list_slice(list_filter([" + ", ".join(xs) + "], lambda x: x IS NOT NULL), 1, 5), ' | ')"
 
+def vector_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Messages by the vector that their keywords give, and how many are consistent with it: two lexicons of eight vectors, out of tables; each text is read once a lexicon."""
+    known, given = (Lexicon.from_table(lexicons.table(spark, words)) for words in (lexicons.CONSISTENCY, lexicons.COLLECTION))
+    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")).select(message(F.col("o_orderkey")).alias("msg"))
+    m = m.select(curate.infer_vector(F.col("msg"), given).alias("vector"), known.hits(F.col("msg")).alias("hits"))
+    return m.groupBy("vector").agg(F.count("*").alias("n"), F.count_if(known.hits_of(F.col("hits"), F.col("vector")) >= 2).alias("consistent"), F.sum(F.aggregate("hits", F.lit(0), lambda s, x: s + x)).alias("hits"))
+
+
+def _vector_keywords_sql() -> str:
+    count = lambda words: "(" + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in words) + ")"
+    arr = lambda lexicon: "[" + ", ".join(count(w) for w in lexicon.values()) + "]"
+    names = "[" + ", ".join(f"'{v}'" for v in lexicons.COLLECTION) + "]"
+    return f"""WITH m AS (SELECT lower({_sql_message()}) AS low FROM orders), h AS (SELECT {arr(lexicons.COLLECTION)} AS g, {arr(lexicons.CONSISTENCY)} AS h FROM m),
+v AS (SELECT h, CASE WHEN list_max(g) = 0 THEN 'phishing' ELSE {names}[list_position(g, list_max(g))] END AS vector FROM h)
+SELECT vector, count(*) AS n, CAST(count_if(h[list_position({names}, vector)] >= 2) AS BIGINT) AS consistent, CAST(sum(list_sum(h)) AS BIGINT) AS hits FROM v GROUP BY 1"""
+
+
+def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
+    """The rules over the turns of conversations as they are: score, level, and how many families match."""
+    m = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"))
+    t = m.withColumn("t", normalized(F.col("text"))).withColumn("homoglyph", has_homoglyphs(F.col("text")))
+    t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
+    t = t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+    score = scoring.heuristic_from_counts({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph"))
+    n = sum(((F.col(f"n_{f}") > 0).cast("int") for f in FAMILIES), F.col("homoglyph").cast("int"))
+    return t.select("conv_id", "turn", score.alias("heuristic"), n.alias("n_patterns"), scoring.quick_check(F.col("text")).alias("obvious")).withColumn("level", fusion.risk_level(F.col("heuristic")))
+
+
+CONVERSATION_SQL = f"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(translate(nfc_normalize(lower(text)), 'аеорсухѕіјԁһԝʏαορτν', 'aeopcyxsijdhwyaoptv'), '\\s+', ' ', 'g')) AS t,
+  regexp_matches(text, '[\\x{{400}}-\\x{{4ff}}\\x{{370}}-\\x{{3ff}}]') AND regexp_matches(text, '[a-zA-Z]') AS homoglyph FROM conversations),
+c AS (SELECT conv_id, turn, text, t, homoglyph, {_COUNTS} FROM t),
+s AS (SELECT *, {_N} AS n_patterns, CASE WHEN {_N} = 0 THEN 0 ELSE least(1.0::DOUBLE, ({_TOP}) / ({_UNDER}) + least(0.3::DOUBLE, ({_N}) * 0.05::DOUBLE)) END AS heuristic FROM c)
+SELECT conv_id, turn, heuristic, n_patterns, {_QUICK.replace("lower(msg)", "lower(text)")} AS obvious, {_LEVEL('heuristic')} AS level FROM s"""
+
+
 QUERIES = {
+    "vector_keywords": (vector_keywords, _vector_keywords_sql()),
+    "conversation_risk": (conversation_risk, CONVERSATION_SQL),
     "pattern_hits": (pattern_hits, f"WITH {MESSAGES} " + " UNION ALL ".join([f"SELECT '{f}' AS family, CAST(count_if({'homoglyph' if f == 'homoglyph_attack' else f'n_{f} > 0'}) AS BIGINT) AS n_messages FROM c" for f in _ORDER])),
     "heuristic_score": (heuristic_score, f"WITH {MESSAGES} SELECT o_orderkey, heuristic FROM s"),
     "matched_texts": (matched_texts, f"WITH {MESSAGES} SELECT o_orderkey, {_SAID} AS patterns, heuristic FROM s"),
