@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, tidy
+from .common import bound_batches, documents, n_partitions, text_bytes, tidy
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -191,21 +191,6 @@ def _tokens(path: str, end_id: int | None):
     return prepare
 
 
-def token_bytes(path: str, end_id: int | None):
-    """An Arrow function from texts to their ids as bytes, with the end id after them."""
-
-    @F.arrow_udf("binary")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from .pieces import PieceEncoder
-
-        pieces = PieceEncoder(path, keep_ids=True)
-        end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        for texts in batches:
-            yield pa.array([x + end for x in pieces.grouped(texts.to_pylist())], pa.binary())
-
-    return ids
-
-
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
     """Packs the texts of df (doc_id, text), each with the end id after it; all tokens bear loss. A null text is empty."""
     bound_batches(df.sparkSession)
@@ -213,20 +198,45 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits:
     return packed(rows, limits, prepare=_tokens(tokenizer_path, end_id))
 
 
+def _turns(path: str, end_id: int, roles: tuple[str, ...]):
+    """For `packed`: sorted rows (conv_id, role, text) to an example a conversation, of whose tokens those of `roles` bear loss."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        from .pieces import PieceEncoder
+
+        pieces = PieceEncoder(path, keep_ids=True)
+        end, key, ids, mask = end_id.to_bytes(4, "little"), None, [], []
+        for batch in batches:
+            convs, who = (batch.column(c).to_pylist() for c in ("conv_id", "role"))
+            for conv, role, own in zip(convs, who, pieces.grouped(batch.column("text").to_pylist()), strict=True):
+                if ids and (conv != key or conv is None):
+                    yield key, b"".join(ids), b"".join(mask)
+                    ids, mask = [], []
+                key = conv
+                ids.append(own + end)
+                mask.append((b"\1" if role in roles else b"\0") * (len(ids[-1]) // 4))
+        if ids:
+            yield key, b"".join(ids), b"".join(mask)
+
+    return prepare
+
+
 def pack_conversations(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = INSTRUCTIONS, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Packs instruction data: turns (conv_id, turn, role, text), where only turns of `roles` bear loss.
 
-    A conversation's turns are joined in order of turn (ties: role, ids), each with the end id after it. All of a
-    conversation's turns are one example, so rows without conv_id are one too, with a null doc_id; a null text is empty,
-    a null role bears no loss; no rows give no pieces.
+    A conversation's turns are joined in order of turn (null first; ties: role, text), each with the end id after it. They
+    are dealt and sorted by Spark and tokenized as they stream by, so a task holds one conversation's ids at a time,
+    however long it is. A row without conv_id is an example of its own, with a null doc_id; a null text is empty, a null
+    role bears no loss; repeated rows are turns each; no rows give no pieces; other columns, whatever their names, are
+    not read.
     """
-    bound_batches(df.sparkSession)
-    turn = df.select("conv_id", "turn", "role", token_bytes(tokenizer_path, end_id)(F.coalesce(F.col("text"), F.lit(""))).alias("ids"))
-    bears = F.when(F.col("role").isin(*roles), F.lit("01")).otherwise(F.lit("00"))
-    turn = turn.withColumn("mask", F.unhex(F.repeat(bears, (F.length("ids") / 4).cast("int"))))
-    whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "ids", "mask"))).alias("t"))
-    joined = lambda c: F.unhex(F.concat_ws("", F.transform("t", lambda x: F.hex(x[c]))))
-    return packed(whole.select(F.col("conv_id").cast("long").alias("doc_id"), joined("ids").alias("ids"), joined("mask").alias("mask")), limits)
+    spark = df.sparkSession
+    bound_batches(spark)
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    # Rows without conv_id need no company, so they are dealt by what they say.
+    dealt = rows.repartition(n_partitions(spark, text_bytes(rows), 32 << 20), F.coalesce("conv_id", F.xxhash64("text", "turn")))
+    ordered = dealt.sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").select("conv_id", "role", "text")
+    return packed(ordered, limits, prepare=_turns(tokenizer_path, end_id, roles))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,3 +244,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as instruction data: sequences end with 2,048 tokens, 32 segments or 1,024 tokens that bear loss, whichever comes first."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pieces = pack_conversations(turns, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("doc_id").alias("conv_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens").alias("conv_tokens"), "sequence_id", "offset")

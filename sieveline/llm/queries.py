@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op4_decontamination
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
-from .packing import op10_packing
+from .packing import instruction_packing, op10_packing
 from .pii import op8_pii
 from .prefix_trie import SQL as SQL_13
 from .prefix_trie import op13_prefix_trie
@@ -38,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
+        "instruction_packing": instruction_packing,
         "op11_vector_codes": op11_vector_codes,
         "op12_top_k": op12_top_k,
         "op13_prefix_trie": op13_prefix_trie,

@@ -187,3 +187,33 @@ def test_pack_conversations(spark):
         tokens[s], segments[s] = tokens.get(s, 0) + p.length, segments.get(s, 0) + 1
     assert max(loss.values()) == 200 and max(tokens.values()) <= 512 and max(segments.values()) <= 8
     assert sum(tokens.values()) == sum(map(len, bears.values()))
+
+
+def test_conversations_of_odd_rows(spark):
+    rows = [(1, None, "assistant", "first"), (1, 1, "user", None), (1, 1, "user", None), (None, 1, "user", "alone"), (None, 1, "assistant", "alone too"), (2, 0, None, "word " * 5000)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, doc_id int").repartition(3)
+    got = packing.pack_conversations(df, BYTE).collect()
+    whole = {}
+    for p in sorted(got, key=lambda p: (str(p.doc_id), p.doc_tokens, p.start)):
+        whole[p.doc_id, p.doc_tokens] = whole.get((p.doc_id, p.doc_tokens), b"") + bytes(p.ids)
+    want = {1: [*library(BYTE, "first", (1,)), 1, 1], 2: library(BYTE, "word " * 5000, (1,))}
+    assert {k[0]: np.frombuffer(v, "<u4").tolist() for k, v in whole.items() if k[0]} == want
+    assert sorted(np.frombuffer(v, "<u4").tolist() for k, v in whole.items() if k[0] is None) == sorted(library(BYTE, t, (1,)) for t in ("alone", "alone too"))
+    assert packing.pack_conversations(df.limit(0), BYTE).count() == 0
+
+
+def test_instruction_query_is_bound_by_its_limits(spark):
+    got = packing.instruction_packing(spark, "/root/testdata/sf0.01").collect()
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").orderBy("conv_id", "turn", "role", "text").collect()
+    bears, sizes = {}, {}
+    for r in turns:
+        n = len(library(BYTE, r.text, (1,)))
+        bears.setdefault(r.conv_id, []).append(np.full(n, r.role == "assistant"))
+        sizes[r.conv_id] = sizes.get(r.conv_id, 0) + n
+    bears = {c: np.concatenate(b) for c, b in bears.items()}
+    assert {c: sum(p.length for p in got if p.conv_id == c) for c in sizes} == sizes
+    loss, tokens = {}, {}
+    for p in got:
+        tokens[p.sequence_id] = tokens.get(p.sequence_id, 0) + p.length
+        loss[p.sequence_id] = loss.get(p.sequence_id, 0) + int(bears[p.conv_id][p.start : p.start + p.length].sum())
+    assert max(tokens.values()) <= 2048 and max(loss.values()) == 1024  # loss binds before tokens do
