@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,8 +28,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def frugal(tokenizes: bool = False) -> None:
+    """Before a task: large blocks go back to the system when they are free, and what an earlier operator learned goes now."""
+    _return_blocks()
+    if not tokenizes and f"{__package__}.pieces" in sys.modules:
+        sys.modules[f"{__package__}.pieces"].forget()
+
+
 @functools.lru_cache
-def frugal() -> None:
+def _return_blocks() -> None:
     """From now on this worker gives large blocks back to the system as soon as they are free: numpy's, by glibc's thresholds, and Arrow's."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
@@ -45,7 +53,7 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidy(run: Callable[[Iterator], Iterator], tokenizes: bool = False) -> Callable[[Iterator], Iterator]:
     """run over a task's batches, after which the worker gives back the memory that it freed.
 
     A worker stays for the tasks after this one, and for a minute without any; several stages' workers would each keep
@@ -54,7 +62,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
-        frugal()
+        frugal(tokenizes)
         try:
             yield from run(batches)
         finally:

@@ -173,16 +173,16 @@ def packed(examples: DataFrame, limits: Limits = Limits(), pool: int = 128, prep
         if rows:
             yield batch_of(rows)
 
-    return examples.mapInArrow(tidy(run), PIECE)
+    return examples.mapInArrow(tidy(run, tokenizes=True), PIECE)
 
 
 def _tokens(path: str, end_id: int | None):
     """For `packed`: rows (doc_id, text) to examples whose tokens all bear loss."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        from .pieces import PieceEncoder
+        from .pieces import shared_encoder
 
-        pieces = PieceEncoder(path, keep_ids=True)
+        pieces = shared_encoder(path, keep_ids=True)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         for batch in batches:
             for key, ids in zip(batch.column("doc_id").to_pylist(), pieces.grouped(batch.column("text").to_pylist()), strict=True):
@@ -202,9 +202,9 @@ def _turns(path: str, end_id: int, roles: tuple[str, ...]):
     """For `packed`: sorted rows (conv_id, role, text) to an example a conversation, of whose tokens those of `roles` bear loss."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        from .pieces import PieceEncoder
+        from .pieces import shared_encoder
 
-        pieces = PieceEncoder(path, keep_ids=True)
+        pieces = shared_encoder(path, keep_ids=True)
         end, key, ids, mask = end_id.to_bytes(4, "little"), None, [], []
         for batch in batches:
             convs, who = (batch.column(c).to_pylist() for c in ("conv_id", "role"))

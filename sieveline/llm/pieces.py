@@ -7,7 +7,8 @@ A BPE never merges across the cuts of its pre-tokenizer, so a text may be cut wh
 - word files: at spaces and newlines, which their pre-tokenizer drops.
 - both: between letters and the punctuation after them, apostrophes aside.
 
-Each distinct piece goes through the tokenizer once per task: words straight to its BPE model, all others through the
+Each distinct piece goes through the tokenizer once as long as a worker remembers it, over the tasks it runs one after the
+other; see shared_encoder: words straight to its BPE model, all others through the
 whole tokenizer in batches balanced by bytes. Added special tokens hold no white space, so the library still finds them
 inside a piece. Files whose normaliser, pre-tokenizer or added tokens differ from these two kinds go through the library
 alone, whole texts in batches balanced by bytes.
@@ -49,7 +50,7 @@ def known_kind(path: str) -> bool:
 class PieceEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers, or their number."""
 
-    def __init__(self, path: str, keep_ids: bool, max_pieces: int = 600_000, batch_bytes: int = 1 << 18, longest_kept: int = 256):
+    def __init__(self, path: str, keep_ids: bool, max_pieces: int = 400_000, batch_bytes: int = 1 << 18, longest_kept: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,6 +153,22 @@ class PieceEncoder:
             yield from self.encode(group)
 
 
+_shared: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def shared_encoder(path: str, keep_ids: bool) -> PieceEncoder:
+    """This worker's encoder for a tokenizer file, with what it has learned in earlier tasks; only the latest file's is kept."""
+    if (path, keep_ids) not in _shared:
+        _shared.clear()
+        _shared[path, keep_ids] = PieceEncoder(path, keep_ids)
+    return _shared[path, keep_ids]
+
+
+def forget() -> None:
+    """Lets the encoder go: operators that don't tokenize ask for it before they start."""
+    _shared.clear()
+
+
 def _byte_level() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

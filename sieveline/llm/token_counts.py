@@ -14,16 +14,14 @@ from .common import bound_batches, documents, tidy
 def token_counter(path: str):
     """An Arrow function from a text column to the number of its tokens; only lengths leave the worker."""
 
-    @F.arrow_udf("long")
-    @tidy
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from .pieces import PieceEncoder
+        from .pieces import shared_encoder
 
-        encoder = PieceEncoder(path, keep_ids=False)
+        encoder = shared_encoder(path, keep_ids=False)
         for texts in batches:
             yield pa.array(list(encoder.grouped(texts.to_pylist())), pa.int64())
 
-    return n_tokens
+    return F.arrow_udf(tidy(n_tokens, tokenizes=True), "long")
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", over: int = 512) -> DataFrame:

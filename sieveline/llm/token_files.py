@@ -22,9 +22,9 @@ def encoder(path: str, end_id: int | None, id_column: str):
     """A mapInArrow function: rows (id, text) to SCHEMA, with the running number of ids in the partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .pieces import PieceEncoder
+        from .pieces import shared_encoder
 
-        pieces = PieceEncoder(path, keep_ids=True)
+        pieces = shared_encoder(path, keep_ids=True)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -35,7 +35,7 @@ def encoder(path: str, end_id: int | None, id_column: str):
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(n), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
             before += int(offsets[-1])
 
-    return tidy(encode)
+    return tidy(encode, tokenizes=True)
 
 
 def write_tokens(df: DataFrame, at: str, tokenizer_path: str, end_id: int | None = 1, id_column: str = "doc_id", text: str = "text", part_bytes: int = 32 << 20, group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:

@@ -1,5 +1,6 @@
 """Operators 1, 3 and 10 against the tokenizers library itself."""
 
+import functools
 import random
 import zlib
 
@@ -17,8 +18,11 @@ ODD = [" ", " ", "\n", "\t", "a", "B", "foo", "été", "é", "é", "'s", "1", "
 ROWS = [(1, "hello world"), (2, None), (3, ""), (4, "a b\n c  <|endoftext|> x"), (4, "hello world"), (None, "hello"), (5, "word " * 3000), (1, "hello world")]
 
 
+loaded = functools.lru_cache(Tokenizer.from_file)
+
+
 def library(path, text, end=()):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, *end]
+    return [*loaded(path).encode(text or "", add_special_tokens=False).ids, *end]
 
 
 def crc(ids):
