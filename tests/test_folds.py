@@ -51,13 +51,13 @@ def test_composed_maps(spark):
 def test_a_hot_user_is_counted_before_any_shuffle(spark):
     """A million events of one user: no task gets more than a row for each of its days and each task before."""
     n = 1_000_000
-    log = spark.range(n).select(F.lit(1).cast("long").alias("user_id"), (F.lit(START).cast("timestamp_ntz") + F.make_interval(secs=(F.col("id") % 864_000).cast("double"))).alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "scam").otherwise("open").alias("kind"))
+    log = spark.range(n).select(F.lit(1).cast("long").alias("user_id"), (F.lit(START).cast("timestamp_ntz") + F.make_interval(secs=(F.col("id") % 864_000).cast("double"))).alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 1, "scam").otherwise("open").alias("kind"))
     got = activity.active_days(log).collect()
     assert [tuple(r) for r in got] == [(1, 10)]
     folded = activity.fold(activity.with_decay(log), rows=100_000).first()
     recent = 0
     for day in range(10):
-        hits = sum(k % 3 == 0 for whole in (0, 864_000) for k in range(whole + 86_400 * day, min(n, whole + 86_400 * (day + 1))))
+        hits = sum(k % 3 == 1 for whole in (0, 864_000) for k in range(whole + 86_400 * day, min(n, whole + 86_400 * (day + 1))))
         recent = recent * 9 // 10 + hits
     assert folded.recent == recent and folded.risk == 100
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import scorer, text, wordpiece
-from sieveline.operators import activity, curate, evalmetrics, holdout, membership, ordering
+from sieveline.operators import activity, curate, evalmetrics, holdout, membership, ordering, similar
 from sieveline.sources import files
 
 
@@ -95,7 +95,7 @@ def test_contained_passages(spark):
 
 def test_similarity_counts(spark):
     pairs = spark.createDataFrame([(0.5,), (0.85,), (0.9,), (0.99,)], "similarity double")
-    assert [tuple(r) for r in curate.similarity_counts(pairs, 0.85, 0.95).collect()] == [(0.85, 2), (0.95, 1)]
+    assert [tuple(r) for r in similar.similarity_counts(pairs, 0.85, 0.95).collect()] == [(0.85, 2), (0.95, 1)]
 
 
 def test_source_gates(spark):
