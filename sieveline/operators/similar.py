@@ -91,31 +91,47 @@ def frequent_terms(sides: list[tuple[DataFrame, str, str]], top: int, counters:
     return low.where((F.col("n") >= last["n"] - error["n"]) & F.col("term").isNotNull()).select("term")
 
 
+def counted(sides: list[tuple[DataFrame, str, str]], top: int, counters: int = COUNTERS) -> list[DataFrame]:
+    """For each side (rows, key, text) a table (key, term, tf) of the terms that may be among the `top` of all sides; of all terms where sketches can't tell."""
+    some, out = frequent_terms(sides, top, counters), []
+    for docs, key, text in sides:
+        rows = term_counts(docs, key, text)
+        if some is not None:
+            rows = rows.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "term")
+        out.append(written(rows.select(key, "term", "tf"), "term-counts"))
+    return out
+
+
+def weights_of(counts: list[DataFrame], sides: list[tuple[DataFrame, str, str]], top: int) -> DataFrame:
+    """(term, idf, df) of the `top` terms by frequency, ties by term."""
+    terms, n = counts[0].select("term", "tf"), sides[0][0].select(F.count("*").alias("n"))
+    for c, s in zip(counts[1:], sides[1:], strict=True):
+        terms, n = terms.union(c.select("term", "tf")), n.union(s[0].select(F.count("*").alias("n")))
+    kept = terms.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(top)
+    return kept.crossJoin(F.broadcast(n.agg(F.sum("n").alias("n")))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
+
+
 def idf(*sides: tuple[DataFrame, str, str], top: int = 10_000, counters: int = COUNTERS) -> DataFrame:
     """(term, idf, df) of the `top` terms by frequency (ties by term) in the texts of all sides (rows, key, text) together.
 
     Sketches find which terms may be among them, and these alone are counted and dealt; see frequent_terms. Where
     sketches can't tell, all terms are.
     """
-    counted = [term_counts(*s).select("term", "tf") for s in sides]
-    if (some := frequent_terms(list(sides), top, counters)) is not None:
-        some = F.broadcast(some) if some.count() <= MOST_BROADCAST else some
-        counted = [c.join(some, "term") for c in counted]
-    n = [s[0].select(F.count("*").alias("n")) for s in sides]
-    for k in range(1, len(sides)):
-        counted[0], n[0] = counted[0].union(counted[k]), n[0].union(n[k])
-    kept = counted[0].groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(top)
-    total = n[0].agg(F.sum("n").alias("n"))
-    return kept.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
+    return weights_of(counted(list(sides), top, counters), list(sides), top)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
-    """(key, v): a text's L2-normalised TF-IDF as an array of (term, w, df), by the terms of `weights`, which idf bounds in number; one shuffle, by key."""
-    w = term_counts(docs, key, text).join(F.broadcast(weights), "term").select(key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+def unit_vectors(counts: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """(key, v): L2-normalised TF-IDF of rows (key, term, tf) as an array of (term, w, df), by the terms of `weights`, which idf bounds in number; one shuffle, by key."""
+    w = counts.join(F.broadcast(weights), "term").select(key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     each = w.groupBy(key).agg(F.collect_list(F.struct("term", "w", "df")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return each.select(key, F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"), x["df"].alias("df"))).alias("v"))
 
 
+def tfidf(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
+    """unit_vectors of texts."""
+    return unit_vectors(term_counts(docs, key, text), key, weights)
+
+
 def candidates(left: DataFrame, right: DataFrame, threshold: float, share: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates (i, j, part), rests of the left (i, v), rests of the right (j, v)) of vectors (i, v) and (j, v).
 
@@ -142,15 +158,16 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, share: float
     return met.where(F.col("part") + F.col("own") * F.col("other") >= threshold - 1e-9).select("i", "j", "part"), left_rest, right_rest
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float, top: int = 10_000) -> DataFrame:
     """(left_key, right_key, similarity) at or over the threshold: cosine of TF-IDF fitted on both sides together. Keys are unique.
 
     The right-hand side is the one that is indexed, so pass the smaller one there. Candidates carry ids and what is
     known of their product; the rests of their vectors, terms that many texts hold, meet once for each to complete it.
     """
     sides = [(spread(df.select(F.col(k).alias(name), F.col(text).alias("text"))), name, "text") for df, k, name in ((left, left_key, "i"), (right, right_key, "j"))]
-    weights = written(idf(*sides), "idf")  # at most `top` rows
-    a, b = (written(tfidf(*s, weights), "vectors") for s in sides)
+    counts = counted(sides, top)  # texts are read twice: for the sketches, and to count
+    weights = written(weights_of(counts, sides, top), "idf")  # at most `top` rows
+    a, b = (written(unit_vectors(c, s[1], weights), "vectors") for c, s in zip(counts, sides, strict=True))
     pairs, own, other = candidates(a, b, threshold)
     both = pairs.join(own.withColumnRenamed("v", "x"), "i", "left").join(other.withColumnRenamed("v", "y"), "j", "left")
     weight = F.map_from_entries(F.transform("x", lambda t: F.struct(t["term"], t["w"])))
