@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +17,15 @@ from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, SCRIPT_SPACES, has_homoglyp
 
 @dataclass(frozen=True)
 class Rule:
-    """One expression. A global rule counts its matches; another counts one, and one for each of its groups."""
+    """One expression. A global rule counts its matches; another counts one, and one for each of its groups.
+
+    Every match holds one of `needs`, so texts without any are settled by plain search, which costs far less.
+    """
 
     regex: str
     groups: int = 0
     every: bool = False
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -42,57 +48,57 @@ FAMILIES: dict[str, tuple[float, tuple[Rule, ...]]] = {
     "urgency": (
         0.3,
         (
-            Rule(r"\b(urgent|immediately|asap|right now|within \d+ (hour|minute)|act fast|limited time|expires? (today|soon|in \d+))\b", 3),
-            Rule(r"\b(hurry|don't wait|last chance|final notice|immediate action)\b", 1),
-            Rule(r"!{2,}", 0, True),
+            Rule(r"\b(urgent|immediately|asap|right now|within \d+ (hour|minute)|act fast|limited time|expires? (today|soon|in \d+))\b", 3, False, ("urgent", "immediately", "asap", "right now", "within ", "act fast", "limited time", "expire")),
+            Rule(r"\b(hurry|don't wait|last chance|final notice|immediate action)\b", 1, False, ("hurry", "don't wait", "last chance", "final notice", "immediate action")),
+            Rule(r"!{2,}", 0, True, ("!!",)),
         ),
     ),
     "financial_request": (
         0.4,
         (
-            Rule(r"\b(wire transfer|send money|bank account|routing number|payment|bitcoin|crypto|gift card)\b", 1),
-            Rule(r"\b(fees?|tax|pay|amount|\$\d+|\d+ dollars?|funds?)\b", 1),
-            Rule(r"\b(western union|moneygram|zelle|venmo|cash app|paypal)\b", 1),
+            Rule(r"\b(wire transfer|send money|bank account|routing number|payment|bitcoin|crypto|gift card)\b", 1, False, ("wire transfer", "send money", "bank account", "routing number", "payment", "bitcoin", "crypto", "gift card")),
+            Rule(r"\b(fees?|tax|pay|amount|\$\d+|\d+ dollars?|funds?)\b", 1, False, ("fee", "tax", "pay", "amount", "$", " dollar", "fund")),
+            Rule(r"\b(western union|moneygram|zelle|venmo|cash app|paypal)\b", 1, False, ("western union", "moneygram", "zelle", "venmo", "cash app", "paypal")),
         ),
     ),
     "coercion": (
         0.35,
         (
-            Rule(r"\b(arrested|jail|police|lawsuit|legal action|court|warrant)\b", 1),
-            Rule(r"\b(suspended|terminated|deleted|disabled|blocked|banned)\b", 1),
-            Rule(r"\b(failure to|unless you|or else|consequences)\b", 1),
+            Rule(r"\b(arrested|jail|police|lawsuit|legal action|court|warrant)\b", 1, False, ("arrested", "jail", "police", "lawsuit", "legal action", "court", "warrant")),
+            Rule(r"\b(suspended|terminated|deleted|disabled|blocked|banned)\b", 1, False, ("suspended", "terminated", "deleted", "disabled", "blocked", "banned")),
+            Rule(r"\b(failure to|unless you|or else|consequences)\b", 1, False, ("failure to", "unless you", "or else", "consequences")),
         ),
     ),
     "impersonation": (
         0.35,
         (
-            Rule(r"\b(irs|social security|medicare|fbi|doj|department of|government|official)\b", 1),
-            Rule(r"\b(apple|google|microsoft|amazon|facebook|meta|netflix|paypal|bank of|wells fargo|chase)\b", 1),
-            Rule(r"\b(customer service|support team|security team|fraud department)\b", 1),
+            Rule(r"\b(irs|social security|medicare|fbi|doj|department of|government|official)\b", 1, False, ("irs", "social security", "medicare", "fbi", "doj", "department of", "government", "official")),
+            Rule(r"\b(apple|google|microsoft|amazon|facebook|meta|netflix|paypal|bank of|wells fargo|chase)\b", 1, False, ("apple", "google", "microsoft", "amazon", "facebook", "meta", "netflix", "paypal", "bank of", "wells fargo", "chase")),
+            Rule(r"\b(customer service|support team|security team|fraud department)\b", 1, False, ("customer service", "support team", "security team", "fraud department")),
         ),
     ),
     "suspicious_link": (
         0.25,
         (
-            Rule(r"https?:\/\/[^\s]+", 0, True),
-            Rule(r"\b(click here|click below|click this link|tap to|verify at)\b", 1),
-            Rule(r"bit\.ly|tinyurl|goo\.gl|t\.co|shorturl", 0),
+            Rule(r"https?:\/\/[^\s]+", 0, True, ("http",)),
+            Rule(r"\b(click here|click below|click this link|tap to|verify at)\b", 1, False, ("click here", "click below", "click this link", "tap to", "verify at")),
+            Rule(r"bit\.ly|tinyurl|goo\.gl|t\.co|shorturl", 0, False, ("bit.ly", "tinyurl", "goo.gl", "t.co", "shorturl")),
         ),
     ),
     "personal_info_request": (
         0.4,
         (
-            Rule(r"\b(ssn|social security number|date of birth|dob|mother'?s? maiden|password|pin|cvv)\b", 1),
-            Rule(r"\b(verify your|confirm your|update your) (identity|account|information|details)\b", 2),
-            Rule(r"\b(credit card|debit card|account number|login credential)\b", 1),
+            Rule(r"\b(ssn|social security number|date of birth|dob|mother'?s? maiden|password|pin|cvv)\b", 1, False, ("ssn", "social security number", "date of birth", "dob", " maiden", "password", "pin", "cvv")),
+            Rule(r"\b(verify your|confirm your|update your) (identity|account|information|details)\b", 2, False, ("verify your", "confirm your", "update your")),
+            Rule(r"\b(credit card|debit card|account number|login credential)\b", 1, False, ("credit card", "debit card", "account number", "login credential")),
         ),
     ),
     "too_good_to_be_true": (
         0.35,
         (
-            Rule(r"\b(congratulations|you('ve)? won|winner|selected|lucky)\b", 2),
-            Rule(r"\b(prize|reward|lottery|jackpot|inheritance|million|billion)\b", 1),
-            Rule(r"\b(free|no cost|guaranteed|100%|risk.?free)\b", 1),
+            Rule(r"\b(congratulations|you('ve)? won|winner|selected|lucky)\b", 2, False, ("congratulations", " won", "winner", "selected", "lucky")),
+            Rule(r"\b(prize|reward|lottery|jackpot|inheritance|million|billion)\b", 1, False, ("prize", "reward", "lottery", "jackpot", "inheritance", "million", "billion")),
+            Rule(r"\b(free|no cost|guaranteed|100%|risk.?free)\b", 1, False, ("free", "no cost", "guaranteed", "100%")),
         ),
     ),
 }
@@ -117,9 +123,10 @@ PHRASES = (
 
 def rule_match(text: Column, rule: Rule) -> Column:
     """What one rule finds in a normalised text, in one pass: all matches of a global rule, else the first or an empty string (no rule matches that)."""
+    without = ~reduce(or_, (F.contains(text, F.lit(w)) for w in rule.needs)) if rule.needs else F.lit(False)
     if rule.every:
-        return F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    return F.regexp_extract(text, rule.java, 0)
+        return F.when(without, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)))
+    return F.when(without, "").otherwise(F.regexp_extract(text, rule.java, 0))
 
 
 def rule_matches(text: Column) -> dict[str, Column]:
@@ -156,6 +163,11 @@ def confidence(count: Column) -> Column:
     return F.least(F.lit(0.95), F.lit(0.3) + count * F.lit(0.15))
 
 
+def detect_types(counts: dict[str, Column], homoglyph: Column) -> Column:
+    """The types of detect_patterns straight from family counts, where matched texts aren't wanted."""
+    return F.array_compact(F.array(F.when(homoglyph, HOMOGLYPH[0]), *(F.when(n > 0, family) for family, n in counts.items())))
+
+
 def detect_patterns(raw: Column, text: Column | None = None, hits: dict[str, Column] | None = None) -> Column:
     """array<struct<type, confidence, matchedText>>: homoglyphs first, then the families that match, in order.
 

@@ -48,18 +48,28 @@ def nfc():
     return F.arrow_udf(_compose, "string")
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether a text is of ASCII characters alone: as many bytes as characters."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def normalized(c: Column, compose: bool = True) -> Column:
-    """For scoring: lower case, NFC (unless the text is known to be composed), look-alike letters as Latin, no zero-width characters, single spaces."""
+    """For scoring: lower case, NFC (unless the text is known to be composed), look-alike letters as Latin, no zero-width characters, single spaces.
+
+    Composing and look-alikes change no ASCII text, and replacing white space none where it is single spaces: such texts
+    are passed through, composing gets nulls for them.
+    """
     low = F.lower(c)
-    if compose:
-        low = nfc()(low)
-    return strip(F.regexp_replace(F.translate(low, LOOKALIKES + ZERO_WIDTH, LATIN), f"{SCRIPT_SPACE}+", " "), SCRIPT_SPACES)
+    other = F.when(~is_ascii(low), low)
+    latin = F.coalesce(F.translate(nfc()(other) if compose else other, LOOKALIKES + ZERO_WIDTH, LATIN), low)
+    single = F.when(latin.rlike(f"(?! ){SCRIPT_SPACE}|  "), F.regexp_replace(latin, f"{SCRIPT_SPACE}+", " ")).otherwise(latin)
+    return strip(single, SCRIPT_SPACES)
 
 
 def has_homoglyphs(c: Column) -> Column:
     """Cyrillic or Greek beside Latin letters, or zero-width characters, in the raw text."""
     foreign = c.rlike(r"[\u0400-\u04ff\u0370-\u03ff]")
-    return (foreign & c.rlike("[a-zA-Z]")) | c.rlike(r"[\u200b\u200c\u200d\ufeff]")
+    return F.when(is_ascii(c), False).otherwise((foreign & c.rlike("[a-zA-Z]")) | c.rlike(r"[\u200b\u200c\u200d\ufeff]"))
 
 
 def ocr_normalized(c: Column) -> Column:

@@ -16,10 +16,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is.
+
+    A split is bounded in bytes, which of short rows are millions; with `rows`, a task has about so many at most, however
+    large the table. They are counted, so pass a stored table.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        n = max(n, math.ceil(df.count() / rows))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def _above(cuts: list, c: Column) -> Column:

@@ -11,6 +11,8 @@ from ..functions.text import has_homoglyphs, normalized
 from ..operators import curate
 from ..operators.ordering import spread
 
+#: Messages that a task scores: some seconds.
+TASK_ROWS = 100_000
 #: Message templates by key; {n} is the order's key.
 TEMPLATES = (
     "Your order {n} has shipped, thank you",
@@ -92,7 +94,7 @@ _LEVEL = lambda c: f"CASE WHEN {c} < 0.3 THEN 'low' WHEN {c} < 0.5 THEN 'medium'
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, msg, t, homoglyph, hit_... by rule, n_<family> ...): each rule runs once, in a projection of its own."""
-    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
+    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), TASK_ROWS).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
     t = m.withColumn("t", normalized(F.col("msg"))).withColumn("homoglyph", has_homoglyphs(F.col("msg")))
     t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
     return t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
@@ -174,8 +176,9 @@ def risk_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
-    s = sides(spark, d).withColumn("patterns", F.when(F.col("txt").isNotNull(), scoring.detect_patterns(F.col("msg"), F.col("t"), hits())))
-    return s.withColumn("types", F.transform("patterns", lambda p: p["type"])).withColumn("score", fusion.fused_score(F.col("vis"), F.col("txt")))
+    """Adds score and types, the families found in a text that has a score."""
+    types = scoring.detect_types({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph"))
+    return sides(spark, d).withColumn("types", F.when(F.col("txt").isNotNull(), types)).withColumn("score", fusion.fused_score(F.col("vis"), F.col("txt")))
 
 
 def explanations(spark: SparkSession, d: str) -> DataFrame:
@@ -183,8 +186,9 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def red_flags(spark: SparkSession, d: str) -> DataFrame:
-    patterns = F.coalesce("patterns", F.array().cast("array<struct<type:string,confidence:double,matchedText:string>>"))
-    return _explained(spark, d).select("o_orderkey", F.array_join(fusion.red_flags(F.col("cat"), F.col("vconf"), patterns), " | ").alias("flags"))
+    found = F.when(F.col("txt").isNotNull(), scoring.detect_patterns(F.col("msg"), F.col("t"), hits()))
+    patterns = F.coalesce(found, F.array().cast("array<struct<type:string,confidence:double,matchedText:string>>"))
+    return sides(spark, d).select("o_orderkey", F.array_join(fusion.red_flags(F.col("cat"), F.col("vconf"), patterns), " | ").alias("flags"))
 
 
 def safety_tips(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +211,7 @@ _first5 = lambda xs: "array_to_string(list_slice(list_filter([" + ", ".join(xs)
 def vector_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Messages by the vector that their keywords give, and how many are consistent with it: two lexicons of eight vectors, out of tables; each text is read once a lexicon."""
     known, given = (Lexicon.from_table(lexicons.table(spark, words)) for words in (lexicons.CONSISTENCY, lexicons.COLLECTION))
-    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")).select(message(F.col("o_orderkey")).alias("msg"))
+    m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), TASK_ROWS).select(message(F.col("o_orderkey")).alias("msg"))
     m = m.select(curate.infer_vector(F.col("msg"), given).alias("vector"), known.hits(F.col("msg")).alias("hits"))
     return m.groupBy("vector").agg(F.count("*").alias("n"), F.count_if(known.hits_of(F.col("hits"), F.col("vector")) >= 2).alias("consistent"), F.sum(F.aggregate("hits", F.lit(0), lambda s, x: s + x)).alias("hits"))
 
@@ -223,7 +227,7 @@ SELECT vector, count(*) AS n, CAST(count_if(h[list_position({names}, vector)] >=
 
 def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
     """The rules over the turns of conversations as they are: score, level, and how many families match."""
-    m = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"))
+    m = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"), TASK_ROWS)
     t = m.withColumn("t", normalized(F.col("text"))).withColumn("homoglyph", has_homoglyphs(F.col("text")))
     t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
     t = t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
