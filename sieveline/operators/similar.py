@@ -7,14 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import written
 from .ordering import spread
 
 #: Terms that a task counts at a time in the sketch: some 60 MB.
 COUNTERS = 250_000
+#: Texts whose terms a worker holds at a time, and characters of them; a longer text is held alone.
+SLICE_ROWS, SLICE_CHARS = 256, 1 << 19
 #: Rows of a table that may be broadcast.
 MOST_BROADCAST = 1 << 20
 
@@ -24,15 +28,35 @@ def _grams(words: list[str] | None) -> list[Counter]:
     return [Counter(words), Counter(map(" ".join, zip(words, words[1:])))]
 
 
-def _term_counts(words: pa.Array) -> pa.Array:
-    """Of lists of words: their distinct 1- and 2-grams, with how often each occurs."""
-    terms, n, ends = [], [], [0]
-    for t in words.to_pylist():
-        for c in _grams(t):
-            terms += c.keys()
-            n += c.values()
-        ends.append(len(terms))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int32())], ["term", "tf"]))
+def slices(texts: pa.Array, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, which holds thousands of them, a few at a time."""
+    at, sizes = 0, pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    while at < len(texts):
+        to, size = at + 1, sizes[at]
+        while to < len(texts) and to - at < rows and size + sizes[to] <= chars:
+            size += sizes[to]
+            to += 1
+        yield texts.slice(at, to - at).to_pylist()
+        at = to
+
+
+def _counted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, joined words): (key, term, tf) of their distinct 1- and 2-grams, a batch for each slice."""
+    for batch in batches:
+        at = 0
+        for texts in slices(batch.column(1)):
+            terms, n, owner = [], [], []
+            for k, t in enumerate(texts, at):
+                for c in _grams(_split(t)):
+                    terms += c.keys()
+                    n += c.values()
+                    owner += [k] * len(c)
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(terms, pa.string()), pa.array(n, pa.int32())], [batch.schema.names[0], "term", "tf"])
+
+
+def _split(joined: str | None) -> list[str] | None:
+    return joined.split(" ") if joined else None
 
 
 def words_of(text: str):
@@ -42,7 +66,8 @@ def words_of(text: str):
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of word 1- and 2-grams: a text's row is counted where it stands."""
-    return docs.select(key, F.arrow_udf(_term_counts, "array<struct<term:string,tf:int>>")(words_of(text)).alias("c")).select(key, F.inline("c"))
+    rows = docs.select(key, F.array_join(words_of(text), " ").alias("words"))
+    return rows.mapInArrow(_counted_slices, T.StructType([rows.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 
 
 class Sketch:
@@ -72,14 +97,15 @@ def frequent_terms(sides: list[tuple[DataFrame, str, str]], top: int, counters:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketch(counters)
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                for c in _grams(words):
-                    own.add(c)
+            for texts in slices(batch.column(0)):
+                for t in texts:
+                    for c in _grams(_split(t)):
+                        own.add(c)
         yield pa.RecordBatch.from_arrays([pa.array([None, *own.counts]), pa.array([own.error, *own.counts.values()], pa.int64())], ["term", "n"])
 
     rows = None
     for docs, _, text in sides:
-        part = docs.select(words_of(text).alias("w")).mapInArrow(sketch, "term string, n long")
+        part = docs.select(F.array_join(words_of(text), " ").alias("w")).mapInArrow(sketch, "term string, n long")
         rows = part if rows is None else rows.unionByName(part)
     low = written(rows.groupBy("term").agg(F.sum("n").alias("n")), "term-sketch")
     error = low.where("term is null").first()
