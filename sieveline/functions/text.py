@@ -93,5 +93,5 @@ def fenced_json(c: Column, schema: str) -> Column:
 
 def word_split(c: Column) -> Column:
     """Words between white space, with each ASCII punctuation mark a token of its own."""
-    mark = r"[.,!?;:'\"()\[\]{}<>@#$%^&*+=\-_/\\|`~]"
-    return F.regexp_extract_all(c, F.lit(f"({mark}|(?:(?!{mark})(?!{SCRIPT_SPACE})[\\s\\S])+)"), F.lit(1))
+    mark = r".,!?;:'\"()\[\]{}<>@#$%^&*+=\-_/\\|`~"
+    return F.regexp_extract_all(c, F.lit(f"([{mark}]|[^{mark}{SCRIPT_SPACE[1:-1]}]+)"), F.lit(1))

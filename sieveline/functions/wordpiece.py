@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .text import SCRIPT_SPACES, normalized, word_split
 
 # Fixed values of the vocabulary format.
@@ -42,6 +43,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
 def vocabulary_of(rows: DataFrame, token: str = "token") -> dict[str, int]:
     """The special tokens, then the distinct tokens of a table, by code points, from id 104 on; its size is checked before it is read."""
     distinct = rows.select(F.col(token).alias("t")).where("t is not null and t <> ''").distinct()
+    distinct = written(distinct, "vocabulary")  # so that it is worked out once, to be counted and read
     if (n := distinct.count()) > MOST_TOKENS:
         raise ValueError(f"a vocabulary of {n} tokens; {MOST_TOKENS} at most")
     special = dict((PAD, UNK, CLS, SEP, MASK))
@@ -126,11 +128,12 @@ def encode(df: DataFrame, text: str, vocabulary: dict[str, int], length: int = M
     """Adds input_ids and attention_mask (arrays of `length`) and token_count.
 
     CLS, pieces, SEP; of more than `length` the first length - 1 and SEP; zeros pad. The count is taken after the cut.
+    Every word has a piece at least, so words beyond the first `length` can't be among what is kept.
     """
     own = "ids"
     while own in df.columns:
         own += "_"
-    ids = piece_ids(vocabulary)(word_split(normalized(F.col(text))))
+    ids = piece_ids(vocabulary)(F.slice(word_split(normalized(F.col(text))), 1, length))
     whole = df.withColumn(own, F.concat(F.array(F.lit(CLS[1])), ids, F.array(F.lit(SEP[1]))))
     cut = whole.withColumn(own, F.when(F.size(own) > length, F.concat(F.slice(own, 1, length - 1), F.array(F.lit(SEP[1])))).otherwise(F.col(own)))
     out = cut.withColumn("token_count", F.size(own))

@@ -1,7 +1,9 @@
 """What a worker holds at a time, whatever a batch holds."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from sieveline.functions import text, wordpiece
 from sieveline.operators import similar
 
 
@@ -14,3 +16,20 @@ def test_term_counts_leave_in_small_batches():
     assert len(rows) == 5000 * 4 + 1 + 3 * 3 and {(r["term"], r["tf"]) for r in rows if r["i"] == 4999} == {("w1", 2), ("w2", 1), ("w1 w2", 1), ("w2 w1", 1)}
     assert {r["term"] for r in rows if r["i"] == 5002} == {"x" * (similar.SLICE_CHARS + 1)} and not [r for r in rows if r["i"] in (5000, 5001)]
     assert [len(s) for s in similar.slices(pa.array(["ab", "c", None, "defg", "h"]), rows=3, chars=3)] == [3, 1, 1]
+
+
+def test_words_by_one_class(spark):
+    """Long words don't go through the regex engine a character a step; what is split is as before."""
+    marks = ".,!?;:'\"()[]{}<>@#$%^&*+=-_/\\|`~"
+    long = "ab😀é" * 50_000
+    got = spark.createDataFrame([(f"{long} a{marks}b\u0085c d ﻿e\nf&&g",)], "t string").select(text.word_split(F.col("t")).alias("w")).first().w
+    assert got == [long, "a", *marks, "b\u0085c", "d", "e", "f", "&", "&", "g"]
+
+
+def test_only_words_that_can_stay_are_encoded(spark):
+    v = wordpiece.fallback_vocabulary()
+    for n in (125, 126, 127, 128, 400):
+        r = wordpiece.encode(spark.createDataFrame([("a " * n,)], "t string"), "t", v).first()
+        ids = [101, *[v["a"]] * n, 102]
+        ids = ids if len(ids) <= 128 else [*ids[:127], 102]
+        assert r.input_ids == ids + [0] * (128 - len(ids)) and r.token_count == len(ids)
