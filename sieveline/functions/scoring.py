@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +19,11 @@ from .fusion import band_text, risk_level
 from .text import AFTER_WORD, BEFORE_WORD, BOUNDARY, SCRIPT_SPACES, has_homoglyphs, normalized, strip
 
 
+def _as_script(regex: str) -> str:
+    """White space (of normalised text) and the dot as JavaScript has them."""
+    return re.sub(r"(?<!\\)[.]", "[^\\n\\r\u2028\u2029]", regex.replace(r"[^\s]", "[^\\t-\\r\x20\xa0\ufeff]"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """One expression. A global rule counts its matches; another counts one, and one for each of its groups.
@@ -35,7 +44,13 @@ class Rule:
             out = BEFORE_WORD + out[2:]
         if out.endswith(r")\b") and not re.search(r"%[|)]", out):
             out = out[:-2] + AFTER_WORD
-        return out.replace(r"\b", BOUNDARY).replace(r"[^\s]", r"[^\t-\r\x20\xa0\ufeff]")
+        return _as_script(out.replace(r"\b", BOUNDARY))
+
+    @property
+    def re2(self) -> str:
+        """For Arrow, whose boundaries and digits are ASCII as JavaScript's are: the whole match is group m, the others are g1, g2, ..."""
+        number = count(1)
+        return f"(?P<m>{_as_script(re.sub(r'(?<!\\)[(](?![?])', lambda _: f'(?P<g{next(number)}>', self.regex))})"
 
     @property
     def one_group(self) -> bool:
@@ -129,9 +144,87 @@ def rule_match(text: Column, rule: Rule) -> Column:
     return F.when(without, "").otherwise(F.regexp_extract(text, rule.java, 0))
 
 
+def _named_rules() -> dict[str, Rule]:
+    return {f"hit_{family}_{k}": rule for family, (_, rules) in FAMILIES.items() for k, rule in enumerate(rules)}
+
+
+def _held(texts: pa.Array, rule: Rule) -> tuple[pa.Array, pa.Array]:
+    """Which of a batch of texts a rule matches, and what it finds there: lists of all matches of a global rule, else structs of the first and its groups."""
+    hit = pc.fill_null(pc.match_substring_regex(texts, rule.re2), False)
+    held = texts.filter(hit)
+    if rule.every:
+        every = re.compile(rule.re2, re.ASCII)
+        return hit, pa.array([every.findall(t) for t in held.to_pylist()], pa.list_(pa.string()))
+    return hit, pc.extract_regex(held, rule.re2)
+
+
+def _spread(hit: pa.Array, found: pa.Array, rest: pa.Array) -> pa.Array:
+    return pc.replace_with_mask(rest, hit, found.cast(rest.type)) if len(found) else rest
+
+
+def _find(texts: pa.Array, rule: Rule) -> pa.Array:
+    """rule_match of a batch of texts."""
+    hit, found = _held(texts, rule)
+    if rule.every:
+        sizes = _spread(hit, pc.list_value_length(found), pa.repeat(pa.scalar(0, pa.int32()), len(texts)))
+        ends = np.cumsum([0, *sizes.to_numpy()], dtype="i4")
+        return pa.ListArray.from_arrays(pa.array(ends), found.flatten(), mask=pc.is_null(texts))
+    return _spread(hit, pc.struct_field(found, "m"), pc.if_else(pc.is_valid(texts), "", pa.scalar(None, pa.string())))
+
+
+def _find_all(texts: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([_find(texts, rule) for rule in _named_rules().values()], list(_named_rules()))
+
+
+def _count_all(texts: pa.Array) -> pa.Array:
+    def one(rule: Rule) -> pa.Array:
+        if rule.every:
+            return pc.fill_null(pc.count_substring_regex(texts, rule.re2), 0).cast(pa.int32())
+        return pc.if_else(pc.fill_null(pc.match_substring_regex(texts, rule.re2), False), pa.scalar(1 + rule.groups, pa.int32()), 0)
+
+    return pa.StructArray.from_arrays([reduce(pc.add, map(one, rules)) for _, rules in FAMILIES.values()], list(FAMILIES))
+
+
+def _say_all(texts: pa.Array) -> pa.Array:
+    zero, empty = pa.repeat(pa.scalar(0, pa.int32()), len(texts)), pa.repeat(pa.scalar("", pa.string()), len(texts))
+    out = {}
+    for family, (_, rules) in FAMILIES.items():
+        n, said = zero, []
+        for rule in rules:
+            hit, found = _held(texts, rule)
+            if rule.every:
+                own = pc.list_value_length(found)
+                first = pa.array([", ".join(["", *x[:3]]) for x in found.to_pylist()], pa.string())
+            else:
+                own = pa.repeat(pa.scalar(1 + rule.groups, pa.int32()), len(found))
+                first = pc.binary_join_element_wise("", *(pc.struct_field(found, g) for g in ["m", "g1", "g2"][: 1 + rule.groups]), ", ")
+            n = pc.add(n, _spread(hit, own, zero))
+            said.append(_spread(hit, first, empty))
+        out |= {f"n_{family}": n, f"said_{family}": pc.utf8_slice_codeunits(pc.binary_join_element_wise(*said, ""), 2)}
+    return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+
 def rule_matches(text: Column) -> dict[str, Column]:
-    """rule_match of all rules, by names of their own: select them, so that counts and texts come from one pass."""
-    return {f"hit_{family}_{k}": rule_match(text, rule) for family, (_, rules) in FAMILIES.items() for k, rule in enumerate(rules)}
+    """rule_match of all rules, by names of their own: select them, so that counts and texts come from one pass.
+
+    Arrow runs a rule over a batch of texts by an automaton, in time linear in their length; Java's expressions try each
+    alternative at each place.
+    """
+    kinds = ", ".join(f"{name}: {'array<string>' if rule.every else 'string'}" for name, rule in _named_rules().items())
+    found = F.arrow_udf(_find_all, f"struct<{kinds}>")(text)
+    return {name: found[name] for name in _named_rules()}
+
+
+def family_counts(text: Column) -> dict[str, Column]:
+    """family_count of all families on a normalised text in one pass, where what matched isn't wanted: select them."""
+    counts = F.arrow_udf(_count_all, f"struct<{', '.join(f'{family}: int' for family in FAMILIES)}>")(text)
+    return {family: counts[family] for family in FAMILIES}
+
+
+def family_matches(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """family_count and matched_text of all families on a normalised text in one pass: select them."""
+    found = F.arrow_udf(_say_all, f"struct<{', '.join(f'n_{family}: int, said_{family}: string' for family in FAMILIES)}>")(text)
+    return {family: found[f"n_{family}"] for family in FAMILIES}, {family: found[f"said_{family}"] for family in FAMILIES}
 
 
 def _found(family: str, text: Column | None, hits: dict[str, Column] | None) -> list[tuple[Rule, Column]]:
@@ -174,13 +267,18 @@ def detect_patterns(raw: Column, text: Column | None = None, hits: dict[str, Col
     text is the normalised text, hits what rule_matches gave for it; pass columns, so that they are worked out once.
     """
     text = normalized(raw) if text is None else text
+    if hits is None:
+        return patterns_of(has_homoglyphs(raw), *family_matches(text))
+    counts = {family: family_count(text, family, hits) for family in FAMILIES}
+    return patterns_of(has_homoglyphs(raw), counts, {family: matched_text(text, family, hits) for family in FAMILIES})
+
+
+def patterns_of(homoglyph: Column, counts: dict[str, Column], said: dict[str, Column]) -> Column:
+    """detect_patterns straight from family counts and matched texts."""
     kind = "struct<type:string,confidence:double,matchedText:string>"
-    name, _, sure, said = HOMOGLYPH
-    found = [F.when(has_homoglyphs(raw), F.struct(F.lit(name).alias("type"), F.lit(sure).alias("confidence"), F.lit(said).alias("matchedText")).cast(kind))]
-    for family in FAMILIES:
-        n = family_count(text, family, hits)
-        found.append(F.when(n > 0, F.struct(F.lit(family).alias("type"), confidence(n).alias("confidence"), matched_text(text, family, hits).alias("matchedText")).cast(kind)))
-    return F.array_compact(F.array(*found))
+    pattern = lambda name, sure, text: F.struct(name.alias("type"), sure.alias("confidence"), text.alias("matchedText")).cast(kind)
+    found = [F.when(homoglyph, pattern(F.lit(HOMOGLYPH[0]), F.lit(HOMOGLYPH[2]), F.lit(HOMOGLYPH[3])))]
+    return F.array_compact(F.array(*found, *(F.when(n > 0, pattern(F.lit(family), confidence(n), said[family])) for family, n in counts.items())))
 
 
 def heuristic_score(patterns: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -62,7 +64,9 @@ def normalized(c: Column, compose: bool = True) -> Column:
     low = F.lower(c)
     other = F.when(~is_ascii(low), low)
     latin = F.coalesce(F.translate(nfc()(other) if compose else other, LOOKALIKES + ZERO_WIDTH, LATIN), low)
-    single = F.when(latin.rlike(f"(?! ){SCRIPT_SPACE}|  "), F.regexp_replace(latin, f"{SCRIPT_SPACE}+", " ")).otherwise(latin)
+    gaps = [F.contains(low, F.lit(gap)) for gap in ("  ", *"\t\n\x0b\x0c\r")]
+    uneven = F.when(is_ascii(low), reduce(or_, gaps)).otherwise(latin.rlike(f"(?! ){SCRIPT_SPACE}|  "))
+    single = F.when(uneven, F.regexp_replace(latin, f"{SCRIPT_SPACE}+", " ")).otherwise(latin)
     return strip(single, SCRIPT_SPACES)
 
 

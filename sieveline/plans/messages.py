@@ -92,12 +92,24 @@ fused AS (SELECT *, greatest(coalesce(vis, 0), coalesce(txt, 0)) AS score,
 _LEVEL = lambda c: f"CASE WHEN {c} < 0.3 THEN 'low' WHEN {c} < 0.5 THEN 'medium' WHEN {c} < 0.7 THEN 'high' ELSE 'critical' END"
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    """(o_orderkey, msg, t, homoglyph, hit_... by rule, n_<family> ...): each rule runs once, in a projection of its own."""
+def messages(spark: SparkSession, d: str, found: str = "rules") -> DataFrame:
+    """(o_orderkey, msg, t, homoglyph, n_<family> ...): each rule runs once. Beside these hit_... by rule, said_<family> for "texts", none for "counts"."""
     m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), TASK_ROWS).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
-    t = m.withColumn("t", normalized(F.col("msg"))).withColumn("homoglyph", has_homoglyphs(F.col("msg")))
-    t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
-    return t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+    return _found(m, "msg", found)
+
+
+def _found(m: DataFrame, raw: str, found: str) -> DataFrame:
+    t = m.withColumn("t", normalized(F.col(raw))).withColumn("homoglyph", has_homoglyphs(F.col(raw)))
+    if found == "rules":
+        t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
+        return t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+    counts, said = (scoring.family_counts(F.col("t")), {}) if found == "counts" else scoring.family_matches(F.col("t"))
+    return t.select("*", *(c.alias(f"n_{f}") for f, c in counts.items()), *(c.alias(f"said_{f}") for f, c in said.items()))
+
+
+def _patterns() -> Column:
+    """detect_patterns from the columns of messages with texts."""
+    return scoring.patterns_of(F.col("homoglyph"), *({f: F.col(f"{x}_{f}") for f in FAMILIES} for x in ("n", "said")))
 
 
 def hits() -> dict:
@@ -105,14 +117,14 @@ def hits() -> dict:
     return {f"hit_{f}_{k}": F.col(f"hit_{f}_{k}") for f, (_, rules) in scoring.FAMILIES.items() for k in range(len(rules))}
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+def scored(spark: SparkSession, d: str, found: str = "counts") -> DataFrame:
+    m = messages(spark, d, found)
     return m.withColumn("heuristic", scoring.heuristic_from_counts({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph")))
 
 
-def sides(spark: SparkSession, d: str) -> DataFrame:
+def sides(spark: SparkSession, d: str, found: str = "counts") -> DataFrame:
     """Adds txt, vis, vconf and cat: a text score from a model score by key, and a visual side from probabilities by key."""
-    s = scored(spark, d)
+    s = scored(spark, d, found)
     key = F.col("o_orderkey")
     w = [(1 + key % k).cast("double") for k in (13, 17, 19, 23)]
     total = w[0] + w[1] + w[2] + w[3]
@@ -129,7 +141,7 @@ def sides(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+    m = messages(spark, d, "counts")
     total = m.agg(F.count_if("homoglyph").alias("homoglyph_attack"), *(F.count_if(F.col(f"n_{f}") > 0).alias(f) for f in FAMILIES))
     return total.unpivot([], ["homoglyph_attack", *FAMILIES], "family", "n_messages")
 
@@ -139,7 +151,7 @@ def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_texts(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d).withColumn("patterns", scoring.detect_patterns(F.col("msg"), F.col("t"), hits()))
+    m = messages(spark, d, "texts").withColumn("patterns", _patterns())
     said = F.array_join(F.transform("patterns", lambda p: F.concat(p["type"], F.lit("="), p["matchedText"])), "; ")
     return m.select("o_orderkey", said.alias("patterns"), scoring.heuristic_score(F.col("patterns")).alias("heuristic"))
 
@@ -148,7 +160,7 @@ _SAID = "array_to_string(list_filter([" + ", ".join(["CASE WHEN homoglyph THEN '
 
 
 def quick_check(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select("o_orderkey", scoring.quick_check(F.col("msg")).alias("obvious"), scoring.is_blank(F.col("msg")).alias("blank"))
+    return messages(spark, d, "counts").select("o_orderkey", scoring.quick_check(F.col("msg")).alias("obvious"), scoring.is_blank(F.col("msg")).alias("blank"))
 
 
 _QUICK = " OR ".join(f"contains(lower(msg), '{p}')" for p in scoring.PHRASES)
@@ -186,9 +198,9 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def red_flags(spark: SparkSession, d: str) -> DataFrame:
-    found = F.when(F.col("txt").isNotNull(), scoring.detect_patterns(F.col("msg"), F.col("t"), hits()))
+    found = F.when(F.col("txt").isNotNull(), _patterns())
     patterns = F.coalesce(found, F.array().cast("array<struct<type:string,confidence:double,matchedText:string>>"))
-    return sides(spark, d).select("o_orderkey", F.array_join(fusion.red_flags(F.col("cat"), F.col("vconf"), patterns), " | ").alias("flags"))
+    return sides(spark, d, "texts").select("o_orderkey", F.array_join(fusion.red_flags(F.col("cat"), F.col("vconf"), patterns), " | ").alias("flags"))
 
 
 def safety_tips(spark: SparkSession, d: str) -> DataFrame:
@@ -228,9 +240,7 @@ SELECT vector, count(*) AS n, CAST(count_if(h[list_position({names}, vector)] >=
 def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
     """The rules over the turns of conversations as they are: score, level, and how many families match."""
     m = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"), TASK_ROWS)
-    t = m.withColumn("t", normalized(F.col("text"))).withColumn("homoglyph", has_homoglyphs(F.col("text")))
-    t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
-    t = t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+    t = _found(m, "text", "counts")
     score = scoring.heuristic_from_counts({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph"))
     n = sum(((F.col(f"n_{f}") > 0).cast("int") for f in FAMILIES), F.col("homoglyph").cast("int"))
     return t.select("conv_id", "turn", score.alias("heuristic"), n.alias("n_patterns"), scoring.quick_check(F.col("text")).alias("obvious")).withColumn("level", fusion.risk_level(F.col("heuristic")))

@@ -63,3 +63,33 @@ def test_tasks_have_bounded_rows(spark, tmp_path):
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 100 and max(sizes) <= 110 and sum(sizes) == 10_000
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_families_by_batch_equal_those_by_rule(spark):
+    texts = [*some_texts(seed=6), None, "urgent", "you won!! !!! !!!! !!!!!", "risk free", "http://a b http://c"]
+    t = F.col("t")
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    n, said = scoring.family_matches(t)
+    alone = scoring.family_counts(t)
+    columns = [c.alias(f"{x}_{f}") for x, by in (("n", n), ("said", said), ("alone", alone)) for f, c in by.items()]
+    want = rows.select("k", *(F.struct(scoring.family_count(t, f).alias("n"), scoring.matched_text(t, f).alias("said")).alias(f) for f in messages.FAMILIES)).collect()
+    got = rows.select("k", *columns).collect()
+    for g, w, x in zip(got, want, texts, strict=True):
+        for f in messages.FAMILIES:
+            have = (g[f"n_{f}"], g[f"alone_{f}"], g[f"said_{f}"] or "")
+            assert have == ((w[f].n, w[f].n, w[f].said) if x is not None else (0, 0, "")), (x, f)
+
+
+def test_dot_is_any_but_line_ends(spark):
+    """As in JavaScript: U+0085 ends no line."""
+    rows = spark.createDataFrame([(k, f"risk{c}free") for k, c in enumerate("\x85-\n\r ")], "k int, t string")
+    rule = RULES["hit_too_good_to_be_true_2"]
+    found = rows.select("k", scoring.rule_match(F.col("t"), rule).alias("java"), scoring.rule_matches(F.col("t"))["hit_too_good_to_be_true_2"].alias("arrow")).orderBy("k").collect()
+    assert [r.java for r in found] == [r.arrow for r in found] == ["risk\x85free", "risk-free", "free", "free", "free"]
+
+
+@pytest.mark.parametrize("query", ["red_flags", "explanations", "heuristic_score", "matched_texts"])
+def test_rules_run_by_batch(spark, query):
+    """Java's expressions, which try each alternative at each place, run on no message."""
+    plan = messages.QUERIES[query][0](spark, SF)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "regexp_extract" not in plan and "arrowevalpython" in plan
