@@ -93,15 +93,17 @@ def fuse(visual: Column, visual_confidence: Column, text: Column, mode: str = "m
     return F.struct(*out)
 
 
-def _has(types: Column, kind: str) -> Column:
-    return F.coalesce(F.array_contains(types, kind), F.lit(False))
+def _has(types: Column | dict[str, Column], kind: str) -> Column:
+    """types: an array of them, or whether each is there, which spares the array."""
+    there = types.get(kind, F.lit(False)) if isinstance(types, dict) else F.array_contains(types, kind)
+    return F.coalesce(there, F.lit(False))
 
 
 def band_text(score: Column) -> Column:
     return F.when(score < LOW, BANDS[0]).when(score < MEDIUM, BANDS[1]).when(score < HIGH, BANDS[2]).when(score < CRITICAL, BANDS[3]).otherwise(BANDS[4])
 
 
-def explanation(score: Column, category: Column, visual_confidence: Column, types: Column) -> Column:
+def explanation(score: Column, category: Column, visual_confidence: Column, types: Column | dict[str, Column]) -> Column:
     """A sentence for the band, one for what is seen, one for each family found, joined by spaces."""
     seen = [F.when((category == k) & (visual_confidence > 0.3), said) for k, said in VISUAL_SAYS.items()]
     return F.concat_ws(" ", band_text(score), *seen, *(F.when(_has(types, k), said) for k, said in PATTERN_SAYS.items()))
@@ -120,7 +122,7 @@ def red_flags(category: Column, visual_confidence: Column, patterns: Column, mos
     return F.slice(F.array_distinct(F.concat(seen, F.transform(patterns, flag))), 1, most)
 
 
-def safety_tips(score: Column, types: Column, most: int = 5) -> Column:
+def safety_tips(score: Column, types: Column | dict[str, Column], most: int = 5) -> Column:
     """General tips above the middle, tips by family, two last ones if high; without repeats, the first five."""
     tips = [F.when(score > MEDIUM, t) for t in GENERAL_TIPS]
     tips += [F.when(_has(types, kind), t) for kind, said in PATTERN_TIPS.items() for t in said]

@@ -204,6 +204,29 @@ def _say_all(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(list(out.values()), list(out))
 
 
+def _with_heuristic(found: pa.StructArray, homoglyph: pa.Array) -> pa.Array:
+    """Adds heuristic_from_counts, the same sums in the same order; of a null text as its SQL has it, where least passes over the missing quotient."""
+    hits = [(pc.fill_null(homoglyph, False).to_numpy(zero_copy_only=False), HOMOGLYPH[2], HOMOGLYPH[1])]
+    for family, (weight, _) in FAMILIES.items():
+        n = found.field(f"n_{family}").to_numpy()
+        hits.append((n > 0, np.minimum(0.95, 0.3 + n * 0.15), weight))
+    top = sum(np.where(h, c * w, 0.0) for h, c, w in hits)
+    under = sum(np.where(h, w, 0.0) for h, _, w in hits)
+    n = sum(h.astype("i4") for h, _, _ in hits)
+    with np.errstate(invalid="ignore"):
+        score = np.fmin(1.0, top / under + np.minimum(0.3, n * 0.05))
+    none = (n == 0) & homoglyph.is_valid().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([*found.flatten(), pa.array(np.where(none, 0.0, score))], [*(x.name for x in found.type), "heuristic"])
+
+
+def _count_and_score(texts: pa.Array, homoglyph: pa.Array) -> pa.Array:
+    return _with_heuristic(pa.StructArray.from_arrays(_count_all(texts).flatten(), [f"n_{family}" for family in FAMILIES]), homoglyph)
+
+
+def _say_and_score(texts: pa.Array, homoglyph: pa.Array) -> pa.Array:
+    return _with_heuristic(_say_all(texts), homoglyph)
+
+
 def rule_matches(text: Column) -> dict[str, Column]:
     """rule_match of all rules, by names of their own: select them, so that counts and texts come from one pass.
 
@@ -227,6 +250,17 @@ def family_matches(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
     return {family: found[f"n_{family}"] for family in FAMILIES}, {family: found[f"said_{family}"] for family in FAMILIES}
 
 
+def family_scores(text: Column, homoglyph: Column, said: bool = False) -> dict[str, Column]:
+    """heuristic, n_<family> and, if asked for, said_<family> of a normalised text in one pass: select them.
+
+    The score comes with the counts, as its sums over families would fill the method that Spark generates for what
+    follows: the JVM never compiles one of more than 8,000 bytes.
+    """
+    kinds = {f"{x}_{family}": kind for family in FAMILIES for x, kind in (("n", "int"), ("said", "string")) if said or x == "n"} | {"heuristic": "double"}
+    found = F.arrow_udf(_say_and_score if said else _count_and_score, f"struct<{', '.join(f'{name}: {kind}' for name, kind in kinds.items())}>")(text, homoglyph)
+    return {name: found[name] for name in kinds}
+
+
 def _found(family: str, text: Column | None, hits: dict[str, Column] | None) -> list[tuple[Rule, Column]]:
     return [(rule, rule_match(text, rule) if hits is None else hits[f"hit_{family}_{k}"]) for k, rule in enumerate(FAMILIES[family][1])]
 
@@ -256,9 +290,14 @@ def confidence(count: Column) -> Column:
     return F.least(F.lit(0.95), F.lit(0.3) + count * F.lit(0.15))
 
 
+def detected(counts: dict[str, Column], homoglyph: Column) -> dict[str, Column]:
+    """Whether detect_patterns has a type, by type, straight from family counts."""
+    return {HOMOGLYPH[0]: homoglyph} | {family: n > 0 for family, n in counts.items()}
+
+
 def detect_types(counts: dict[str, Column], homoglyph: Column) -> Column:
     """The types of detect_patterns straight from family counts, where matched texts aren't wanted."""
-    return F.array_compact(F.array(F.when(homoglyph, HOMOGLYPH[0]), *(F.when(n > 0, family) for family, n in counts.items())))
+    return F.array_compact(F.array(*(F.when(hit, kind) for kind, hit in detected(counts, homoglyph).items())))
 
 
 def detect_patterns(raw: Column, text: Column | None = None, hits: dict[str, Column] | None = None) -> Column:

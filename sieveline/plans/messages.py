@@ -93,7 +93,7 @@ _LEVEL = lambda c: f"CASE WHEN {c} < 0.3 THEN 'low' WHEN {c} < 0.5 THEN 'medium'
 
 
 def messages(spark: SparkSession, d: str, found: str = "rules") -> DataFrame:
-    """(o_orderkey, msg, t, homoglyph, n_<family> ...): each rule runs once. Beside these hit_... by rule, said_<family> for "texts", none for "counts"."""
+    """(o_orderkey, msg, t, homoglyph, n_<family> ..., heuristic): each rule runs once. Beside these hit_... by rule, said_<family> for "texts", none for "counts"."""
     m = spread(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), TASK_ROWS).select("o_orderkey", message(F.col("o_orderkey")).alias("msg"))
     return _found(m, "msg", found)
 
@@ -102,14 +102,18 @@ def _found(m: DataFrame, raw: str, found: str) -> DataFrame:
     t = m.withColumn("t", normalized(F.col(raw))).withColumn("homoglyph", has_homoglyphs(F.col(raw)))
     if found == "rules":
         t = t.select("*", *(c.alias(n) for n, c in scoring.rule_matches(F.col("t")).items()))
-        return t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
-    counts, said = (scoring.family_counts(F.col("t")), {}) if found == "counts" else scoring.family_matches(F.col("t"))
-    return t.select("*", *(c.alias(f"n_{f}") for f, c in counts.items()), *(c.alias(f"said_{f}") for f, c in said.items()))
+        t = t.select("*", *(scoring.family_count(None, f, hits()).alias(f"n_{f}") for f in FAMILIES))
+        return t.withColumn("heuristic", scoring.heuristic_from_counts(_counts(), F.col("homoglyph")))
+    return t.select("*", *(c.alias(n) for n, c in scoring.family_scores(F.col("t"), F.col("homoglyph"), found == "texts").items()))
+
+
+def _counts() -> dict[str, Column]:
+    return {f: F.col(f"n_{f}") for f in FAMILIES}
 
 
 def _patterns() -> Column:
     """detect_patterns from the columns of messages with texts."""
-    return scoring.patterns_of(F.col("homoglyph"), *({f: F.col(f"{x}_{f}") for f in FAMILIES} for x in ("n", "said")))
+    return scoring.patterns_of(F.col("homoglyph"), _counts(), {f: F.col(f"said_{f}") for f in FAMILIES})
 
 
 def hits() -> dict:
@@ -117,14 +121,9 @@ def hits() -> dict:
     return {f"hit_{f}_{k}": F.col(f"hit_{f}_{k}") for f, (_, rules) in scoring.FAMILIES.items() for k in range(len(rules))}
 
 
-def scored(spark: SparkSession, d: str, found: str = "counts") -> DataFrame:
-    m = messages(spark, d, found)
-    return m.withColumn("heuristic", scoring.heuristic_from_counts({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph")))
-
-
 def sides(spark: SparkSession, d: str, found: str = "counts") -> DataFrame:
     """Adds txt, vis, vconf and cat: a text score from a model score by key, and a visual side from probabilities by key."""
-    s = scored(spark, d, found)
+    s = messages(spark, d, found)
     key = F.col("o_orderkey")
     w = [(1 + key % k).cast("double") for k in (13, 17, 19, 23)]
     total = w[0] + w[1] + w[2] + w[3]
@@ -147,7 +146,7 @@ def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("o_orderkey", "heuristic")
+    return messages(spark, d, "counts").select("o_orderkey", "heuristic")
 
 
 def matched_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -188,13 +187,16 @@ def risk_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
-    """Adds score and types, the families found in a text that has a score."""
-    types = scoring.detect_types({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph"))
-    return sides(spark, d).withColumn("types", F.when(F.col("txt").isNotNull(), types)).withColumn("score", fusion.fused_score(F.col("vis"), F.col("txt")))
+    return sides(spark, d).withColumn("score", fusion.fused_score(F.col("vis"), F.col("txt")))
+
+
+def _types() -> dict[str, Column]:
+    """Whether each family was found, in a text that has a score."""
+    return {k: F.col("txt").isNotNull() & hit for k, hit in scoring.detected(_counts(), F.col("homoglyph")).items()}
 
 
 def explanations(spark: SparkSession, d: str) -> DataFrame:
-    return _explained(spark, d).select("o_orderkey", fusion.explanation(F.col("score"), F.col("cat"), F.col("vconf"), F.col("types")).alias("explanation"))
+    return _explained(spark, d).select("o_orderkey", fusion.explanation(F.col("score"), F.col("cat"), F.col("vconf"), _types()).alias("explanation"))
 
 
 def red_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +206,7 @@ def red_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def safety_tips(spark: SparkSession, d: str) -> DataFrame:
-    return _explained(spark, d).select("o_orderkey", F.array_join(fusion.safety_tips(F.col("score"), F.col("types")), " | ").alias("tips"))
+    return _explained(spark, d).select("o_orderkey", F.array_join(fusion.safety_tips(F.col("score"), _types()), " | ").alias("tips"))
 
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -241,9 +243,8 @@ def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
     """The rules over the turns of conversations as they are: score, level, and how many families match."""
     m = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"), TASK_ROWS)
     t = _found(m, "text", "counts")
-    score = scoring.heuristic_from_counts({f: F.col(f"n_{f}") for f in FAMILIES}, F.col("homoglyph"))
     n = sum(((F.col(f"n_{f}") > 0).cast("int") for f in FAMILIES), F.col("homoglyph").cast("int"))
-    return t.select("conv_id", "turn", score.alias("heuristic"), n.alias("n_patterns"), scoring.quick_check(F.col("text")).alias("obvious")).withColumn("level", fusion.risk_level(F.col("heuristic")))
+    return t.select("conv_id", "turn", "heuristic", n.alias("n_patterns"), scoring.quick_check(F.col("text")).alias("obvious")).withColumn("level", fusion.risk_level(F.col("heuristic")))
 
 
 CONVERSATION_SQL = f"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(translate(nfc_normalize(lower(text)), 'аеорсухѕіјԁһԝʏαορτν', 'aeopcyxsijdhwyaoptv'), '\\s+', ' ', 'g')) AS t,

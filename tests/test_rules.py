@@ -93,3 +93,35 @@ def test_rules_run_by_batch(spark, query):
     """Java's expressions, which try each alternative at each place, run on no message."""
     plan = messages.QUERIES[query][0](spark, SF)._jdf.queryExecution().executedPlan().toString().lower()
     assert "regexp_extract" not in plan and "arrowevalpython" in plan
+
+
+@pytest.mark.parametrize("query", ["explanations", "red_flags", "safety_tips", "fusion_max"])
+def test_methods_are_small_enough_to_be_compiled(spark, query, capsys):
+    """The JVM interprets a generated method of 8,000 bytes or more, at several times the cost."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        messages.QUERIES[query][0](spark, SF).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 2 and max(sizes) < 8000
+
+
+def test_explanations_build_no_arrays(spark):
+    plan = messages.explanations(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "array_contains" not in plan
+
+
+def test_scores_by_batch_equal_those_of_columns(spark):
+    """To the last bit, with and without matched texts; a null text has what its SQL gives."""
+    texts = [*some_texts(2000, seed=7), "pа y now", "а", ""]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, raw string").select("k", text.normalized(F.col("raw")).alias("t"), text.has_homoglyphs(F.col("raw")).alias("h"))
+    t, h = F.col("t"), F.col("h")
+    want = rows.select("k", "h", *(c.alias(f) for f, c in scoring.family_counts(t).items())).select("k", scoring.heuristic_from_counts({f: F.col(f) for f in messages.FAMILIES}, h).alias("s"))
+    want = {r.k: r.s for r in want.collect()}
+    for said in (False, True):
+        got = rows.select("k", *(c.alias(n) for n, c in scoring.family_scores(t, h, said).items())).collect()
+        assert {r.k: r.heuristic for r in got} == want and len(set(want.values())) > 20
+    null = spark.createDataFrame([(None, None)], "t string, h boolean").select(scoring.family_scores(t, h)["heuristic"].alias("s")).first()
+    assert null.s == 1.0
