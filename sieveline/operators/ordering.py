@@ -19,13 +19,15 @@ def fresh(df: DataFrame, name: str) -> str:
 def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows of a small file over all cores, where what follows costs far more than the scan; a table of many splits stays as it is.
 
-    A split is bounded in bytes, which of short rows are millions; with `rows`, a task has about so many at most, however
-    large the table. They are counted, so pass a stored table.
+    A split is bounded in bytes, which of short rows are millions, and of one row group a single split has all rows; with
+    `rows`, a task has about so many at most, however large the table and whatever its layout. They are counted by split,
+    so pass a stored table.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
+    n, most = df.sparkSession.sparkContext.defaultParallelism, 0
     if rows:
-        n = max(n, math.ceil(df.count() / rows))
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+        held = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+        n, most = max(n, math.ceil((held["rows"] or 0) / rows)), held["most"] or 0
+    return df.repartition(n) if df.rdd.getNumPartitions() < n or most > (rows or 0) else df
 
 
 def _above(cuts: list, c: Column) -> Column:

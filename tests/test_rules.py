@@ -65,6 +65,25 @@ def test_tasks_have_bounded_rows(spark, tmp_path):
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_tasks_of_one_row_group_have_bounded_rows(spark, tmp_path):
+    """Many splits of a file with one row group: one has all rows, so their number says nothing."""
+    spark.range(10_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t")).select("id")
+        assert rows.rdd.getNumPartitions() > 100 and max(rows.rdd.glom().map(len).collect()) == 10_000
+        sizes = spread(rows, 100).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert max(sizes) <= 110 and sum(sizes) == 10_000
+
+
+def test_empty_tables_are_spread(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "t"))
+    assert spread(spark.read.parquet(str(tmp_path / "t")), 100).count() == 0
+
+
 def test_families_by_batch_equal_those_by_rule(spark):
     texts = [*some_texts(seed=6), None, "urgent", "you won!! !!! !!!! !!!!!", "risk free", "http://a b http://c"]
     t = F.col("t")
@@ -97,7 +116,7 @@ def test_rules_run_by_batch(spark, query):
 
 @pytest.mark.parametrize("query", ["explanations", "red_flags", "safety_tips", "fusion_max"])
 def test_methods_are_small_enough_to_be_compiled(spark, query, capsys):
-    """The JVM interprets a generated method of 8,000 bytes or more, at several times the cost."""
+    """The JVM interprets a generated method of more than 8,000 bytes, at several times the cost."""
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
