@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BOTH = [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -95,7 +97,69 @@ def fenced_json(c: Column, schema: str) -> Column:
     return F.from_json(fence_stripped(c), schema)
 
 
+#: Each ASCII punctuation mark is a word of its own.
+WORD_MARKS = ".,!?;:'\"()[]{}<>@#$%^&*+=-_/\\|`~"
+_MARK = re.sub(r"[\[\]\\^-]", r"\\\g<0>", WORD_MARKS)
+_WORD = f"[{_MARK}]|[^{_MARK}{SCRIPT_SPACE[1:-1]}]+"
+
+
 def word_split(c: Column) -> Column:
     """Words between white space, with each ASCII punctuation mark a token of its own."""
-    mark = r".,!?;:'\"()\[\]{}<>@#$%^&*+=\-_/\\|`~"
-    return F.regexp_extract_all(c, F.lit(f"([{mark}]|[^{mark}{SCRIPT_SPACE[1:-1]}]+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(f"({_WORD})"), F.lit(1))
+
+
+# The same within Arrow batches, for texts in lower case. Java tests each character against a dozen predicates, and where
+# words are exploded Spark splits a text once more for each condition that it infers (an array, not empty).
+_FIND_WORDS = re.compile(_WORD).findall
+_WIDE_SPACES = "".join(c for c in SCRIPT_SPACES if c > "\x7f")
+_PLAIN = dict.fromkeys(map(ord, _WIDE_SPACES), " ") | dict(zip(map(ord, LOOKALIKES), LATIN)) | dict.fromkeys(map(ord, ZERO_WIDTH))
+_NOT_PLAIN = re.compile(f"[{LOOKALIKES}{ZERO_WIDTH}{_WIDE_SPACES}]")
+_MARK_BYTES = WORD_MARKS.encode()
+_NO_MARKS = bytes.maketrans(_MARK_BYTES, b" " * len(_MARK_BYTES))
+
+
+def _plain(low: str) -> str:
+    """What `normalized` gives of a text in lower case, but for its white space: that is ASCII's, as long and where it was."""
+    if low.isascii():
+        return low
+    low = unicodedata.normalize("NFC", low)
+    return low.translate(_PLAIN) if _NOT_PLAIN.search(low) else low
+
+
+def words_by_part(low: str, chars: int) -> Iterator[list[str]]:
+    """The words of the normal form of a text in lower case, of about so many characters at a time.
+
+    Parts start at white space, which no word and no composed character goes on over.
+    """
+    at, gap = 0, re.compile(r"[\t-\r ]")
+    while at < len(low):
+        found = gap.search(low, at + chars)
+        end = found.start() if found else len(low)
+        yield _FIND_WORDS(_plain(low[at:end]))
+        at = end
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(w): the words of texts in lower case; a worker remembers `most` of them. Words are told apart as bytes, between marks made spaces."""
+    seen: set[bytes] = set()
+    marks = [bytes([m]) for m in _MARK_BYTES]
+    for batch in batches:
+        words: set[bytes] = set()
+        for text in batch.column(0):
+            if (t := text.as_py()) is None:
+                continue
+            raw = _plain(t).encode()
+            found = [m for m in marks if m in raw]
+            marks = [m for m in marks if m not in found] if found else marks
+            words.update(found, raw.translate(_NO_MARKS).split())
+        words -= seen
+        if len(seen) + len(words) > most:
+            seen = set()
+        if len(words) <= most:
+            seen.update(w for w in words if len(w) <= 64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string())], ["w"])
+
+
+def distinct_words(texts: DataFrame, text: str) -> DataFrame:
+    """(w) of a column of texts: the distinct words of their normal forms, as `word_split` has them."""
+    return texts.select(F.lower(text)).mapInArrow(_distinct_words, "w string").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .text import SCRIPT_SPACES, normalized, word_split
+from .text import SCRIPT_SPACES, distinct_words, words_by_part
 
 # Fixed values of the vocabulary format.
 PAD, UNK, CLS, SEP, MASK = ("[PAD]", 0), ("[UNK]", 100), ("[CLS]", 101), ("[SEP]", 102), ("[MASK]", 103)
@@ -50,6 +51,29 @@ def vocabulary_of(rows: DataFrame, token: str = "token") -> dict[str, int]:
     return special | {t: 104 + k for k, t in enumerate(sorted({r.t for r in distinct.collect()} - special.keys()))}
 
 
+def _count_pieces(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(token, n): how many of the words have a piece. A worker leaves what it has counted when that is over `most` pieces."""
+    counts: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    for batch in batches:
+        for word in batch.column(0):
+            w = word.as_py()
+            counts.update({w[:3], w[0], *("##" + w[k : k + 3] for k in range(3, len(w), 3)), *("##" + c for c in w[1:])})
+        if len(counts) > most:
+            yield counted()
+            counts.clear()
+    yield counted()
+
+
+def frequent_pieces(texts: DataFrame, text: str, least: int = 5) -> DataFrame:
+    """(token) of a vocabulary by rule: first three characters of words, the threes that follow and single characters, of those that `least` distinct words or more have."""
+    pieces = distinct_words(texts, text).mapInArrow(_count_pieces, "token string, n long")
+    return pieces.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
+
+
 class Trie:
     """The pieces of a vocabulary by character. What continues a word stands below the node of `##`, which a match at the start of a word links to."""
 
@@ -99,26 +123,34 @@ class Trie:
         return out
 
 
-def piece_ids(vocabulary: dict[str, int]):
-    """An Arrow function from arrays of words to arrays of ids; a worker builds the trie once and keeps the words it has seen.
+def piece_ids(vocabulary: dict[str, int], most: int):
+    """An Arrow function from texts in lower case to arrays of ids, the first `most` of each; a worker builds the trie once and keeps words it has seen.
 
-    Spark broadcasts the function with its vocabulary, which is bounded, once it is over a megabyte.
+    A text is read as far as that takes. Spark broadcasts the function with its vocabulary, which is bounded, once it is
+    over a megabyte.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie, seen = Trie(vocabulary), {}
-        for words in batches:
-            flat = words.flatten().to_pylist()
-            for w in set(flat) - seen.keys():
-                if len(seen) > 200_000:
-                    seen = {}
-                seen[w] = trie.encode(w)
-            ids, ends, at = [], [0], 0
-            for n in words.value_lengths().fill_null(0).to_pylist():
-                for w in flat[at : at + n]:
-                    ids += seen[w] if w in seen else trie.encode(w)
+        for texts in batches:
+            ids, ends = [], [0]
+            for text in texts:
+                own: list[int] = []
+                for words in words_by_part(text.as_py() or "", 4 * most):
+                    for w in words:
+                        if (found := seen.get(w)) is None:
+                            found = trie.encode(w)
+                            if len(w) <= 64:
+                                if len(seen) > 200_000:
+                                    seen = {}
+                                seen[w] = found
+                        own += found
+                        if len(own) >= most:
+                            break
+                    if len(own) >= most:
+                        break
+                ids += own[:most]
                 ends.append(len(ids))
-                at += n
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
     return F.arrow_udf(run, "array<int>")
@@ -128,12 +160,12 @@ def encode(df: DataFrame, text: str, vocabulary: dict[str, int], length: int = M
     """Adds input_ids and attention_mask (arrays of `length`) and token_count.
 
     CLS, pieces, SEP; of more than `length` the first length - 1 and SEP; zeros pad. The count is taken after the cut.
-    Every word has a piece at least, so words beyond the first `length` can't be among what is kept.
+    Pieces beyond the first `length` can't be among what is kept.
     """
     own = "ids"
     while own in df.columns:
         own += "_"
-    ids = piece_ids(vocabulary)(F.slice(word_split(normalized(F.col(text))), 1, length))
+    ids = piece_ids(vocabulary, length)(F.lower(text))
     whole = df.withColumn(own, F.concat(F.array(F.lit(CLS[1])), ids, F.array(F.lit(SEP[1]))))
     cut = whole.withColumn(own, F.when(F.size(own) > length, F.concat(F.slice(own, 1, length - 1), F.array(F.lit(SEP[1])))).otherwise(F.col(own)))
     out = cut.withColumn("token_count", F.size(own))

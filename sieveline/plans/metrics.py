@@ -314,30 +314,13 @@ i AS (SELECT o_orderkey, list_concat([101], flatten(p), [102]) AS i FROM w), k A
 SELECT o_orderkey, CAST(len(i) AS INT) AS token_count, array_to_string(list_concat(i, list_transform(range(128 - len(i)), lambda x: 0)), ',') AS ids, CAST(len(i) AS INT) AS mask_sum FROM k"""
 
 
-def _words(spark, d) -> DataFrame:
-    """(doc_id, words) of whole documents, as they are encoded."""
-    from ..functions.text import normalized, word_split
-    from ..operators.ordering import spread
-
-    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
-    return docs.select("doc_id", "text", word_split(normalized(F.col("text"))).alias("words"))
-
-
-def piece_table(words: DataFrame) -> DataFrame:
-    """(token) of a vocabulary by rule: first three characters of words, the threes that follow and single characters, of those that five words or more have."""
-    w = words.select(F.explode("words").alias("w")).distinct()
-    threes = F.transform(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 3)), lambda k: F.concat(F.when(k > 0, "##").otherwise(""), F.substring(F.col("w"), (3 * k + 1).cast("int"), F.lit(3))))
-    ones = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.concat(F.when(k > 1, "##").otherwise(""), F.substring(F.col("w"), k, F.lit(1))))
-    pieces = w.select(F.explode(F.array_distinct(F.concat(threes, ones))).alias("token"))
-    return pieces.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5").select("token")
-
-
 def wordpiece_documents(spark, d):
     """Encodings of whole documents with some thousand pieces of a table; most words are of several pieces, rare ones hold unknowns."""
-    from ..functions.wordpiece import encode, vocabulary_of
+    from ..functions.wordpiece import encode, frequent_pieces, vocabulary_of
+    from ..operators.ordering import spread
 
-    words = _words(spark, d)
-    e = encode(words.select("doc_id", "text"), "text", vocabulary_of(piece_table(words)))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), 250_000)
+    e = encode(docs, "text", vocabulary_of(frequent_pieces(docs, "text")))
     return e.select("doc_id", "token_count", F.concat_ws(",", "input_ids").alias("ids"), F.size(F.filter("input_ids", lambda k: k == 100)).alias("n_unknown"))
 
 
