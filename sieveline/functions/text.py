@@ -140,7 +140,10 @@ def words_by_part(low: str, chars: int) -> Iterator[list[str]]:
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """(w): the words of texts in lower case; a worker remembers `most` of them. Words are told apart as bytes, between marks made spaces."""
+    """(w): the words of texts in lower case, each once a batch; a worker remembers those of earlier batches, up to `most`.
+
+    Words are told apart as bytes, between marks made spaces.
+    """
     seen: set[bytes] = set()
     marks = [bytes([m]) for m in _MARK_BYTES]
     for batch in batches:
